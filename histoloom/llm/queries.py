@@ -11,7 +11,7 @@ from histoloom.session import importable_on_workers, shared_path, table
 
 import public_tokenizers
 
-from histoloom.llm import packing, sharding, token_files
+from histoloom.llm import ann, chat, packing, sharding, simhash, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,55 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-_QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op3_sharding": op3_sharding, "op7_token_files": op7_token_files}
-_SQL: dict[str, str] = {}
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered turns of every maximal conversation."""
+    return chat.render_turns(chat.maximal_conversations(table(spark, sf_dir, "conversations")))
+
+
+#: Prefix strings of whole conversations; a conversation stays if its own is no proper prefix of another's.
+CHAT_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS number FROM turns),
+said AS (SELECT conv_id, number, role, text, to_json({'role': role, 'text': text})::VARCHAR AS said FROM numbered),
+prefix AS (SELECT *, md5(string_agg(said, '|') OVER (PARTITION BY conv_id ORDER BY number)) AS p, max(number) OVER (PARTITION BY conv_id) AS n FROM said),
+kept AS (
+  SELECT min(conv_id) AS conv_id FROM prefix a
+  WHERE number = n AND NOT EXISTS (SELECT 1 FROM prefix b WHERE b.number = a.number AND b.p = a.p AND b.n > b.number)
+  GROUP BY number, p),
+written AS (
+  SELECT conv_id, number, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS segment, coalesce(role, '') = 'assistant' AS learned
+  FROM said WHERE conv_id IN (SELECT conv_id FROM kept))
+SELECT conv_id, number::BIGINT AS number,
+  (coalesce(sum(length(segment)) OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, segment, learned
+FROM written
+"""
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose vec_id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage to remove, at offsets of its document."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op3_sharding": op3_sharding,
+    "op5_chat": op5_chat,
+    "op7_token_files": op7_token_files,
+    "op8_ann": op8_ann,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_simhash": op10_simhash,
+}
+_SQL: dict[str, str] = {"op5_chat": CHAT_SQL}
 
 
 def _prepared(function: Query) -> Query:
