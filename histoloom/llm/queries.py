@@ -11,7 +11,7 @@ from histoloom.session import importable_on_workers, shared_path, table
 
 import public_tokenizers
 
-from histoloom.llm import ann, chat, packing, sharding, simhash, substring_dedup, token_files
+from histoloom.llm import ann, chat, line_dedup, packing, sharding, simhash, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.merge_leftovers(placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and decision of every line of 20 characters or more, at 2 edits."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("doc")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document in 24 shards of equal row counts."""
     docs = sharding.with_digests(table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op5_chat": op5_chat,
     "op7_token_files": op7_token_files,
