@@ -11,7 +11,7 @@ from histoloom.session import importable_on_workers, shared_path, table
 
 import public_tokenizers
 
-from histoloom.llm import ann, chat, line_dedup, packing, sharding, simhash, substring_dedup, token_files
+from histoloom.llm import ann, chat, decontamination, line_dedup, packing, sharding, simhash, substring_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision for every document; labels of held-out documents teach nothing."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    scored = toxicity.with_scores(docs, toxicity.train(docs, labels, ~held_out), "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to token files in doc_id order and read back."""
     folder = shared_path(spark, "token-files")
@@ -41,6 +49,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, verbatim or paraphrased, with the item."""
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered turns of every maximal conversation."""
     return chat.render_turns(chat.maximal_conversations(table(spark, sf_dir, "conversations")))
@@ -84,7 +97,9 @@ _QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_ann": op8_ann,
     "op9_substring_dedup": op9_substring_dedup,
@@ -93,6 +108,16 @@ _QUERIES: dict[str, Query] = {
 _SQL: dict[str, str] = {"op5_chat": CHAT_SQL}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    import corpus_pipeline  # stands beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES["pipeline"] = pipeline
+
+
 def _prepared(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         importable_on_workers(spark)

@@ -1,11 +1,14 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance, exact at any threshold.
 
 Distances of unrelated 64-bit fingerprints gather at 32 +- 4, so one tree over whole fingerprints could prune little at a
-radius of 4. The fingerprint is therefore cut into blocks, with a tree for each: two fingerprints within t bits are within
-t // blocks bits in some block. Each tree splits the block's values at median distances from vantage points; a fingerprint
-goes to its own leaf and to those leaves that the triangle bound at the block radius cannot rule out. With t + 1 blocks
-that radius is 0 and no leaf but its own is left. Inside a leaf, a vantage-point tree over whole fingerprints finds the
-exact pairs, of which a spanning forest is kept.
+radius of 4. The fingerprint is therefore cut into blocks, with trees over blocks: two fingerprints within t bits are within
+t // blocks bits in some block, and with more than t blocks, blocks - t of them are equal. Each tree splits the values of
+its block (or set of blocks) at median distances from vantage points; a fingerprint goes to its own leaf and to those
+leaves that the triangle bound at the tree's radius cannot rule out (none at radius 0). Inside a leaf, a vantage-point tree
+over whole fingerprints finds the exact pairs, of which a spanning forest is kept.
+
+near_duplicates links fingerprints alone. similar_texts takes links at 8 bits between fingerprints of word sets as
+candidates and confirms them by the Jaccard similarity of five-word shingle sets.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null doc_ids take part, and a component
 of nothing else has a null component_id; repeated rows share a fingerprint; an empty table gives no rows.
@@ -14,6 +17,7 @@ of nothing else has a null component_id; repeated rows share a fingerprint; an e
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,11 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 
 def fingerprint(text: str, words_each: int = 4) -> int:
     """SimHash of a text over its word shingles, repeats included."""
-    words = text.encode().lower().split()  # both touch ASCII only
+    return fingerprint_of(text.encode().lower().split(), words_each)  # both touch ASCII only
+
+
+def fingerprint_of(words: list[bytes], words_each: int) -> int:
+    """SimHash of a word sequence."""
     if not words:
         return 0
     joined = b" ".join(words)
@@ -97,16 +105,25 @@ def block_tree(width: int, leaves: int, radius: int) -> tuple[np.ndarray, np.nda
 def route(distinct: DataFrame, n: int, threshold: int, blocks: int) -> DataFrame:
     """(tree, leaf, home, bits): every fingerprint in its leaf of each tree and, with home false, in the leaves it has to visit."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    # A block's tree looks at 16 bits at most; the bound holds for any part of a block.
-    spans = [(a, min(16, b - a)) for a, b in zip(cuts, cuts[1:])]
+    spans = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    sets = list(itertools.combinations(spans, max(1, blocks - threshold)))
     leaves, radius = n // LEAF_ROWS + 1, threshold // blocks
 
+    def values_of(bits: np.ndarray, spans: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, int]:
+        """The blocks side by side, 16 bits at most: the bound holds for any part of them."""
+        out, width = np.zeros(len(bits), np.int64), 0
+        for shift, size in spans:
+            size = min(size, 16 - width)
+            out |= ((bits >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64) << width
+            width += size
+        return out, width
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.asarray(batch.column("bits")).view(np.uint64)
-            for tree, (shift, width) in enumerate(spans):
+            for tree, blocks_of in enumerate(sets):
+                values, width = values_of(bits, blocks_of)
                 home, ends, others = block_tree(width, leaves, radius)
-                values = ((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
                 more = ends[values] - np.where(values > 0, ends[values - 1], 0)
                 at = np.repeat(ends[values] - np.cumsum(more), more) + np.arange(more.sum())
                 leaf = np.concatenate([home[values], others[at]])
@@ -189,3 +206,95 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, words_each: int = 4, bl
     of_root = by_bits.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = by_bits.select("bits", "root").join(of_root, "root").select("bits", "component_id")
     return hashed.join(classes, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Texts of one candidate group that a task compares with as many others; larger groups are dealt out as pairs of chunks.
+CHUNK_TEXTS = 512
+#: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def word_set_fingerprint(text: str) -> int:
+    """SimHash over the distinct words of a text: near copies stay within a few bits where shingles would not."""
+    return fingerprint_of(list(dict.fromkeys(text.encode().lower().split())), 1)
+
+
+def shingles(text: str, words_each: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text; a shorter text is one shingle, an empty one none."""
+    words = text.encode().lower().split()
+    k = min(words_each, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[a : a + k])) for a in range(len(words) - k + 1)] if words else [], np.uint64)).view(np.int64)
+
+
+def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, similarity: float) -> np.ndarray:
+    """A label for each set, equal where sets of chunk one and chunk two of enough similarity connect them."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    labels = np.arange(len(sets))
+    others = chunk == two
+    for k in np.nonzero(chunk == one)[0]:
+        low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+        more = high - low
+        shared = np.bincount(owner[np.repeat(high - np.cumsum(more), more) + np.arange(more.sum())], minlength=len(sets))
+        close = np.nonzero(others & (shared >= similarity * (sizes[k] + sizes - shared)) & (labels != labels[k]))[0]
+        if len(close):
+            labels = _joined(labels, np.full(len(close), k), close)
+    return labels
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, threshold: int = 8, blocks: int = 10) -> DataFrame:
+    """doc_id, text_hash and class of every document; a class joins texts whose shingle sets have at least the similarity, through any chain of links."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.fromiter((word_set_fingerprint(t.as_py() or "") for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(bits.view(np.int64))], ["doc_id", "text_hash", "bits"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    known = stage(rows.mapInArrow(hashed, "doc_id long, text_hash long, bits long"), "word-sets")
+    groups = connected_components(links(known, threshold, blocks)).select(F.col("node").alias("bits"), "root")
+    texts = known.select("text_hash", "bits").distinct().join(groups, "bits", "left").select("text_hash", F.coalesce("root", "bits").alias("group"))
+    crowded = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(texts.join(crowded, "group").select("text_hash", "group", (F.floor((F.col("n") - 1) / CHUNK_TEXTS) + 1).cast("int").alias("chunks")), "candidates")
+    sought = members.withColumnRenamed("text_hash", "_hash")
+    if members.count() <= BROADCAST_ROWS:
+        sought = F.broadcast(sought)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), words_each) for t in batch.column("text")]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("group"), batch.column("chunks"), column], ["text_hash", "group", "chunks", "set"])
+
+    found = rows.join(sought, rows["text_hash"] == F.col("_hash")).select("text_hash", "group", "chunks", "text")
+    sets = found.mapInArrow(cut, "text_hash long, group long, chunks int, set array<long>").dropDuplicates(["text_hash"])
+    sets = stage(sets, "shingle-sets")
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("text_hash"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("group", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "text_hash", "set")
+
+    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["text_hash"].to_numpy()
+        labels = _similar([np.asarray(s, np.int64) for s in rows["set"]], rows["chunk"].to_numpy(), int(rows["one"].iloc[0]), int(rows["two"].iloc[0]), similarity)
+        linked_rows = np.nonzero(labels != np.arange(len(ids)))[0]
+        return pd.DataFrame({"a": ids[linked_rows], "b": ids[labels[linked_rows]]})
+
+    edges = dealt.groupBy("group", "one", "two").applyInPandas(confirm, "a long, b long")
+    classes = connected_components(edges).select(F.col("node").alias("text_hash"), "root")
+    return known.select("doc_id", "text_hash").join(classes, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("class"))
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
+    """The rows of docs but for those that a document of less doc_id (nulls last) stands for. Rows equal in doc_id and text are one document."""
+    classes = stage(similar_texts(docs, similarity, words_each), "text-classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = stage(classes.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "text-firsts")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = stage(classes.join(first, "class").where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone-documents")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti")
