@@ -245,7 +245,7 @@ def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, simi
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, threshold: int = 8, blocks: int = 10) -> DataFrame:
-    """doc_id, text_hash and class of every document; a class joins texts whose shingle sets have at least the similarity, through any chain of links."""
+    """doc_id, text_hash and class of every document; a class joins texts whose shingle sets have at least the similarity, through any chain of links. Texts without words are alike."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
