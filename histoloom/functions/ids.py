@@ -100,7 +100,7 @@ def barcode_candidates(barcode: Column) -> Column:
 
 def id_list(text: Column) -> Column:
     """Comma-separated ids: trimmed, without empty ones, each at its first place."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def human_number(n: Column) -> Column:

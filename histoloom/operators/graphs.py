@@ -52,7 +52,8 @@ def spot_arrays(cells: DataFrame, spot: list[str], row: str, *columns: str) -> D
     """One row for each spot with its cells' columns as arrays in row order."""
     ordered = F.array_sort(F.collect_list(F.struct(row, *columns)))
     rows = cells.groupBy(*spot).agg(ordered.alias("_o"))
-    return rows.select(*spot, *[F.transform("_o", lambda s, c=c: s[c]).alias(c) for c in (row, *columns)])
+    column = lambda c: F.transform("_o", lambda s: s[c]).alias(c)
+    return rows.select(*spot, *map(column, (row, *columns)))
 
 
 def polygons(vertices: DataFrame) -> DataFrame:

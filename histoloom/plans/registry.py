@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from histoloom.session import importable_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_MODULES = ("column_queries", "spatial_queries", "expression_queries", "source_queries")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -33,11 +35,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(f"histoloom.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
+    _load()
     return dict(_SQL)
