@@ -127,9 +127,9 @@ def align_barcodes(cells: DataFrame, matrix: DataFrame) -> DataFrame:
     return cells.join(matrix.select(F.col("barcode").alias("cell_id"), F.col("row_idx").alias("matrix_row")), "cell_id")
 
 
-def csr_to_long(matrix: DataFrame) -> DataFrame:
-    """(row, column, value) of a matrix in CSR arrays (data, indices, indptr); the number of rows follows from indptr."""
+def csr_to_long(matrix: DataFrame, *keys: str) -> DataFrame:
+    """(keys, row, column, value) of matrices in CSR arrays (data, indices, indptr); the number of rows follows from indptr."""
     ends = F.transform(F.col("indptr"), lambda p, k: F.struct(p.alias("start"), F.get("indptr", k + 1).alias("end")))
-    rows = matrix.select("data", "indices", F.posexplode(ends).alias("row", "span")).where(F.col("span.end") > F.col("span.start"))
-    at = rows.select("row", "data", "indices", F.explode(F.sequence(F.col("span.start"), F.col("span.end") - 1)).alias("at"))
-    return at.select("row", F.get("indices", F.col("at").cast("int")).alias("column"), F.get("data", F.col("at").cast("int")).alias("value"))
+    rows = matrix.select(*keys, "data", "indices", F.posexplode(ends).alias("row", "span")).where(F.col("span.end") > F.col("span.start"))
+    at = rows.select(*keys, "row", "data", "indices", F.explode(F.sequence(F.col("span.start"), F.col("span.end") - 1)).alias("at"))
+    return at.select(*keys, "row", F.get("indices", F.col("at").cast("int")).alias("column"), F.get("data", F.col("at").cast("int")).alias("value"))

@@ -1 +1,349 @@
-"""Queries over expression, splits and metrics."""
+"""Queries over expression, splits, metrics and quality checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from histoloom.operators import expression, graphs, metrics, ordering, quality, spatial
+from histoloom.plans import views
+from histoloom.plans.registry import query
+from histoloom.session import table
+
+E, B, C = views.EXPR_SQL, views.BARCODES_SQL, views.CELLS_SQL
+R = lambda c, n=4: F.round(c, n)
+GENES_SQL = "genes AS (SELECT gene AS symbol, row_number() OVER (ORDER BY gene) - 1 AS pos FROM (SELECT DISTINCT p_brand AS gene FROM part))"
+
+
+def _genes(spark, sf_dir):
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    return ordering.number_rows(brands, "symbol", name="pos")[0]
+
+
+def _rounded(df, *columns, digits=4):
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})  # no negative zero
+
+
+@query("a01_replicate_mean", f"WITH {B} SELECT left(barcode, 12) AS \"case\", gene, round(avg(value), 4) AS value FROM barcodes GROUP BY ALL")
+def replicate_mean(spark, sf_dir):
+    return _rounded(expression.replicate_mean(views.barcodes(spark, sf_dir), F.substring("barcode", 1, 12)), "value")
+
+
+@query("a02_replicate_last", f"WITH {B} SELECT left(barcode, 12) AS \"case\", gene, arg_max(value, col_pos) AS value FROM barcodes GROUP BY ALL")
+def replicate_last(spark, sf_dir):
+    return expression.replicate_last(views.barcodes(spark, sf_dir), F.substring("barcode", 1, 12), "col_pos")
+
+
+@query("a03_multi_sample_cases", f"WITH {B} SELECT left(barcode, 12) AS \"case\", count(*) AS n FROM barcodes GROUP BY 1 HAVING count(*) > 1")
+def multi_sample_cases(spark, sf_dir):
+    return expression.multi_sample_cases(views.barcodes(spark, sf_dir), F.substring("barcode", 1, 12))
+
+
+@query("a04_gene_stats", f"WITH {E} SELECT gene, round(avg(value), 4) AS mean, round(CASE WHEN stddev_pop(value) < 1e-6 THEN 1.0 ELSE stddev_pop(value) END, 4) AS std FROM expr GROUP BY 1")
+def gene_stats(spark, sf_dir):
+    return _rounded(expression.gene_stats(views.expression(spark, sf_dir)), "mean", "std")
+
+
+@query("a05_sum_to_slide", f"WITH {C} SELECT slide, cell_id % 7 AS gene, sum(x)::BIGINT AS pred FROM cells GROUP BY ALL")
+def sum_to_slide(spark, sf_dir):
+    return views.cells(spark, sf_dir).groupBy("slide", (F.col("cell_id") % 7).alias("gene")).agg(F.sum("x").alias("pred"))
+
+
+@query("a06_p19_zscore", f"WITH {E}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr WHERE sample_id % 5 <> 0 GROUP BY 1) SELECT sample_id, gene, round((value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 4) + 0.0::DOUBLE AS value FROM expr JOIN s USING (gene)")
+def zscore(spark, sf_dir):
+    """Statistics come from the train samples only."""
+    expr = views.expression(spark, sf_dir).select("sample_id", "gene", "value")
+    return _rounded(expression.zscore(expr, expression.gene_stats(expr.where("sample_id % 5 != 0"))).select("sample_id", "gene", "value"), "value")
+
+
+@query("p18_log1p", f"WITH {E} SELECT sample_id, gene, round(ln(1 + value), 6) AS value FROM expr")
+def log1p(spark, sf_dir):
+    return _rounded(expression.log1p_aligned(views.expression(spark, sf_dir).select("sample_id", "gene", "value")), "value", digits=6)
+
+
+@query("p20_inverse_zscore", f"WITH {E} SELECT sample_id, gene, round(pred, 5) AS pred, round(target, 5) AS target FROM expr")
+def inverse_zscore(spark, sf_dir):
+    scores = views.expression(spark, sf_dir).select("sample_id", "gene", "pred", "target")
+    stats = expression.gene_stats(scores.withColumnRenamed("target", "value"))
+    there = scores.join(stats, "gene").select("sample_id", "gene", *[((F.col(c) - F.col("mean")) / F.col("std")).alias(c) for c in ("pred", "target")])
+    return _rounded(expression.inverse_zscore(there, stats).select("sample_id", "gene", "pred", "target"), "pred", "target", digits=5)
+
+
+@query("p21_w13_per_million", f"WITH {E} SELECT sample_id, gene, round(pred / (sum(pred) OVER (PARTITION BY sample_id) + 1e-8) * 1e6, 2) AS train, round(pred / greatest(sum(pred) OVER (PARTITION BY sample_id), 1e-8) * 1e6, 2) AS test FROM expr")
+def per_million(spark, sf_dir):
+    scores = views.expression(spark, sf_dir).select("sample_id", "gene", F.col("pred").alias("train"), F.col("pred").alias("test"))
+    return _rounded(expression.per_million(expression.per_million(scores, "train"), "test", mode="test"), "train", "test", digits=2)
+
+
+@query("j09_slide_expression", f"WITH {B}, e AS (SELECT left(barcode, 12) AS c, sum(value) AS value FROM barcodes WHERE col_pos % 3 <> 0 GROUP BY 1) SELECT b.col_pos, round(e.value, 4) AS value, round(coalesce(e.value, 0), 4) AS filled FROM barcodes b LEFT JOIN e ON e.c = left(b.barcode, 12)")
+def slide_expression(spark, sf_dir):
+    rows = views.barcodes(spark, sf_dir).withColumn("case", F.substring("barcode", 1, 12))
+    expr = rows.where("col_pos % 3 != 0").groupBy("case").agg(F.sum("value").alias("value"))
+    slides = rows.select("col_pos", "case")
+    both = expression.slide_expression(slides, expr).join(expression.slide_expression(slides, expr, True).select("col_pos", F.col("value").alias("filled")), "col_pos")
+    return _rounded(both.select("col_pos", "value", "filled"), "value", "filled")
+
+
+@query("j10_valid_slides", f"WITH {B} SELECT col_pos FROM barcodes WHERE left(barcode, 12) IN (SELECT left(barcode, 12) FROM barcodes WHERE col_pos % 3 = 1)")
+def valid_slides(spark, sf_dir):
+    rows = views.barcodes(spark, sf_dir).withColumn("case", F.substring("barcode", 1, 12))
+    return expression.valid_slides(rows, rows.where("col_pos % 3 = 1")).select("col_pos")
+
+
+@query("j11_match_barcodes", f"WITH {B}, p AS (SELECT DISTINCT CASE WHEN col_pos % 2 = 0 THEN left(barcode, 12) ELSE left(barcode, 16) || '-01' END AS patient_id FROM barcodes WHERE col_pos % 3 <> 0), t AS (SELECT barcode, col_pos, unnest([0, 1, 2, 3]) AS choice, unnest([barcode, left(barcode, 16) || '-01', left(barcode, 16), left(barcode, 12)]) AS patient_id FROM barcodes), f AS (SELECT barcode, col_pos, arg_min(patient_id, choice) AS patient_id FROM t WHERE patient_id IN (SELECT patient_id FROM p) GROUP BY ALL) SELECT patient_id, arg_max(barcode, col_pos) AS barcode, max(col_pos) AS col_pos FROM f GROUP BY 1")
+def match_barcodes(spark, sf_dir):
+    rows = views.barcodes(spark, sf_dir).select("barcode", "col_pos")
+    code = F.when(F.col("col_pos") % 2 == 0, F.substring("barcode", 1, 12)).otherwise(F.concat(F.substring("barcode", 1, 16), F.lit("-01")))
+    return expression.match_barcodes(rows, rows.where("col_pos % 3 != 0").select(code.alias("patient_id")))
+
+
+@query("j13_map_genes", f"WITH {GENES_SQL}, m AS (SELECT p_brand AS symbol, 'ENSG' || lpad(max(p_partkey)::VARCHAR, 11, '0') AS ens_id FROM part WHERE p_brand LIKE '%1%' GROUP BY 1) SELECT pos, symbol, ens_id FROM genes JOIN m USING (symbol)")
+def map_genes(spark, sf_dir):
+    known = table(spark, sf_dir, "part").where("p_brand like '%1%'").groupBy(F.col("p_brand").alias("symbol")).agg(F.concat(F.lit("ENSG"), F.lpad(F.max("p_partkey").cast("string"), 11, "0")).alias("ens_id"))
+    return expression.map_genes(_genes(spark, sf_dir), known)
+
+
+ALIGN_SQL = f"WITH {E}, {GENES_SQL}, sub AS (SELECT * FROM expr WHERE gene LIKE '%2%' AND sample_id % 3 <> 0), grid AS (SELECT DISTINCT sample_id FROM sub) SELECT g.sample_id, pos, symbol AS gene, round(coalesce(value, 0), 4) AS value, symbol IN (SELECT gene FROM sub) AS available FROM (grid g CROSS JOIN genes) LEFT JOIN sub s ON s.sample_id = g.sample_id AND s.gene = symbol"
+
+
+@query("j14_align_genes", ALIGN_SQL)
+def align_genes(spark, sf_dir):
+    expr = views.expression(spark, sf_dir).select("sample_id", "gene", "value").where("gene like '%2%' and sample_id % 3 != 0")
+    return _rounded(expression.align_genes(expr, _genes(spark, sf_dir)), "value")
+
+
+@query("j14_align_genes_any_case", ALIGN_SQL)
+def align_genes_any_case(spark, sf_dir):
+    expr = views.expression(spark, sf_dir).select("sample_id", F.upper("gene").alias("gene"), "value").where("gene like '%2%' and sample_id % 3 != 0")
+    return _rounded(expression.align_genes(expr, _genes(spark, sf_dir), ignore_case=True), "value")
+
+
+@query("j14_gene_vectors", f"WITH {E} SELECT sample_id, (SELECT count(DISTINCT p_brand) FROM part) AS width, round(sum(value), 2) AS total FROM expr GROUP BY 1")
+def gene_vectors(spark, sf_dir):
+    aligned = expression.align_genes(views.expression(spark, sf_dir).select("sample_id", "gene", "value"), _genes(spark, sf_dir))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v)
+    return expression.gene_vectors(aligned).select("sample_id", F.size("vector").cast("long").alias("width"), R(total, 2).alias("total"))
+
+
+@query("j16_align_barcodes", "WITH m AS (SELECT vec_id AS barcode, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings) SELECT barcode AS cell_id, r AS matrix_row, 'by barcode' AS kind FROM m WHERE barcode % 2 = 0 UNION ALL SELECT barcode + 1000000, r, 'by position' FROM m")
+def align_barcodes(spark, sf_dir):
+    matrix, _ = ordering.number_rows(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("barcode")), "barcode")
+    cells = matrix.select(F.col("barcode").alias("cell_id"), "row_idx")
+    known = expression.align_barcodes(cells.where("cell_id % 2 = 0"), matrix).select("cell_id", "matrix_row", F.lit("by barcode").alias("kind"))
+    strange = expression.align_barcodes(cells.withColumn("cell_id", F.col("cell_id") + 1000000), matrix)
+    return known.unionByName(strange.select("cell_id", "matrix_row", F.lit("by position").alias("kind")))
+
+
+@query("j17_a32_spot_inputs", f"WITH {C}, {views.SPOTS_SQL}, g AS (SELECT DISTINCT cell_id - cell_id % 10 AS spot_idx FROM cells WHERE cell_id % 30 = 1), f AS (SELECT cell_id - cell_id % 10 AS spot_idx, count(*) AS num_cells FROM cells WHERE cell_id % 20 BETWEEN 1 AND 9 GROUP BY 1) SELECT spot_idx, g.spot_idx IS NOT NULL AS has_graph, f.spot_idx IS NOT NULL AS has_features, coalesce(num_cells, 0) AS num_cells, CASE WHEN g.spot_idx IS NOT NULL THEN 'graph' WHEN f.spot_idx IS NOT NULL THEN 'features' ELSE 'zero' END AS tier FROM spots LEFT JOIN g USING (spot_idx) LEFT JOIN f USING (spot_idx)")
+def spot_inputs(spark, sf_dir):
+    rows = views.cells(spark, sf_dir).withColumn("spot_idx", F.col("cell_id") - F.col("cell_id") % 10)
+    found = expression.spot_inputs(views.spots(spark, sf_dir).select("spot_idx"), rows.where("cell_id % 30 = 1"), rows.where("cell_id % 20 between 1 and 9"))
+    return found.select("spot_idx", "has_graph", "has_features", "num_cells", "tier")
+
+
+@query("j18_with_siblings", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0")
+def with_siblings(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("tile"), F.col("p_partkey").cast("string")).alias("stem"))
+    return quality.with_siblings(rows, rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 3 = 0")).select("p_partkey")
+
+
+@query("j19_u03_pending", "SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0")
+def pending(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey")
+    return quality.pending(rows, rows.where("p_partkey % 4 = 0"), "p_partkey")
+
+
+@query("j20_all_pairs", "SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_nationkey = 3 AND b.s_nationkey = 3")
+def all_pairs(spark, sf_dir):
+    return metrics.all_pairs(table(spark, sf_dir, "supplier").where("s_nationkey = 3"), "s_suppkey")
+
+
+@query("j22_w04_kfold_roles", "WITH f AS (SELECT s_suppkey AS sample_id, (ntile(10) OVER (ORDER BY s_suppkey) - 1)::INTEGER AS fold FROM supplier) SELECT k.fold, f.sample_id, CASE WHEN f.fold = k.fold THEN 'test' ELSE 'train' END AS role FROM f CROSS JOIN (SELECT DISTINCT fold FROM f) k")
+def kfold_roles(spark, sf_dir):
+    return ordering.fold_roles(ordering.k_folds(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id")), "sample_id"))
+
+
+@query("j23_count_agreement", "WITH e AS (SELECT l_suppkey % 37 AS sample_id, count(*) AS expected FROM lineitem WHERE l_suppkey % 37 < 30 GROUP BY 1), a AS (SELECT l_suppkey % 37 AS sample_id, count(*) AS actual FROM lineitem WHERE l_suppkey % 37 > 5 AND l_linenumber > l_suppkey % 3 GROUP BY 1) SELECT coalesce(e.sample_id, a.sample_id) AS sample_id, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(expected, 0) = coalesce(actual, 0) AS agree FROM e FULL JOIN a ON e.sample_id = a.sample_id")
+def count_agreement(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 37).alias("sample_id"), "l_linenumber", "l_suppkey")
+    return quality.count_agreement(rows.where("sample_id < 30"), rows.where("sample_id > 5 and l_linenumber > l_suppkey % 3"))
+
+
+@query("a11_split_summary", f"WITH {C}, s AS (SELECT slide, count(*) AS cells, slide % 4 AS tiles FROM cells GROUP BY 1) SELECT CASE WHEN slide % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS slides, count(*) FILTER (cells > 65) AS with_graph, count(*) FILTER (cells <= 65) AS without_graph, count(DISTINCT slide % 60) AS patients, round(avg(cells), 4) AS mean_cells, round(avg(tiles), 4) AS mean_tiles FROM s GROUP BY 1")
+def split_summary(spark, sf_dir):
+    slides = views.cells(spark, sf_dir).groupBy("slide").agg(F.count("*").alias("cells"))
+    slides = slides.withColumns({"split": F.when(F.col("slide") % 5 == 0, "test").otherwise("train"), "has_graph": F.col("cells") > 65, "case": F.col("slide") % 60, "tiles": F.col("slide") % 4})
+    return _rounded(graphs.split_summary(slides), "mean_cells", "mean_tiles")
+
+
+@query("a12_overall_metrics", f"WITH {E} SELECT round(avg((pred - target) * (pred - target)), 2) AS mse, round(corr(pred, target), 6) AS pearson, count(*) AS n FROM expr")
+def overall_metrics(spark, sf_dir):
+    return metrics.overall(views.expression(spark, sf_dir)).select(R("mse", 2).alias("mse"), R("pearson", 6).alias("pearson"), "n")
+
+
+@query("a13_per_gene_metrics", f"WITH {E} SELECT gene, round(avg((pred - target) * (pred - target)), 2) AS mse, round(CASE WHEN var_pop(pred) > 1e-8 AND var_pop(target) > 1e-8 THEN corr(pred, target) END, 6) AS pearson FROM expr GROUP BY 1")
+def per_gene_metrics(spark, sf_dir):
+    return metrics.per_group(views.expression(spark, sf_dir), "gene").select("gene", R("mse", 2).alias("mse"), R("pearson", 6).alias("pearson"))
+
+
+@query("a13_per_spot_metrics", f"WITH {E} SELECT sample_id, round(avg((pred - target) * (pred - target)), 2) AS mse, round(CASE WHEN var_pop(pred) > 1e-8 AND var_pop(target) > 1e-8 THEN corr(pred, target) END, 6) AS pearson FROM expr GROUP BY 1")
+def per_spot_metrics(spark, sf_dir):
+    return metrics.per_group(views.expression(spark, sf_dir), "sample_id").select("sample_id", R("mse", 2).alias("mse"), R("pearson", 6).alias("pearson"))
+
+
+@query("a14_mean_pairwise_pearson", f"WITH {E}, p AS (SELECT a.sample_id AS i, b.sample_id AS j, corr(a.value, b.value) AS r FROM expr a JOIN expr b ON a.gene = b.gene AND a.sample_id < b.sample_id GROUP BY ALL) SELECT round(avg(r), 6) AS mean_pearson, (SELECT count(DISTINCT sample_id) FROM expr) AS samples FROM p".replace("FROM expr)", "FROM full_expr)").replace("p AS (", "full_expr AS (SELECT sample_id FROM expr GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT p_brand) FROM part)), p AS (").replace("FROM expr a JOIN expr b ON", "FROM (SELECT * FROM expr WHERE sample_id IN (SELECT sample_id FROM full_expr)) a JOIN (SELECT * FROM expr WHERE sample_id IN (SELECT sample_id FROM full_expr)) b ON"))
+def mean_pairwise_pearson(spark, sf_dir):
+    expr = views.expression(spark, sf_dir).select("sample_id", "gene", "value")
+    genes = table(spark, sf_dir, "part").select("p_brand").distinct().count()
+    whole = expr.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == genes)
+    return metrics.mean_pairwise_pearson(expr.join(whole.select("sample_id"), "sample_id", "left_semi")).select(R("mean_pearson", 6).alias("mean_pearson"), "samples")
+
+
+@query("a15_sample_pearson", f"WITH {E} SELECT sample_id, round(corr(pred, target), 6) AS pearson FROM expr GROUP BY 1")
+def sample_pearson(spark, sf_dir):
+    return _rounded(metrics.sample_pearson(views.expression(spark, sf_dir)), "pearson", digits=6)
+
+
+JS_SQL = "CASE WHEN {a} > 0 THEN {a} * ln(({a} + 1e-12) / ({m} + 1e-12)) ELSE 0 END"
+JS_SUM = "round((sum(" + JS_SQL.format(a="p", m="((p + q) / 2)") + ") + sum(" + JS_SQL.format(a="q", m="((p + q) / 2)") + ")) / 2, 8) AS js"
+
+
+@query("a16_js_divergence", f"WITH {E}, s AS (SELECT sample_id, pred / (sum(pred) OVER w + 1e-12) AS p, target / (sum(target) OVER w + 1e-12) AS q FROM expr WINDOW w AS (PARTITION BY sample_id)) SELECT sample_id, {JS_SUM} FROM s GROUP BY 1")
+def js_divergence(spark, sf_dir):
+    return _rounded(metrics.js_divergence(views.expression(spark, sf_dir)), "js", digits=8)
+
+
+@query("a17_pairwise_js", f"WITH {E}, c AS (SELECT sample_id, gene, greatest(value, 0) AS v FROM expr WHERE sample_id % 5 = 0), s AS (SELECT sample_id, gene, v / (sum(v) OVER (PARTITION BY sample_id) + 1e-12) AS p FROM c), j AS (SELECT a.sample_id AS one, b.sample_id AS two, a.p, b.p AS q FROM s a JOIN s b ON a.gene = b.gene AND a.sample_id < b.sample_id) SELECT one, two, {JS_SUM} FROM j GROUP BY ALL")
+def pairwise_js(spark, sf_dir):
+    return _rounded(metrics.pairwise_js(views.expression(spark, sf_dir).where("sample_id % 5 = 0")), "js", digits=8)
+
+
+@query("a18_metric_summary", f"WITH {E}, g AS (SELECT gene, avg((pred - target) * (pred - target)) AS mse, corr(pred, target) AS pearson FROM expr GROUP BY 1), l AS (SELECT 'mse' AS name, mse AS v FROM g UNION ALL SELECT 'pearson', pearson FROM g) SELECT name, round(avg(v), 2) AS mean, round(median(v), 2) AS median, round(stddev_pop(v), 2) AS std, round(min(v), 2) AS min, round(max(v), 2) AS max FROM l GROUP BY 1")
+def metric_summary(spark, sf_dir):
+    by_gene = metrics.per_group(views.expression(spark, sf_dir), "gene")
+    return _rounded(metrics.summary(by_gene, "mse", "pearson"), "mean", "median", "std", "min", "max", digits=2)
+
+
+@query("a19_pearson_p_value")
+def pearson_p_value(spark, sf_dir):
+    """Correlation over all values with its two-sided p value."""
+    return _rounded(metrics.overall_with_p(views.expression(spark, sf_dir)), "mse", "pearson", digits=6)
+
+
+@query("a21_feature_violations", f"WITH {C}, n AS (SELECT slide, count(*) AS n, bool_or(cell_id % 500 = 3) AS bad FROM cells GROUP BY 1), p AS (SELECT slide, unnest([CASE WHEN slide % 10 = 0 THEN 'row count' END, CASE WHEN bad THEN 'not finite' END]) AS problem FROM n) SELECT slide, problem FROM p WHERE problem IS NOT NULL UNION ALL SELECT -1, 'empty'")
+def feature_violations(spark, sf_dir):
+    rows = views.cells(spark, sf_dir)
+    vector = F.array(F.col("x").cast("double"), F.when(F.col("cell_id") % 500 == 3, float("nan")).otherwise(F.col("y").cast("double")))
+    counts = rows.groupBy("slide").agg((F.count("*") + F.when(F.col("slide") % 10 == 0, 1).otherwise(0)).alias("expected"))
+    nobody = counts.limit(1).select(F.lit(-1).cast("long").alias("slide"), F.lit(5).cast("long").alias("expected"))
+    return quality.feature_violations(rows.select("slide", vector.alias("features")), counts.unionByName(nobody)).where("problem != 'few rows'")
+
+
+@query("a22_dimension_stats", "WITH v AS (SELECT unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim::INTEGER AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM v GROUP BY 1")
+def dimension_stats(spark, sf_dir):
+    return _rounded(quality.dimension_stats(views.features(spark, sf_dir)).drop("nan", "inf"), "mean", "std", "min", "max", digits=6)
+
+
+@query("a22_spread_summary", "WITH v AS (SELECT unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT dim, stddev_pop(v) AS std FROM v GROUP BY 1) SELECT (SELECT count(*) FROM s) AS dims, (SELECT count(*) FILTER (std < 1e-8) FROM s) AS flat_dims, (SELECT round(quantile_cont(std, 0.5), 6) FROM s) AS median_std, round(var_pop(v), 6) AS total_variance FROM v")
+def spread_summary(spark, sf_dir):
+    stats = quality.spread_summary(quality.dimension_stats(views.features(spark, sf_dir)))
+    return stats.select("dims", "flat_dims", R(F.get("std_percentiles", F.lit(4)), 6).alias("median_std"), R("total_variance", 6).alias("total_variance"))
+
+
+@query("a23_unique_ratio")
+def unique_ratio(spark, sf_dir):
+    """Share of distinct rows among 2000 in hash order."""
+    return quality.unique_ratio(views.features(spark, sf_dir), "cell_id")
+
+
+@query("a31_correlation_histogram", f"WITH {E}, g AS (SELECT sample_id, corr(pred, target) AS r FROM expr GROUP BY 1), e AS (SELECT *, min(r) OVER () AS a, max(r) OVER () AS b FROM g) SELECT least(29, floor((r - a) / ((b - a) / 30)))::INTEGER AS bin, count(*) AS n FROM e GROUP BY 1")
+def correlation_histogram(spark, sf_dir):
+    return metrics.histogram(metrics.sample_pearson(views.expression(spark, sf_dir)), "pearson").select("bin", "n")
+
+
+@query("a34_softmax_pool", f"WITH {C}, w AS (SELECT slide, cell_id % 5 AS gene, x::DOUBLE AS value, exp(y / 10000.0::DOUBLE - max(y / 10000.0::DOUBLE) OVER (PARTITION BY slide, cell_id % 5)) AS w FROM cells) SELECT slide, gene, round(sum(w * value) / sum(w), 4) AS pooled FROM w GROUP BY ALL")
+def softmax_pool(spark, sf_dir):
+    rows = views.cells(spark, sf_dir).select("slide", (F.col("cell_id") % 5).alias("gene"), F.col("x").cast("double").alias("value"), (F.col("y") / 10000.0).alias("score"))
+    return _rounded(graphs.softmax_pool(rows, "slide", "gene"), "pooled")
+
+
+EPOCHS_SQL = "epochs AS (SELECT (o_custkey % 4)::INTEGER AS fold, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY date_trunc('month', o_orderdate))::INTEGER AS epoch, round(sum(o_totalprice), 2) AS loss FROM orders GROUP BY o_custkey % 4, date_trunc('month', o_orderdate))"
+
+
+def _epochs(spark, sf_dir):
+    month = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 4).cast("int").alias("fold"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.sum("o_totalprice"), 2).alias("loss"))
+    return month.withColumn("epoch", F.row_number().over(Window.partitionBy("fold").orderBy("m"))).drop("m")
+
+
+@query("a35_fold_best", f"WITH {EPOCHS_SQL} SELECT fold, max(loss) AS best_loss, max(epoch) AS best_epoch FROM epochs GROUP BY 1")
+def fold_best(spark, sf_dir):
+    return metrics.fold_best(_epochs(spark, sf_dir), "loss", "epoch")
+
+
+@query("a36_first_genes", f"WITH {E}, p AS (SELECT *, dense_rank() OVER (ORDER BY gene) - 1 AS gene_pos FROM expr) SELECT sample_id, gene, round(value, 4) AS value FROM p WHERE gene_pos < 10")
+def first_genes(spark, sf_dir):
+    listed = _genes(spark, sf_dir).select(F.col("symbol").alias("gene"), F.col("pos").alias("gene_pos"))
+    rows = views.expression(spark, sf_dir).select("sample_id", "gene", "value").join(listed, "gene")
+    return _rounded(expression.first_genes(rows, 10).select("sample_id", "gene", "value"), "value")
+
+
+@query("a37_feature_width", "SELECT len(embedding)::INTEGER AS width, count(*) AS cells FROM embeddings GROUP BY 1")
+def feature_width(spark, sf_dir):
+    return views.features(spark, sf_dir).groupBy(F.size("features").alias("width")).agg(F.count("*").alias("cells"))
+
+
+@query("a38_ingest_report", f"WITH {C}, s AS (SELECT slide, count(*) AS cells, slide % 9 <> 0 AS ok FROM cells GROUP BY 1) SELECT count(*) AS samples, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) * 100.0 / count(*), 4)::DOUBLE AS success_rate, (sum(cells) FILTER (ok))::BIGINT AS cells, floor((sum(cells) FILTER (ok))::DOUBLE / count(*) FILTER (ok))::BIGINT AS mean_cells FROM s")
+def ingest_report(spark, sf_dir):
+    status = views.cells(spark, sf_dir).groupBy("slide").agg(F.count("*").alias("cells")).withColumn("status", F.when(F.col("slide") % 9 != 0, "completed").otherwise("failed"))
+    return _rounded(quality.ingest_report(status), "success_rate")
+
+
+@query("w05_leave_one_out", "SELECT s_suppkey AS sample_id, (row_number() OVER (ORDER BY s_suppkey) - 1)::INTEGER AS fold FROM supplier")
+def leave_one_out(spark, sf_dir):
+    return ordering.leave_one_out(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id")), "sample_id")
+
+
+@query("w06_fixed_folds", "WITH p AS (SELECT s_suppkey AS sample_id, s_suppkey % 3 AS fold FROM supplier WHERE s_nationkey < 5) SELECT k.fold, p.sample_id, CASE WHEN p.fold = k.fold THEN 'test' ELSE 'train' END AS role FROM p CROSS JOIN (SELECT DISTINCT fold FROM p) k")
+def fixed_folds(spark, sf_dir):
+    samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"), "s_nationkey")
+    plan = samples.where("s_nationkey < 5").select("sample_id", (F.col("sample_id") % 3).alias("fold"))
+    return ordering.fixed_folds(samples, plan)
+
+
+@query("w07_split_80_20")
+def split_80_20(spark, sf_dir):
+    """Slides dealt four to one; all rows of a slide fall on one side."""
+    return ordering.split_rows(views.cells(spark, sf_dir).select("slide").distinct(), "slide")
+
+
+@query("w09_ordered_distinct", "SELECT user_id AS value, min(event_id) AS position FROM events GROUP BY 1")
+def ordered_distinct(spark, sf_dir):
+    return ordering.ordered_distinct(table(spark, sf_dir, "events").select(F.col("user_id").alias("value"), F.col("event_id").alias("position")), "value", "position")
+
+
+@query("w10_early_stop", f"WITH RECURSIVE {EPOCHS_SQL}, s AS (SELECT fold, 0 AS epoch, CAST('inf' AS DOUBLE) AS best, NULL::INTEGER AS best_epoch, 0 AS waited, NULL::INTEGER AS stop FROM epochs GROUP BY fold UNION ALL SELECT s.fold, e.epoch, CASE WHEN e.loss < s.best - 500 THEN e.loss ELSE s.best END, CASE WHEN e.loss < s.best - 500 THEN e.epoch ELSE s.best_epoch END, CASE WHEN e.loss < s.best - 500 THEN 0 WHEN e.epoch >= 5 THEN s.waited + 1 ELSE s.waited END, CASE WHEN e.loss >= s.best - 500 AND e.epoch >= 5 AND s.waited + 1 >= 12 THEN e.epoch END FROM s JOIN epochs e ON e.fold = s.fold AND e.epoch = s.epoch + 1 WHERE s.stop IS NULL) SELECT fold, arg_max(best_epoch, epoch) AS best_epoch, arg_max(best, epoch) AS best, max(stop) AS stop_epoch FROM s GROUP BY 1")
+def early_stop(spark, sf_dir):
+    return metrics.early_stop(_epochs(spark, sf_dir), "fold", "loss", patience=12, min_delta=500.0, warmup=5)
+
+
+@query("w14_epoch_log", f"WITH {EPOCHS_SQL} SELECT fold, epoch, loss, CASE WHEN epoch <= 40 THEN loss / 2 END AS half FROM epochs")
+def epoch_log(spark, sf_dir):
+    ordered = lambda c, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("epoch", c)))), lambda s: s["v"])
+    every, some = F.col("loss").alias("v"), (F.col("loss") / 2).alias("v")
+    history = _epochs(spark, sf_dir).groupBy("fold").agg(ordered(every, F.lit(True)).alias("loss"), ordered(some, F.col("epoch") <= 40).alias("half"))
+    return metrics.epoch_log(history, "fold", "loss", "half")
+
+
+@query("l03_top_genes", f"WITH {E}, r AS (SELECT sample_id, gene, pred, row_number() OVER (PARTITION BY sample_id ORDER BY pred DESC, gene) AS rank FROM expr) SELECT sample_id, rank::INTEGER AS rank, gene, round(pred, 4) AS pred FROM r WHERE rank <= 5")
+def top_genes(spark, sf_dir):
+    return _rounded(metrics.top_genes(views.expression(spark, sf_dir)), "pred")
+
+
+@query("bulk_model_ready", f"WITH {C}, {views.TILES_SQL}, e AS (SELECT a.slide, count(*) AS edges FROM cells a JOIN cells b ON a.slide = b.slide WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) BETWEEN 1 AND 25000000 GROUP BY 1), c AS (SELECT slide, count(*) AS cells FROM cells GROUP BY 1), t AS (SELECT slide, count(*) AS tiles FROM tiles GROUP BY 1), x AS (SELECT l_suppkey AS slide, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1) SELECT slide, cells, tiles, coalesce(edges, 0) AS edges, total FROM c JOIN t USING (slide) LEFT JOIN e USING (slide) JOIN x USING (slide)")
+def bulk_model_ready(spark, sf_dir):
+    """The bulk chain end to end: cells, tiles and edges of every slide that has expression, with its total."""
+    expr = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("case")).agg(R(F.sum("l_extendedprice"), 2).alias("value"))
+    cells = views.cells(spark, sf_dir)
+    meta = graphs.graph_metadata(cells, views.tiles(spark, sf_dir), spatial.radius_graph(cells, 5000.0))
+    slides = expression.valid_slides(meta.withColumn("case", F.col("slide")), expr)
+    return expression.slide_expression(slides, expr).select("slide", "cells", "tiles", "edges", F.col("value").alias("total"))

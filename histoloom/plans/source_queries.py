@@ -1 +1,273 @@
-"""Queries over sources, sinks, sets and limits."""
+"""Queries over sources, sinks, sets, limits and incremental ingestion; each writes data derived from the tables and reads it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from histoloom.operators import expression, quality
+from histoloom.plans import column_queries, views
+from histoloom.plans.registry import query
+from histoloom.session import shared_path, table
+from histoloom.sources import readers, writers
+from histoloom.streaming.incremental import ingest_slides
+
+C, B, E = views.CELLS_SQL, views.BARCODES_SQL, views.EXPR_SQL
+
+
+def _text(df, column: str, path: str, order: str) -> None:
+    """One text file in a given order; lists of genes and the like are small by nature."""
+    df.orderBy(order).coalesce(1).select(F.col(column).alias("value")).write.text(path)
+
+
+def _put(spark, path: str) -> None:
+    """A file of one byte, through the file system that holds the folder."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop_path)
+    out.write(0)
+    out.close()
+
+
+def _cell_store(spark, sf_dir) -> str:
+    folder = shared_path(spark, "cell-features")
+    writers.write_cell_features(views.cells(spark, sf_dir).where("slide < 40"), folder)
+    return folder
+
+
+@query("s01_l01_first_feature_files", f"WITH {C}, s AS (SELECT DISTINCT slide FROM cells WHERE slide < 40 ORDER BY 'slide=' || slide::VARCHAR || '/' LIMIT 3) SELECT cell_id, x, y FROM cells WHERE slide IN (SELECT slide FROM s)")
+def first_feature_files(spark, sf_dir):
+    return readers.read_cell_features(spark, _cell_store(spark, sf_dir), limit=3).select("cell_id", "x", "y")
+
+
+@query("s02_read_expression_wide", "SELECT left(p_type || '-' || p_brand || '-123456', 15) AS gene_id, 'm' || l_linenumber::VARCHAR AS sample_id, round(sum(l_quantity), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def read_expression_wide(spark, sf_dir):
+    path = shared_path(spark, "matrix.csv")
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    samples = [f"m{k}" for k in range(1, 8)]
+    rows = rows.withColumn("sample", F.concat(F.lit("m"), F.col("l_linenumber").cast("string")))
+    wide = rows.groupBy(F.concat_ws("-", "p_type", "p_brand", F.lit("123456")).alias("gene")).pivot("sample", samples).agg(F.round(F.sum("l_quantity"), 2))
+    wide.write.option("header", True).csv(path)
+    return readers.read_expression_wide(spark, path).where("value is not null").groupBy("gene_id", "sample_id").agg(F.round(F.sum("value"), 2).alias("value"))
+
+
+@query("s03_read_gene_map", "SELECT p_brand AS symbol, 'ENSG' || max(p_partkey)::VARCHAR AS ens_id FROM part GROUP BY 1")
+def read_gene_map(spark, sf_dir):
+    path = shared_path(spark, "map.tsv")
+    line = F.when(F.col("p_partkey") % 9 == 8, F.lit("no tab here")).otherwise(F.concat(F.lit("ENSG"), F.col("p_partkey").cast("string"), F.lit("\t"), F.col("p_brand"), F.lit("\trest")))
+    parts = table(spark, sf_dir, "part")
+    last = parts.groupBy("p_brand").agg(F.max("p_partkey").alias("last"))
+    kept = parts.join(last, "p_brand").withColumn("line", F.when(F.col("p_partkey") == F.col("last"), F.concat(F.lit("ENSG"), F.col("p_partkey").cast("string"), F.lit("\t"), F.col("p_brand"))).otherwise(line))
+    _text(kept, "line", path, "p_partkey")
+    return readers.read_gene_map(spark, path)
+
+
+@query("s04_read_gene_list", "SELECT p_name || ' ' || p_partkey::VARCHAR AS symbol FROM part WHERE p_partkey % 5 > 1")
+def read_gene_list(spark, sf_dir):
+    path = shared_path(spark, "genes.txt")
+    key = F.col("p_partkey")
+    name = F.concat_ws(" ", "p_name", key.cast("string"))
+    line = F.when(key % 5 == 0, F.concat(F.lit("Total genes "), name)).when(key % 5 == 1, F.lit("   ")).otherwise(F.concat(F.lit("  "), name, F.lit(" ")))
+    _text(table(spark, sf_dir, "part").withColumn("line", line), "line", path, "p_partkey")
+    return readers.read_gene_list(spark, path).select("symbol")
+
+
+@query("s05_read_sample_metadata", "SELECT s_name AS tissue, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS pixel, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 55.0 END, -1.0)::DOUBLE AS diameter FROM supplier")
+def read_sample_metadata(spark, sf_dir):
+    path = shared_path(spark, "metadata")
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("tissue"), F.when(key % 2 == 0, F.col("s_acctbal")).alias("pixel_size_um_estimated"), F.when(key % 3 == 0, 55.0).alias("spot_diameter"), F.lit("x").alias("extra"))
+    rows.repartition(200).write.option("maxRecordsPerFile", 1).json(path)
+    return readers.read_sample_metadata(spark, path).select("tissue", F.col("pixel_size_um_estimated").alias("pixel"), F.coalesce("spot_diameter", F.lit(-1.0)).alias("diameter"))
+
+
+@query("s06_read_nuclei", f"WITH {C} SELECT CASE WHEN cell_id % 3 = 0 THEN 'n' || cell_id::VARCHAR ELSE cell_id::VARCHAR END AS cell, CASE WHEN cell_id % 3 <> 0 THEN cell_id::INTEGER END AS cell_id, x::DOUBLE AS x, (y + 0.5)::DOUBLE AS y, 3 AS points FROM cells WHERE slide < 20 AND cell_id % 5 <> 0")
+def read_nuclei(spark, sf_dir):
+    path = shared_path(spark, "nuclei")
+    cells = views.cells(spark, sf_dir).where("slide < 20")
+    name = F.when(F.col("cell_id") % 3 == 0, F.concat(F.lit("n"), F.col("cell_id").cast("string"))).otherwise(F.col("cell_id").cast("string"))
+    point = lambda a, b: F.array((F.col("x") + a).cast("int"), (F.col("y") + b).cast("int"))
+    contour = F.when(F.col("cell_id") % 5 != 0, F.array(point(0, 0), point(4, 0), point(0, 4))).otherwise(F.array().cast("array<array<int>>"))
+    nucleus = F.struct(name.alias("k"), F.struct(F.array(F.col("x").cast("double"), F.col("y") + 0.5).alias("centroid"), contour.alias("contour")).alias("v"))
+    cells.groupBy("slide").agg(F.map_from_entries(F.collect_list(nucleus)).alias("nuc")).select("nuc").repartition(20).write.option("maxRecordsPerFile", 1).json(path)
+    return readers.read_nuclei(spark, path).select("cell", "cell_id", "x", "y", F.size("contour").alias("points"))
+
+
+@query("s07_single_cell_export", f"WITH {C} SELECT cell_id, x::DOUBLE AS x_centroid, coalesce(label, -1) AS cluster, 3 AS vertices, FALSE AS has_more FROM cells LEFT JOIN embeddings ON vec_id = cell_id WHERE slide < 20")
+def single_cell_export(spark, sf_dir):
+    folder = shared_path(spark, "export")
+    cells = views.cells(spark, sf_dir).where("slide < 20")
+    areas = [F.lit(50.0).alias("cell_area"), F.lit(20.0).alias("nucleus_area")]
+    cells.select("cell_id", F.col("x").cast("double").alias("x_centroid"), F.col("y").cast("double").alias("y_centroid"), *areas).write.option("header", True).csv(f"{folder}/cells.csv")
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0.0, 0.0), (5.0, 0.0), (0.0, 5.0))]))
+    cells.select("cell_id", "x", "y", corners.alias("c")).select("cell_id", (F.col("x") + F.col("c.a")).alias("vertex_x"), (F.col("y") + F.col("c.b")).alias("vertex_y")).write.option("header", True).csv(f"{folder}/cell_boundaries.csv")
+    table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("Barcode"), F.col("label").alias("Cluster")).write.option("header", True).csv(f"{folder}/clusters.csv")
+    export = readers.read_cells_export(spark, folder)
+    clusters = export["clusters"].select(F.col("Barcode").alias("cell_id"), "Cluster")
+    vertices = export["boundaries"].groupBy("cell_id").agg(F.count("*").cast("int").alias("vertices"))
+    joined = export["cells"].join(clusters, "cell_id", "left").join(vertices, "cell_id")
+    missing = readers.read_cells_export(spark, f"{folder}/nowhere")
+    return joined.select("cell_id", "x_centroid", F.coalesce("Cluster", F.lit(-1)).alias("cluster"), "vertices", F.lit(any(x is not None for x in missing.values())).alias("has_more"))
+
+
+@query("s08_read_segmentation", f"WITH {C} SELECT cell_id, octet_length(encode(x::VARCHAR || ',' || y::VARCHAR))::INTEGER AS bytes FROM cells WHERE slide < 20")
+def read_segmentation(spark, sf_dir):
+    path = shared_path(spark, "segmentation")
+    geometry = F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string")).cast("binary")
+    views.cells(spark, sf_dir).where("slide < 20").select("cell_id", geometry.alias("geometry")).write.parquet(path)
+    return readers.read_segmentation(spark, path).select("cell_id", F.octet_length("geometry").alias("bytes"))
+
+
+@query("s09_list_tiles", f"WITH {C}, {views.TILES_SQL} SELECT 's' || slide::VARCHAR AS slide, tile_id::INTEGER AS tile_id, x1::INTEGER AS x1, y2::INTEGER AS y2 FROM tiles WHERE slide < 6")
+def list_tiles(spark, sf_dir):
+    """Empty image files with tile names, put there by tasks' partition folders, and others that are no tiles."""
+    folder = shared_path(spark, "tiles")
+    tiles = views.tiles(spark, sf_dir).where("slide < 6")
+    number = lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("s"), number("slide"), F.lit("_patch_tile_"), number("tile_id"), F.lit("_level0_"), number("x1"), F.lit("-"), number("y1"), F.lit("-"), number("x2"), F.lit("-"), number("y2"))
+    for row in tiles.select(F.concat(name, F.lit(".png")).alias("n")).toLocalIterator():  # a few dozen names
+        _put(spark, f"{folder}/in/{row['n']}")
+    _put(spark, f"{folder}/overview.png")
+    return readers.list_tiles(spark, folder).select("slide", "tile_id", "x1", "y2")
+
+
+@query("s10_read_manifest", "SELECT p_partkey::VARCHAR AS id, p_name || '.svs' AS filename, p_size::BIGINT * 1000000000 AS size, 'released' AS state FROM part")
+def read_manifest(spark, sf_dir):
+    path = shared_path(spark, "manifest.tsv")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat("p_name", F.lit(".svs")).alias("filename"), F.md5(F.col("p_name").cast("binary")).alias("md5"), (F.col("p_size").cast("long") * 1000000000).alias("size"), F.lit("released").alias("state"))
+    parts.write.option("header", True).option("sep", "\t").csv(path)
+    return readers.read_manifest(spark, path).select("id", "filename", "size", "state")
+
+
+@query("s11_csr_to_long", "WITH r AS (SELECT *, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INTEGER AS r FROM supplier) SELECT s_nationkey AS matrix, r AS row, c AS \"column\", s_acctbal + c AS value FROM r, (SELECT unnest([0, 1, 2])::INTEGER AS c) WHERE s_suppkey % 4 > c")
+def csr_to_long(spark, sf_dir):
+    """A small CSR matrix for each nation: supplier k has its first (k mod 4) columns filled."""
+    width = (F.col("s_suppkey") % 4).cast("int")
+    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", width.alias("w"), "s_acctbal")))
+    grouped = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("matrix")).agg(rows.alias("r"))
+    filled = lambda r: F.filter(F.array(*[F.struct(F.lit(c).alias("c"), (r["s_acctbal"] + c).alias("v"), (r["w"] > c).alias("there")) for c in range(3)]), lambda z: z["there"])
+    cells = F.flatten(F.transform("r", filled))
+    ends = F.aggregate("r", F.array(F.lit(0)), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + r["w"])))
+    arrays = grouped.select("matrix", F.transform(cells, lambda z: z["v"]).alias("data"), F.transform(cells, lambda z: z["c"]).alias("indices"), ends.cast("array<bigint>").alias("indptr"))
+    return expression.csr_to_long(arrays, "matrix").select("matrix", "row", "column", "value")
+
+
+@query("s12_s13_l05_u04_discover_samples", f"WITH {C} SELECT slide::VARCHAR AS sample_id, slide % 2 = 0 AS complete FROM cells WHERE slide < 12 GROUP BY slide")
+def discover_samples(spark, sf_dir):
+    folder = shared_path(spark, "samples")
+    for row in views.cells(spark, sf_dir).where("slide < 12").select("slide").distinct().toLocalIterator():  # a dozen names
+        _put(spark, f"{folder}/data/{row['slide']}.h5ad")
+        _put(spark, f"{folder}/seg/{row['slide']}.parquet")
+        if row["slide"] % 2 == 0:
+            _put(spark, f"{folder}/img/{row['slide']}{'_norm' if row['slide'] % 4 else ''}.tif")
+    complete = readers.complete_inputs(readers.list_files(spark, f"{folder}/seg", "*.parquet"), readers.list_files(spark, f"{folder}/img", "*.tif"))
+    wanted = readers.discover_samples(spark, f"{folder}/data", wanted=[str(k) for k in (*range(11, -1, -1), 3, 999)]).where("found")
+    every = readers.discover_samples(spark, f"{folder}/data").select("sample_id").join(wanted.select("sample_id"), "sample_id", "left_semi")
+    return every.join(complete.withColumn("complete", F.lit(True)), "sample_id", "left").select("sample_id", F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
+@query("s14_write_cell_features", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, sum(x)::BIGINT AS x FROM cells WHERE slide < 40 GROUP BY 1")
+def write_cell_features(spark, sf_dir):
+    folder = _cell_store(spark, sf_dir)
+    writers.write_cell_features(views.cells(spark, sf_dir).where("slide between 5 and 9"), folder)  # again: only these slides are replaced
+    return spark.read.parquet(folder).groupBy("slide").agg(F.count("*").alias("cells"), F.sum("x").alias("x"))
+
+
+@query("s15_write_graphs", f"WITH {C} SELECT 'nodes' AS name, count(*) AS n FROM cells UNION ALL SELECT 'graph_meta', count(DISTINCT slide) FROM cells")
+def write_graphs(spark, sf_dir):
+    folder = shared_path(spark, "graphs")
+    cells = views.cells(spark, sf_dir)
+    writers.write_graphs(folder, nodes=cells, graph_meta=cells.groupBy("slide").agg(F.count("*").alias("cells")))
+    count = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count("nodes").unionByName(count("graph_meta"))
+
+
+@query("s16_write_metrics", f"WITH {E} SELECT sample_id, round(sum(pred), 4) AS pred, round(sum(pred), 4) AS again FROM expr GROUP BY 1")
+def write_metrics(spark, sf_dir):
+    folder = shared_path(spark, "metrics")
+    rows = views.expression(spark, sf_dir).groupBy("sample_id").agg(F.round(F.sum("pred"), 4).alias("pred"))
+    writers.write_metrics(rows, folder)
+    schema = "sample_id bigint, pred double"
+    again = spark.read.schema(schema).option("header", True).csv(f"{folder}/csv").withColumnRenamed("pred", "again")
+    return spark.read.schema(schema).json(f"{folder}/json").join(again, "sample_id")
+
+
+@query("s17_norm_stats", f"WITH {E} SELECT gene, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM expr GROUP BY 1")
+def norm_stats(spark, sf_dir):
+    path = shared_path(spark, "stats")
+    writers.write_norm_stats(expression.gene_stats(views.expression(spark, sf_dir)), path)
+    return _rounded(writers.read_norm_stats(spark, path), "mean", "std")
+
+
+def _rounded(df, *columns: str):
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
+@query("s18_selected_files", f"WITH {column_queries.NAMES_SQL} SELECT CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, regexp_extract(name, '([^/]*)$', 1) AS value FROM names")
+def selected_files(spark, sf_dir):
+    folder = shared_path(spark, "selected")
+    files = column_queries.names(spark, sf_dir).select(F.col("name").alias("path"), F.when(F.col("event_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    writers.write_selected_files(files, folder)
+    return spark.read.text(folder).select("split", "value")
+
+
+@query("s19_u02_progress", "SELECT user_id AS sample_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")
+def progress(spark, sf_dir):
+    folder = shared_path(spark, "progress")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("status"), F.col("event_id").alias("ts"))
+    for part in (log.where("ts % 2 = 0"), log.where("ts % 2 = 1")):
+        writers.append_progress(part, folder)
+    return quality.latest_status(spark.read.parquet(folder))
+
+
+@query("p32_missing_columns", "SELECT 'embedding' AS missing, count(*) AS rows FROM events UNION ALL SELECT 'label', count(*) FROM events")
+def missing_columns(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    names = quality.missing_columns(events, ["event_id", "embedding", "value", "label"])
+    return events.agg(F.count("*").alias("rows")).select(F.explode(F.array(*map(F.lit, names))).alias("missing"), "rows")
+
+
+@query("l02_l04_first_items", "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 10")
+def first_items(spark, sf_dir):
+    """A limit that is the feature: the first ten items by position."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(10)
+
+
+@query("l06_least_difference", "SELECT p_brand, arg_min(p_partkey, (abs(p_size - 25), p_partkey)) AS level FROM part GROUP BY 1")
+def least_difference(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_size") - 25), "p_partkey")).alias("level"))
+
+
+@query("u01_union_of_splits", f"WITH {C} SELECT cell_id, CASE WHEN slide % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM cells")
+def union_of_splits(spark, sf_dir):
+    cells = views.cells(spark, sf_dir)
+    side = lambda condition, name: cells.where(condition).select("cell_id", F.lit(name).alias("split"))
+    return side("slide % 5 != 0", "train").unionByName(side("slide % 5 = 0", "test"))
+
+
+@query("u02_union_of_completed", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
+def union_of_completed(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return ids.where("id % 2 = 0").union(ids.where("id % 3 = 0")).distinct()
+
+
+@query("u05_distinct", "SELECT DISTINCT user_id, event_type FROM events")
+def distinct(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+
+
+@query("u06_accumulated_batches", f"WITH {C} SELECT slide, count(*) AS cells FROM cells GROUP BY 1")
+def accumulated_batches(spark, sf_dir):
+    folder = shared_path(spark, "batches")
+    for k in range(3):
+        views.cells(spark, sf_dir).where(F.col("slide") % 3 == k).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).groupBy("slide").agg(F.count("*").alias("cells"))
+
+
+@query("r01_incremental_slides", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, max(cell_id) AS last FROM cells WHERE slide < 30 GROUP BY 1")
+def incremental_slides(spark, sf_dir):
+    source, sink, checkpoint = (shared_path(spark, f"stream-{x}") for x in ("source", "sink", "checkpoint"))
+    cells = views.cells(spark, sf_dir)
+    for low, high in ((0, 14), (15, 29)):
+        cells.where(f"slide between {low} and {high}").repartition(2, "slide").write.mode("append").parquet(source)
+        ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()
+    ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()  # nothing new
+    return spark.read.parquet(sink).groupBy("slide").agg(F.count("*").alias("cells"), F.max("cell_id").alias("last"))
