@@ -38,14 +38,16 @@ def leave_one_out(samples: DataFrame, order: Column | str) -> DataFrame:
     return number_rows(samples, order, name="fold")[0].withColumn("fold", F.col("fold").cast("int"))
 
 
-def fold_roles(folds: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """(fold, sample, role): every sample in every fold, as test in its own and as train in the others; a single sample is both.
+def fold_roles(folds: DataFrame, sample: str = "sample_id", single_is_both: bool = True) -> DataFrame:
+    """(fold, sample, role): every sample in every fold, as test in its own and as train in the others; a single sample is both, if asked for.
 
     The product of folds and samples is the result itself; the fold list is tiny.
     """
     every = folds.select("fold").distinct()
     rows = F.broadcast(every).crossJoin(folds.select(F.col("fold").alias("_own"), sample))
     roles = rows.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
+    if not single_is_both:
+        return roles
     single = folds.agg(F.count("*").alias("n")).where("n = 1").select(F.lit("train").alias("role"))
     return roles.unionByName(folds.select("fold", sample).crossJoin(F.broadcast(single)))
 
@@ -53,7 +55,7 @@ def fold_roles(folds: DataFrame, sample: str = "sample_id") -> DataFrame:
 def fixed_folds(samples: DataFrame, plan: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Roles by a given plan (fold, sample): test where the plan names the sample, train where another fold does. Folds without train samples are left out."""
     named = plan.join(samples.select(sample).distinct(), sample, "left_semi")
-    roles = fold_roles(named, sample)
+    roles = fold_roles(named, sample, single_is_both=False)
     trained = roles.where("role = 'train'").select("fold").distinct()
     return roles.join(trained, "fold", "left_semi")
 

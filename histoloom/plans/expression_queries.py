@@ -303,7 +303,7 @@ def leave_one_out(spark, sf_dir):
     return ordering.leave_one_out(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id")), "sample_id")
 
 
-@query("w06_fixed_folds", "WITH p AS (SELECT s_suppkey AS sample_id, s_suppkey % 3 AS fold FROM supplier WHERE s_nationkey < 5) SELECT k.fold, p.sample_id, CASE WHEN p.fold = k.fold THEN 'test' ELSE 'train' END AS role FROM p CROSS JOIN (SELECT DISTINCT fold FROM p) k")
+@query("w06_fixed_folds", "WITH p AS (SELECT s_suppkey AS sample_id, s_suppkey % 3 AS fold FROM supplier WHERE s_nationkey < 5) SELECT k.fold, p.sample_id, CASE WHEN p.fold = k.fold THEN 'test' ELSE 'train' END AS role FROM p CROSS JOIN (SELECT DISTINCT fold FROM p) k WHERE EXISTS (SELECT 1 FROM p o WHERE o.fold <> k.fold)")
 def fixed_folds(spark, sf_dir):
     samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"), "s_nationkey")
     plan = samples.where("s_nationkey < 5").select("sample_id", (F.col("sample_id") % 3).alias("fold"))
