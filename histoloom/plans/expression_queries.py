@@ -49,7 +49,7 @@ def sum_to_slide(spark, sf_dir):
     return views.cells(spark, sf_dir).groupBy("slide", (F.col("cell_id") % 7).alias("gene")).agg(F.sum("x").alias("pred"))
 
 
-@query("a06_p19_zscore", f"WITH {E}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr WHERE sample_id % 5 <> 0 GROUP BY 1) SELECT sample_id, gene, round((value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 4) + 0.0::DOUBLE AS value FROM expr JOIN s USING (gene)")
+@query("p19_zscore", f"WITH {E}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr WHERE sample_id % 5 <> 0 GROUP BY 1) SELECT sample_id, gene, round((value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 4) + 0.0::DOUBLE AS value FROM expr JOIN s USING (gene)")
 def zscore(spark, sf_dir):
     """Statistics come from the train samples only."""
     expr = views.expression(spark, sf_dir).select("sample_id", "gene", "value")

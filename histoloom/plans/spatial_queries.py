@@ -22,7 +22,7 @@ def _tiled(spark, sf_dir):
     return rows.withColumn("tile", F.concat_ws("-", F.col("slide").cast("string"), F.col("tile_id").cast("string")))
 
 
-@query("graph_metadata", f"WITH {views.CELLS_SQL}, {views.TILES_SQL}, {EDGES_SQL}, c AS (SELECT slide, count(*) AS cells FROM cells GROUP BY 1), t AS (SELECT slide, count(*) AS tiles FROM tiles GROUP BY 1), e AS (SELECT slide, count(*) AS edges, count(DISTINCT src) AS connected_cells FROM edges GROUP BY 1) SELECT slide, cells, coalesce(tiles, 0) AS tiles, coalesce(edges, 0) AS edges, coalesce(connected_cells, 0) AS connected_cells, coalesce(edges, 0) > 0 AS has_graph FROM c LEFT JOIN t USING (slide) LEFT JOIN e USING (slide)")
+@query("a06_graph_metadata", f"WITH {views.CELLS_SQL}, {views.TILES_SQL}, {EDGES_SQL}, c AS (SELECT slide, count(*) AS cells FROM cells GROUP BY 1), t AS (SELECT slide, count(*) AS tiles FROM tiles GROUP BY 1), e AS (SELECT slide, count(*) AS edges, count(DISTINCT src) AS connected_cells FROM edges GROUP BY 1) SELECT slide, cells, coalesce(tiles, 0) AS tiles, coalesce(edges, 0) AS edges, coalesce(connected_cells, 0) AS connected_cells, coalesce(edges, 0) > 0 AS has_graph FROM c LEFT JOIN t USING (slide) LEFT JOIN e USING (slide)")
 def graph_metadata(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     return graphs.graph_metadata(cells, views.tiles(spark, sf_dir), spatial.radius_graph(cells, RADIUS))
