@@ -16,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that pass between the JVM and Python at once; texts may be long, and memory follows from this.
+ROWS_AT_ONCE = 1000
+
+
 def importable_on_workers(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package.
+    """Let Python workers started from now on import this package, and bound the batches that they get.
 
     On a cluster the package is shipped with ``--py-files``; this covers local sessions that were started elsewhere.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
@@ -54,9 +59,24 @@ def posix_path(uri: str) -> str:
     return uri
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+_STAGED: list[str] = []
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    keep: release_staged leaves the table in place.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    if not keep:
+        _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Remove all tables staged so far. Only for callers that have written what they made from them."""
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
