@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from histoloom.llm.components import connected_components
 from histoloom.session import stage
+from histoloom.llm.workers import tidied
 
 SEED = 42
 #: Fingerprints that a leaf holds on average, as far as a block has values enough.
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, words_each: int = 4) -> DataFrame:
             bits = np.fromiter((fingerprint(t.as_py() or "", words_each) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, bits long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(hashed), "doc_id long, bits long")
 
 
 @functools.lru_cache(maxsize=64)
@@ -132,7 +133,7 @@ def route(distinct: DataFrame, n: int, threshold: int, blocks: int) -> DataFrame
                     ["tree", "leaf", "home", "bits"],
                 )
 
-    return distinct.select("bits").mapInArrow(dealt, "tree int, leaf int, home boolean, bits long")
+    return distinct.select("bits").mapInArrow(tidied(dealt), "tree int, leaf int, home boolean, bits long")
 
 
 def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,7 +255,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5,
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    known = stage(rows.mapInArrow(hashed, "doc_id long, text_hash long, bits long"), "word-sets")
+    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, text_hash long, bits long"), "word-sets")
     groups = connected_components(links(known, threshold, blocks)).select(F.col("node").alias("bits"), "root")
     texts = known.select("text_hash", "bits").distinct().join(groups, "bits", "left").select("text_hash", F.coalesce("root", "bits").alias("group"))
     crowded = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
@@ -271,7 +272,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5,
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("group"), batch.column("chunks"), column], ["text_hash", "group", "chunks", "set"])
 
     found = rows.join(sought, rows["text_hash"] == F.col("_hash")).select("text_hash", "group", "chunks", "text")
-    sets = found.mapInArrow(cut, "text_hash long, group long, chunks int, set array<long>").dropDuplicates(["text_hash"])
+    sets = found.mapInArrow(tidied(cut), "text_hash long, group long, chunks int, set array<long>").dropDuplicates(["text_hash"])
     sets = stage(sets, "shingle-sets")
     dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("text_hash"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("group", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "text_hash", "set")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.session import stage
+from histoloom.llm.workers import tidied
 
 #: Where a unit ends.
 ENDS = {"line": r"\n", "paragraph": r"\n\s*\n", "sentence": r"\n|[.!?]+(?=\s)"}
@@ -68,7 +69,7 @@ def units(docs: DataFrame, unit: str = "sentence", unit_words: int = 4) -> DataF
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, position int, start int, end int, words int, high long, low long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), "doc_id long, position int, start int, end int, words int, high long, low long")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", unit_words: int = 4, min_words: int = 25) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from histoloom.llm.tokens import binary_column, encoded
 from histoloom.session import posix_path
+from histoloom.llm.workers import tidied
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 #: Ids that a reading task holds at once.
@@ -66,7 +67,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("_at"))
     ordered = ordered.repartitionByRange("doc_id", "_at").sortWithinPartitions("doc_id", "_at").drop("_at")
-    parts = ordered.mapInArrow(write, "part long, docs long, ids long")
+    parts = ordered.mapInArrow(tidied(write), "part long, docs long, ids long")
     parts.write.parquet(f"{folder}/parts")
 
 
@@ -98,4 +99,4 @@ def read_token_files(spark: SparkSession, folder: str, id_bits: int = 16) -> Dat
 
     parts = token_parts(spark, folder)
     tasks = max(1, parts.count())  # a task for each part
-    return parts.repartitionByRange(tasks, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.repartitionByRange(tasks, "part").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids binary")
