@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histoloom.session import stage
+from histoloom.operators.ordering import number_rows
 
 ROUNDS = 8
 
@@ -54,26 +54,9 @@ def permute(numbers: np.ndarray, n: int, seed: int, inverse: bool = False) -> np
     return out.astype(np.int64)
 
 
-def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """(df with row_number from 0 in the order of the columns, number of rows).
-
-    Range-partitioned and sorted, with the row's source position as last key so that no group of equal keys has to share a
-    task; partition bases come from the prefix sums of partition counts.
-    """
-    placed = df.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order, "_at").drop("_at")
-    placed = placed.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    placed = stage(placed, "numbered")
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("_part", base.alias("_base"))
-    n = placed.count()
-    numbered = placed.join(F.broadcast(bases), "_part") if n else placed.withColumn("_base", F.lit(0).cast("long"))
-    return numbered.withColumn("row_number", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base"), n
-
-
 def shard_rows(df: DataFrame, shards: int, seed: int, order: list[str]) -> DataFrame:
     """df with row_number, shard and slot (gapless from 0 in each shard)."""
-    numbered, n = number_rows(df, order)
+    numbered, n = number_rows(df, *order, name="row_number")
 
     @F.pandas_udf("long")
     def place(numbers: pd.Series) -> pd.Series:

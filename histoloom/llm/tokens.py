@@ -1,13 +1,14 @@
 """Batch tokenising for Spark tasks: the tokenizers library sees each distinct word of a batch once.
 
 Both vocabularies cut a text before every space or line feed that follows a visible character, whatever surrounds it, so
-the ids of a text are those of its words, joined. A text with any other white space, or with runs of it, goes to the
-library whole.
+the ids of a text are those of its words, joined. Where a vocabulary has neither capitals nor white space, words are looked
+up in lower case. A text with any other white space, or with runs of it, goes to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -19,9 +20,9 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Text bytes that are tokenised at once; bounds a task's memory.
-BATCH_BYTES = 8 << 20
-#: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
+BATCH_BYTES = 4 << 20
+#: Distinct words whose ids a worker keeps, and how many of the first ones (the frequent ones) outlast the others.
+CACHED_WORDS, LASTING_WORDS = 400_000, 150_000
 #: White space other than single spaces and line feeds between words.
 _OTHER_SPACE = r"[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
@@ -31,14 +32,19 @@ class Encoder:
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
+        upper, lower = self._whole([" A", "a"])
+        self._folds = upper.tolist() == lower.tolist()
         self._index: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
 
+    def _forget(self, lasting: int) -> None:
+        """Keep the first `lasting` words only."""
+        self._index = dict(itertools.islice(self._index.items(), lasting))
+        self._starts, self._lengths = self._starts[:lasting].copy(), self._lengths[:lasting].copy()
+        self._ids = self._ids[: int(self._lengths.sum())].copy()
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, np.uint32) for x in found]
@@ -46,7 +52,7 @@ class Encoder:
     def _words(self, words: list[str]) -> np.ndarray:
         """Positions of the words in the kept table; unknown ones are tokenised first."""
         if len(self._index) + len(words) > CACHED_WORDS:
-            self._forget()
+            self._forget(LASTING_WORDS)
         new = [w for w in words if w not in self._index]
         if new:
             ids = self._whole(new)
@@ -61,25 +67,32 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each text). texts: strings without nulls."""
         texts = texts.cast(pa.large_string())
-        odd = pc.or_(pc.match_substring_regex(texts, _OTHER_SPACE), pc.match_substring_regex(texts, "[ \n][ \n]|^[ \n]")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring_regex(texts, _OTHER_SPACE), pc.match_substring_regex(texts, "[ \n][ \n]|^[ \n]"))
+        if self._folds:  # a special token has a spelling of its own
+            odd = pc.or_(odd, pc.match_substring(texts, "<|"))
+        odd = odd.to_numpy(zero_copy_only=False)
         counts = np.zeros(len(texts), np.int64)
         plain = texts.filter(pa.array(~odd))
         if not len(plain):
             flat = np.zeros(0, np.uint32)
         else:
-            # A line feed starts a word just as a space does; its word keeps it, the others get their space back below.
-            parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+            if self._folds:
+                parts = pc.split_pattern(pc.ascii_lower(pc.replace_substring(plain, "\n", " ")), " ")
+            else:
+                # A line feed starts a word just as a space does; its word keeps it, the others get their space back below.
+                parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
             offsets = np.asarray(parts.offsets)
-            firsts = offsets[:-1]
             coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
             words = coded.dictionary.to_pylist()
-            codes = self._words([w if w.startswith("\n") else " " + w for w in words])[np.asarray(coded.indices)]
-            opening = coded.indices.take(pa.array(firsts - offsets[0]))
-            opening_words = pc.unique(opening)
-            at = self._words([words[k] for k in opening_words.to_pylist()])
-            if len(self._index) < len(words):  # the table was emptied in between
-                return self._slowly(texts)
-            codes[firsts - offsets[0]] = at[np.asarray(pc.index_in(opening, opening_words))]
+            if self._folds:
+                codes = self._words(words)[np.asarray(coded.indices)]
+            else:
+                firsts = offsets[:-1] - offsets[0]
+                opening = coded.indices.take(pa.array(firsts))
+                opening_words = pc.unique(opening)
+                at = self._words([w if w.startswith("\n") else " " + w for w in words] + [words[k] for k in opening_words.to_pylist()])
+                codes = at[np.asarray(coded.indices)]
+                codes[firsts] = at[len(words) + np.asarray(pc.index_in(opening, opening_words))]
             lengths = self._lengths[codes]
             ends = np.cumsum(lengths)
             flat = self._ids[np.repeat(self._starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
@@ -93,10 +106,6 @@ class Encoder:
             flat = np.concatenate(pieces)
         return flat, counts
 
-    def _slowly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        pieces = self._whole(texts.to_pylist())
-        return np.concatenate([*pieces, np.zeros(0, np.uint32)]), np.fromiter(map(len, pieces), np.int64, len(pieces))
-
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
