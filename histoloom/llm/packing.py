@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from histoloom.llm.tokens import binary_column, encoded
 from histoloom.session import stage
+from histoloom.llm.workers import tidied
 
 #: Pieces, and for each window left open a row without a document: its fill stands in `length`.
 PLACED = "doc_id long, start long, length long, doc_tokens long, window_id long, offset long, left_open boolean, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("window_id", pa.int64()), ("offset", pa.int64()), ("left_open", pa.bool_()), ("ids", pa.binary())])
 #: Leftover windows that one task merges.
 MERGED_AT_ONCE = 4096
+#: Leftover windows (24 bytes each) up to which their new places are broadcast to the pieces; beyond it the join shuffles.
+BROADCAST_WINDOWS = 500_000
 
 
 class OpenWindows:
@@ -83,7 +86,7 @@ def place_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity:
         none, n = pa.nulls(len(left), pa.int64()), len(left)
         yield pa.RecordBatch.from_arrays([none, none, pa.array([f for _, f in left], pa.int64()), none, pa.array([w for w, _ in left], pa.int64()), none, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(place, PLACED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(place), PLACED)
 
 
 def merge_leftovers(placed: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -93,7 +96,8 @@ def merge_leftovers(placed: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     placed = stage(placed, "placed")
     left = placed.where("left_open").select("window_id", "length")
-    groups = left.count() // MERGED_AT_ONCE + 1
+    windows = left.count()
+    groups = windows // MERGED_AT_ONCE + 1
 
     def merge(windows: pd.DataFrame) -> pd.DataFrame:
         opened = OpenWindows(capacity, len(windows), 0)
@@ -102,6 +106,8 @@ def merge_leftovers(placed: DataFrame, capacity: int = 1024) -> DataFrame:
         return pd.DataFrame({"window_id": windows["window_id"].to_numpy(), "sequence_id": np.array([s for s, _ in spots], np.int64), "base": np.array([b for _, b in spots], np.int64)})
 
     merged = left.withColumn("part", F.pmod(F.xxhash64("window_id"), F.lit(groups))).groupBy("part").applyInPandas(merge, "window_id long, sequence_id long, base long")
+    if windows <= BROADCAST_WINDOWS:
+        merged = F.broadcast(merged)
     pieces = placed.where("not left_open").drop("left_open")
     joined = pieces.join(merged, "window_id", "left")
     return joined.withColumns({"sequence_id": F.coalesce("sequence_id", "window_id"), "offset": F.col("offset") + F.coalesce("base", F.lit(0))}).drop("window_id", "base")

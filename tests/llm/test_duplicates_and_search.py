@@ -116,6 +116,45 @@ def test_repeated_spans(spark):
     assert substring_dedup.repeated_spans(df.where("false")).count() == 0
 
 
+def plain_spans(docs, unit_words, min_words):
+    """Spans by one pass over the rows in order: a dictionary of first occurrences, then runs."""
+    first, rows = {}, []
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        units, start = [], 0
+        for m in re.finditer(r"\n|[.!?]+(?=\s)", t or ""):
+            units.append((start, m.end()))
+            start = m.end()
+        if t and start < len(t):
+            units.append((start, len(t)))
+        marked = []
+        for a, b in units:
+            words = t[a:b].lower().split()
+            if len(words) >= unit_words:
+                key = " ".join(words)
+                marked.append((a, b, len(words), key in first, first.setdefault(key, d)))
+        run = []
+        for unit in [*marked, (0, 0, 0, False, None)]:
+            if unit[3]:
+                run.append(unit)
+            elif run:
+                if sum(u[2] for u in run) >= min_words:
+                    rows.append((d, run[0][0], run[-1][1], sum(u[2] for u in run), run[0][4]))
+                run = []
+    return sorted(rows)
+
+
+def test_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    stock = [" ".join(rng.choice(WORDS, rng.integers(1, 14)).tolist()).capitalize() + rng.choice([".", "!", "?", "..."]) for _ in range(60)]
+    docs = []
+    for k in range(120):
+        parts = rng.choice(stock, rng.integers(0, 12)).tolist()
+        docs.append((k, "".join(p + rng.choice([" ", "\n", " \n "]) for p in parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.span_start, r.span_end, r.words, r.kept_doc_id) for r in substring_dedup.repeated_spans(df, min_words=9).collect())
+    assert got == plain_spans(docs, 4, 9) and len(got) > 50
+
+
 def test_sentence_offsets_cover_the_text():
     for kind in substring_dedup.ENDS.values():
         for text in ("a. b! c\n\nd?", "...", "\n", "x", "é. 日本. "):

@@ -197,7 +197,7 @@ def test_pipeline_stages(spark):
     columns, before = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
     for name, function in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stage(function(spark, docs, SMALL), name)
+        docs = corpus_pipeline.stage(function(spark, docs, SMALL), name, keep=True)
         assert docs.columns == columns
         after = {r.doc_id for r in docs.select("doc_id").collect()}
         assert after <= before and (name != "line_dedup" or after == before)
@@ -215,5 +215,5 @@ def test_pipeline_takes_nulls_and_nothing(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 60000, "en", "s", 120000)], schema)
     for docs, least in ((odd, 1), (odd.where("false"), 0)):
         for name, function in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.stage(function(spark, docs, SMALL), name)
+            docs = corpus_pipeline.stage(function(spark, docs, SMALL), name, keep=True)
         assert docs.count() >= least
