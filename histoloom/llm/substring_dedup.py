@@ -5,6 +5,12 @@ documents; the occurrence that ranks first (doc_id, then position) is kept and t
 follow each other form a span; spans of `min_words` words or more are removed, at offsets of the original text. Units
 under `unit_words` words carry no evidence: they neither start nor break a span.
 
+repeated_passages adds to these spans every window of `min_words` words that stood before, wherever sentences begin and end.
+A window is looked at only where its least shingle of half as many words (a function of the window alone) occurs twice or
+more, so windows of text that stands once are not shuffled and none that repeats is lost. Windows that share one place of
+their least shingle are a run; equal runs hold the same windows, and only where different runs share a least shingle are
+single windows compared. A window that overlaps its own kept occurrence is no repeat.
+
 Defined cases: null and empty texts have no units; null doc_ids rank last and their spans carry null; repeated rows are
 occurrences like any other, so all but one lose their text; an empty table gives no rows; other columns are ignored.
 """
@@ -17,16 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histoloom.session import stage
+from histoloom.session import release_staged, stage, staged_so_far
 from histoloom.llm.workers import tidied
 
 #: Where a unit ends.
 ENDS = {"line": r"\n", "paragraph": r"\n\s*\n", "sentence": r"\n|[.!?]+(?=\s)"}
 _UNITS = pa.schema([("doc_id", pa.int64()), ("position", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
 BATCH_UNITS = 100_000
+_PIECES = pa.schema([("doc_id", pa.int64()), ("position", pa.int32()), ("window", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("word", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("digests", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_PIECES_SQL = "doc_id long, position int, window boolean, start int, end int, word int, words int, high long, low long, digests array<long>, starts array<int>, ends array<int>"
+#: Bits of the filter over repeated shingles: for each shingle, and at most. A full filter lets windows through that the grouping drops.
+FILTER_BITS, MOST_BITS = 32, 1 << 28
+#: Words that windows are sought in at a time, as far as documents are not longer, and distinct words whose hashes a task keeps.
+WINDOW_WORDS, KNOWN_WORDS = 200_000, 300_000
 
 
 def split_units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -86,6 +98,178 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", unit_words: int = 4,
     return spans.where(F.col("words") >= min_words).drop("row", "run")
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode())
+        return found
+
+
+def _rolled(words: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
+    n = max(0, len(words) - width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(factor) + words[k : k + n]
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        total = (total ^ (total >> np.uint64(shift))) * np.uint64(by)
+    return total ^ (total >> np.uint64(32))
+
+
+def _windows(words: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window inside one document: its first word, its least shingle and the place of that."""
+    width = (min_words + 1) // 2
+    each = min_words - width + 1
+    shingles = _rolled(words, width, 0x9E3779B97F4A7C15)
+    if len(shingles) < each:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.nonzero(owner[: len(words) - min_words + 1] == owner[min_words - 1 :])[0]
+    least, place = shingles[at], at.copy()
+    for k in range(1, each):
+        other = shingles[at + k]
+        less = other < least
+        least[less], place[less] = other[less], at[less] + k
+    return at, least, place
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], known: _WordHashes) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """(doc_ids, texts, hashes of their words, owner of each word), many words at a time."""
+    ids, texts, hashes, sizes = [], [], [], []
+
+    def out() -> tuple[list, list, np.ndarray, np.ndarray]:
+        return ids, texts, np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            text = text.as_py() or ""
+            before = len(hashes)
+            hashes.extend(map(known.__getitem__, text.lower().split()))
+            ids.append(doc_id), texts.append(text), sizes.append(len(hashes) - before)
+            if len(hashes) >= WINDOW_WORDS:
+                yield out()
+                ids, texts, hashes, sizes = [], [], [], []
+    if ids:
+        yield out()
+
+
+def repeated_shingles(docs: DataFrame, min_words: int) -> np.ndarray:
+    """A filter over the least shingles of windows that occur twice or more: bits by the shingle's low end, of bounded size."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, words, owner in _gathered(batches, _WordHashes()):
+            _, least, place = _windows(words, owner, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(least[np.unique(place, return_index=True)[1]].view(np.int64))], ["shingle"])
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), "shingle long")
+    found = stage(found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shingles")
+    bits = min(1 << 16, MOST_BITS)
+    n = found.count()
+    while bits < min(n * FILTER_BITS, MOST_BITS):
+        bits *= 2
+    place = F.shiftrightunsigned("shingle", 6).bitwiseAND(F.lit(bits // 64 - 1)).alias("place")
+    rows = found.groupBy(place).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def pieces(docs: DataFrame, likely: np.ndarray, unit: str, unit_words: int, min_words: int) -> DataFrame:
+    """Units with evidence, then the runs of windows whose least shingle the filter holds: doc_id, position among both, whether a run, start, end, first word, words, the digest's halves (a run's first is its shingle), and of each window of a run digest, start and end."""
+    ends = ENDS[unit]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, word_pattern, digest = re.compile(ends), re.compile(r"\S+"), xxhash.xxh3_128_digest
+        for ids, texts, words, owner in _gathered(batches, _WordHashes()):
+            at, least, place = _windows(words, owner, min_words)
+            passed = likely[((least >> np.uint64(6)) & np.uint64(len(likely) - 1)).astype(np.int64)] >> (least & np.uint64(63)) & np.uint64(1) == 1
+            at, least, place = at[passed], least[passed].view(np.int64), place[passed]
+            windows = _rolled(words, min_words, 0xD6E8FEB86659FD93)[at].view(np.int64) if len(at) else least
+            opens = np.nonzero(np.diff(place, prepend=-1))[0]  # where runs begin
+            firsts = np.searchsorted(owner, np.arange(len(ids) + 1))
+            runs = np.searchsorted(at[opens], firsts)
+            closes = np.append(opens[1:], len(at))
+            rows: list[tuple] = []
+            halves: list[bytes] = []
+            starts, finals = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+            for k, (doc_id, text) in enumerate(zip(ids, texts)):
+                word = position = 0
+                for start, end in split_units(text, pattern):
+                    unit_of = text[start:end].lower().split()
+                    if len(unit_of) >= unit_words:
+                        rows.append((doc_id, position, False, start, end, word, len(unit_of), -1))
+                        halves.append(digest(" ".join(unit_of).encode()))
+                        position += 1
+                    word += len(unit_of)
+                if runs[k] == runs[k + 1]:
+                    continue
+                some = slice(opens[runs[k]], closes[runs[k + 1] - 1])
+                spans = np.array([m.span() for m in word_pattern.finditer(text)], np.int32)
+                first = at[some] - firsts[k]
+                starts[some], finals[some] = spans[first, 0], spans[first + min_words - 1, 1]
+                for run in range(runs[k], runs[k + 1]):
+                    a, b = opens[run], closes[run]
+                    rows.append((doc_id, position, True, starts[a], finals[b - 1], at[a] - firsts[k], min_words + b - a - 1, run))
+                    halves.append(least[a].tobytes() + digest(windows[a:b].tobytes())[:8])
+                    position += 1
+            if not rows:
+                continue
+            run = np.array([r[-1] for r in rows])
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*(r[:-1] for r in rows)), _PIECES)]
+            both = np.frombuffer(b"".join(halves), "<i8").reshape(-1, 2)
+            sizes = np.where(run >= 0, (closes - opens)[run] if len(opens) else 0, 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (windows, starts, finals)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(both[:, 0]), pa.array(both[:, 1]), *lists], schema=_PIECES)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), _PIECES_SQL)
+
+
+def _islands(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """rows with the number `island` of the stretch of overlapping or touching intervals that each belongs to, by `row`."""
+    before = Window.partitionBy("row").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    to_here = Window.partitionBy("row").orderBy(start, end).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins: Column = F.coalesce(F.col(start) > F.max(end).over(before), F.lit(True))
+    return rows.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(to_here)).drop("begins")
+
+
+def repeated_passages(docs: DataFrame, unit: str = "sentence", unit_words: int = 4, min_words: int = 25) -> DataFrame:
+    """The spans of repeated_spans and every repeated window of `min_words` words, joined where they overlap or touch: doc_id, span_start, span_end, words (all in the span), kept_doc_id (holder of the first piece's kept occurrence)."""
+    staged = staged_so_far()
+    likely = repeated_shingles(docs, min_words)
+    found = stage(pieces(docs, likely, unit, unit_words, min_words).withColumn("at", F.monotonically_increasing_id()), "pieces").withColumn("row", F.col("at") - F.col("position"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "position", "word")
+    runs_of = found.where("window").select("high", "low").distinct()
+    grouped = stage(found.groupBy("high", "low").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "grouped")
+    # Least shingles of different runs: there the first occurrence of each window is sought among the kept runs.
+    mixed = stage(runs_of.groupBy("high").agg(F.count("*").alias("runs")).where("runs > 1").select("high"), "mixed")
+    single = found.where("window").join(mixed, "high").groupBy("high", "low").agg(F.min(rank).alias("kept"), F.first("digests").alias("digests"))
+    single = single.select("high", "low", "kept", F.posexplode("digests").alias("nth", "digest"))
+    single = single.withColumn("kept", F.col("kept").withField("word", F.col("kept.word") + F.col("nth")))
+    single = stage(single, "single-windows")
+    first = stage(single.groupBy("high", "digest").agg(F.min("kept").alias("first")), "first-windows")
+    first = stage(single.select("high", "low", "nth", "digest").join(first, ["high", "digest"]).groupBy("high", "low").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.word").alias("word")))).alias("firsts")), "firsts-of-runs")
+    whole = grouped.join(first.select("high", "low"), ["high", "low"], "left_anti")
+    repeated = stage(whole, "repeated")  # its own table, so that the join can split a digest that holds many rows
+    plain = found.drop("digests", "starts", "ends").join(repeated, ["high", "low"])
+    same_row, apart = F.col("row") == F.col("kept.row"), F.col("word") >= F.col("kept.word") + min_words
+    plain = plain.where(~same_row | F.when(F.col("window"), apart).otherwise(F.col("position") != F.col("kept.position")))
+    plain = plain.select("doc_id", "row", "position", "window", "start", "end", "word", "words", F.col("kept.doc_id").alias("kept_doc_id"))
+    each = found.where("window").join(first, ["high", "low"]).select("doc_id", "row", "position", "window", "word", F.explode(F.arrays_zip("starts", "ends", "firsts")).alias("w"))
+    each = each.select("doc_id", "row", "position", "window", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"), (F.col("word") + F.col("w.firsts.nth")).alias("word"), F.lit(min_words).alias("words"), F.col("w.firsts.doc_id").alias("kept_doc_id"), F.col("w.firsts.row").alias("_row"), F.col("w.firsts.word").alias("_word"))
+    each = each.where((F.col("row") != F.col("_row")) | (F.col("word") >= F.col("_word") + min_words)).drop("_row", "_word")
+    later = stage(plain.unionByName(each), "later-pieces", keep=True)
+    release_staged(docs.sparkSession, staged)  # of these tables only
+    bounds = [F.first("doc_id").alias("doc_id"), F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.min("word").alias("word"), F.max(F.col("word") + F.col("words")).alias("last"), F.min_by("kept_doc_id", "start").alias("kept_doc_id")]
+    runs = later.where("not window").withColumn("run", F.col("position") - F.row_number().over(Window.partitionBy("row").orderBy("position")))
+    by_unit = runs.groupBy("row", "run").agg(*bounds, F.sum("words").alias("words")).where(F.col("words") >= min_words).drop("run", "words")
+    by_window = _islands(later.where("window"), "start", "end").groupBy("row", "island").agg(*bounds).drop("island")
+    joined = _islands(by_unit.unionByName(by_window), "span_start", "span_end").groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("last") - F.min("word")).cast("long").alias("words"), F.min_by("kept_doc_id", "span_start").alias("kept_doc_id")
+    )
+    return joined.drop("row", "island")
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of text, and the kept stretches as (start, end) of the original text in `kept_spans`. doc_ids are unique here."""
     cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))

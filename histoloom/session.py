@@ -75,8 +75,13 @@ def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged(spark: SparkSession) -> None:
-    """Remove all tables staged so far. Only for callers that have written what they made from them."""
-    while _STAGED:
+def staged_so_far() -> int:
+    """How many staged tables wait for their release."""
+    return len(_STAGED)
+
+
+def release_staged(spark: SparkSession, since: int = 0) -> None:
+    """Remove all tables staged so far, or those after the first `since`. Only for callers that have written what they made from them."""
+    while len(_STAGED) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

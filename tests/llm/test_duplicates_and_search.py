@@ -155,6 +155,55 @@ def test_spans_equal_brute_force(spark):
     assert got == plain_spans(docs, 4, 9) and len(got) > 50
 
 
+def plain_passages(docs, unit_words, min_words):
+    """Characters that unit spans or repeated windows cover, by document; windows by a dictionary of first occurrences."""
+    covered = {d: set() for d, _ in docs}
+    for d, a, b, *_ in plain_spans(docs, unit_words, min_words):
+        covered[d].update(range(a, b))
+    first = {}
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        found = list(re.finditer(r"\S+", t))
+        for k in range(len(found) - min_words + 1):
+            key = " ".join(m[0].lower() for m in found[k : k + min_words])
+            kept = first.setdefault(key, (d, k))
+            if kept[0] != d or kept[1] + min_words <= k:
+                covered[d].update(range(found[k].start(), found[k + min_words - 1].end()))
+    return covered
+
+
+@pytest.mark.parametrize("filter_bits", [16, 0])
+def test_passages_across_sentences_equal_brute_force(spark, monkeypatch, filter_bits):
+    monkeypatch.setattr(substring_dedup, "WINDOW_WORDS", 150)
+    if not filter_bits:
+        monkeypatch.setattr(substring_dedup, "MOST_BITS", 64)  # a full filter loses nothing
+    rng = np.random.default_rng(11)
+    stock = rng.choice(WORDS, 60).tolist()
+    docs = [(0, "a b " * 40), (1, "The Same text " * 3), (2, "")]
+    for k in range(3, 60):
+        words = rng.choice(WORDS, rng.integers(0, 60)).tolist()
+        for _ in range(rng.integers(0, 3)):
+            a, at = rng.integers(0, 40), rng.integers(0, len(words) + 1)
+            words[at:at] = stock[a : a + rng.integers(5, 20)]
+        docs.append((k, "".join(w + rng.choice([" ", " ", " ", ". ", "\n", " \n "]) for w in words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {d: set() for d, _ in docs}
+    for r in substring_dedup.repeated_passages(df, min_words=9).collect():
+        assert not got[r.doc_id] & set(range(r.span_start, r.span_end)) and r.kept_doc_id <= r.doc_id
+        assert r.words == len(dict(docs)[r.doc_id][r.span_start : r.span_end].split())
+        got[r.doc_id].update(range(r.span_start, r.span_end))
+    assert got == plain_passages(docs, 4, 9) and sum(map(bool, got.values())) > 10
+
+
+def test_passage_that_begins_and_ends_inside_sentences(spark):
+    own = [[f"own{d}x{k}" for k in range(10)] for d in range(2)]
+    shared = [f"shared{k}" + ("." if k % 20 == 10 else "") for k in range(51)]
+    texts = [" ".join([*o[:5], *shared, *o[5:]]) + "." for o in own]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert [(r.doc_id, r.words, r.kept_doc_id, texts[1][r.span_start : r.span_end]) for r in rows] == [(1, 51, 0, " ".join(shared))]
+    assert substring_dedup.repeated_passages(df.where("false")).count() == 0
+
+
 def test_sentence_offsets_cover_the_text():
     for kind in substring_dedup.ENDS.values():
         for text in ("a. b! c\n\nd?", "...", "\n", "x", "é. 日本. "):
