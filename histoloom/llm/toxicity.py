@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -32,14 +33,16 @@ from histoloom.llm.workers import tidied
 SAMPLE_ROWS = 20_000
 #: Word beginnings that the classifier looks at, by their lengths, and how many it keeps.
 BEGINNINGS, FEATURES = (5, 6, 7, 8), 1024
-#: Longest disguised stretch; longer ones are keys and hashes.
+#: Signs, runs counted once, beyond which letters mixed with digits and not set apart are keys and hashes; also what restorations are kept of.
 LONGEST = 40
+#: Places of a stretch after which what all its readings begin with is put aside.
+SETTLED_EVERY = 64
 
 # What each sign can stand for.
 IMITATED = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"}
 # End of fixed values.
 _SIGN = "013457890@$!|+€"
-_ONE = "[a-zA-Z" + re.escape(_SIGN) + "]"
+_ONE = r"(?:[^\W\d_]|[" + re.escape(_SIGN) + "])"
 #: Letters set apart by spaces; a cheap look that tells whether a text has any; and what is disguised inside a stretch without spaces.
 APART = re.compile(rf"(?<![^\W_])(?:{_ONE}[ .\-_*]){{2,}}{_ONE}(?![^\W_])")
 _ANY_APART = re.compile(rf"(?<!\S){_ONE}(?: {_ONE}){{2}}(?!\S)")
@@ -52,6 +55,10 @@ DISGUISED = re.compile(
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[.\-_*" + re.escape(_SIGN) + "]")
 _ENDS = ".,;:?\"'()"
 _WORD = re.compile(r"[^\W\d_]+")
+#: The trigrams hold all other letters as one, so a stretch without any of these gives no evidence where its gaps are.
+_EVIDENCE = re.compile("[a-zA-Z" + re.escape(_SIGN) + "]")
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_MIXED = re.compile(r"(?=.*\d).*[^\W\d_]", re.DOTALL)
 _GAPS = " .-_*"
 _N = 28
 _CLASS = np.zeros(256, np.int32)
@@ -129,7 +136,12 @@ class Decoder:
 
     def _restore(self, stretch: str) -> str:
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*self.lattice(stretch), [(" ", 0.0)]]:
+        settled: list[str] = []
+        for place, options in enumerate([*self.lattice(stretch), [(" ", 0.0)]]):
+            if place % SETTLED_EVERY == SETTLED_EVERY - 1:
+                shared = os.path.commonprefix([text for _, text in states.values()])
+                settled.append(shared)
+                states = {at: (cost, text[len(shared) :]) for at, (cost, text) in states.items()}
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
                 for letters, extra in options:
@@ -142,10 +154,17 @@ class Decoder:
                     if (x, y) not in after or found < after[x, y]:
                         after[x, y] = found
             states = after
-        return min(states.values())[1][:-1]
+        return "".join(settled) + min(states.values())[1][:-1]
 
     def _put(self, match: re.Match) -> str:
-        return self.restore(match[0]) if len(match[0]) <= LONGEST else match[0]
+        stretch = match[0]
+        if not _EVIDENCE.search(stretch) and APART.fullmatch(stretch):
+            return stretch
+        if len(stretch) <= LONGEST:
+            return self.restore(stretch)
+        if not APART.fullmatch(stretch) and _MIXED.match(stretch) and len(_RUN.sub(r"\1", stretch)) > LONGEST:
+            return stretch
+        return self._restore(stretch)
 
     def joined(self, text: str) -> str:
         """The text with letters that stood apart put together."""

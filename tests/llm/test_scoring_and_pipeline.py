@@ -42,6 +42,22 @@ def test_plain_text_stays(decoder):
         assert decoder.restored(text) == text.lower()
 
 
+def test_restores_long_and_accented(decoder):
+    apart = " ".join("youareastupididiotandaloser")
+    assert len(apart) > toxicity.LONGEST and "stupid" in decoder.restored(apart) and "idiot" in decoder.restored(apart)
+    assert decoder.restored("You st" + "u" * 90 + "pid clown") == "you stupid clown"
+    assert "".join(decoder.joined("ein d é b i l da").split()) == "eindébilda" and " b i l" not in decoder.joined("ein d é b i l da")
+    assert decoder.restored("key " + "a3f9" * 30) == "key " + "a3f9" * 30
+
+
+def test_settled_beginnings_change_nothing(decoder, monkeypatch):
+    apart = ".".join("stupididiotclown" * 3) + ".1.d.1.0.t"
+    monkeypatch.setattr(toxicity, "SETTLED_EVERY", 10**9)
+    whole = decoder._restore(apart)
+    monkeypatch.setattr(toxicity, "SETTLED_EVERY", 3)
+    assert decoder._restore(apart) == whole and decoder.restored(apart) == whole
+
+
 def test_viterbi_is_least_cost(decoder):
     for written in ("1d10t", "l 0 s e r", "cl00wnn", "b00k"):
         best = None
