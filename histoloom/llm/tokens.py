@@ -1,8 +1,9 @@
 """Batch tokenising for Spark tasks: the tokenizers library sees each distinct word of a batch once.
 
-Both vocabularies cut a text before every space or line feed that follows a visible character, whatever surrounds it, so
-the ids of a text are those of its words, joined. Where a vocabulary has neither capitals nor white space, words are looked
-up in lower case. A text with any other white space, or with runs of it, goes to the library whole.
+Both vocabularies cut a text before every space or line feed that follows a visible character, and before every sentence
+mark that follows a letter, whatever surrounds them, so the ids of a text are those of its words and marks, joined. Where a
+vocabulary has neither capitals nor white space, words are looked up in lower case. New words go to the library many at a
+time, as one text. A text with any other white space, with runs of it, or with a special token's spelling goes there whole.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 #: Text bytes that are tokenised at once; bounds a task's memory.
 BATCH_BYTES = 4 << 20
 #: Distinct words whose ids a worker keeps, and how many of the first ones (the frequent ones) outlast the others.
-CACHED_WORDS, LASTING_WORDS = 400_000, 150_000
-#: White space other than single spaces and line feeds between words.
-_OTHER_SPACE = r"[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+CACHED_WORDS, LASTING_WORDS = 300_000, 120_000
+#: Words that the library gets as one text.
+TOGETHER = 500
+#: What parts words, and what opens a mark that stood right behind a letter; no text that is cut into words holds the latter.
+_SPECIAL, _CLOSE = "<|endoftext|>", "\x1f"
+#: White space other than single spaces and line feeds between words, and a letter that in lower case ends in none.
+_OTHER_SPACE = r"[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}\x{130}]"
 
 
 class Encoder:
@@ -34,6 +39,11 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         upper, lower = self._whole([" A", "a"])
         self._folds = upper.tolist() == lower.tolist()
+        self._parting = self._tokenizer.token_to_id(_SPECIAL)
+        self._spaced = np.zeros(self._tokenizer.get_vocab_size(), bool)  # ids that begin with a space
+        if not self._folds:
+            space = self._tokenizer.id_to_token(int(self._whole([" a"])[0][0]))[0]
+            self._spaced[[k for token, k in self._tokenizer.get_vocab().items() if token.startswith(space)]] = True
         self._index: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._starts = np.zeros(0, np.int64)
@@ -49,33 +59,43 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, np.uint32) for x in found]
 
+    def _together(self, words: list[str], parting: str) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids of each word). parting: stands between words; empty where each begins with a space, and its ids show that."""
+        flat = np.concatenate(self._whole([parting.join(["", *words[k : k + TOGETHER]]) for k in range(0, len(words), TOGETHER)]))
+        at = np.nonzero(flat == self._parting if parting else self._spaced[flat])[0]
+        lengths = np.diff(at, append=len(flat))
+        return (flat[flat != self._parting], lengths - 1) if parting else (flat, lengths)
+
     def _words(self, words: list[str]) -> np.ndarray:
         """Positions of the words in the kept table; unknown ones are tokenised first."""
         if len(self._index) + len(words) > CACHED_WORDS:
             self._forget(LASTING_WORDS)
-        new = [w for w in words if w not in self._index]
-        if new:
-            ids = self._whole(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base, first = len(self._ids), len(self._index)
-            self._starts = np.concatenate([self._starts, base + np.cumsum(lengths) - lengths])
-            self._lengths = np.concatenate([self._lengths, lengths])
-            self._ids = np.concatenate([self._ids, *ids])
-            self._index.update(zip(new, range(first, first + len(new))))
-        return np.fromiter((self._index[w] for w in words), np.int64, len(words))
+        new = dict.fromkeys(w for w in words if w not in self._index)
+        spaced = [] if self._folds else [w for w in new if w[:1] == " " and len(w) > 1]
+        parted = list(new) if self._folds else [w for w in new if w[:1] != " " or len(w) == 1]
+        for some, parting in ((spaced, ""), (parted, _SPECIAL)):
+            if some:
+                ids, lengths = self._together(some, parting)
+                base, first = len(self._ids), len(self._index)
+                self._starts = np.concatenate([self._starts, base + np.cumsum(lengths) - lengths])
+                self._lengths = np.concatenate([self._lengths, lengths])
+                self._ids = np.concatenate([self._ids, ids])
+                self._index.update(zip(some, range(first, first + len(some))))
+        return np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each text). texts: strings without nulls."""
         texts = texts.cast(pa.large_string())
         odd = pc.or_(pc.match_substring_regex(texts, _OTHER_SPACE), pc.match_substring_regex(texts, "[ \n][ \n]|^[ \n]"))
-        if self._folds:  # a special token has a spelling of its own
-            odd = pc.or_(odd, pc.match_substring(texts, "<|"))
+        odd = pc.or_(odd, pc.match_substring(texts, "<|"))
         odd = odd.to_numpy(zero_copy_only=False)
         counts = np.zeros(len(texts), np.int64)
         plain = texts.filter(pa.array(~odd))
         if not len(plain):
             flat = np.zeros(0, np.uint32)
         else:
+            mark = " " if self._folds else " " + _CLOSE
+            plain = pc.replace_substring_regex(plain, r"(\pL)([.,;:!?])", rf"\1{mark}\2")
             if self._folds:
                 parts = pc.split_pattern(pc.ascii_lower(pc.replace_substring(plain, "\n", " ")), " ")
             else:
@@ -90,7 +110,7 @@ class Encoder:
                 firsts = offsets[:-1] - offsets[0]
                 opening = coded.indices.take(pa.array(firsts))
                 opening_words = pc.unique(opening)
-                at = self._words([w if w.startswith("\n") else " " + w for w in words] + [words[k] for k in opening_words.to_pylist()])
+                at = self._words([w if w[:1] == "\n" else w[1:] if w[:1] == _CLOSE else " " + w for w in words] + [words[k] for k in opening_words.to_pylist()])
                 codes = at[np.asarray(coded.indices)]
                 codes[firsts] = at[len(words) + np.asarray(pc.index_in(opening, opening_words))]
             lengths = self._lengths[codes]
