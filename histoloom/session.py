@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='histoloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,29 +64,35 @@ def posix_path(uri: str) -> str:
     return uri
 
 
-_STAGED: list[str] = []
+_COLLECTING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables that are staged inside, for their release once nothing lazy rests on them."""
+    paths: list[str] = []
+    _COLLECTING.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTING.remove(paths)
 
 
 def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    keep: release_staged leaves the table in place.
+    keep: the table belongs to no scratch.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    if not keep:
-        _STAGED.append(path)
+    if _COLLECTING and not keep:
+        _COLLECTING[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_so_far() -> int:
-    """How many staged tables wait for their release."""
-    return len(_STAGED)
-
-
-def release_staged(spark: SparkSession, since: int = 0) -> None:
-    """Remove all tables staged so far, or those after the first `since`. Only for callers that have written what they made from them."""
-    while len(_STAGED) > since:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables; only for callers that have written what they made from them."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
