@@ -7,7 +7,9 @@ stretch. A logistic model over word beginnings of the restored text then scores
 
 Defined cases: null and empty texts have no features and get the score of the intercept; null doc_ids are scored and held
 in; labels with null doc_id or null toxic teach nothing, and of repeated labels the larger counts; without any labelled
-rows, or with one class only, every score is the smoothed share of toxic labels; an empty table gives no rows.
+rows, or with one class only, every score is the smoothed share of toxic labels; repeated rows are scored alike; texts of
+any length are scored whole; an empty table gives no rows; with_scores carries all other columns and replaces one of the
+score's name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,8 @@ from histoloom.llm.workers import tidied
 SAMPLE_ROWS = 20_000
 #: Word beginnings that the classifier looks at, by their lengths, and how many it keeps.
 BEGINNINGS, FEATURES = (5, 6, 7, 8), 1024
+#: Times as many that it chooses from.
+CANDIDATES = 8
 #: Signs, runs counted once, beyond which letters mixed with digits and not set apart are keys and hashes; also what restorations are kept of.
 LONGEST = 40
 #: Places of a stretch after which what all its readings begin with is put aside.
@@ -237,32 +242,29 @@ def _rate(n: int, words: int) -> float:
     return min(1.0, n * 60 / (words + 10))
 
 
-def _fit(rows: Iterator[tuple[list[str], list[float], int]]) -> tuple[dict[str, tuple[float, float]], float]:
-    """Weights and intercept by full-batch gradient steps with adapted sizes; features by their likelihood ratio."""
-    rows = list(rows)
-    y = np.array([r[2] for r in rows], float)
-    n, positive = len(rows), y.sum()
+def _fit(table: pa.Table) -> tuple[dict[str, tuple[float, float]], float]:
+    """Weights and intercept by full-batch gradient steps with adapted sizes; features by their likelihood ratio. table: names, rates (of each name) and toxic of every row."""
+    y = table.column("toxic").to_numpy().astype(float)
+    n, positive = len(y), y.sum()
     if not 0 < positive < n:
         return {}, math.log((positive + 1) / (n - positive + 19))
-    with_it, toxic_with_it = Counter(), Counter()
-    for names, _, toxic in rows:
-        with_it.update(names)
-        if toxic:
-            toxic_with_it.update(names)
-    names = [b for b, a in toxic_with_it.items() if a >= 3 and a * n > with_it[b] * positive]
-    a, c = np.array([toxic_with_it[b] for b in names], float), np.array([with_it[b] for b in names], float)
+    lists = table.column("names").combine_chunks()
+    owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))
+    coded = lists.flatten().dictionary_encode()
+    code, every = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    rate_of = table.column("rates").combine_chunks().flatten().to_numpy()
+    with_it, toxic_with_it = np.bincount(code, minlength=len(every)), np.bincount(code, y[owner], len(every))
+    useful = np.nonzero((toxic_with_it >= 3) & (toxic_with_it * n > with_it * positive))[0]
+    names, a, c = [every[k] for k in useful], toxic_with_it[useful], with_it[useful].astype(float)
     expected = lambda o, rows_, share: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / (rows_ * share)), 0)
     ratio = sum(expected(o, r, s) for o, r, s in ((a, c, positive / n), (c - a, c, 1 - positive / n), (positive - a, n - c + 1e-9, positive / n), (n - c - positive + a, n - c + 1e-9, 1 - positive / n)))
     chosen = [names[k] for k in np.lexsort((names, -ratio))[:FEATURES]] if names else []
     index, k = {b: i for i, b in enumerate(chosen)}, len(chosen)
-    at, column, value = [], [], []
-    for i, (found, rates, _) in enumerate(rows):
-        for b, rate in zip(found, rates):
-            if b in index:
-                at += [i, i]
-                column += [index[b], index[b] + k]
-                value += [1.0, rate]
-    at, column, value = np.array(at, np.int64), np.array(column, np.int64), np.array(value)
+    place = np.array([index.get(b, -1) for b in every], np.int64)[code]
+    known = place >= 0
+    at = np.concatenate([owner[known], owner[known]])
+    column = np.concatenate([place[known], place[known] + k])
+    value = np.concatenate([np.ones(known.sum()), rate_of[known]])
     w = np.append(np.zeros(2 * k), math.log(positive / (n - positive)))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for _ in range(400):
@@ -298,10 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, s
     toxic = rows.where("toxic = 1").select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("a")).where("a >= 3")
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     useful = frequent.join(toxic, "name").where(F.col("a") * totals["n"] > F.col("n") * totals["p"]).select("name", (F.col("a") / F.col("n")).alias("share"), "a")
-    useful = {r["name"] for r in useful.orderBy(F.desc(F.col("share") * F.sqrt("a")), "name").limit(2 * FEATURES).collect()}
+    useful = {r["name"] for r in useful.orderBy(F.desc(F.col("share") * F.sqrt("a")), "name").limit(CANDIDATES * FEATURES).collect()}
     kept = F.filter(F.arrays_zip("names", "rates"), lambda z: z["names"].isin(sorted(useful)) if useful else F.lit(False))
     narrow = rows.select(kept.alias("z"), "toxic").select(F.col("z.names").alias("names"), F.col("z.rates").alias("rates"), "toxic")
-    weights, intercept = _fit((r["names"] or [], r["rates"] or [], r["toxic"]) for r in narrow.toLocalIterator())
+    weights, intercept = _fit(narrow.toArrow())
     return Model(counts, weights, intercept)
 
 

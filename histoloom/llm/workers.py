@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 
 
@@ -25,9 +27,27 @@ def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # its free memory can be given back
         try:
             yield from function(batches)
         finally:
             tidy()
 
     return run
+
+
+_LAST = [0.0]
+
+
+def tidied_group(function: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The function over a group's rows, tidy once in a while."""
+
+    @functools.wraps(function)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = function(rows)
+        if time.monotonic() - _LAST[0] > 1:
+            tidy()
+            _LAST[0] = time.monotonic()
+        return out
+
+    return run
