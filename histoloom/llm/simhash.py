@@ -7,11 +7,14 @@ its block (or set of blocks) at median distances from vantage points; a fingerpr
 leaves that the triangle bound at the tree's radius cannot rule out (none at radius 0). Inside a leaf, a vantage-point tree
 over whole fingerprints finds the exact pairs, of which a spanning forest is kept.
 
-near_duplicates links fingerprints alone. similar_texts takes links at 8 bits between fingerprints of word sets as
-candidates and confirms them by the Jaccard similarity of five-word shingle sets.
+near_duplicates links fingerprints alone. similar_texts looks for pairs of a Jaccard similarity of five-word shingle sets.
+At a similarity of 0.8 one bit in seven differs, so it takes fingerprints of 256 bits, in which unrelated texts stay apart:
+they are compared where two of their bytes are equal, in 96 trees over pairs of bytes, and linked at WIDE_BITS. Shingle sets
+then confirm the links.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null doc_ids take part, and a component
-of nothing else has a null component_id; repeated rows share a fingerprint; an empty table gives no rows.
+of nothing else has a null component_id; repeated rows share a fingerprint; texts of any length are read whole; an empty
+table gives no rows; other columns, whatever their names, are carried by drop_similar and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histoloom.llm import rows as whole
 from histoloom.llm.components import connected_components
+from histoloom.llm.workers import tidied, tidied_group
 from histoloom.session import stage
-from histoloom.llm.workers import tidied
 
 SEED = 42
 #: Fingerprints that a leaf holds on average, as far as a block has values enough.
@@ -195,7 +199,7 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None) ->
         linked_rows = np.nonzero(labels != np.arange(len(bits)))[0]
         return pd.DataFrame({"a": bits[linked_rows].view(np.int64), "b": bits[labels[linked_rows]].view(np.int64)})
 
-    return dealt.groupBy("tree", "leaf", "one", "two").applyInPandas(search, "a long, b long").where("a != b").distinct()
+    return dealt.groupBy("tree", "leaf", "one", "two").applyInPandas(tidied_group(search), "a long, b long").where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, words_each: int = 4, blocks: int | None = None) -> DataFrame:
@@ -215,11 +219,6 @@ CHUNK_TEXTS = 512
 BROADCAST_ROWS = 1_000_000
 
 
-def word_set_fingerprint(text: str) -> int:
-    """SimHash over the distinct words of a text: near copies stay within a few bits where shingles would not."""
-    return fingerprint_of(list(dict.fromkeys(text.encode().lower().split())), 1)
-
-
 def shingles(text: str, words_each: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct word shingles of a text; a shorter text is one shingle, an empty one none."""
     words = text.encode().lower().split()
@@ -245,57 +244,128 @@ def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, simi
     return labels
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, threshold: int = 8, blocks: int = 10) -> DataFrame:
-    """doc_id, text_hash and class of every document; a class joins texts whose shingle sets have at least the similarity, through any chain of links. Texts without words are alike."""
+#: Words of 64 bits of a wide fingerprint; differing bits up to which two are linked, in all and in the first word (0.8 of
+#: the shingles in common make 39 and 10 on average, with deviations of 6 and 3; unrelated texts 128 and 32, with 8 and 4).
+WIDE_WORDS, WIDE_BITS, FIRST_BITS = 4, 58, 25
+#: Wide fingerprints that a leaf holds on average, and the pairs of bytes that the trees stand over.
+WIDE_LEAF_ROWS = 512
+BYTE_PAIRS = [(k, (k + step) % (8 * WIDE_WORDS)) for step in (1, 5, 11) for k in range(8 * WIDE_WORDS)]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of (sorted) shingle hashes as WIDE_WORDS numbers. Where as many hashes are for a bit as against it, the least hash decides."""
+    if not len(hashes):
+        return np.zeros(WIDE_WORDS, np.uint64)
+    x = (hashes.view(np.uint64)[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little")
+    ahead = 2 * bits.sum(0, dtype=np.int64) - len(bits)
+    return np.packbits(np.where(ahead == 0, bits[0], ahead > 0), bitorder="little").view("<u8")
+
+
+def wide_links(known: DataFrame) -> DataFrame:
+    """Edges (a, b) between the numbers `print` of wide fingerprints (columns print and wide) whose components are those of all pairs found within WIDE_BITS."""
+    distinct = stage(known.select("print", "wide").distinct(), "wide-fingerprints")
+    leaves = distinct.count() // WIDE_LEAF_ROWS + 1
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, _, _ = block_tree(16, leaves, 0)
+        for batch in batches:
+            n = batch.num_rows
+            data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(n, 8 * WIDE_WORDS).astype(np.int64)
+            for tree, (one, two) in enumerate(BYTE_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(home[data[:, one] | data[:, two] << 8]), batch.column("print"), batch.column("wide")], ["tree", "leaf", "print", "wide"])
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        prints, chunk = rows["print"].to_numpy(), rows["chunk"].to_numpy()
+        wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
+        labels = np.arange(len(wide))
+        points, queries = np.nonzero(chunk == rows["one"].iloc[0])[0], np.nonzero(chunk == rows["two"].iloc[0])[0]
+        for k in range(0, len(queries), 1024):
+            some = queries[k : k + 1024]
+            row, column = np.nonzero(np.bitwise_count(wide[some, 0][:, None] ^ wide[points, 0][None, :]) <= FIRST_BITS)
+            a, b = some[row], points[column]
+            close = (a != b) & (np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= WIDE_BITS)
+            labels = _joined(labels, a[close], b[close])
+        linked_rows = np.nonzero(labels != np.arange(len(wide)))[0]
+        return pd.DataFrame({"a": prints[linked_rows], "b": prints[labels[linked_rows]]})
+
+    routed = distinct.mapInArrow(tidied(dealt), "tree int, leaf int, print long, wide binary")
+    sizes = stage(routed.groupBy("tree", "leaf").agg((F.floor(F.count("*") / CHUNK_ROWS) + 1).cast("int").alias("chunks")).where("chunks > 1"), "large-leaves")
+    columns = "print", "wide"
+    return _in_chunks(routed, ["tree", "leaf"], sizes, "print", columns).groupBy("tree", "leaf", "one", "two").applyInPandas(tidied_group(search), "a long, b long").where("a != b").distinct()
+
+
+def _in_chunks(rows: DataFrame, group: list[str], sizes: DataFrame, by: str, columns: tuple[str, ...]) -> DataFrame:
+    """rows dealt out as pairs of chunks (one, two) of their group; sizes: groups of several chunks."""
+    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, group, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(by), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select(*group, F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", *columns)
+
+
+def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataFrame, list[int]]:
+    """(doc_id, text_id, class) of every document, and the hashes that several texts share (see _text_id)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((word_set_fingerprint(t.as_py() or "") for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(bits.view(np.int64))], ["doc_id", "text_hash", "bits"])
+            prints = [wide_fingerprint(shingles(t.as_py(), words_each)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("second"), pa.array(prints, pa.binary())], ["doc_id", "hash", "second", "wide"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, text_hash long, bits long"), "word-sets")
-    groups = connected_components(links(known, threshold, blocks)).select(F.col("node").alias("bits"), "root")
-    texts = known.select("text_hash", "bits").distinct().join(groups, "bits", "left").select("text_hash", F.coalesce("root", "bits").alias("group"))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
+    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, hash long, second long, wide binary"), "wide-prints")
+    shared = [r[0] for r in known.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
+    known = known.select("doc_id", _text_id(shared).alias("text_id"), F.xxhash64("wide").alias("print"), "wide")
+    groups = connected_components(wide_links(known)).select(F.col("node").alias("print"), "root")
+    texts = known.select("text_id", "print").distinct().join(groups, "print", "left").select("text_id", F.coalesce("root", "print").alias("group"))
     crowded = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(texts.join(crowded, "group").select("text_hash", "group", (F.floor((F.col("n") - 1) / CHUNK_TEXTS) + 1).cast("int").alias("chunks")), "candidates")
-    sought = members.withColumnRenamed("text_hash", "_hash")
-    if members.count() <= BROADCAST_ROWS:
-        sought = F.broadcast(sought)
+    members = stage(texts.join(crowded, "group").select("text_id", "group", (F.floor((F.col("n") - 1) / CHUNK_TEXTS) + 1).cast("int").alias("chunks")), "candidates")
+    sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words_each) for t in batch.column("text")]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("group"), batch.column("chunks"), column], ["text_hash", "group", "chunks", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("group"), column], ["text_id", "group", "set"])
 
-    found = rows.join(sought, rows["text_hash"] == F.col("_hash")).select("text_hash", "group", "chunks", "text")
-    sets = found.mapInArrow(tidied(cut), "text_hash long, group long, chunks int, set array<long>").dropDuplicates(["text_hash"])
-    sets = stage(sets, "shingle-sets")
-    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("text_hash"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("group", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "text_hash", "set")
+    found = rows.select(_text_id(shared).alias("text_id"), "text").join(sought, "text_id").select("text_id", "group", "text")
+    sets = stage(found.mapInArrow(tidied(cut), "text_id long, group long, set array<long>").dropDuplicates(["text_id"]), "shingle-sets")
+    dealt = _in_chunks(sets, ["group"], members.where("chunks > 1").select("group", "chunks").distinct(), "text_id", ("text_id", "set"))
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["text_hash"].to_numpy()
+        ids = rows["text_id"].to_numpy()
         labels = _similar([np.asarray(s, np.int64) for s in rows["set"]], rows["chunk"].to_numpy(), int(rows["one"].iloc[0]), int(rows["two"].iloc[0]), similarity)
         linked_rows = np.nonzero(labels != np.arange(len(ids)))[0]
         return pd.DataFrame({"a": ids[linked_rows], "b": ids[labels[linked_rows]]})
 
-    edges = dealt.groupBy("group", "one", "two").applyInPandas(confirm, "a long, b long")
-    classes = connected_components(edges).select(F.col("node").alias("text_hash"), "root")
-    return known.select("doc_id", "text_hash").join(classes, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("class"))
+    edges = dealt.groupBy("group", "one", "two").applyInPandas(tidied_group(confirm), "a long, b long")
+    classes = connected_components(edges).select(F.col("node").alias("text_id"), "root")
+    return known.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
+
+
+def _text_id(shared: list[int]) -> Column:
+    """A text's hash, or where several texts share that (n * n / 2^65 of n texts) its second one."""
+    return F.when(F.col("hash").isin(shared), F.col("second")).otherwise(F.col("hash")) if shared else F.col("hash")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
+    """doc_id, text_id and class of every document; a class joins texts whose shingle sets have at least the similarity, through any chain of links. Texts without words are alike."""
+    return _classes(docs, similarity, words_each)[0]
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """The rows of docs but for those that a document of less doc_id (nulls last) stands for. Rows equal in doc_id and text are one document."""
-    classes = stage(similar_texts(docs, similarity, words_each), "text-classes")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    classes, shared = _classes(docs, similarity, words_each)
+    classes = stage(classes, "text-classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
     first = stage(classes.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "text-firsts")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    gone = stage(classes.join(first, "class").where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone-documents")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    gone = stage(classes.join(first, "class").where(~stays).select("doc_id", "text_id").distinct(), "gone-documents")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    same = (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-    return docs.join(gone, same, "left_anti")
+    text = F.coalesce(whole.field("text").cast("string"), F.lit(""))
+    rows = whole.packed(docs).select(whole.ROW, F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("second"))
+    rows = rows.select(whole.ROW, _text_id(shared).alias("own"))
+    same = (F.col("own") == F.col("text_id")) & whole.field("doc_id").cast("long").eqNullSafe(F.col("doc_id"))
+    return whole.unpacked(rows.join(gone, same, "left_anti"), docs.schema)
