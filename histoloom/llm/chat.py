@@ -4,11 +4,13 @@ A service that logs a conversation after every turn leaves snapshots that are pr
 order, each prefix gets a rolling hash (the exclusive or of hashes salted with the turn's number), and conversations whose
 full hash is a proper prefix of a longer one fall to an anti join. Of equal conversations the least conv_id stays.
 
-Running values are built by blocks of turns, then over block totals, so a conversation of any length is spread over tasks.
+All this is done on digests of the turns; texts are joined to those that remain. Digests are dealt out by ranges of
+(conv_id, turn, ..), so a conversation of any length is spread over tasks: running values are built inside each range, and
+what stands before comes from a table with a row for each part of the few conversations that lie in several ranges.
 
-Defined cases: turns are ordered by (turn, role, text), nulls first; exactly repeated rows of a conversation count once;
-null role and text are hashed as nulls and rendered as empty; rows of null conv_id form one conversation; an empty table
-gives no rows; other columns are ignored.
+Defined cases: turns are ordered by (turn, role, MD5 of text), nulls first; exactly repeated rows of a conversation count
+once; null role and text are hashed as nulls and rendered as empty; rows of null conv_id form one conversation; texts of any
+length are rendered whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,59 +20,81 @@ from pyspark.sql import functions as F
 
 from histoloom.session import stage
 
-#: Turns that one task's running values go over at once.
-BLOCK = 1024
 #: How a turn is written; fixed values of the chat format.
 OPEN, AFTER_ROLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
+_TURN = ["conv_id", "turn", "role", "digest"]
+#: Conversations up to which the list of kept ones is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
-def _running(rows: DataFrame, key: list[str], order: list[str], kind: str, value: Column, name: str) -> DataFrame:
-    """rows (with a column block) plus the running sum or exclusive or of value over all rows of the key up to each row."""
-    combine = F.sum if kind == "sum" else F.bit_xor
-    inside = Window.partitionBy(*key, "block").orderBy(*order)
-    rows = rows.withColumn(name, combine(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = rows.groupBy(*key, "block").agg(combine(value).alias("_total"))
-    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*key, "block", F.coalesce(combine("_total").over(earlier), F.lit(0).cast("long")).alias("_base"))
-    bases = bases.select(*[F.col(c).alias(f"_{c}") for c in (*key, "block")], "_base")
-    same = F.lit(True)
-    for c in (*key, "block"):
-        same = same & rows[c].eqNullSafe(bases[f"_{c}"])
-    plus = F.col(name) + F.col("_base") if kind == "sum" else F.col(name).bitwiseXOR(F.col("_base"))
-    return rows.join(bases, same).withColumn(name, plus).drop("_base", *[f"_{c}" for c in (*key, "block")])
+def _turns(turns: DataFrame) -> DataFrame:
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+
+
+def _segment_length() -> Column:
+    return F.lit(len(OPEN + AFTER_ROLE + CLOSE)) + F.coalesce(F.length("role"), F.lit(0)) + F.col("chars")
+
+
+def _before(placed: DataFrame, combine, value: str, name: str) -> DataFrame:
+    """(conv_id, part, name) for every part but the first of conversations in several parts: value combined over the parts before."""
+    parts = placed.groupBy("conv_id", "part").agg(combine(value).alias("here"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.withColumn(name, combine("here").over(earlier)).where(F.col(name).isNotNull())
+    return found.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), name)
+
+
+def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with a table of _before: it has fewer rows than there are parts."""
+    return rows.join(F.broadcast(table), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left").drop("_conv", "_part")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, number (from 1), role, text, and the prefix's hash as (one, two): 128 bits."""
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.first(F.lit(1)).alias("_one")).drop("_one")
-    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    rows = _running(rows, ["conv_id"], order, "sum", F.lit(1).cast("long"), "number")
-    rows = rows.withColumn("said", F.to_json(F.struct("number", "role", "text")))
-    for name, salt in (("one", 1), ("two", 2)):
-        rows = _running(rows, ["conv_id"], order, "xor", F.xxhash64(F.lit(salt), "said"), name)
-    return rows.drop("said")
+    """conv_id, turn, role, digest, number (from 1), start (characters of the rendered conversation before the turn), the prefix's hash as (one, two): 128 bits, and whether the turn is its conversation's last."""
+    rows = _turns(turns).groupBy(*_TURN).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    placed = rows.repartitionByRange(*_TURN).withColumn("part", F.spark_partition_id())
+    placed = stage(placed.withColumn("length", _segment_length().cast("long")).drop("chars"), "turn-digests")
+    inside = Window.partitionBy("conv_id", "part").orderBy(*[F.col(c).asc_nulls_first() for c in _TURN[1:]])
+    upto, zero = inside.rowsBetween(Window.unboundedPreceding, 0), F.lit(0).cast("long")
+    numbered = placed.withColumns({"number": F.row_number().over(inside).cast("long"), "start": F.sum("length").over(upto) - F.col("length"), "ends": F.lead("part").over(inside).isNull()})
+    for combine, value, name in ((F.sum, "one_each", "turns_before"), (F.sum, "length", "start_before"), (F.max, "part", "parts_before")):
+        numbered = _joined(numbered, _before(placed.withColumn("one_each", F.lit(1)), combine, value, name))
+    last = placed.groupBy("conv_id").agg(F.max("part").alias("last"), F.min("part").alias("first")).where("last > first")
+    ends = F.broadcast(last.select(F.col("conv_id").alias("_conv"), F.col("last").alias("_part")).withColumn("final", F.lit(True)))
+    numbered = numbered.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    numbered = numbered.withColumn("ends", F.col("ends") & (F.col("_part").isNull() | (F.col("_part") == F.col("part")))).drop("_conv", "_part", "final", "parts_before")
+    numbered = numbered.withColumns({"number": F.col("number") + F.coalesce("turns_before", zero), "start": F.col("start") + F.coalesce("start_before", zero)}).drop("turns_before", "start_before", "length")
+    hashes = {name: F.xxhash64(F.lit(salt), "number", F.col("role").isNull(), "role", F.col("digest").isNull(), "digest") for name, salt in (("one", 1), ("two", 2))}
+    numbered = stage(numbered.withColumns(hashes), "numbered-turns")
+    rolling = numbered.withColumns({name: F.bit_xor(name).over(upto) for name in hashes})
+    for name in hashes:
+        rolling = _joined(rolling, _before(numbered, F.bit_xor, name, "earlier"))
+        rolling = rolling.withColumn(name, F.col(name).bitwiseXOR(F.coalesce("earlier", zero))).drop("earlier")
+    return rolling.drop("part")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, number, role and text of the turns of conversations that are no prefix, and no later copy, of another."""
+    """conv_id, number, start, role, text and turn of the turns of conversations that are no prefix, and no later copy, of another."""
     rows = stage(prefixes(turns), "prefixes")
-    lengths = rows.groupBy("conv_id").agg(F.max("number").alias("turns"), F.max_by("one", "number").alias("one"), F.max_by("two", "number").alias("two"))
-    full = stage(lengths.withColumnRenamed("turns", "number"), "conversations")
-    ends = full.select(F.col("conv_id").alias("_conv"), F.col("number").alias("_turns"))
-    inner = rows.join(ends, rows["conv_id"].eqNullSafe(ends["_conv"]) & (F.col("number") < F.col("_turns"))).select("number", "one", "two").distinct()
-    kept = full.join(inner, ["number", "one", "two"], "left_anti").groupBy("number", "one", "two").agg(F.min("conv_id").alias("_conv")).select("_conv")
-    return rows.join(kept, rows["conv_id"].eqNullSafe(kept["_conv"]), "left_semi").select("conv_id", "number", "role", "text", "turn")
+    full = rows.where("ends").groupBy("number", "one", "two").agg(F.min("conv_id").alias("_conv"))
+    inner = rows.where("not ends").groupBy("number", "one", "two").agg(F.count("*").alias("_n")).drop("_n")
+    kept = stage(full.join(inner, ["number", "one", "two"], "left_anti").select("_conv"), "kept-conversations")
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    digests = rows.join(kept, rows["conv_id"].eqNullSafe(kept["_conv"]), "left_semi").select(*_TURN, "number", "start")
+    said = _turns(turns)
+    texts = said.join(kept, said["conv_id"].eqNullSafe(kept["_conv"]), "left_semi").groupBy(*_TURN).agg(F.first("text").alias("text"))
+    same = F.lit(True)
+    for c in _TURN:
+        same = same & digests[c].eqNullSafe(texts[c])
+    return digests.join(texts, same).select(digests["conv_id"], "number", "start", digests["role"], "text", digests["turn"])
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
-    """Each turn's stretch of its conversation's rendered text and where that starts (characters); `learned` marks the assistant's turns."""
-    filled = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    segment = F.concat(F.lit(OPEN), F.col("role"), F.lit(AFTER_ROLE), F.col("text"), F.lit(CLOSE))
-    rows = filled.withColumn("segment", segment).withColumn("block", F.floor((F.col("number") - 1) / BLOCK))
-    rows = _running(rows, ["conv_id"], ["number"], "sum", F.length("segment").cast("long"), "start")
-    return rows.select("conv_id", "number", (F.col("start") - F.length("segment")).alias("start"), "segment", (F.col("role") == "assistant").alias("learned"))
+    """Each turn's stretch of its conversation's rendered text and where that starts (characters); `learned` marks the assistant's turns. turns: of maximal_conversations."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    segment = F.concat(F.lit(OPEN), role, F.lit(AFTER_ROLE), text, F.lit(CLOSE))
+    return turns.select("conv_id", "number", "start", segment.alias("segment"), (role == "assistant").alias("learned"))
 
 
 def render_conversations(turns: DataFrame) -> DataFrame:

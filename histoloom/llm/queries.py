@@ -62,7 +62,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Prefix strings of whole conversations; a conversation stays if its own is no proper prefix of another's.
 CHAT_SQL = """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS number FROM turns),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS number FROM turns),
 said AS (SELECT conv_id, number, role, text, to_json({'role': role, 'text': text})::VARCHAR AS said FROM numbered),
 prefix AS (SELECT *, md5(string_agg(said, '|') OVER (PARTITION BY conv_id ORDER BY number)) AS p, max(number) OVER (PARTITION BY conv_id) AS n FROM said),
 kept AS (
