@@ -1,4 +1,4 @@
-"""Repeated passages by hashing lines, paragraphs or sentences.
+"""Repeated passages by hashing lines, paragraphs or sentences, and windows of words.
 
 Every unit is normalised (lower case, white space runs as one space) and hashed to 128 bits; digests are grouped over all
 documents; the occurrence that ranks first (doc_id, then position) is kept and the others are marked. Marked units that
@@ -17,6 +17,7 @@ occurrences like any other, so all but one lose their text; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histoloom.session import release_staged, stage, staged_so_far
+from histoloom.session import release, scratch, stage
 from histoloom.llm.workers import tidied
 
 #: Where a unit ends.
@@ -106,31 +107,59 @@ class _WordHashes(dict):
         return found
 
 
-def _rolled(words: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """Hashes of all runs of `width` words."""
-    n = max(0, len(words) - width + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(factor) + words[k : k + n]
+def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, by in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        total = (total ^ (total >> np.uint64(shift))) * np.uint64(by)
-    return total ^ (total >> np.uint64(32))
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(32))
+
+
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
+
+
+class _Runs:
+    """Hashes of any runs of words, from running sums: equal for equal runs, wherever they stand."""
+
+    def __init__(self, words: np.ndarray, factor: int):
+        n = len(words)
+        size = 1 << max(18, n.bit_length())  # few sizes, so that powers are made once
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * _powers(factor, size)[:n], out=self._sums[1:])
+        self._back = _powers(pow(factor, -1, 1 << 64), size)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self._sums[end] - self._sums[start]) * self._back[start] + (end - start).astype(np.uint64))
+
+
+_SHINGLE, _WINDOW, _UNIT_ONE, _UNIT_TWO = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+
+
+def _least(values: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every `each` neighbouring values and its place, the first of equal ones."""
+    place, width = np.arange(len(values)), 1
+    while width < each:
+        step = min(width, each - width)
+        other = values[step:] < values[: len(values) - step]
+        place = np.where(other, place[step:], place[: len(place) - step])
+        values = np.where(other, values[step:], values[: len(values) - step])
+        width += step
+    return values, place
 
 
 def _windows(words: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every window inside one document: its first word, its least shingle and the place of that."""
     width = (min_words + 1) // 2
     each = min_words - width + 1
-    shingles = _rolled(words, width, 0x9E3779B97F4A7C15)
-    if len(shingles) < each:
+    n = len(words) - width + 1
+    if n < each:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    starts = np.arange(n)
+    least, place = _least(_Runs(words, _SHINGLE).of(starts, starts + width), each)
     at = np.nonzero(owner[: len(words) - min_words + 1] == owner[min_words - 1 :])[0]
-    least, place = shingles[at], at.copy()
-    for k in range(1, each):
-        other = shingles[at + k]
-        less = other < least
-        least[less], place[less] = other[less], at[less] + k
-    return at, least, place
+    return at, least[at], place[at]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], known: _WordHashes) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
@@ -141,8 +170,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], known: _WordHashes) -> Iterator
         return ids, texts, np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            text = text.as_py() or ""
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            text = text or ""
             before = len(hashes)
             hashes.extend(map(known.__getitem__, text.lower().split()))
             ids.append(doc_id), texts.append(text), sizes.append(len(hashes) - before)
@@ -153,13 +182,29 @@ def _gathered(batches: Iterator[pa.RecordBatch], known: _WordHashes) -> Iterator
         yield out()
 
 
+#: Characters that str.split() takes for white space.
+_SPACES = np.array([k for k in range(0x3001) if chr(k).isspace()], np.uint32)
+_IS_SPACE = np.isin(np.arange(256, dtype=np.uint32), _SPACES)
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character of every word."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = np.ones(len(codes) + 2, bool)
+    space[1:-1] = _IS_SPACE[np.minimum(codes, 255)]
+    large = np.nonzero(codes > 255)[0]
+    space[large + 1] = np.isin(codes[large], _SPACES)
+    edges = np.nonzero(np.diff(space))[0]
+    return edges[::2], edges[1::2]
+
+
 def repeated_shingles(docs: DataFrame, min_words: int) -> np.ndarray:
     """A filter over the least shingles of windows that occur twice or more: bits by the shingle's low end, of bounded size."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, words, owner in _gathered(batches, _WordHashes()):
             _, least, place = _windows(words, owner, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(least[np.unique(place, return_index=True)[1]].view(np.int64))], ["shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(least[np.nonzero(np.diff(place, prepend=-1))[0]].view(np.int64))], ["shingle"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), "shingle long")
     found = stage(found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shingles")
@@ -179,48 +224,55 @@ def pieces(docs: DataFrame, likely: np.ndarray, unit: str, unit_words: int, min_
     ends = ENDS[unit]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, word_pattern, digest = re.compile(ends), re.compile(r"\S+"), xxhash.xxh3_128_digest
+        pattern = re.compile(ends)
         for ids, texts, words, owner in _gathered(batches, _WordHashes()):
             at, least, place = _windows(words, owner, min_words)
             passed = likely[((least >> np.uint64(6)) & np.uint64(len(likely) - 1)).astype(np.int64)] >> (least & np.uint64(63)) & np.uint64(1) == 1
             at, least, place = at[passed], least[passed].view(np.int64), place[passed]
-            windows = _rolled(words, min_words, 0xD6E8FEB86659FD93)[at].view(np.int64) if len(at) else least
             opens = np.nonzero(np.diff(place, prepend=-1))[0]  # where runs begin
-            firsts = np.searchsorted(owner, np.arange(len(ids) + 1))
-            runs = np.searchsorted(at[opens], firsts)
             closes = np.append(opens[1:], len(at))
-            rows: list[tuple] = []
-            halves: list[bytes] = []
-            starts, finals = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-            for k, (doc_id, text) in enumerate(zip(ids, texts)):
-                word = position = 0
-                for start, end in split_units(text, pattern):
-                    unit_of = text[start:end].lower().split()
-                    if len(unit_of) >= unit_words:
-                        rows.append((doc_id, position, False, start, end, word, len(unit_of), -1))
-                        halves.append(digest(" ".join(unit_of).encode()))
-                        position += 1
-                    word += len(unit_of)
-                if runs[k] == runs[k + 1]:
-                    continue
-                some = slice(opens[runs[k]], closes[runs[k + 1] - 1])
-                spans = np.array([m.span() for m in word_pattern.finditer(text)], np.int32)
-                first = at[some] - firsts[k]
-                starts[some], finals[some] = spans[first, 0], spans[first + min_words - 1, 1]
-                for run in range(runs[k], runs[k + 1]):
-                    a, b = opens[run], closes[run]
-                    rows.append((doc_id, position, True, starts[a], finals[b - 1], at[a] - firsts[k], min_words + b - a - 1, run))
-                    halves.append(least[a].tobytes() + digest(windows[a:b].tobytes())[:8])
-                    position += 1
-            if not rows:
-                continue
-            run = np.array([r[-1] for r in rows])
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*(r[:-1] for r in rows)), _PIECES)]
-            both = np.frombuffer(b"".join(halves), "<i8").reshape(-1, 2)
-            sizes = np.where(run >= 0, (closes - opens)[run] if len(opens) else 0, 0)
+            firsts = np.searchsorted(owner, np.arange(len(ids) + 1))
+            begins, finishes, edges = [], [], []
+            for k, text in enumerate(texts):
+                a, b = word_spans(text)
+                begins.append(a), finishes.append(b)
+                cuts = [m.end() for m in pattern.finditer(text)]
+                if text and (not cuts or cuts[-1] < len(text)):
+                    cuts.append(len(text))
+                offsets = np.array([0, *cuts])
+                edges.append((np.full(len(cuts), k), offsets[:-1], offsets[1:], firsts[k] + np.searchsorted(a, offsets[:-1]), firsts[k] + np.searchsorted(a, offsets[1:])))
+            begin, finish = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (begins, finishes))
+            doc, start, end, first, last = (np.concatenate(x) for x in zip(*edges))
+            evident = last - first >= unit_words
+            doc, start, end, first, last = (x[evident] for x in (doc, start, end, first, last))
+            units_of = np.bincount(doc, minlength=len(ids))
+            position = np.arange(len(doc)) - np.repeat(np.cumsum(units_of) - units_of, units_of)
+            halves = [_Runs(words, f).of(first, last).view(np.int64) for f in (_UNIT_ONE, _UNIT_TWO)]
+            run_first, run_last = at[opens], at[closes - 1] + min_words
+            run_doc = owner[run_first]
+            runs_of = np.bincount(run_doc, minlength=len(ids))
+            run_position = np.arange(len(opens)) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of) + units_of[run_doc]
+            run_halves = [least[opens], _Runs(words, _WINDOW).of(run_first, run_last).view(np.int64)]
+            all_docs = np.concatenate([doc, run_doc])
+            order = np.argsort(all_docs, kind="stable")  # a document's units, then its runs
+            both = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind)[order])
+            columns = [
+                pa.array(ids, pa.int64()).take(pa.array(all_docs[order])),
+                both(position, run_position, np.int32),
+                both(np.zeros(len(doc)), np.ones(len(opens)), bool),
+                both(start, begin[run_first], np.int32),
+                both(end, finish[run_last - 1], np.int32),
+                both(first - firsts[doc], run_first - firsts[run_doc], np.int32),
+                both(last - first, run_last - run_first, np.int32),
+                *(both(x, y, np.int64) for x, y in zip(halves, run_halves)),
+            ]
+            # Runs stand in the order of their windows, so the lists' elements do, too.
+            sizes = np.concatenate([np.zeros(len(doc), np.int64), closes - opens])[order]
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (windows, starts, finals)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(both[:, 0]), pa.array(both[:, 1]), *lists], schema=_PIECES)
+            windows = _Runs(words, _WINDOW).of(at, at + min_words).view(np.int64)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (windows, begin[at], finish[at + min_words - 1])]
+            if len(order):
+                yield pa.RecordBatch.from_arrays([*columns, *lists], schema=_PIECES)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), _PIECES_SQL)
 
@@ -233,9 +285,8 @@ def _islands(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(to_here)).drop("begins")
 
 
-def repeated_passages(docs: DataFrame, unit: str = "sentence", unit_words: int = 4, min_words: int = 25) -> DataFrame:
-    """The spans of repeated_spans and every repeated window of `min_words` words, joined where they overlap or touch: doc_id, span_start, span_end, words (all in the span), kept_doc_id (holder of the first piece's kept occurrence)."""
-    staged = staged_so_far()
+def _later_pieces(docs: DataFrame, unit: str, unit_words: int, min_words: int) -> DataFrame:
+    """Units and windows that stood before, with the holder of their kept occurrence."""
     likely = repeated_shingles(docs, min_words)
     found = stage(pieces(docs, likely, unit, unit_words, min_words).withColumn("at", F.monotonically_increasing_id()), "pieces").withColumn("row", F.col("at") - F.col("position"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "position", "word")
@@ -258,8 +309,14 @@ def repeated_passages(docs: DataFrame, unit: str = "sentence", unit_words: int =
     each = found.where("window").join(first, ["high", "low"]).select("doc_id", "row", "position", "window", "word", F.explode(F.arrays_zip("starts", "ends", "firsts")).alias("w"))
     each = each.select("doc_id", "row", "position", "window", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"), (F.col("word") + F.col("w.firsts.nth")).alias("word"), F.lit(min_words).alias("words"), F.col("w.firsts.doc_id").alias("kept_doc_id"), F.col("w.firsts.row").alias("_row"), F.col("w.firsts.word").alias("_word"))
     each = each.where((F.col("row") != F.col("_row")) | (F.col("word") >= F.col("_word") + min_words)).drop("_row", "_word")
-    later = stage(plain.unionByName(each), "later-pieces", keep=True)
-    release_staged(docs.sparkSession, staged)  # of these tables only
+    return stage(plain.unionByName(each), "later-pieces", keep=True)
+
+
+def repeated_passages(docs: DataFrame, unit: str = "line", unit_words: int = 4, min_words: int = 50) -> DataFrame:
+    """The spans of repeated_spans and every repeated window of `min_words` words, joined where they overlap or touch: doc_id, span_start, span_end, words (all in the span), kept_doc_id (holder of the first piece's kept occurrence)."""
+    with scratch() as own:
+        later = _later_pieces(docs, unit, unit_words, min_words)
+    release(docs.sparkSession, own)
     bounds = [F.first("doc_id").alias("doc_id"), F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.min("word").alias("word"), F.max(F.col("word") + F.col("words")).alias("last"), F.min_by("kept_doc_id", "start").alias("kept_doc_id")]
     runs = later.where("not window").withColumn("run", F.col("position") - F.row_number().over(Window.partitionBy("row").orderBy("position")))
     by_unit = runs.groupBy("row", "run").agg(*bounds, F.sum("words").alias("words")).where(F.col("words") >= min_words).drop("run", "words")
