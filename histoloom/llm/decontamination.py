@@ -1,17 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
 Documents are cut into blocks of 32 words; two neighbouring blocks are a passage. TF-IDF weights of the benchmark's words
-come from counts over the blocks of all documents. A randomised SVD of the TF-IDF matrix (a bounded sample of corpus
-passages, counted in tasks, stacked on the benchmark's passages) gives a latent basis. Every passage of every document is
+come from counts over the blocks of all documents. A randomised SVD of the TF-IDF matrix gives a latent basis: one pass over
+all documents multiplies their blocks with a random matrix and back (tasks add up a row for each word, Spark adds up the
+tasks'), the benchmark's own items are stacked on them with equal weight, and a Nystrom decomposition of the sketch, which is
+wider than the rank, yields singular values and vectors; small ones are cut off. Every passage of every document is
 compared with all items of a block of the benchmark in that space, by cosine and by how much of the item's vector its
 projection covers (a short item leaves most of a passage to other words); what comes near is checked on the words: the
 longest common subsequence, the item's rare words, and its answer (the last sentence).
 
 Words are stretches between white space, in lower case, without punctuation at their ends. Items of more than 48 words are
-looked for in parts of at most 48. Items under 5 words are no evidence.
+looked for in parts of at most 48. Items under 5 words leave no room for a paraphrase: they are found where their words
+follow each other in a text.
 
-Defined cases: null and empty texts hold nothing; null doc_ids are reported as null; null or empty items are ignored; with
-an empty benchmark or table nothing is found; other columns are carried by clean_documents and ignored elsewhere.
+Defined cases: null and empty texts hold nothing; null doc_ids are reported as null; repeated rows, and rows of one doc_id,
+are reported once by item and all dropped; null, empty and wordless items are ignored; repeated items are items like any
+other; texts of any length are searched whole; with an empty benchmark or table nothing is found; other columns, whatever
+their names, are carried by clean_documents and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -23,8 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from histoloom.llm.workers import tidied
 
 BLOCK_WORDS = 32
@@ -32,9 +40,11 @@ PART_WORDS = 48
 LEAST_WORDS = 5
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
 ITEMS_A_PASS = 4096
-#: Documents, at most about, whose passages the SVD sees.
-SAMPLE_DOCS = 20_000
-TEXT_BYTES = 2 << 20
+#: Columns of the sketch beyond the rank, and the share of the largest singular value under which directions are cut off.
+OVERSAMPLING, LEAST_VALUE = 16, 1e-3
+TEXT_BYTES = 1 << 20
+#: Passages times items that are compared at once.
+COMPARED_AT_ONCE = 1 << 21
 _ENDS = ".,;:!?\"'()[]{}|<>«»*-_"
 
 
@@ -45,7 +55,7 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Item:
-    """A part of a benchmark item as columns of the vocabulary; `answer` is empty but for the last part."""
+    """A part of a benchmark item (or a short one) as columns of the vocabulary; `answer` is empty but for the last part."""
 
     item_id: int
     words: list[int]
@@ -61,15 +71,19 @@ class Probe:
     basis: np.ndarray
     items: list[Item]
     latent: np.ndarray
+    short: dict[int, list[Item]]
 
 
 def read_items(rows: list) -> tuple[list[str], list[Item]]:
-    """Vocabulary and parts of benchmark rows (item_id, text)."""
+    """Vocabulary, and parts and short items of benchmark rows (item_id, text)."""
     vocabulary: dict[str, int] = {}
     items = []
     for item_id, text in rows:
         words = words_of(text or "")
+        if not words:
+            continue
         if len(words) < LEAST_WORDS:
+            items.append(Item(item_id, [vocabulary.setdefault(w, len(vocabulary)) for w in words], []))
             continue
         sentences = [s for s in (words_of(x) for x in re.split(r"(?<=[.!?])\s", text)) if s]
         answer = sentences[-1] if len(sentences[-1]) >= 3 else words[-3:]
@@ -110,71 +124,85 @@ def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Logarithm of blocks over blocks that hold a word, for each word of the vocabulary, over all documents."""
-    table = pa.array(vocabulary, pa.string())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary) + 1, np.int64)
-        for batch in batches:
-            for _, _, firsts, block, column in blocks(batch.column("text").fill_null(""), table):
-                known = column >= 0
-                pairs = np.unique(block[known] * len(vocabulary) + column[known])
-                total[:-1] += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-                total[-1] += firsts[-1]
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["column", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidied(count), "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(len(vocabulary) + 1)
-    for row in rows:
-        found[row["column"]] = row["n"]
-    return np.log((found[-1] + 1) / (found[:-1] + 1)).astype(np.float32) + 0.1
-
-
-def latent_basis(docs: DataFrame, vocabulary: list[str], idf: np.ndarray, items: list[Item], rank: int, seed: int) -> np.ndarray:
-    """Orthonormal columns that span the leading right singular space: one power step on a random start, QR at the end."""
+def corpus_sketch(docs: DataFrame, vocabulary: list[str], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the vocabulary the blocks of all documents that hold it (all blocks at the end), and T' T start for the matrix T of word counts by block."""
     table, n = pa.array(vocabulary, pa.string()), len(vocabulary)
-    rank = min(rank, n)
-    start = np.random.default_rng(seed).normal(size=(n, rank)).astype(np.float32)
+    width = start.shape[1]
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, rank), np.float64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(n + 1, np.int64), np.zeros((n + 1, width), np.float32)
         for batch in batches:
             for _, _, firsts, block, column in blocks(batch.column("text").fill_null(""), table):
+                held[-1] += firsts[-1]
                 known = np.nonzero(column >= 0)[0]
-                for at in range(0, len(known), 1 << 15):  # a block that is cut here counts as two passages
-                    c, b = column[known[at : at + (1 << 15)]], block[known[at : at + (1 << 15)]]
+                for at in range(0, len(known), 1 << 14):  # a block that is cut here counts as two
+                    c, b = column[known[at : at + (1 << 14)]], block[known[at : at + (1 << 14)]]
                     b = b - b[0]
-                    sums = _sums(idf[c, None] * start[c], b, int(b[-1]) + 1)
+                    held[:-1] += np.bincount(np.unique(b * n + c) % n, minlength=n)
+                    sums = _sums(start[c], b, int(b[-1]) + 1)
                     order = np.argsort(c, kind="stable")
                     edge = np.concatenate([[0], np.nonzero(np.diff(c[order]))[0] + 1])
                     total[c[order][edge]] += np.add.reduceat(sums[b[order]], edge, axis=0)
-        some = np.nonzero(total.any(1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in total[some].astype("<f4")], pa.binary())], ["column", "sums"])
-
-    count = docs.count()
-    sample = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(count // SAMPLE_DOCS + 1)) == 0).coalesce(16)
-    seen = np.zeros((n, rank))
-    for row in sample.mapInArrow(tidied(project), "column long, sums binary").toLocalIterator():  # 16 tasks, a row for each word at most
-        seen[row["column"]] += np.frombuffer(row["sums"], "<f4")
-    seen *= idf[:, None]
-    own = np.zeros((n, len(items)), np.float32)
-    for k, item in enumerate(items):
-        np.add.at(own[:, k], item.words, idf[item.words])
-    wanted = own @ (own.T @ start)
+        some = np.nonzero(held)[0]
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part]), pa.ListArray.from_arrays(offsets, pa.array(total[part].astype(np.float64).ravel()))], ["column", "held", "sums"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidied(count), "column long, held long, sums array<double>")
+    added = rows.groupBy("column").agg(F.sum("held").alias("held"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    held, product = np.zeros(n + 1), np.zeros((n, width))
+    for row in added.toLocalIterator():  # a row for each word of a bounded block of items
+        held[row["column"]] = row["held"]
+        if row["column"] < n:
+            product[row["column"]] = row["sums"]
+    return held, product
+
+
+def latent_basis(product: np.ndarray, start: np.ndarray, idf: np.ndarray, items: list[Item], rank: int) -> np.ndarray:
+    """Leading right singular vectors, as columns, of the TF-IDF matrix of all blocks with the items stacked on it.
+
+    With weights W the sketch of its Gram matrix W T' T W at W^-1 start is W (T' T start), so weights need not be known before the pass.
+    """
+    seen, test = idf[:, None] * product, start / idf[:, None]
+    wanted = np.zeros_like(test)
+    for item in items:
+        words, counts = np.unique(item.words, return_counts=True)
+        weights = counts * idf[words]
+        wanted[words] += np.outer(weights, weights @ test[words])
     unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
-    return np.linalg.qr(unit(seen) + unit(wanted))[0].astype(np.float32)
+    return _nystrom(unit(seen) + unit(wanted), test, rank)
+
+
+def _nystrom(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of a positive semi-definite matrix G from sketch = G test."""
+    shift = 1e-7 * np.linalg.norm(sketch) / max(np.linalg.norm(test), 1e-12)
+    core = test.T @ (sketch + shift * test)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-10 * values.max()
+    half = (sketch + shift * test) @ (vectors[:, kept] / np.sqrt(values[kept]))
+    left, singular, _ = np.linalg.svd(half, full_matrices=False)
+    singular = np.sqrt(np.maximum(0, singular**2 - shift))  # G's eigenvalues are the TF-IDF matrix's singular values squared
+    kept = singular[:rank] > LEAST_VALUE * singular[0]
+    return left[:, :rank][:, kept].astype(np.float32)
 
 
 def make_probe(docs: DataFrame, rows: list, rank: int, seed: int) -> Probe | None:
-    """Vocabulary, weights and latent vectors for a block of the benchmark."""
+    """Vocabulary, weights and latent vectors for a block of the benchmark, by one pass over docs."""
     vocabulary, items = read_items(rows)
     if not items:
         return None
-    idf = inverse_frequencies(docs, vocabulary)
-    basis = idf[:, None] * latent_basis(docs, vocabulary, idf, items, rank, seed)
-    return Probe(pa.array(vocabulary, pa.string()), idf, basis, items, np.stack([basis[item.words].sum(0) for item in items]))
+    start = np.random.default_rng(seed).normal(size=(len(vocabulary), min(rank + OVERSAMPLING, len(vocabulary)))).astype(np.float32)
+    held, product = corpus_sketch(docs, vocabulary, start)
+    idf = np.log((held[-1] + 1) / (held[:-1] + 1)).astype(np.float32) + np.float32(0.1)
+    short: dict[int, list[Item]] = {}
+    for item in items:
+        if len(item.words) < LEAST_WORDS:
+            short.setdefault(item.words[0], []).append(item)
+    items = [item for item in items if len(item.words) >= LEAST_WORDS]
+    basis = idf[:, None] * latent_basis(product, start.astype(np.float64), idf.astype(np.float64), items, rank)
+    latent = np.stack([basis[item.words].sum(0) for item in items]) if items else np.zeros((0, basis.shape[1]), np.float32)
+    return Probe(pa.array(vocabulary, pa.string()), idf, basis, items, latent, short)
 
 
 def common(words: list[int], text: list[int]) -> int:
@@ -223,10 +251,13 @@ def found_in(texts: pa.Array, probe: Probe, cosine: float, cover: float, ratio:
         norms, own = np.maximum(np.linalg.norm(passage, axis=1), 1e-12), np.maximum(np.linalg.norm(probe.latent, axis=1), 1e-12)
         edges = np.searchsorted(block, np.arange(n + 1))
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        for at in range(0, n, 8192):
-            near = passage[at : at + 8192] @ (probe.latent / own[:, None]).T
+        for text, item, at in _verbatim(probe, column, owner[block], block - firsts[owner[block]]):
+            best[text, item.item_id] = (1.0, 1.0, at)
+        directions, step = (probe.latent / own[:, None]).T, max(64, COMPARED_AT_ONCE // max(1, len(probe.items)))
+        for at in range(0, n if probe.items else 0, step):
+            near = passage[at : at + step] @ directions
             covered = near >= cover * own
-            near /= norms[at : at + 8192, None]
+            near /= norms[at : at + step, None]
             for row, k in zip(*(x.tolist() for x in np.nonzero(covered & (near >= cosine)))):
                 item, b = probe.items[k], at + row
                 text = int(owner[b])
@@ -238,6 +269,17 @@ def found_in(texts: pa.Array, probe: Probe, cosine: float, cover: float, ratio:
             yield first + text, item_id, *values
 
 
+def _verbatim(probe: Probe, column: np.ndarray, owner: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, Item, int]]:
+    """(text, item, first word of its block) for every short item whose words follow each other in a text."""
+    if not probe.short:
+        return
+    for at in np.nonzero(np.isin(column, list(probe.short)))[0].tolist():
+        for item in probe.short[int(column[at])]:
+            end = at + len(item.words)
+            if end <= len(column) and owner[end - 1] == owner[at] and column[at:end].tolist() == item.words:
+                yield int(owner[at]), item, int(block[at]) * BLOCK_WORDS
+
+
 def probes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, seed: int = 11) -> Iterator[Probe]:
     """The benchmark in blocks of a bounded number of items, by item_id."""
     ordered = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator()
