@@ -1,5 +1,6 @@
 """Near duplicates, repeated passages, conversation collapse and vector search against brute force."""
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -187,7 +188,7 @@ def test_passages_across_sentences_equal_brute_force(spark, monkeypatch, filter_
         docs.append((k, "".join(w + rng.choice([" ", " ", " ", ". ", "\n", " \n "]) for w in words)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {d: set() for d, _ in docs}
-    for r in substring_dedup.repeated_passages(df, min_words=9).collect():
+    for r in substring_dedup.repeated_passages(df, "sentence", min_words=9).collect():
         assert not got[r.doc_id] & set(range(r.span_start, r.span_end)) and r.kept_doc_id <= r.doc_id
         assert r.words == len(dict(docs)[r.doc_id][r.span_start : r.span_end].split())
         got[r.doc_id].update(range(r.span_start, r.span_end))
@@ -220,9 +221,18 @@ def snapshots():
     return rows + [rows[0], rows[3]]
 
 
-@pytest.mark.parametrize("block", [1, 2, 1024])
-def test_snapshot_collapse(spark, monkeypatch, block):
-    monkeypatch.setattr(chat, "BLOCK", block)
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_snapshot_collapse(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)  # conversations lie in one range or several
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_snapshots(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_snapshots(spark):
     df = spark.createDataFrame([(*r, "x") for r in snapshots()], "conv_id long, turn long, role string, text string, number string")
     kept = chat.maximal_conversations(df)
     assert sorted({r.conv_id for r in kept.collect()}) == [2, 5, 7]
@@ -231,6 +241,20 @@ def test_snapshot_collapse(spark, monkeypatch, block):
     for r in chat.render_turns(kept).collect():
         assert rendered[r.conv_id][r.start : r.start + len(r.segment)] == r.segment
     assert chat.render_turns(chat.maximal_conversations(df.where("false"))).count() == 0
+    assert sorted((r.number, r.turn) for r in kept.where("conv_id = 2").collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_many_turns_without_a_conversation(spark):
+    """Rows of null conv_id with null and equal turn numbers are one conversation in order."""
+    rows = [(None, None if k % 3 else 5, "user", f"text {k}") for k in range(300)]
+    df = spark.createDataFrame(rows + rows[:50], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = sorted((r.number, r.start, r.text) for r in chat.maximal_conversations(df).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted((t is not None, hashlib.md5(x.encode()).hexdigest(), x) for _, t, _, x in rows)
+    assert [x for *_, x in kept] == [x for *_, x in order] and [n for n, *_ in kept] == list(range(1, 301))
+    lengths = [len(f"<|im_start|>user\n{x}<|im_end|>\n") for *_, x in kept]
+    assert [s for _, s, _ in kept] == [sum(lengths[:k]) for k in range(300)]
 
 
 def test_nearest_recall_ties_and_bad_vectors(spark):

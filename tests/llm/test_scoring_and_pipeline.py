@@ -164,12 +164,56 @@ def test_leaks_are_found_and_clean_texts_stay(spark):
     assert decontamination.contaminations(df.where("false"), items).count() == 0
 
 
+def test_block_frequencies_and_singular_values(spark):
+    """The pass over the corpus against plain counts and numpy's own decomposition."""
+    bench, docs, _ = leaked(5)
+    df = spark.createDataFrame([*docs, (None, None), (1, "")], "doc_id long, text string").repartition(3)
+    words, items = decontamination.read_items([b for b in bench if b[1]])
+    index = {w: k for k, w in enumerate(words)}
+    blocks = []
+    for _, text in docs:
+        code = [index.get(w, -1) for w in decontamination.words_of(text)]
+        blocks += [[c for c in code[a : a + 32] if c >= 0] for a in range(0, len(code), 32)]
+    counts = np.zeros((len(blocks), len(words)))
+    for k, block in enumerate(blocks):
+        np.add.at(counts[k], block, 1)
+    start = np.random.default_rng(1).normal(size=(len(words), 60)).astype(np.float32)
+    held, product = decontamination.corpus_sketch(df, words, start)
+    assert held.tolist() == [*(counts > 0).sum(0).tolist(), len(blocks)]
+    assert np.allclose(product, counts.T @ (counts @ start), rtol=1e-3, atol=1e-2)
+    matrix = np.random.default_rng(2).normal(size=(200, 40)) * 0.5 ** np.arange(40)
+    gram = matrix.T @ matrix
+    test = np.random.default_rng(3).normal(size=(40, 16))
+    found = decontamination._nystrom(gram @ test, test, 6)
+    _, _, right = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(np.abs((found.T @ right[:6].T).diagonal()), 1, atol=1e-3)
+
+
+def test_more_items_than_the_rank_and_short_ones_in_long_texts(spark):
+    rng, words = random.Random(12), vocabulary(3000)
+    mixed = words + words[:12] * 30
+    bench = [(k, sentence(rng, mixed, rng.choice([8, 12, 30])) + " " + sentence(rng, mixed, 5)) for k in range(500)] + [(900, "quolomi terqui"), (901, "Zzun badoren valun.")]
+    docs = []
+    for k in range(400):
+        text = [rng.choice(mixed) for _ in range(rng.choice([30, 120, 600]))]
+        if k % 2 == 0:
+            text[len(text) // 2 : len(text) // 2] = bench[k // 2][1].split()
+        docs.append((k, " ".join(text)))
+    docs += [(1000, "so said zzun badoren, valun and more"), (1001, "zzun badoren and valun")]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminations(df, items).collect()}
+    planted = {(k, k // 2) for k in range(0, 400, 2)} | {(1000, 901)}
+    assert len(planted - got) <= 2 and (1000, 901) in got
+    assert len({d for d, _ in got} - {d for d, _ in planted}) <= 2
+
+
 def test_candidates_miss_no_checked_pair(spark):
     """Every block region against every item by the word checks alone finds the same documents."""
     bench, docs, _ = leaked(8)
     df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     words, parts = decontamination.read_items([b for b in bench if b[1]])
-    idf = decontamination.inverse_frequencies(df, words)
+    parts = [p for p in parts if len(p.words) >= decontamination.LEAST_WORDS]
+    idf = decontamination.make_probe(df, [b for b in bench if b[1]], 128, 11).idf
     index = {w: k for k, w in enumerate(words)}
     expected = set()
     for k, text in docs:
@@ -208,6 +252,32 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     assert simhash.drop_similar(df.where("false")).count() == 0
 
 
+def test_wide_fingerprints_find_cut_and_edited_copies():
+    """Pairs at a similarity of 0.80 to 0.90, cut short or edited in places: nearly all share two bytes and stay within the bits."""
+    rng, found, total = np.random.default_rng(3), 0, 0
+    for n in (60, 150, 400):
+        for similarity in (0.8, 0.85, 0.9):
+            for k in range(120):
+                one = rng.integers(0, 1 << 62, n)
+                shared = int(np.ceil(similarity * n if k % 2 else 2 * n * similarity / (1 + similarity)))
+                two = one[:shared] if k % 2 else np.concatenate([one[:shared], rng.integers(0, 1 << 62, n - shared)])
+                a, b = (simhash.wide_fingerprint(np.sort(x)) for x in (one, two))
+                x, y = a.view(np.uint8), b.view(np.uint8)
+                met = any(x[i] == y[i] and x[j] == y[j] for i, j in simhash.BYTE_PAIRS)
+                found += met and np.bitwise_count(a ^ b).sum() <= simhash.WIDE_BITS and np.bitwise_count(a[0] ^ b[0]) <= simhash.FIRST_BITS
+                total += 1
+    assert found >= 0.98 * total
+
+
+def test_clashing_column_names_pass_through(spark):
+    names = ["_id", "_hash", "hash", "second", "own", "text_id", "_row"]
+    words = " ".join(vocabulary()[:40])
+    df = spark.createDataFrame([(1, words, *names), (2, words, *names), (3, None, *names)], "doc_id int, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = simhash.drop_similar(df)
+    assert kept.dtypes == df.dtypes
+    assert [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(1, words, *names), (3, None, *names)]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
