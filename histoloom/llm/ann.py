@@ -2,14 +2,16 @@
 
 Vectors get one more component that makes all norms equal, so the largest inner product is the nearest neighbour. Trees are
 fitted on a bounded sample; every vector is indexed in one leaf of each tree. A query walks all trees through one queue
-ordered by the least margin on the way, and visits the leaves that come first. Leaves are scored exactly, in double
-precision on the original vectors, and each query keeps the best of all leaves.
+ordered by the sum of squared margins on the way, and visits the leaves that come first. Leaves are scored exactly, in double
+precision on the original vectors, and each query keeps the best of all leaves. Leaves and queries beyond a task's share are
+dealt out in chunks, none is left away.
 
-Equal vectors are one entry with their k + 1 least ids, which is all that a query can need of them.
+Equal vectors are one entry with their k + 1 least ids, which is all that a query can need of them. Vectors have inner
+products with those of their own length only, so each length has a forest of its own.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; null ids take no part; rows that repeat an id are entries like any other; fewer than k candidates are all returned;
-an empty table gives no rows; other columns are ignored.
+Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; null ids take no part;
+rows that repeat an id are entries like any other; ties go to the smaller id; fewer than k candidates are all returned; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histoloom.llm.workers import tidied
 from histoloom.session import stage
 
 #: Entries that one task scores against at once, and queries.
@@ -79,9 +82,10 @@ class Forest:
             yield out
 
     def nearest_leaves(self, vector: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves by the least margin on the way, over all trees."""
+        """The first `most` leaves by the sum of squared margins on the way, over all trees."""
         margins = self.normals @ vector.astype(np.float32) - self.offsets
-        queue = [(-np.inf, root) for root in self.roots]
+        squares = (margins * margins).tolist()
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         found: list[int] = []
         while queue and len(found) < most:
@@ -89,7 +93,7 @@ class Forest:
             while node >= 0:
                 margin, (left, right) = margins[node], self.children[node]
                 near, far = (left, right) if margin <= 0 else (right, left)
-                heapq.heappush(queue, (max(cost, abs(margin)), far))
+                heapq.heappush(queue, (cost + squares[node], far))
                 node = near
             found.append(-node)
         return found
@@ -108,20 +112,26 @@ def _norm2(vector: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = 16, leaf_rows: int = 128, sample_rows: int = 8192, visits: int = 72, seed: int = 7
+    vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = 4, leaf_rows: int = 128, sample_rows: int = 8192, visits: int = 64, seed: int = 7
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every row for which is_query (over the column id) holds.
 
-    sample_rows bounds the sample that the trees are fitted on; leaf_rows is the size of a leaf in it.
+    sample_rows bounds the sample that the trees are fitted on; leaf_rows is the size of a leaf in it; a query visits as many
+    leaves of all trees together.
     """
-    rows = stage(usable(vectors, id_column, vector_column), "vectors")
-    widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if widths is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    rows = rows.where(F.size("vector") == widths["width"])
-    largest, n = rows.agg(F.max(_norm2(F.col("vector"))), F.count("*")).first()
+    rows = stage(usable(vectors, id_column, vector_column).withColumn("width", F.size("vector")), "vectors")
+    widths = [r[0] for r in rows.select("width").distinct().orderBy("width").collect()]  # lengths of vectors: a few
+    found = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
+    for width in widths:
+        found = found.union(_nearest_of(rows.where(F.col("width") == width).drop("width"), is_query, k, trees, leaf_rows, sample_rows, visits, seed))
+    return found
+
+
+def _nearest_of(rows: DataFrame, is_query: Column, k: int, trees: int, leaf_rows: int, sample_rows: int, visits: int, seed: int) -> DataFrame:
+    """nearest for vectors of one length."""
+    largest = rows.agg(F.max(_norm2(F.col("vector")))).first()[0]
     ordered = Window.partitionBy("vector").orderBy("id")
-    entries = rows.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = rows.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = stage(entries.withColumn("entry", F.element_at("ids", 1)), "entries")
 
     order = F.xxhash64("entry", F.lit(seed))
@@ -129,7 +139,7 @@ def nearest(
     even = lambda x: np.hstack([x, np.sqrt(np.maximum(0, largest - (x * x).sum(1)))[:, None]])
     forest = rows.sparkSession.sparkContext.broadcast(Forest(even(sample), trees, leaf_rows, seed))
 
-    def matrix(column: pa.Array, offset_of: pa.Array | None = None) -> np.ndarray:
+    def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +148,30 @@ def nearest(
                 for leaf in forest.value.home(even(matrix(batch.column("vector")))):
                     yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("ids"), batch.column("vector")], ["leaf", "ids", "vector"])
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(forest.value.leaves + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                for leaf in forest.value.home(even(matrix(batch.column("vector")))):
+                    total += np.bincount(leaf, minlength=len(total))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["leaf", "n"])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 found = [forest.value.nearest_leaves(v, visits) for v in even(matrix(batch.column("vector")))]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column("id").take(at), batch.column("vector").take(at)], ["leaf", "id", "vector"])
-
-    queries = rows.where(is_query)
-    indexed = entries.select("ids", "vector").mapInArrow(index, "leaf int, ids array<long>, vector array<double>")
-    probes = queries.mapInArrow(probe, "leaf int, id long, vector array<double>")
-    chunks = stage(indexed.groupBy("leaf").agg((F.floor(F.count("*") / CHUNK_ROWS) + 1).cast("int").alias("chunks")), "leaves")
-    asked = stage(probes.groupBy("leaf").agg((F.floor(F.count("*") / CHUNK_QUERIES) + 1).cast("int").alias("asks")), "leaves")
-    parts = chunks.join(asked, "leaf")
-    indexed = indexed.join(parts, "leaf").withColumn("chunk", F.pmod(F.xxhash64("ids"), "chunks").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    probes = probes.join(parts, "leaf").withColumn("ask", F.pmod(F.xxhash64("id"), "asks").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(found, pa.list_(pa.int32()))], ["id", "vector", "leaves"])
+
+    asked = stage(rows.where(is_query).mapInArrow(tidied(probe), "id long, vector array<double>, leaves array<int>"), "asked")
+    probes = asked.select("id", "vector", F.explode("leaves").alias("leaf"))
+    parts = lambda n, rows_: (F.floor(n / rows_) + 1).cast("int")
+    chunks = entries.select("vector").mapInArrow(tidied(sizes), "leaf int, n long").groupBy("leaf").agg(parts(F.sum("n"), CHUNK_ROWS).alias("chunks"))
+    asks = probes.groupBy("leaf").agg(parts(F.count("*"), CHUNK_QUERIES).alias("asks"))
+    both = F.broadcast(stage(chunks.join(asks, "leaf"), "leaves"))  # a row for each leaf of the bounded sample
+    indexed = entries.select("ids", "vector").mapInArrow(tidied(index), "leaf int, ids array<long>, vector array<double>").join(both, "leaf")
+    indexed = indexed.withColumn("chunk", F.pmod(F.xxhash64("ids"), "chunks").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    probes = probes.join(both, "leaf").withColumn("ask", F.pmod(F.xxhash64("id"), "asks").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def score(asking: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
