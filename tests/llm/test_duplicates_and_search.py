@@ -262,11 +262,13 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     vectors = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
     vectors[100:200] = vectors[100]  # more copies than neighbours asked for
     rows = [(k, v.tolist(), "x") for k, v in enumerate(vectors)]
-    rows += [(5000, None, "x"), (5020, [0.0] * 16, "x"), (5040, [float("nan")] * 16, "x"), (5060, [1.0, None] * 8, "x"), (5080, [1.0], "x"), (None, [1.0] * 16, "x"), (5100, [], "x")]
+    narrow = [(6000 + k, [1.0 + k, 2.0], "x") for k in range(25)]  # of another length: a space of their own
+    rows += narrow + [(5000, None, "x"), (5020, [0.0] * 16, "x"), (5040, [float("nan")] * 16, "x"), (5060, [1.0, None] * 8, "x"), (5080, [3.0], "x"), (None, [1.0] * 16, "x"), (5100, [], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string").repartition(3)
     found = defaultdict(list)
     for r in ann.nearest(df, F.col("id") % 20 == 0, sample_rows=1024, leaf_rows=32).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
+    assert [v for v, _ in found.pop(6000)] == list(range(6024, 6004, -1)) and len(found.pop(6020)) == 20
     assert set(found) == set(range(0, 3000, 20))
     hits = 0
     for q, got in found.items():
