@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from histoloom.session import stage
 
 #: Points of a group up to which neighbours come from a join inside the group.
-WHOLE_GROUP = 2048
+WHOLE_GROUP = 128
+#: Buckets of a group along its longer side, at most: a power of two.
+MOST_BUCKETS = 4096
 
 
 def _bucket(v: Column, width: Column | float) -> Column:
@@ -31,15 +33,27 @@ def assign_to_tiles(cells: DataFrame, tiles: DataFrame, width: float, height: fl
     return cells.join(tiles, [group, "bx", "by"]).where(inside).drop("bx", "by")
 
 
+def _located(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """The rows with two finite coordinates."""
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))  # noqa: E731  NaN is larger than all
+    return df.where(finite(x) & finite(y))
+
+
 def nearest_within(cells: DataFrame, spots: DataFrame, radius: float, group: str = "slide") -> DataFrame:
-    """cells with spot_idx and d2 (squared distance) of the nearest spot within the radius, ties to the lower index; null beyond it."""
-    cells = cells.withColumns({"bx": _bucket(F.col("x"), radius), "by": _bucket(F.col("y"), radius)})
-    spots = spots.select(group, "spot_idx", F.col("x").alias("_sx"), F.col("y").alias("_sy"), _bucket(F.col("x"), radius).alias("bx"), _bucket(F.col("y"), radius).alias("by"))
-    d2 = (F.col("x") - F.col("_sx")) ** 2 + (F.col("y") - F.col("_sy")) ** 2
-    joined = cells.join(_spread(spots), [group, "bx", "by"], "left").withColumn("_d2", d2).withColumn("_d2", F.when(F.col("_d2") <= radius * radius, F.col("_d2")))
-    best = F.min(F.when(F.col("_d2").isNotNull(), F.struct("_d2", "spot_idx"))).alias("_best")
-    kept = [c for c in cells.columns if c not in ("bx", "by")]
-    return joined.groupBy(*kept).agg(best).select(*kept, F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
+    """cells with spot_idx and d2 (squared distance) of the nearest spot within the radius, ties to the lower index; null beyond it.
+
+    Repeated rows stay; cells without two finite coordinates get nulls, such spots are nobody's.
+    """
+    place = lambda x, y: F.struct(F.col(group).alias(group), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    places = _located(cells.select(group, "x", "y")).select(place("x", "y").alias("at")).distinct()
+    sought = places.select("at", F.col(f"at.{group}").alias(group), _bucket(F.col("at.x"), radius).alias("bx"), _bucket(F.col("at.y"), radius).alias("by"))
+    spots = _located(spots).select(group, "spot_idx", F.col("x").cast("double").alias("_sx"), F.col("y").cast("double").alias("_sy"), _bucket(F.col("x"), radius).alias("bx"), _bucket(F.col("y"), radius).alias("by"))
+    d2 = (F.col("at.x") - F.col("_sx")) ** 2 + (F.col("at.y") - F.col("_sy")) ** 2
+    joined = sought.join(_spread(spots), [group, "bx", "by"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius)
+    best = joined.groupBy("at").agg(F.min(F.struct("_d2", "spot_idx")).alias("_best"))
+    best = best.select(F.col(f"at.{group}").alias("_g"), F.col("at.x").alias("_x"), F.col("at.y").alias("_y"), F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
+    same = (cells[group] == best["_g"]) & (cells["x"].cast("double") == best["_x"]) & (cells["y"].cast("double") == best["_y"])
+    return cells.join(best, same, "left").drop("_g", "_x", "_y")
 
 
 def radius_graph(points: DataFrame, radius: float, group: str = "slide", node: str = "cell_id") -> DataFrame:
@@ -58,38 +72,49 @@ def _ranked(pairs: DataFrame, group: str, k: int) -> DataFrame:
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", exclude_self: bool = True) -> DataFrame:
     """(group, src, dst, d2, rank): the k nearest points of each query in its group, ties to the lower id.
 
-    Groups of up to WHOLE_GROUP points are joined whole. In larger ones points stand in buckets of about k points; a query
-    looks at the buckets round its own, and is done once its k-th distance is within what they cover for sure. The others
-    look twice as far, and so on.
+    Points of groups of up to WHOLE_GROUP are compared with all of the group's queries. In larger ones points stand in buckets
+    of about k points; a query looks at its own and the eight round it, and is done once its k-th distance is within what these
+    cover for sure. The others look at buckets twice as wide, and so on, until the nine hold the whole group: after
+    log2(MOST_BUCKETS) + 1 rounds at most. Of points at one place only the k + 1 of the lowest ids are looked at.
+
+    Queries and points without two finite coordinates take no part; queries outside the points' extent look from its edge.
     """
-    q = queries.select(group, F.col(node).alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    p = points.select(group, F.col(node).alias("dst"), "x", "y")
+    q = _located(queries.select(group, F.col(node).alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy")), "qx", "qy")
+    p = _located(points.select(group, F.col(node).alias("dst"), "x", "y"))
+    p = p.withColumn("nth", F.row_number().over(Window.partitionBy(group, "x", "y").orderBy("dst"))).where(F.col("nth") <= k + 1).drop("nth")
     d2 = (F.col("qx") - F.col("x")) ** 2 + (F.col("qy") - F.col("y")) ** 2
     other = F.col("src") != F.col("dst") if exclude_self else F.lit(True)
     extent = p.groupBy(group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x9"), F.max("y").alias("y9"))
     side = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0")).cast("double")
-    extent = stage(extent.select(group, "n", "x0", "y0", side.alias("side"), F.greatest(side * F.sqrt(F.lit(float(k)) / F.col("n")), side / 4096, F.lit(1e-9)).alias("width")), "extents")
+    width = F.greatest(side * F.sqrt(F.lit(float(k)) / F.col("n")), side / MOST_BUCKETS, F.lit(1e-9))
+    extent = stage(extent.select(group, "n", "x0", "y0", "x9", "y9", width.alias("width")), "extents")
     small, large = extent.where(F.col("n") <= WHOLE_GROUP).select(group), extent.where(F.col("n") > WHOLE_GROUP)
-    found = _ranked(q.join(small, group, "left_semi").join(p, group).where(other).withColumn("d2", d2), group, k)
+    found = _ranked(q.join(small, group, "left_semi").join(p, group).where(other).withColumn("d2", d2), group, k).select(group, "src", "dst", "d2", "rank")
     if not large.take(1):
-        return found.select(group, "src", "dst", "d2", "rank")
-    place = lambda x, y: {"bx": F.floor((F.col(x) - F.col("x0")) / F.col("width")), "by": F.floor((F.col(y) - F.col("y0")) / F.col("width"))}
-    indexed = stage(p.join(large, group).withColumns(place("x", "y")).select(group, "bx", "by", "dst", "x", "y"), "buckets")
-    waiting, reach = stage(q.join(large, group).withColumns(place("qx", "qy")), "queries"), 1
-    done = []
-    while waiting.take(1):
-        near = _spread(waiting, reach).join(indexed, [group, "bx", "by"]).where(other).withColumn("d2", d2)
-        ranked = stage(_ranked(near.select(group, "src", "dst", "d2", "width", "side", "n"), group, k), "neighbours")
-        sure = F.col("width") * reach
-        enough = ranked.groupBy(group, "src").agg(F.count("*").alias("m"), F.max("d2").alias("last"), F.first("width").alias("width"), F.first("side").alias("side"), F.first("n").alias("n"))
-        wanted = F.least(F.lit(k), F.col("n") - (1 if exclude_self else 0))
-        finished = stage(enough.where(((F.col("m") >= wanted) & (F.col("last") <= sure * sure)) | (sure > 2 * F.col("side"))).select(group, "src"), "finished")
-        done.append(ranked.join(finished, [group, "src"], "left_semi").select(group, "src", "dst", "d2", "rank"))
-        waiting, reach = stage(waiting.join(finished, [group, "src"], "left_anti"), "queries"), reach * 2
-    found = found.select(group, "src", "dst", "d2", "rank")
-    for rows in done:
-        found = found.unionByName(rows)
-    return found
+        return found
+    inside = lambda v, low, high: F.least(F.greatest(F.col(v), F.col(low)), F.col(high))
+    place = lambda x, y: {"bx": F.floor((x - F.col("x0")) / F.col("width")), "by": F.floor((y - F.col("y0")) / F.col("width"))}
+    indexed = stage(p.join(large, group).withColumns(place(F.col("x"), F.col("y"))).select(group, "bx", "by", "dst", "x", "y"), "buckets")
+    at_edge = {"ex": inside("qx", "x0", "x9"), "ey": inside("qy", "y0", "y9")}
+    waiting = q.join(large, group).withColumns(at_edge).withColumns(place(F.col("ex"), F.col("ey")))
+    inner = (F.col("qx") == F.col("ex")) & (F.col("qy") == F.col("ey"))
+    waiting = waiting.select(group, "src", "qx", "qy", "bx", "by", "width", "n", inner.alias("inner"))
+    wider = 1
+    while True:
+        wide = lambda df: df.withColumns({c: F.floor(F.col(c) / wider) for c in ("bx", "by")})  # noqa: B023, E731
+        near = _spread(wide(waiting)).join(wide(indexed), [group, "bx", "by"]).where(other).withColumn("d2", d2)
+        ranked = _ranked(near.select(group, "src", "dst", "d2", "width", "n", "inner"), group, k)
+        if wider >= MOST_BUCKETS:  # the nine hold all
+            return found.unionByName(ranked.select(group, "src", "dst", "d2", "rank"))
+        ranked = stage(ranked, "neighbours")
+        sure = F.first("width") * wider
+        wanted = F.least(F.lit(k), F.first("n") - (1 if exclude_self else 0))
+        enough = ranked.groupBy(group, "src").agg((F.first("inner") & (F.count("*") >= wanted) & (F.max("d2") <= sure * sure)).alias("enough"))
+        finished = stage(enough.where("enough").select(group, "src"), "finished")
+        found = found.unionByName(ranked.join(finished, [group, "src"], "left_semi").select(group, "src", "dst", "d2", "rank"))
+        waiting, wider = stage(waiting.join(finished, [group, "src"], "left_anti"), "queries"), wider * 2
+        if not waiting.take(1):
+            return found
 
 
 def knn_graph(points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", dedupe: bool = False) -> DataFrame:

@@ -83,6 +83,36 @@ def test_knn_in_large_groups_equals_brute_force(spark, monkeypatch):
             assert [d for _, d in sorted(got[slide, k])] == [j for _, j in best]
 
 
+def test_nearest_points_with_odd_coordinates(spark, monkeypatch):
+    """Null and NaN coordinates take no part, far queries and heaps of points at one place end and are right."""
+    monkeypatch.setattr(spatial, "WHOLE_GROUP", 8)
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 50, (120, 2)).round(1)
+    xy[40:80] = xy[40]
+    xy[119] = 1e6  # stretches the extent
+    rows = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(xy)]
+    odd = [("a", 900, None, 1.0), ("a", 901, float("nan"), 1.0), ("a", 902, 1.0, float("inf")), ("b", 903, None, None)]
+    queries = [("a", 1000, -3e4, 20.0), ("a", 1001, 25.0, 25.0), ("a", 1002, float("nan"), 0.0), ("c", 1003, 0.0, 0.0), *rows[35:45]]
+    got = {}
+    for r in spatial.k_nearest(points(spark, queries), points(spark, rows + odd), 3).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    want = {}
+    for _, src, x, y in queries:
+        if src not in (1002, 1003):
+            near = sorted(((px - x) ** 2 + (py - y) ** 2, k) for k, (px, py) in enumerate(xy) if k != src)
+            want[src] = [k for _, k in near[:3]]
+    assert got == want
+
+
+def test_nearest_within_keeps_repeated_rows(spark):
+    cells = spark.createDataFrame([("a", 1, 0.0, 0.0, {"k": 1}), ("a", 1, 0.0, 0.0, {"k": 1}), ("a", 2, 3.0, 0.0, None), ("a", 3, None, 0.0, None), (None, 4, 0.0, 0.0, None)], "slide string, cell_id long, x double, y double, more map<string,int>")
+    spots = spark.createDataFrame([("a", 5, 0.0, 1.0), ("a", 6, None, 0.0), ("a", 7, 0.0, 1.0)], "slide string, spot_idx long, x double, y double")
+    got = spatial.nearest_within(cells, spots, 2.0)
+    assert got.columns == [*cells.columns, "spot_idx", "d2"]
+    assert sorted((r.cell_id, r.spot_idx, r.d2) for r in got.collect() if r.cell_id == 1) == [(1, 5, 1.0)] * 2
+    assert sorted((r.cell_id, r.spot_idx) for r in got.collect() if r.cell_id > 1) == [(2, None), (3, None), (4, None)]
+
+
 def test_nearest_within_ties_and_nulls(spark):
     cells = points(spark, [("a", 1, 0.0, 0.0), ("a", 2, 50.0, 0.0), ("b", 3, 0.0, 0.0)])
     spots = spark.createDataFrame([("a", 9, 3.0, 0.0), ("a", 4, -3.0, 0.0)], "slide string, spot_idx int, x double, y double")
