@@ -230,7 +230,7 @@ def pieces(docs: DataFrame, likely: np.ndarray, unit: str, unit_words: int, min_
             passed = likely[((least >> np.uint64(6)) & np.uint64(len(likely) - 1)).astype(np.int64)] >> (least & np.uint64(63)) & np.uint64(1) == 1
             at, least, place = at[passed], least[passed].view(np.int64), place[passed]
             opens = np.nonzero(np.diff(place, prepend=-1))[0]  # where runs begin
-            closes = np.append(opens[1:], len(at))
+            closes = np.append(opens[1:], len(at))[: len(opens)]
             firsts = np.searchsorted(owner, np.arange(len(ids) + 1))
             begins, finishes, edges = [], [], []
             for k, text in enumerate(texts):

@@ -205,6 +205,19 @@ def test_passage_that_begins_and_ends_inside_sentences(spark):
     assert substring_dedup.repeated_passages(df.where("false")).count() == 0
 
 
+def test_runs_without_any_likely_window(spark):
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(3)] + [(3, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = substring_dedup.pieces(df, np.zeros(1, np.uint64), "line", 4, 50).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.words, r.window) for r in rows) == [(k, 0, len(docs[k][1]), 60, False) for k in range(3)]
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a\u3000b\xa0c\x1fd\n", "é 日本 x", "a\u200bb c"])
+def test_word_spans(text):
+    start, end = substring_dedup.word_spans(text)
+    assert [text[a:b] for a, b in zip(start, end)] == text.split()
+
+
 def test_sentence_offsets_cover_the_text():
     for kind in substring_dedup.ENDS.values():
         for text in ("a. b! c\n\nd?", "...", "\n", "x", "é. 日本. "):
