@@ -14,13 +14,15 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "row_idx") -> t
     Range-partitioned and sorted, with the row's source position as last key so that equal keys need not share a task;
     partition bases come from the prefix sums of partition counts.
     """
-    placed = df.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order, "_at").drop("_at")
-    placed = placed.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    free = "_" * (1 + max(map(len, df.columns), default=0))  # longer than any name of theirs
+    at, part, inside, base, n = (free + x for x in ("at", "part", "in", "base", "n"))
+    placed = df.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*order, at).sortWithinPartitions(*order, at).drop(at)
+    placed = placed.withColumns({part: F.spark_partition_id(), inside: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     placed = stage(placed, "numbered")
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = F.broadcast(counts.select("_part", base.alias("_base")))
-    return placed.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base"), placed.count()
+    counts = placed.groupBy(part).agg(F.count("*").alias(n))  # a row for each partition
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = F.broadcast(counts.select(part, before.alias(base)))
+    return placed.join(bases, part).withColumn(name, F.col(base) + F.col(inside)).drop(part, inside, base), placed.count()
 
 
 def k_folds(samples: DataFrame, order: Column | str, folds: int = 10) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from histoloom.operators import expression, quality
 from histoloom.plans import column_queries, views
 from histoloom.plans.registry import query
-from histoloom.session import shared_path, table
+from histoloom.session import posix_path, shared_path, table
 from histoloom.sources import readers, writers
 from histoloom.streaming.incremental import ingest_slides
 
@@ -15,25 +17,31 @@ C, B, E = views.CELLS_SQL, views.BARCODES_SQL, views.EXPR_SQL
 
 
 def _text(df, column: str, path: str, order: str) -> None:
-    """One text file in a given order; lists of genes and the like are small by nature."""
-    df.orderBy(order).coalesce(1).select(F.col(column).alias("value")).write.text(path)
+    """Text files whose names and lines follow a given order."""
+    df.orderBy(order).select(F.col(column).alias("value")).write.text(path)
+
+
+def _touch(paths) -> None:
+    """Tasks make a file of one byte at each path (column `path`) of a mounted folder that all executors share."""
 
+    def make(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(b"\0")
+            yield batch
 
-def _put(spark, path: str) -> None:
-    """A file of one byte, through the file system that holds the folder."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop_path)
-    out.write(0)
-    out.close()
+    paths.mapInArrow(make, "path string").write.format("noop").mode("overwrite").save()
 
 
 def _cell_store(spark, sf_dir) -> str:
     folder = shared_path(spark, "cell-features")
-    writers.write_cell_features(views.cells(spark, sf_dir).where("slide < 40"), folder)
+    writers.write_cell_features(views.cells(spark, sf_dir), folder)
     return folder
 
 
-@query("s01_l01_first_feature_files", f"WITH {C}, s AS (SELECT DISTINCT slide FROM cells WHERE slide < 40 ORDER BY 'slide=' || slide::VARCHAR || '/' LIMIT 3) SELECT cell_id, x, y FROM cells WHERE slide IN (SELECT slide FROM s)")
+@query("s01_l01_first_feature_files", f"WITH {C}, s AS (SELECT DISTINCT slide FROM cells ORDER BY 'slide=' || slide::VARCHAR || '/' LIMIT 3) SELECT cell_id, x, y FROM cells WHERE slide IN (SELECT slide FROM s)")
 def first_feature_files(spark, sf_dir):
     return readers.read_cell_features(spark, _cell_store(spark, sf_dir), limit=3).select("cell_id", "x", "y")
 
@@ -79,10 +87,10 @@ def read_sample_metadata(spark, sf_dir):
     return readers.read_sample_metadata(spark, path).select("tissue", F.col("pixel_size_um_estimated").alias("pixel"), F.coalesce("spot_diameter", F.lit(-1.0)).alias("diameter"))
 
 
-@query("s06_read_nuclei", f"WITH {C} SELECT CASE WHEN cell_id % 3 = 0 THEN 'n' || cell_id::VARCHAR ELSE cell_id::VARCHAR END AS cell, CASE WHEN cell_id % 3 <> 0 THEN cell_id::INTEGER END AS cell_id, x::DOUBLE AS x, (y + 0.5)::DOUBLE AS y, 3 AS points FROM cells WHERE slide < 20 AND cell_id % 5 <> 0")
+@query("s06_read_nuclei", f"WITH {C} SELECT CASE WHEN cell_id % 3 = 0 THEN 'n' || cell_id::VARCHAR ELSE cell_id::VARCHAR END AS cell, CASE WHEN cell_id % 3 <> 0 THEN cell_id::INTEGER END AS cell_id, x::DOUBLE AS x, (y + 0.5)::DOUBLE AS y, 3 AS points FROM cells WHERE cell_id % 5 <> 0")
 def read_nuclei(spark, sf_dir):
     path = shared_path(spark, "nuclei")
-    cells = views.cells(spark, sf_dir).where("slide < 20")
+    cells = views.cells(spark, sf_dir)
     name = F.when(F.col("cell_id") % 3 == 0, F.concat(F.lit("n"), F.col("cell_id").cast("string"))).otherwise(F.col("cell_id").cast("string"))
     point = lambda a, b: F.array((F.col("x") + a).cast("int"), (F.col("y") + b).cast("int"))
     contour = F.when(F.col("cell_id") % 5 != 0, F.array(point(0, 0), point(4, 0), point(0, 4))).otherwise(F.array().cast("array<array<int>>"))
@@ -91,10 +99,10 @@ def read_nuclei(spark, sf_dir):
     return readers.read_nuclei(spark, path).select("cell", "cell_id", "x", "y", F.size("contour").alias("points"))
 
 
-@query("s07_single_cell_export", f"WITH {C} SELECT cell_id, x::DOUBLE AS x_centroid, coalesce(label, -1) AS cluster, 3 AS vertices, FALSE AS has_more FROM cells LEFT JOIN embeddings ON vec_id = cell_id WHERE slide < 20")
+@query("s07_single_cell_export", f"WITH {C} SELECT cell_id, x::DOUBLE AS x_centroid, coalesce(label, -1) AS cluster, 3 AS vertices, FALSE AS has_more FROM cells LEFT JOIN embeddings ON vec_id = cell_id")
 def single_cell_export(spark, sf_dir):
     folder = shared_path(spark, "export")
-    cells = views.cells(spark, sf_dir).where("slide < 20")
+    cells = views.cells(spark, sf_dir)
     areas = [F.lit(50.0).alias("cell_area"), F.lit(20.0).alias("nucleus_area")]
     cells.select("cell_id", F.col("x").cast("double").alias("x_centroid"), F.col("y").cast("double").alias("y_centroid"), *areas).write.option("header", True).csv(f"{folder}/cells.csv")
     corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0.0, 0.0), (5.0, 0.0), (0.0, 5.0))]))
@@ -108,24 +116,23 @@ def single_cell_export(spark, sf_dir):
     return joined.select("cell_id", "x_centroid", F.coalesce("Cluster", F.lit(-1)).alias("cluster"), "vertices", F.lit(any(x is not None for x in missing.values())).alias("has_more"))
 
 
-@query("s08_read_segmentation", f"WITH {C} SELECT cell_id, octet_length(encode(x::VARCHAR || ',' || y::VARCHAR))::INTEGER AS bytes FROM cells WHERE slide < 20")
+@query("s08_read_segmentation", f"WITH {C} SELECT cell_id, octet_length(encode(x::VARCHAR || ',' || y::VARCHAR))::INTEGER AS bytes FROM cells")
 def read_segmentation(spark, sf_dir):
     path = shared_path(spark, "segmentation")
     geometry = F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string")).cast("binary")
-    views.cells(spark, sf_dir).where("slide < 20").select("cell_id", geometry.alias("geometry")).write.parquet(path)
+    views.cells(spark, sf_dir).select("cell_id", geometry.alias("geometry")).write.parquet(path)
     return readers.read_segmentation(spark, path).select("cell_id", F.octet_length("geometry").alias("bytes"))
 
 
-@query("s09_list_tiles", f"WITH {C}, {views.TILES_SQL} SELECT 's' || slide::VARCHAR AS slide, tile_id::INTEGER AS tile_id, x1::INTEGER AS x1, y2::INTEGER AS y2 FROM tiles WHERE slide < 6")
+@query("s09_list_tiles", f"WITH {C}, {views.TILES_SQL} SELECT 's' || slide::VARCHAR AS slide, tile_id::INTEGER AS tile_id, x1::INTEGER AS x1, y2::INTEGER AS y2 FROM tiles")
 def list_tiles(spark, sf_dir):
-    """Empty image files with tile names, put there by tasks' partition folders, and others that are no tiles."""
+    """Image files with tile names, put there by tasks, and one that is no tile."""
     folder = shared_path(spark, "tiles")
-    tiles = views.tiles(spark, sf_dir).where("slide < 6")
     number = lambda c: F.col(c).cast("string")
-    name = F.concat(F.lit("s"), number("slide"), F.lit("_patch_tile_"), number("tile_id"), F.lit("_level0_"), number("x1"), F.lit("-"), number("y1"), F.lit("-"), number("x2"), F.lit("-"), number("y2"))
-    for row in tiles.select(F.concat(name, F.lit(".png")).alias("n")).toLocalIterator():  # a few dozen names
-        _put(spark, f"{folder}/in/{row['n']}")
-    _put(spark, f"{folder}/overview.png")
+    name = F.concat(F.lit("s"), number("slide"), F.lit("_patch_tile_"), number("tile_id"), F.lit("_level0_"), number("x1"), F.lit("-"), number("y1"), F.lit("-"), number("x2"), F.lit("-"), number("y2"), F.lit(".png"))
+    root = posix_path(folder)
+    tiles = views.tiles(spark, sf_dir).select(F.concat(F.lit(f"{root}/in/"), name).alias("path"))
+    _touch(tiles.union(tiles.select(F.lit(f"{root}/overview.png")).distinct()))
     return readers.list_tiles(spark, folder).select("slide", "tile_id", "x1", "y2")
 
 
@@ -150,21 +157,22 @@ def csr_to_long(spark, sf_dir):
     return expression.csr_to_long(arrays, "matrix").select("matrix", "row", "column", "value")
 
 
-@query("s12_s13_l05_u04_discover_samples", f"WITH {C} SELECT slide::VARCHAR AS sample_id, slide % 2 = 0 AS complete FROM cells WHERE slide < 12 GROUP BY slide")
+@query("s12_s13_l05_u04_discover_samples", f"WITH {C} SELECT slide::VARCHAR AS sample_id, slide % 2 = 0 AS complete, slide < 12 AS wanted FROM cells GROUP BY slide")
 def discover_samples(spark, sf_dir):
+    """All samples' files, put there by tasks; which are complete, and which a given list (with repeats and unknown names) asks for."""
     folder = shared_path(spark, "samples")
-    for row in views.cells(spark, sf_dir).where("slide < 12").select("slide").distinct().toLocalIterator():  # a dozen names
-        _put(spark, f"{folder}/data/{row['slide']}.h5ad")
-        _put(spark, f"{folder}/seg/{row['slide']}.parquet")
-        if row["slide"] % 2 == 0:
-            _put(spark, f"{folder}/img/{row['slide']}{'_norm' if row['slide'] % 4 else ''}.tif")
+    root, slide = posix_path(folder), F.col("slide").cast("string")
+    image = F.when(F.col("slide") % 2 == 0, F.concat(F.lit(f"{root}/img/"), slide, F.when(F.col("slide") % 4 == 0, "").otherwise("_norm"), F.lit(".tif")))
+    files = F.array(F.concat(F.lit(f"{root}/data/"), slide, F.lit(".h5ad")), F.concat(F.lit(f"{root}/seg/"), slide, F.lit(".parquet")), image)
+    _touch(views.cells(spark, sf_dir).select("slide").distinct().select(F.explode(files).alias("path")).where("path is not null"))
     complete = readers.complete_inputs(readers.list_files(spark, f"{folder}/seg", "*.parquet"), readers.list_files(spark, f"{folder}/img", "*.tif"))
-    wanted = readers.discover_samples(spark, f"{folder}/data", wanted=[str(k) for k in (*range(11, -1, -1), 3, 999)]).where("found")
-    every = readers.discover_samples(spark, f"{folder}/data").select("sample_id").join(wanted.select("sample_id"), "sample_id", "left_semi")
-    return every.join(complete.withColumn("complete", F.lit(True)), "sample_id", "left").select("sample_id", F.coalesce("complete", F.lit(False)).alias("complete"))
+    wanted = readers.discover_samples(spark, f"{folder}/data", wanted=[str(k) for k in (*range(11, -1, -1), 3, 99_999)]).where("found")
+    every = readers.discover_samples(spark, f"{folder}/data").select("sample_id")
+    flagged = every.join(complete.withColumn("complete", F.lit(True)), "sample_id", "left").join(wanted.select("sample_id", F.lit(True).alias("wanted")), "sample_id", "left")
+    return flagged.select("sample_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("complete", "wanted")])
 
 
-@query("s14_write_cell_features", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, sum(x)::BIGINT AS x FROM cells WHERE slide < 40 GROUP BY 1")
+@query("s14_write_cell_features", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, sum(x)::BIGINT AS x FROM cells GROUP BY 1")
 def write_cell_features(spark, sf_dir):
     folder = _cell_store(spark, sf_dir)
     writers.write_cell_features(views.cells(spark, sf_dir).where("slide between 5 and 9"), folder)  # again: only these slides are replaced
@@ -262,12 +270,12 @@ def accumulated_batches(spark, sf_dir):
     return spark.read.parquet(folder).groupBy("slide").agg(F.count("*").alias("cells"))
 
 
-@query("r01_incremental_slides", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, max(cell_id) AS last FROM cells WHERE slide < 30 GROUP BY 1")
+@query("r01_incremental_slides", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, max(cell_id) AS last FROM cells GROUP BY 1")
 def incremental_slides(spark, sf_dir):
     source, sink, checkpoint = (shared_path(spark, f"stream-{x}") for x in ("source", "sink", "checkpoint"))
     cells = views.cells(spark, sf_dir)
-    for low, high in ((0, 14), (15, 29)):
-        cells.where(f"slide between {low} and {high}").repartition(2, "slide").write.mode("append").parquet(source)
+    for half in (0, 1):
+        cells.where(F.col("slide") % 2 == half).repartition(2, "slide").write.mode("append").parquet(source)
         ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()
     ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()  # nothing new
     return spark.read.parquet(sink).groupBy("slide").agg(F.count("*").alias("cells"), F.max("cell_id").alias("last"))

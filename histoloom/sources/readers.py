@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histoloom.functions import ids
+from histoloom.operators.ordering import number_rows
 
 #: Beginnings of lines in a gene list that are notes.
 NOTES = r"^(Efficiently|Total|Detection|Samples)"
@@ -56,9 +57,15 @@ def read_expression_wide(spark: SparkSession, path: str, cut_ids: bool = True) -
     return numbers.unpivot("gene_id", [F.col(f"`{c}`") for c in samples], "sample_id", "value")
 
 
+def _file_order() -> Column:
+    """Sorts rows by file name, then by their place in the file; Spark reads files in an order of its own."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, value) of one text file; ids follow file order, without being contiguous."""
-    return spark.read.text(path).withColumn("row_idx", F.monotonically_increasing_id())
+    """(row_idx, value) of a text file, or of several in the order of their names."""
+    lines = spark.read.text(path).select("value", _file_order().alias("_order"))
+    return number_rows(lines, "_order", name="row_idx")[0].select("row_idx", "value")
 
 
 def read_gene_map(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +104,7 @@ def read_cells_export(spark: SparkSession, folder: str) -> dict[str, DataFrame |
     """The three optional tables of a single-cell export: cells, boundaries (with vertex order) and clusters."""
     boundaries = _optional_csv(spark, f"{folder}/cell_boundaries.csv", BOUNDARIES)
     if boundaries is not None:
-        boundaries = boundaries.select("cell_id", F.monotonically_increasing_id().alias("vertex_idx"), F.col("vertex_x").alias("x"), F.col("vertex_y").alias("y"))
+        boundaries = boundaries.select("cell_id", _file_order().alias("vertex_idx"), F.col("vertex_x").alias("x"), F.col("vertex_y").alias("y"))
     return {"cells": _optional_csv(spark, f"{folder}/cells.csv", CELLS), "boundaries": boundaries, "clusters": _optional_csv(spark, f"{folder}/clusters.csv", CLUSTERS)}
 
 
