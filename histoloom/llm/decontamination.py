@@ -71,6 +71,7 @@ class Probe:
     basis: np.ndarray
     items: list[Item]
     latent: np.ndarray
+    rare: list[frozenset[int]]
     short: dict[int, list[Item]]
 
 
@@ -202,7 +203,7 @@ def make_probe(docs: DataFrame, rows: list, rank: int, seed: int) -> Probe | Non
     items = [item for item in items if len(item.words) >= LEAST_WORDS]
     basis = idf[:, None] * latent_basis(product, start.astype(np.float64), idf.astype(np.float64), items, rank)
     latent = np.stack([basis[item.words].sum(0) for item in items]) if items else np.zeros((0, basis.shape[1]), np.float32)
-    return Probe(pa.array(vocabulary, pa.string()), idf, basis, items, latent, short)
+    return Probe(pa.array(vocabulary, pa.string()), idf, basis, items, latent, [rare_words(item, idf) for item in items], short)
 
 
 def common(words: list[int], text: list[int]) -> int:
@@ -219,16 +220,18 @@ def common(words: list[int], text: list[int]) -> int:
     return len(words) - rows.bit_count()
 
 
-def check(item: Item, idf: np.ndarray, region: list[int], ratio: float) -> float:
+def rare_words(item: Item, idf: np.ndarray) -> frozenset[int]:
+    """The rarer half of an item's words."""
+    own = sorted(set(item.words), key=lambda w: (-idf[w], w))
+    return frozenset(own[: -(-len(own) // 2)])
+
+
+def check(item: Item, rare: frozenset[int], region: list[int], ratio: float) -> float:
     """Share of the item's words that the region holds in order, or 0 if the region is no copy or paraphrase of it."""
-    share = common(item.words, region) / len(item.words)
-    if share < ratio:
+    if len(rare.intersection(region)) < ratio * len(rare):
         return 0.0
-    there, own = set(region), sorted(set(item.words), key=lambda w: (-idf[w], w))
-    rare = own[: -(-len(own) // 2)]
-    if sum(w in there for w in rare) < ratio * len(rare):
-        return 0.0
-    if item.answer and common(item.answer, region) < len(item.answer) / 2:
+    share = common(item.words, region) / len(item.words)
+    if share < ratio or item.answer and common(item.answer, region) < len(item.answer) / 2:
         return 0.0
     return share
 
@@ -258,11 +261,14 @@ def found_in(texts: pa.Array, probe: Probe, cosine: float, cover: float, ratio:
             near = passage[at : at + step] @ directions
             covered = near >= cover * own
             near /= norms[at : at + step, None]
+            region, last = [], -1
             for row, k in zip(*(x.tolist() for x in np.nonzero(covered & (near >= cosine)))):
                 item, b = probe.items[k], at + row
                 text = int(owner[b])
                 low, high = max(int(firsts[text]), b - 1), min(int(firsts[text + 1]), b + 3)
-                share = check(item, probe.idf, column[edges[low] : edges[high]].tolist(), ratio)
+                if row != last:
+                    region, last = column[edges[low] : edges[high]].tolist(), row
+                share = check(item, probe.rare[k], region, ratio)
                 if share and (text, item.item_id) not in best or share > best.get((text, item.item_id), (0.0,))[0]:
                     best[text, item.item_id] = (share, float(near[row, k]), (low - int(firsts[text])) * BLOCK_WORDS)
         for (text, item_id), values in best.items():

@@ -220,7 +220,7 @@ def test_candidates_miss_no_checked_pair(spark):
         code = [index.get(w, -1) for w in decontamination.words_of(text)]
         for low in range(-32, len(code), 32):
             region = code[max(0, low) : low + 128]
-            expected |= {(k, p.item_id) for p in parts if region and decontamination.check(p, idf, region, 0.6)}
+            expected |= {(k, p.item_id) for p in parts if region and decontamination.check(p, decontamination.rare_words(p, idf), region, 0.6)}
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminations(df, items).collect()}
     assert len(expected - got) <= 0.02 * len(expected) and got <= expected
 
