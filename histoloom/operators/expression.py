@@ -133,3 +133,8 @@ def csr_to_long(matrix: DataFrame, *keys: str) -> DataFrame:
     rows = matrix.select(*keys, "data", "indices", F.posexplode(ends).alias("row", "span")).where(F.col("span.end") > F.col("span.start"))
     at = rows.select(*keys, "row", "data", "indices", F.explode(F.sequence(F.col("span.start"), F.col("span.end") - 1)).alias("at"))
     return at.select(*keys, "row", F.get("indices", F.col("at").cast("int")).alias("column"), F.get("data", F.col("at").cast("int")).alias("value"))
+
+
+def sum_to_group(cells: DataFrame, group: str = "slide", gene: str = "gene", value: str = "pred") -> DataFrame:
+    """(group, gene, value): predictions of cells summed up to their slide (or tile, or spot)."""
+    return cells.groupBy(group, gene).agg(F.sum(value).alias(value))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.functions import vectors
+from histoloom.operators.reduce import vector_mean, vector_sum
 
 
 def node_index(nodes: DataFrame, graph: str, row: str) -> DataFrame:
@@ -69,10 +70,8 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, graph: str, node: str, ve
     degree = every.groupBy(graph, "dst").agg(F.count("*").alias("d"))
     of_src, of_dst = degree.toDF(graph, "src", "ds"), degree.toDF(graph, "dst", "dd")
     weighed = every.join(of_src, [graph, "src"]).join(of_dst, [graph, "dst"]).withColumn("w", 1 / F.sqrt(F.col("ds").cast("double") * F.col("dd")))
-    sent = weighed.join(nodes.select(graph, F.col(node).alias("src"), vector), [graph, "src"])
-    parts = sent.select(graph, F.col("dst").alias(node), "w", F.posexplode(vector).alias("dim", "v")).groupBy(graph, node, "dim").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "v")))
-    return parts.groupBy(graph, node).agg(F.transform(ordered, lambda x: x["v"]).alias(vector))
+    sent = weighed.join(nodes.where(F.col(vector).isNotNull()).select(graph, F.col(node).alias("src"), vector), [graph, "src"])
+    return sent.groupBy(graph, F.col("dst").alias(node)).agg(vector_sum(vector, "w").alias(vector))
 
 
 def softmax_pool(scores: DataFrame, graph: str, gene: str, score: str = "score", value: str = "value") -> DataFrame:
@@ -85,8 +84,13 @@ def softmax_pool(scores: DataFrame, graph: str, gene: str, score: str = "score",
 def compactness(cells: DataFrame, graph: str, label: str = "label", vector: str = "features", skip_below_zero: bool = True) -> DataFrame:
     """(graph, compactness): over labels with several cells, the sum of mean distances to the label's centroid."""
     named = cells.where(F.col(label) >= 0) if skip_below_zero else cells.where(F.col(label) != -1)
-    means = named.select(graph, label, F.posexplode(vector).alias("dim", "v")).groupBy(graph, label, "dim").agg(F.avg("v").alias("m"), F.count("*").alias("n")).where("n > 1")
-    centroids = means.groupBy(graph, label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("_c"))
+    named = named.where(F.col(vector).isNotNull())
+    centroids = named.groupBy(graph, label).agg(vector_mean(vector).alias("_c"), F.count(vector).alias("_n")).where("_n > 1").drop("_n")
     distance = F.sqrt(vectors.squared_distance(F.col(vector), F.col("_c")))
     by_label = named.join(centroids, [graph, label]).groupBy(graph, label).agg(F.avg(distance).alias("d"))
     return by_label.groupBy(graph).agg(F.sum("d").alias("compactness"))
+
+
+def attach_labels(nodes: DataFrame, labels: DataFrame, node: str = "cell_id", label: str = "label", name: str = "cluster", missing: int = -1) -> DataFrame:
+    """nodes with the label of each as `name`; those without one get `missing`. labels: a row for each node at most."""
+    return nodes.join(labels.select(node, F.col(label).alias(name)), node, "left").withColumn(name, F.coalesce(name, F.lit(missing)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,24 @@ def first_seen(df: DataFrame, key: list[str], row: str, name: str) -> DataFrame:
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
     """Each value at its first position."""
     return df.groupBy(value).agg(F.min(position).alias(position))
+
+
+def first_items(df: DataFrame, *order: Column | str, n: int = 10) -> DataFrame:
+    """The first n rows in the order of the columns: a limit that is the feature (slides of a trial run, a preview)."""
+    return df.orderBy(*order).limit(n)
+
+
+def least_difference(df: DataFrame, group: str, level: str, value: str, wanted: float) -> DataFrame:
+    """(group, level): of each group's levels the one whose value is nearest to the wanted one, ties to the lower level."""
+    return df.groupBy(group).agg(F.min_by(level, F.struct(F.abs(F.col(value) - wanted), level)).alias(level))
+
+
+def union_of_splits(splits: dict[str, DataFrame], name: str = "split") -> DataFrame:
+    """The rows of all splits, by column name, with the split's name beside them."""
+    parts = [df.withColumn(name, F.lit(key)) for key, df in splits.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
+    """Each combination of the columns once."""
+    return df.select(*columns).distinct()

@@ -76,3 +76,8 @@ def with_siblings(tiles: DataFrame, *others: DataFrame, key: str = "stem") -> Da
     for other in others:
         tiles = tiles.join(other.select(key).distinct(), key, "left_semi")
     return tiles
+
+
+def vector_widths(cells: DataFrame, vector: str = "features") -> DataFrame:
+    """(width, cells): how many vectors there are of each length; one row where a store is sound."""
+    return cells.groupBy(F.size(vector).alias("width")).agg(F.count("*").alias("cells"))

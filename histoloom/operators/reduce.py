@@ -6,44 +6,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from histoloom.functions.vectors import squared_distance
 from histoloom.session import stage
 
 
+#: Bytes of Gram matrices that a task keeps before it sends them on.
+KEPT_BYTES = 64 << 20
+
+
+def vector_sum(column: str, weight: str | None = None) -> Column:
+    """Aggregate: the sum of arrays of one length, component by component, combined before it is shuffled."""
+    vector = array_to_vector(F.col(column).cast("array<double>"))
+    return vector_to_array(Summarizer.sum(vector, F.col(weight)) if weight else Summarizer.sum(vector))
+
+
+def vector_mean(column: str) -> Column:
+    """Aggregate: the mean of arrays of one length."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(column).cast("array<double>"))))
+
+
 def fit_pca(cells: DataFrame, k: int, group: str = "slide", vector: str = "features") -> DataFrame:
     """(group, component, variance, ratio, mean, axis): the leading min(k, n, d) components of every group, centred.
 
-    Tasks send one sum and one Gram matrix for each group, never cells; those of a group are merged and decomposed.
+    Tasks send one sum and one Gram matrix for each group they meet, never cells; Spark adds those of a group up, one by one.
     Groups of zeros only have no variance and give no rows.
     """
     kind = cells.schema[group].dataType.simpleString()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(key, n, s, g.ravel()) for key, (n, s, g) in sums.items()]
+            sums.clear()
+            return pd.DataFrame(rows, columns=[group, "n", "s", "g"])
+
         for batch in batches:
             for key, rows in batch.groupby(group):
                 x = np.stack(rows[vector].to_numpy()).astype(np.float64)
                 n, s, g = sums.get(key, (0, 0.0, 0.0))
                 sums[key] = (n + len(x), s + x.sum(0), g + x.T @ x)
-        for key, (n, s, g) in sums.items():
-            yield pd.DataFrame({group: [key], "n": [n], "s": [s], "g": [g.ravel()]})
+                if len(sums) * x.shape[1] ** 2 * 8 > KEPT_BYTES:
+                    yield out()
+        if sums:
+            yield out()
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        n, s = parts["n"].sum(), np.sum(np.stack(parts["s"].to_numpy()), 0)
-        mean, d = s / n, len(s)
-        covariance = np.sum(np.stack(parts["g"].to_numpy()), 0).reshape(d, d) / n - np.outer(mean, mean)
-        values, axes = np.linalg.eigh(covariance)
-        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
-        total = values.sum()
-        m = min(k, n, d) if total > 0 else 0
-        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(d)])  # the largest part of an axis is positive
-        return pd.DataFrame({group: parts[group].iloc[0], "component": np.arange(m, dtype=np.int32), "variance": values[:m], "ratio": values[:m] / max(total, 1e-300), "mean": [mean] * m, "axis": [axes[:, j] for j in range(m)]})
-
-    sent = cells.select(group, vector).where(F.col(vector).isNotNull()).mapInPandas(partial, f"{group} {kind}, n long, s array<double>, g array<double>")
-    return sent.groupBy(group).applyInPandas(merge, f"{group} {kind}, component int, variance double, ratio double, mean array<double>, axis array<double>")
+    def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n, mean = row.n, np.asarray(row.s) / row.n
+                d = len(mean)
+                values, axes = np.linalg.eigh(np.asarray(row.g).reshape(d, d) / n - np.outer(mean, mean))
+                values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
+                total = values.sum()
+                m = min(k, n, d) if total > 0 else 0
+                axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(d)])  # the largest part of an axis is positive
+                yield pd.DataFrame({group: row[0], "component": np.arange(m, dtype=np.int32), "variance": values[:m], "ratio": values[:m] / max(total, 1e-300), "mean": [mean] * m, "axis": [axes[:, j] for j in range(m)]})
+
+    rows = cells.select(group, vector).where(F.col(vector).isNotNull()).sortWithinPartitions(group)
+    sent = rows.mapInPandas(partial, f"{group} {kind}, n long, s array<double>, g array<double>")
+    added = sent.groupBy(group).agg(F.sum("n").alias("n"), vector_sum("s").alias("s"), vector_sum("g").alias("g"))
+    return added.mapInPandas(decompose, f"{group} {kind}, component int, variance double, ratio double, mean array<double>, axis array<double>")
 
 
 def project(cells: DataFrame, model: DataFrame, group: str = "slide", vector: str = "features") -> DataFrame:
@@ -79,11 +107,11 @@ def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_
         return rows.join(table, group).withColumn("label", nearest["label"]).drop("_c")
 
     for _ in range(rounds):
-        means = assigned(centroids).select(group, "label", F.posexplode(vector).alias("dim", "v")).groupBy(group, "label", "dim").agg(F.avg("v").alias("m"))
-        moved = means.groupBy(group, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("_moved"))
-        after = centroids.join(moved, [group, "label"], "left").withColumn("after", F.coalesce("_moved", "centroid"))
-        after = stage(after.select(group, "label", F.col("after").alias("centroid"), (squared_distance(F.col("after"), F.col("centroid")) > 1e-12).alias("went")), "centroids")
-        centroids = after.drop("went")
-        if not after.where("went").take(1):
+        moved = assigned(centroids).groupBy(group, "label").agg(vector_mean(vector).alias("moved"))
+        after = centroids.join(moved, [group, "label"], "left").select(group, "label", "centroid", F.coalesce("moved", "centroid").alias("after"))
+        went, seen = squared_distance(F.col("after"), F.col("centroid")) > 1e-12, Observation()
+        after = after.withColumn("went", went).observe(seen, F.max("went").alias("went"))
+        centroids = stage(after.select(group, "label", F.col("after").alias("centroid")), "centroids")
+        if not seen.get["went"]:
             break
     return assigned(centroids)

@@ -139,3 +139,14 @@ def nuclei_to_tiles(nuclei: DataFrame, tiles: DataFrame) -> DataFrame:
 def positional_map(cells: DataFrame, spots: DataFrame, group: str = "slide") -> DataFrame:
     """The i-th cell with the i-th spot of its group; null beyond the shorter list."""
     return cells.join(spots.select(group, "row_idx", "spot_idx"), [group, "row_idx"], "left")
+
+
+def coordinate_range(points: DataFrame, group: str = "slide") -> DataFrame:
+    """(group, min_x, max_x, min_y, max_y)."""
+    return points.groupBy(group).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def tile_lattice(tiles: DataFrame, group: str = "slide", fallback: int = 512) -> DataFrame:
+    """(group, width, height, x0, y0): size of the group's first tile (the fallback where it has none) and the lattice's origin."""
+    size = lambda a, b: F.coalesce(F.min_by(F.col(b) - F.col(a), "tile_id"), F.lit(fallback).cast("long"))
+    return tiles.groupBy(group).agg(size("x1", "x2").alias("width"), size("y1", "y2").alias("height"), F.min("x1").alias("x0"), F.min("y1").alias("y0"))

@@ -46,7 +46,7 @@ def gene_stats(spark, sf_dir):
 
 @query("a05_sum_to_slide", f"WITH {C} SELECT slide, cell_id % 7 AS gene, sum(x)::BIGINT AS pred FROM cells GROUP BY ALL")
 def sum_to_slide(spark, sf_dir):
-    return views.cells(spark, sf_dir).groupBy("slide", (F.col("cell_id") % 7).alias("gene")).agg(F.sum("x").alias("pred"))
+    return expression.sum_to_group(views.cells(spark, sf_dir).select("slide", (F.col("cell_id") % 7).alias("gene"), F.col("x").alias("pred")))
 
 
 @query("p19_zscore", f"WITH {E}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr WHERE sample_id % 5 <> 0 GROUP BY 1) SELECT sample_id, gene, round((value - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 4) + 0.0::DOUBLE AS value FROM expr JOIN s USING (gene)")
@@ -290,7 +290,7 @@ def first_genes(spark, sf_dir):
 
 @query("a37_feature_width", "SELECT len(embedding)::INTEGER AS width, count(*) AS cells FROM embeddings GROUP BY 1")
 def feature_width(spark, sf_dir):
-    return views.features(spark, sf_dir).groupBy(F.size("features").alias("width")).agg(F.count("*").alias("cells"))
+    return quality.vector_widths(views.features(spark, sf_dir))
 
 
 @query("a38_ingest_report", f"WITH {C}, s AS (SELECT slide, count(*) AS cells, slide % 9 <> 0 AS ok FROM cells GROUP BY 1) SELECT count(*) AS samples, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) * 100.0 / count(*), 4)::DOUBLE AS success_rate, (sum(cells) FILTER (ok))::BIGINT AS cells, floor((sum(cells) FILTER (ok))::DOUBLE / count(*) FILTER (ok))::BIGINT AS mean_cells FROM s")

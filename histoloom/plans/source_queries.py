@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from histoloom.operators import expression, quality
+from histoloom.operators import expression, ordering, quality
 from histoloom.plans import column_queries, views
 from histoloom.plans.registry import query
 from histoloom.session import posix_path, shared_path, table
@@ -236,19 +236,19 @@ def missing_columns(spark, sf_dir):
 @query("l02_l04_first_items", "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 10")
 def first_items(spark, sf_dir):
     """A limit that is the feature: the first ten items by position."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(10)
+    return ordering.first_items(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", n=10)
 
 
 @query("l06_least_difference", "SELECT p_brand, arg_min(p_partkey, (abs(p_size - 25), p_partkey)) AS level FROM part GROUP BY 1")
 def least_difference(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_size") - 25), "p_partkey")).alias("level"))
+    return ordering.least_difference(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", 25).withColumnRenamed("p_partkey", "level")
 
 
 @query("u01_union_of_splits", f"WITH {C} SELECT cell_id, CASE WHEN slide % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM cells")
 def union_of_splits(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
-    side = lambda condition, name: cells.where(condition).select("cell_id", F.lit(name).alias("split"))
-    return side("slide % 5 != 0", "train").unionByName(side("slide % 5 = 0", "test"))
+    side = lambda condition: cells.where(condition).select("cell_id")
+    return ordering.union_of_splits({"train": side("slide % 5 != 0"), "test": side("slide % 5 = 0")})
 
 
 @query("u02_union_of_completed", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
@@ -259,7 +259,7 @@ def union_of_completed(spark, sf_dir):
 
 @query("u05_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    return ordering.distinct_values(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
 @query("u06_accumulated_batches", f"WITH {C} SELECT slide, count(*) AS cells FROM cells GROUP BY 1")

@@ -81,7 +81,7 @@ def radius_else_knn(spark, sf_dir):
 @query("j12_attach_cluster", f"WITH {views.CELLS_SQL} SELECT cell_id, coalesce(label, -1) AS cluster FROM cells LEFT JOIN embeddings ON vec_id = cell_id")
 def attach_cluster(spark, sf_dir):
     clusters = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), "label")
-    return views.cells(spark, sf_dir).join(clusters, "cell_id", "left").select("cell_id", F.coalesce("label", F.lit(-1)).alias("cluster"))
+    return graphs.attach_labels(views.cells(spark, sf_dir), clusters).select("cell_id", "cluster")
 
 
 @query("j15_align_lengths", "WITH f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events WHERE event_id % 3 = 0) SELECT r AS row_idx, vec_id, event_id FROM f JOIN p USING (r)")
@@ -122,7 +122,7 @@ def nearest_distance_stats(spark, sf_dir):
 
 @query("a10_coordinate_range", f"WITH {views.CELLS_SQL} SELECT slide, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM cells GROUP BY 1")
 def coordinate_range(spark, sf_dir):
-    return views.cells(spark, sf_dir).groupBy("slide").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    return spatial.coordinate_range(views.cells(spark, sf_dir))
 
 
 @query("a20_compactness", f"WITH {views.FEATURES_SQL}, v AS (SELECT cell_id, slide, label, unnest(range(1, 65)) AS d, unnest(features)::DOUBLE AS v FROM features), m AS (SELECT slide, label, d, avg(v) AS m, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT v.slide, v.label, cell_id, sqrt(sum((v.v - m.m) * (v.v - m.m))) AS dist FROM v JOIN m ON v.slide = m.slide AND v.label = m.label AND v.d = m.d WHERE n > 1 GROUP BY ALL), l AS (SELECT slide, label, avg(dist) AS dist FROM q GROUP BY ALL) SELECT slide, round(sum(dist), 4) AS compactness FROM l GROUP BY 1")
@@ -132,8 +132,7 @@ def compactness(spark, sf_dir):
 
 @query("a27_a28_tile_lattice", f"WITH {views.CELLS_SQL}, {views.TILES_SQL} SELECT slide, arg_min(x2 - x1, tile_id) AS width, arg_min(y2 - y1, tile_id) AS height, min(x1) AS x0, min(y1) AS y0 FROM tiles GROUP BY 1")
 def tile_lattice(spark, sf_dir):
-    size = lambda a, b: F.coalesce(F.min_by(F.col(b) - F.col(a), "tile_id"), F.lit(512).cast("long"))
-    return views.tiles(spark, sf_dir).groupBy("slide").agg(size("x1", "x2").alias("width"), size("y1", "y2").alias("height"), F.min("x1").alias("x0"), F.min("y1").alias("y0"))
+    return spatial.tile_lattice(views.tiles(spark, sf_dir))
 
 
 @query("a29_spot_arrays", f"WITH {views.CELLS_SQL}, {views.TILES_SQL}, {TILED_SQL} SELECT tile, string_agg(cell_id::VARCHAR, ',' ORDER BY cell_id) AS cell_id, string_agg(x::VARCHAR, ',' ORDER BY cell_id) AS x FROM tiled GROUP BY 1")
