@@ -29,6 +29,7 @@ def importable_on_workers(spark: SparkSession) -> None:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     env = spark.sparkContext.environment
+    env.setdefault("MALLOC_ARENA_MAX", "1")  # glibc then gives free memory back to the system instead of keeping it by thread
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
