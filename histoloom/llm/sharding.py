@@ -5,7 +5,8 @@ p mod shards and its slot p div shards, so shard sizes differ by one row at most
 from its number alone, and the inverse permutation gives the number that stands at a shard and slot.
 
 Defined cases: null doc_ids sort first; rows equal in all columns are numbered side by side in any order; null text has no
-bytes and the checksum of an empty string; an empty table gives no rows; further columns are carried.
+bytes and the checksum of an empty string; texts of any length are digested whole; an empty table gives no rows; further
+columns are carried, but for row_number, shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -62,8 +63,9 @@ def shard_rows(df: DataFrame, shards: int, seed: int, order: list[str]) -> DataF
     def place(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    placed = numbered.withColumn("_place", place("row_number"))
-    return placed.withColumns({"shard": (F.col("_place") % shards).cast("int"), "slot": F.floor(F.col("_place") / shards)}).drop("_place")
+    at = "_" * (1 + max(map(len, df.columns))) + "place"  # longer than any name of theirs
+    placed = numbered.withColumn(at, place("row_number"))
+    return placed.withColumns({"shard": (F.col(at) % shards).cast("int"), "slot": F.floor(F.col(at) / shards)}).drop(at)
 
 
 def row_at(shard: int, slot: int, n: int, shards: int, seed: int) -> int:

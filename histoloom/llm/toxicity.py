@@ -36,6 +36,8 @@ from histoloom.llm.workers import tidied
 SAMPLE_ROWS = 20_000
 #: Word beginnings that the classifier looks at, by their lengths, and how many it keeps.
 BEGINNINGS, FEATURES = (5, 6, 7, 8), 1024
+#: Distinct stretches that a worker keeps its findings of.
+KNOWN_STRETCHES = 150_000
 #: Times as many that it chooses from.
 CANDIDATES = 8
 #: Signs, runs counted once, beyond which letters mixed with digits and not set apart are keys and hashes; also what restorations are kept of.
@@ -188,7 +190,7 @@ class Reader:
         self._known: dict[str, tuple[int, tuple[str, ...]]] = {}
 
     def _look(self, stretch: str) -> tuple[int, tuple[str, ...]]:
-        if len(self._known) > 200_000:
+        if len(self._known) > KNOWN_STRETCHES:
             self._known.clear()
         bare = stretch.strip(_ENDS)
         if not _SUSPECT.search(bare):
