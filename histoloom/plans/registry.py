@@ -11,7 +11,7 @@ from histoloom.session import importable_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("column_queries", "spatial_queries", "expression_queries", "source_queries")
+_MODULES = ("column_queries", "spatial_queries", "expression_queries", "source_queries", "bulk_queries")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -21,7 +21,7 @@ def _text(df, column: str, path: str, order: str) -> None:
     df.orderBy(order).select(F.col(column).alias("value")).write.text(path)
 
 
-def _touch(paths) -> None:
+def touch(paths) -> None:
     """Tasks make a file of one byte at each path (column `path`) of a mounted folder that all executors share."""
 
     def make(batches):
@@ -132,7 +132,7 @@ def list_tiles(spark, sf_dir):
     name = F.concat(F.lit("s"), number("slide"), F.lit("_patch_tile_"), number("tile_id"), F.lit("_level0_"), number("x1"), F.lit("-"), number("y1"), F.lit("-"), number("x2"), F.lit("-"), number("y2"), F.lit(".png"))
     root = posix_path(folder)
     tiles = views.tiles(spark, sf_dir).select(F.concat(F.lit(f"{root}/in/"), name).alias("path"))
-    _touch(tiles.union(tiles.select(F.lit(f"{root}/overview.png")).distinct()))
+    touch(tiles.union(tiles.select(F.lit(f"{root}/overview.png")).distinct()))
     return readers.list_tiles(spark, folder).select("slide", "tile_id", "x1", "y2")
 
 
@@ -164,7 +164,7 @@ def discover_samples(spark, sf_dir):
     root, slide = posix_path(folder), F.col("slide").cast("string")
     image = F.when(F.col("slide") % 2 == 0, F.concat(F.lit(f"{root}/img/"), slide, F.when(F.col("slide") % 4 == 0, "").otherwise("_norm"), F.lit(".tif")))
     files = F.array(F.concat(F.lit(f"{root}/data/"), slide, F.lit(".h5ad")), F.concat(F.lit(f"{root}/seg/"), slide, F.lit(".parquet")), image)
-    _touch(views.cells(spark, sf_dir).select("slide").distinct().select(F.explode(files).alias("path")).where("path is not null"))
+    touch(views.cells(spark, sf_dir).select("slide").distinct().select(F.explode(files).alias("path")).where("path is not null"))
     complete = readers.complete_inputs(readers.list_files(spark, f"{folder}/seg", "*.parquet"), readers.list_files(spark, f"{folder}/img", "*.tif"))
     wanted = readers.discover_samples(spark, f"{folder}/data", wanted=[str(k) for k in (*range(11, -1, -1), 3, 99_999)]).where("found")
     every = readers.discover_samples(spark, f"{folder}/data").select("sample_id")

@@ -1,10 +1,14 @@
-"""Incremental ingestion: new feature files are taken up once, by slide."""
+"""Incremental ingestion: new feature files are taken up once, by slide; failed and damaged slides are written again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from histoloom.session import stage
+from histoloom.sources.readers import exists
+
 
 def ingest_slides(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: str, group: str = "slide", files_at_once: int = 64) -> StreamingQuery:
     """Take up what is new under `source`, then stop.
@@ -17,3 +21,29 @@ def ingest_slides(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def slides_to_redo(spark: SparkSession, source: str, sink: str, schema: str, group: str = "slide") -> DataFrame:
+    """(group) of slides whose rows in the sink are missing or differ from those of the source: failed or damaged."""
+
+    def digest(rows: DataFrame) -> DataFrame:
+        columns = sorted(c for c in rows.columns if c != group)
+        return rows.groupBy(group).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
+
+    wanted = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(source)
+    if not exists(spark, f"{sink}/{group}=*"):
+        return wanted.select(group).distinct()
+    there = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(sink)
+    return digest(wanted).join(digest(there), [group, "n", "digest"], "left_anti").select(group)
+
+
+def redo_slides(spark: SparkSession, source: str, sink: str, schema: str, group: str = "slide", attempts: int = 3) -> int:
+    """Write failed and damaged slides again, whole, up to `attempts` times; how many are left."""
+    for _ in range(attempts):
+        redo = slides_to_redo(spark, source, sink, schema, group)
+        if not redo.take(1):
+            return 0
+        rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(source)
+        again = stage(rows.join(redo, group, "left_semi"), "slides-again")  # the sink is read for it
+        again.repartition(group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(group).parquet(sink)
+    return slides_to_redo(spark, source, sink, schema, group).count()

@@ -1,6 +1,9 @@
 """Edge rules on small rows, properties, and brute force for what SQL does not cover."""
 
+import glob
 import math
+import os
+import shutil
 
 import numpy as np
 import pytest
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 
 from histoloom.functions import geometry, ids, vectors
 from histoloom.operators import expression, graphs, metrics, ordering, quality, reduce, spatial
+from histoloom.sources import readers
+from histoloom.streaming import incremental
 
 
 def one(spark, column, **values):
@@ -258,3 +263,27 @@ def test_joins_have_no_nested_loops(spark):
     for df in (spatial.radius_graph(rows, 3.0), spatial.nearest_within(rows, rows.withColumnRenamed("cell_id", "spot_idx"), 3.0)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_failed_and_damaged_slides_are_redone(spark, tmp_path):
+    source, sink, schema = f"{tmp_path}/in", f"{tmp_path}/out", "cell_id bigint, slide bigint, x double"
+    rows = spark.range(60).select(F.col("id").alias("cell_id"), (F.col("id") % 6).alias("slide"), F.rand(1).alias("x"))
+    rows.write.parquet(source)
+    assert {r.slide for r in incremental.slides_to_redo(spark, source, sink, schema).collect()} == set(range(6))
+    incremental.ingest_slides(spark, source, sink, f"{tmp_path}/checkpoint", schema).awaitTermination()
+    assert incremental.slides_to_redo(spark, source, sink, schema).count() == 0
+    shutil.rmtree(f"{sink}/slide=2")
+    for file in glob.glob(f"{sink}/slide=4/*.parquet"):
+        with open(file, "r+b") as f:
+            f.truncate(20)
+    for crc in glob.glob(f"{sink}/slide=4/.*.crc"):
+        os.remove(crc)
+    assert {r.slide for r in incremental.slides_to_redo(spark, source, sink, schema).collect()} == {2, 4}
+    assert incremental.redo_slides(spark, source, sink, schema) == 0
+    assert spark.read.parquet(sink).count() == 60
+
+
+def test_lines_of_several_files_follow_their_names(spark, tmp_path):
+    for name, lines in (("b.txt", ["E4\tB", "E5\tC"]), ("a.txt", ["E1\tA", "E2\tB", "no tab", "E3\tC"] + [f"E{k}\tX" for k in range(10, 400)])):
+        (tmp_path / name).write_text("\n".join(lines))
+    assert {r.symbol: r.ens_id for r in readers.read_gene_map(spark, str(tmp_path)).collect()} == {"A": "E1", "B": "E4", "C": "E5", "X": "E399"}
