@@ -50,16 +50,23 @@ def fingerprint(text: str, words_each: int = 4) -> int:
     return fingerprint_of(text.encode().lower().split(), words_each)  # both touch ASCII only
 
 
-def fingerprint_of(words: list[bytes], words_each: int) -> int:
-    """SimHash of a word sequence."""
+def _hashes(words: list[bytes], words_each: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a word sequence; of the whole sequence, if it is shorter; nothing of no words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words_each, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+
+
+def fingerprint_of(words: list[bytes], words_each: int) -> int:
+    """SimHash of a word sequence."""
+    hashes = _hashes(words, words_each, SEED)
+    if not len(hashes):
+        return 0
     columns = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
@@ -221,9 +228,7 @@ BROADCAST_ROWS = 1_000_000
 
 def shingles(text: str, words_each: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct word shingles of a text; a shorter text is one shingle, an empty one none."""
-    words = text.encode().lower().split()
-    k = min(words_each, len(words))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[a : a + k])) for a in range(len(words) - k + 1)] if words else [], np.uint64)).view(np.int64)
+    return np.unique(_hashes(text.encode().lower().split(), words_each, 0)).view(np.int64)
 
 
 def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, similarity: float) -> np.ndarray:
@@ -246,7 +251,7 @@ def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, simi
 
 #: Words of 64 bits of a wide fingerprint; differing bits up to which two are linked, in all and in the first word (0.8 of
 #: the shingles in common make 39 and 10 on average, with deviations of 6 and 3; unrelated texts 128 and 32, with 8 and 4).
-WIDE_WORDS, WIDE_BITS, FIRST_BITS = 4, 58, 25
+WIDE_WORDS, WIDE_BITS, FIRST_BITS = 4, 58, 20
 #: Wide fingerprints that a leaf holds on average, and the pairs of bytes that the trees stand over.
 WIDE_LEAF_ROWS = 512
 BYTE_PAIRS = [(k, (k + step) % (8 * WIDE_WORDS)) for step in (1, 5, 11) for k in range(8 * WIDE_WORDS)]
@@ -259,7 +264,8 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     x = (hashes.view(np.uint64)[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     bits = np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little")
-    ahead = 2 * bits.sum(0, dtype=np.int64) - len(bits)
+    ones = sum(bits[k : k + 255].sum(0, dtype=np.uint8).astype(np.int64) for k in range(0, len(bits), 255))  # sums of bytes are fast
+    ahead = 2 * ones - len(bits)
     return np.packbits(np.where(ahead == 0, bits[0], ahead > 0), bitorder="little").view("<u8")
 
 
@@ -281,10 +287,11 @@ def wide_links(known: DataFrame) -> DataFrame:
         wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
         labels = np.arange(len(wide))
         points, queries = np.nonzero(chunk == rows["one"].iloc[0])[0], np.nonzero(chunk == rows["two"].iloc[0])[0]
-        for k in range(0, len(queries), 1024):
-            some = queries[k : k + 1024]
-            row, column = np.nonzero(np.bitwise_count(wide[some, 0][:, None] ^ wide[points, 0][None, :]) <= FIRST_BITS)
-            a, b = some[row], points[column]
+        alike = rows["one"].iloc[0] == rows["two"].iloc[0]
+        for k in range(0, len(queries), 256):
+            some, others = queries[k : k + 256], points[k:] if alike else points
+            row, column = np.nonzero(np.bitwise_count(wide[some, 0][:, None] ^ wide[others, 0][None, :]) <= FIRST_BITS)
+            a, b = some[row], others[column]
             close = (a != b) & (np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= WIDE_BITS)
             labels = _joined(labels, a[close], b[close])
         linked_rows = np.nonzero(labels != np.arange(len(wide)))[0]

@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histoloom.session import release, scratch, stage
+from histoloom.llm import rows as whole
 from histoloom.llm.workers import tidied
+from histoloom.session import release, scratch, stage
 
 #: Where a unit ends.
 ENDS = {"line": r"\n", "paragraph": r"\n\s*\n", "sentence": r"\n|[.!?]+(?=\s)"}
@@ -328,13 +329,15 @@ def repeated_passages(docs: DataFrame, unit: str = "line", unit_words: int = 4,
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut out of text, and the kept stretches as (start, end) of the original text in `kept_spans`. doc_ids are unique here."""
+    """docs with the spans cut out of text, and the kept stretches as (start, end) of the original text in `kept_spans` (which replaces a column of that name). doc_ids are unique here, one of them may be null."""
+    docs = docs.drop("kept_spans")
     cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
-    joined = docs.drop("kept_spans").join(cuts, "doc_id", "left")
+    text = whole.field("text").cast("string")
+    joined = whole.packed(docs).join(cuts, whole.field("doc_id").cast("long").eqNullSafe(F.col("doc_id")), "left")
     edge = lambda c: F.coalesce(c, F.array().cast("array<int>"))
     opens = F.concat(F.array(F.lit(0)), edge(F.transform("cuts", lambda c: c["span_end"])))
-    closes = F.concat(edge(F.transform("cuts", lambda c: c["span_start"])), F.array(F.length("text")))
+    closes = F.concat(edge(F.transform("cuts", lambda c: c["span_start"])), F.array(F.length(text)))
     kept = F.filter(F.arrays_zip(opens.alias("start"), closes.alias("end")), lambda s: s["end"] > s["start"])
-    joined = joined.withColumn("kept_spans", kept)
-    text = F.array_join(F.transform("kept_spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])), "")
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), text)).drop("cuts")
+    joined = joined.withColumn("kept", kept)
+    left = F.array_join(F.transform("kept", lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])), "")
+    return whole.unpacked(joined, docs.schema, text=F.when(text.isNotNull(), left), kept_spans=F.col("kept"))

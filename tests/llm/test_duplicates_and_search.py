@@ -205,6 +205,25 @@ def test_passage_that_begins_and_ends_inside_sentences(spark):
     assert substring_dedup.repeated_passages(df.where("false")).count() == 0
 
 
+def test_spans_leave_null_ids_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, text, "c", "k"), (None, "own " + text + " end", "c", "k"), (2, None, "c", "k")], "doc_id int, text string, cuts string, kept string")
+    spans = substring_dedup.repeated_passages(df)
+    assert [(r.doc_id, r.words) for r in spans.collect()] == [(None, 60)]
+    cleaned = substring_dedup.remove_spans(df, spans)
+    assert cleaned.columns == [*df.columns, "kept_spans"]
+    assert {(r.doc_id, r.text, r.cuts, r.kept) for r in cleaned.collect()} == {(1, text, "c", "k"), (None, "own  end", "c", "k"), (2, None, "c", "k")}
+
+
+def test_very_long_and_repeated_texts(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text), (2, text), (3, "")], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {r.doc_id for r in rows if r.span_end - r.span_start == len(text)} == {2} and all(r.kept_doc_id == 1 for r in rows)
+    prints = simhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in prints) == [(1, 1), (2, 1), (2, 1), (3, 3)]
+
+
 def test_runs_without_any_likely_window(spark):
     docs = [(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(3)] + [(3, ""), (None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
