@@ -283,6 +283,14 @@ def test_failed_and_damaged_slides_are_redone(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 60
 
 
+def test_row_numbers_beside_clashing_names(spark):
+    names = ["_at", "_part", "_in", "_base", "_n", "_"]
+    df = spark.createDataFrame([(k, *names) for k in range(9)], "k long, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+    numbered, n = ordering.number_rows(df, F.desc("k"))
+    assert n == 9 and numbered.columns == [*df.columns, "row_idx"]
+    assert sorted(tuple(r) for r in numbered.collect()) == [(k, *names, 8 - k) for k in range(9)]
+
+
 def test_lines_of_several_files_follow_their_names(spark, tmp_path):
     for name, lines in (("b.txt", ["E4\tB", "E5\tC"]), ("a.txt", ["E1\tA", "E2\tB", "no tab", "E3\tC"] + [f"E{k}\tX" for k in range(10, 400)])):
         (tmp_path / name).write_text("\n".join(lines))
