@@ -63,12 +63,12 @@ class OpenWindows:
         return [(window, self.capacity - room) for room, window in self._room]
 
 
-def place_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 128) -> DataFrame:
-    """One row for each piece of a document: its ids (little-endian unsigned 32-bit) and its place in a window (PLACED)."""
+def place_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 128, frugal: bool = False) -> DataFrame:
+    """One row for each piece of a document: its ids (little-endian unsigned 32-bit) and its place in a window (PLACED). frugal: half the memory in workers for some more time."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = OpenWindows(capacity, windows, TaskContext.get().partitionId() << 33)
-        for batch, ids, counts in encoded(batches, tokenizer, end_id):
+        for batch, ids, counts in encoded(batches, tokenizer, end_id, frugal=frugal):
             doc, start, length, window, offset = [], [], [], [], []
             for k, n in enumerate(counts.tolist()):
                 whole = n - n % capacity
@@ -113,9 +113,9 @@ def merge_leftovers(placed: DataFrame, capacity: int = 1024) -> DataFrame:
     return joined.withColumns({"sequence_id": F.coalesce("sequence_id", "window_id"), "offset": F.col("offset") + F.coalesce("base", F.lit(0))}).drop("window_id", "base")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 128) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, windows: int = 128, frugal: bool = False) -> DataFrame:
     """Pieces of all documents with ids, sequence_id and offset; sequences are at most `capacity` ids long."""
-    return merge_leftovers(place_documents(docs, tokenizer, end_id, capacity, windows), capacity)
+    return merge_leftovers(place_documents(docs, tokenizer, end_id, capacity, windows, frugal), capacity)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

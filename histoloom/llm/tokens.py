@@ -22,8 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 #: Text bytes that are tokenised at once; bounds a task's memory.
 BATCH_BYTES = 4 << 20
-#: Distinct words whose ids a worker keeps, and how many of the first ones (the frequent ones) outlast the others.
-CACHED_WORDS, LASTING_WORDS = 300_000, 120_000
+#: Distinct words whose ids a worker keeps, and the share of the first ones (the frequent ones) that outlasts the others.
+CACHED_WORDS, LASTING_SHARE = 300_000, 0.4
 #: Words that the library gets as one text.
 TOGETHER = 500
 #: What parts words, and what opens a mark that stood right behind a letter; no text that is cut into words holds the latter.
@@ -35,7 +35,8 @@ _OTHER_SPACE = r"[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-
 class Encoder:
     """Ids of many texts as one flat array plus a length for each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = CACHED_WORDS):
+        self._kept_words = kept_words
         self._tokenizer = Tokenizer.from_file(path)
         upper, lower = self._whole([" A", "a"])
         self._folds = upper.tolist() == lower.tolist()
@@ -68,8 +69,8 @@ class Encoder:
 
     def _words(self, words: list[str]) -> np.ndarray:
         """Positions of the words in the kept table; unknown ones are tokenised first."""
-        if len(self._index) + len(words) > CACHED_WORDS:
-            self._forget(LASTING_WORDS)
+        if len(self._index) + len(words) > self._kept_words:
+            self._forget(int(LASTING_SHARE * self._kept_words))
         new = dict.fromkeys(w for w in words if w not in self._index)
         spaced = [] if self._folds else [w for w in new if w[:1] == " " and len(w) > 1]
         parted = list(new) if self._folds else [w for w in new if w[:1] != " " or len(w) == 1]
@@ -115,7 +116,9 @@ class Encoder:
                 codes[firsts] = at[len(words) + np.asarray(pc.index_in(opening, opening_words))]
             lengths = self._lengths[codes]
             ends = np.cumsum(lengths)
-            flat = self._ids[np.repeat(self._starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            at = np.repeat((self._starts[codes] - ends + lengths).astype(np.int32), lengths)  # batches and kept ids are far below 2^31
+            at += np.arange(len(at), dtype=np.int32)
+            flat = self._ids[at]
             total = np.concatenate([[0], ends])
             counts[~odd] = np.diff(total[offsets - offsets[0]])
         if odd.any():
@@ -128,18 +131,18 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_words: int = CACHED_WORDS) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, kept_words)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches of a bounded size with their flat ids and lengths, the end id after each text. Null text: empty."""
-    table = encoder(path)
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", frugal: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of a bounded size with their flat ids and lengths, the end id after each text. Null text: empty. frugal: half the memory for some more time."""
+    table, batch_bytes = (encoder(path, CACHED_WORDS // 3), BATCH_BYTES // 2) if frugal else (encoder(path), BATCH_BYTES)
     for batch in batches:
         texts = batch.column(text).fill_null("")
         ends = np.cumsum(np.asarray(pc.binary_length(texts)))
-        cuts = np.searchsorted(ends, np.arange(BATCH_BYTES, (ends[-1] if len(ends) else 0) + BATCH_BYTES, BATCH_BYTES), side="left") + 1
+        cuts = np.searchsorted(ends, np.arange(batch_bytes, (ends[-1] if len(ends) else 0) + batch_bytes, batch_bytes), side="left") + 1
         start = 0
         for cut in [*np.minimum(cuts, len(texts)).tolist(), len(texts)]:
             if cut <= start:

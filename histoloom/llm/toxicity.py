@@ -37,7 +37,7 @@ SAMPLE_ROWS = 20_000
 #: Word beginnings that the classifier looks at, by their lengths, and how many it keeps.
 BEGINNINGS, FEATURES = (5, 6, 7, 8), 1024
 #: Distinct stretches that a worker keeps its findings of.
-KNOWN_STRETCHES = 150_000
+KNOWN_STRETCHES = 80_000
 #: Times as many that it chooses from.
 CANDIDATES = 8
 #: Signs, runs counted once, beyond which letters mixed with digits and not set apart are keys and hashes; also what restorations are kept of.
@@ -120,7 +120,7 @@ class Decoder:
         bi = (cube.sum(0) + 20 * uni) / (cube.sum(0).sum(1, keepdims=True) + 20)
         tri = (cube + 20 * bi[None]) / (pairs[:, :, None] + 20)
         self._cost = -np.log(tri)
-        self.restore = functools.lru_cache(maxsize=50_000)(self._restore)
+        self.restore = functools.lru_cache(maxsize=20_000)(self._restore)
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
         """Options (letters, cost) at each place of a stretch."""
