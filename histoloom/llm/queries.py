@@ -11,7 +11,7 @@ from histoloom.session import importable_on_workers, shared_path, table
 
 import public_tokenizers
 
-from histoloom.llm import ann, chat, decontamination, line_dedup, packing, sharding, simhash, substring_dedup, token_files, toxicity
+from histoloom.llm import ann, chat, decontamination, line_dedup, packing, periodic_runs, sharding, simhash, source_audit, substring_dedup, superminhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,57 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, near-duplicate component and decision of every document, at two words and a similarity of 0.8."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, words_each=2)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document and digests of them and of the collapsed text; in a tenth of the documents (by the hash of doc_id) the end is made to repeat first.
+
+    A null doc_id has no decimal form: such a document is taken as written.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n, words = F.floor(h / 10), F.size("words").cast("long"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumns({"g": g, "words": F.when(h % 10 == 0, words)}).withColumn("a", F.when(n > 0, F.col("g") % n))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    made = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    docs = docs.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.with_runs(docs).withColumn("first", F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period")))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    milli = F.floor(1000 * F.col("first.length") / F.col("first.period"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period", milli.alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a lang, and the terms of every source that stand over the lang's."""
+    return source_audit.divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+#: All terms of all groups side by side, with those that a group lacks.
+AUDIT_SQL = r"""
+WITH rows AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT lang, text, source, count(*) AS copies FROM rows GROUP BY ALL),
+cut AS (SELECT lang, source, copies, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+counts AS (SELECT lang, source, term, sum(copies) AS n FROM cut GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT lang, term, source, text, any_value(copies) AS copies FROM cut GROUP BY ALL) GROUP BY ALL HAVING sum(copies) >= 30),
+of_lang AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, o.v FROM groups g JOIN kept k ON k.lang = g.lang JOIN of_lang o ON o.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM grid),
+whole AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n, any_value(v) AS v FROM grid GROUP BY ALL)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+over AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 _QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -104,8 +155,11 @@ _QUERIES: dict[str, Query] = {
     "op8_ann": op8_ann,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
+    "op11_superminhash": op11_superminhash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_audit": op13_source_audit,
 }
-_SQL: dict[str, str] = {"op5_chat": CHAT_SQL}
+_SQL: dict[str, str] = {"op5_chat": CHAT_SQL, "op13_source_audit": AUDIT_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ ROW = "_row"
 
 def packed(df: DataFrame) -> DataFrame:
     """One column, a struct of all columns of df."""
-    return df.select(F.struct(*[df[_quoted(c)] for c in df.columns]).alias(ROW))
+    return df.select(F.struct(*[df[quoted(c)] for c in df.columns]).alias(ROW))
 
 
 def field(name: str) -> Column:
@@ -25,5 +25,6 @@ def unpacked(df: DataFrame, schema: T.StructType, **replaced: Column) -> DataFra
     return df.select(*[c.alias(n) for c, n in zip(own, schema.names)], *[c.alias(n) for n, c in replaced.items()])
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
+    """The name as Spark reads it, whatever signs it has."""
     return "`" + name.replace("`", "``") + "`"
