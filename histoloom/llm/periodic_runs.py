@@ -61,13 +61,13 @@ class WaveletTree:
 
     def count_below(self, low: np.ndarray, high: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """How many numbers at places low..high-1 are under each bound (0..n)."""
-        found, low, high, full = np.zeros(len(low), np.int64), low.astype(np.int64), high.astype(np.int64), bound >= self.n
+        found, low, high, whole = np.zeros(len(low), np.int64), low.astype(np.int64), high.astype(np.int64), high - low
         for level in range(self.bits):
             one = (bound >> (self.bits - 1 - level) & 1).astype(bool)
             a, b = self._ones(level, low), self._ones(level, high)
             found += np.where(one, (high - b) - (low - a), 0)
             low, high = np.where(one, self.zeros[level] + a, low - a), np.where(one, self.zeros[level] + b, high - b)
-        return np.where(full, found + (high - low), found) if full.any() else found
+        return np.where(bound >= self.n, whole, found)
 
     def select(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """The number of each rank (from 0) among those at places low..high-1."""

@@ -1,5 +1,6 @@
 """The registered queries on the smallest tables: contract columns and types, and rows against plain single-machine versions."""
 
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -203,3 +204,57 @@ def test_pipeline(spark, docs):
     for r in rows:
         whole[r.doc_id] += r.length
     assert whole == {r.doc_id: r.doc_tokens for r in rows} and set(whole) < {d for d, _ in docs}
+
+
+def test_op11(spark, docs):
+    rows = rows_of(spark, "op11_superminhash", doc_id="bigint", n_shingles="bigint", component_id="bigint", kept="boolean")
+    sets = {}
+    for d, t in docs:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        k = min(2, len(words))
+        sets[d] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()
+    component: dict = {}
+    for d in sorted(sets):
+        stack = [d] if d not in component else []
+        while stack:
+            x = stack.pop()
+            component[x] = d
+            near = [y for y in sets if y not in component and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+            stack += near
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == {(d, len(s), component[d], component[d] == d) for d, s in sets.items()} and len(rows) == len(docs)
+
+
+def test_op12(spark, docs):
+    rows = rows_of(spark, "op12_periodic_runs", doc_id="bigint", n_runs="bigint", start="bigint", length="bigint", period="bigint", exponent_milli="bigint", runs_sha256="string", collapsed_sha256="string")
+    got, made = {r.doc_id: r for r in rows}, 0
+    for d, t in docs:
+        words, h = re.findall(r"[^\x20\x09-\x0D]+", t), zlib.crc32(str(d).encode())
+        if h % 10 == 0 and words:
+            g, n, made = h // 10, len(words), made + 1
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+        runs = []
+        for q in range(1, len(words) // 4 + 1):
+            same = np.array([x == y for x, y in zip(words, words[q:])] + [False])
+            starts = np.nonzero(same & ~np.concatenate([[False], same[:-1]]))[0]
+            for s in starts.tolist():
+                length = int(np.argmin(same[s:])) + q
+                if length >= max(6, 4 * q) and not any(p < q and b <= s and s + length <= b + n for b, n, p in runs):
+                    runs.append((s, length, q))
+        runs.sort(key=lambda r: (r[0], r[2]))
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        r = got[d]
+        assert (r.n_runs, r.runs_sha256, r.collapsed_sha256) == (len(runs), digest("".join(f"{s},{n},{q}\n" for s, n, q in runs)), digest(" ".join(w for k, w in enumerate(words) if k not in gone)))
+        assert (r.start, r.length, r.period, r.exponent_milli) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+    assert made and len(rows) == len(docs)
+
+
+def test_op13(spark):
+    rows = rows_of(spark, "op13_source_audit", lang="string", source="string", part="string", item="string", value="bigint", rank="int")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    want = con.execute(queries.oracle_sql()["op13_source_audit"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want) and want
