@@ -11,7 +11,7 @@ from histoloom.plans import column_queries, views
 from histoloom.plans.registry import query
 from histoloom.session import posix_path, shared_path, table
 from histoloom.sources import readers, writers
-from histoloom.streaming.incremental import ingest_slides
+from histoloom.streaming import incremental
 
 C, B, E = views.CELLS_SQL, views.BARCODES_SQL, views.EXPR_SQL
 
@@ -270,12 +270,33 @@ def accumulated_batches(spark, sf_dir):
     return spark.read.parquet(folder).groupBy("slide").agg(F.count("*").alias("cells"))
 
 
+SLIDE_COLUMNS = "cell_id bigint, slide bigint, x bigint, y bigint"
+
+
 @query("r01_incremental_slides", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, max(cell_id) AS last FROM cells GROUP BY 1")
 def incremental_slides(spark, sf_dir):
+    """Slides in several files each, taken up one file at a time, in two runs and one more that finds nothing new."""
     source, sink, checkpoint = (shared_path(spark, f"stream-{x}") for x in ("source", "sink", "checkpoint"))
     cells = views.cells(spark, sf_dir)
     for half in (0, 1):
-        cells.where(F.col("slide") % 2 == half).repartition(2, "slide").write.mode("append").parquet(source)
-        ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()
-    ingest_slides(spark, source, sink, checkpoint, "cell_id bigint, slide bigint, x bigint, y bigint").awaitTermination()  # nothing new
+        cells.where(F.col("cell_id") % 2 == half).repartition(2, "cell_id").write.mode("append").parquet(source)
+        incremental.ingest_slides(spark, source, sink, checkpoint, SLIDE_COLUMNS, files_at_once=1).awaitTermination()
+    incremental.ingest_slides(spark, source, sink, checkpoint, SLIDE_COLUMNS).awaitTermination()
     return spark.read.parquet(sink).groupBy("slide").agg(F.count("*").alias("cells"), F.max("cell_id").alias("last"))
+
+
+@query("r01_damaged_slides", f"WITH {C} SELECT slide, count(*) AS rows, 'completed' AS status, sum(x)::BIGINT AS x FROM cells GROUP BY 1")
+def damaged_slides(spark, sf_dir):
+    """Every third slide is lost from the sink between two runs; the second run takes up the new files, finds the damage and mends it."""
+    source, sink, checkpoint = (shared_path(spark, f"damaged-{x}") for x in ("source", "sink", "checkpoint"))
+    cells = views.cells(spark, sf_dir)
+    cells.where("cell_id % 3 != 0").repartition(2, "cell_id").write.parquet(source)
+    incremental.ingest(spark, source, sink, checkpoint, SLIDE_COLUMNS)
+    lost = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/slide=*[0369]")
+    files = lost.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(lost):
+        files.delete(status.getPath(), True)
+    cells.where("cell_id % 3 = 0").repartition(2, "cell_id").write.mode("append").parquet(source)
+    status = incremental.ingest(spark, source, sink, checkpoint, SLIDE_COLUMNS, files_at_once=1, check_all=True)
+    sums = spark.read.parquet(sink).groupBy(F.col("slide").cast("bigint").alias("slide")).agg(F.sum("x").alias("x"))
+    return status.join(sums, "slide").select("slide", "rows", "status", "x")

@@ -273,16 +273,39 @@ def test_failed_and_damaged_slides_are_redone(spark, tmp_path):
     incremental.ingest_slides(spark, source, sink, f"{tmp_path}/checkpoint", schema).awaitTermination()
     assert incremental.slides_to_redo(spark, source, sink, schema).count() == 0
     shutil.rmtree(f"{sink}/slide=2")
-    for file in glob.glob(f"{sink}/slide=4/*.parquet"):
+    for file in glob.glob(f"{sink}/slide=4/*/*.parquet"):
         with open(file, "r+b") as f:
             f.truncate(20)
-    for crc in glob.glob(f"{sink}/slide=4/.*.crc"):
+    for crc in glob.glob(f"{sink}/slide=4/*/.*.crc"):
         os.remove(crc)
     assert {r.slide for r in incremental.slides_to_redo(spark, source, sink, schema).collect()} == {2, 4}
     assert incremental.redo_slides(spark, source, sink, schema) == 0
     assert spark.read.parquet(sink).count() == 60
 
 
+def test_slides_split_over_batches_and_runs(spark, tmp_path):
+    """A slide of several files is whole after each run; a batch that runs again changes nothing; damage is mended by the run that meets it."""
+    source, sink, checkpoint, schema = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", "cell_id bigint, slide bigint, x double"
+    rows = spark.range(60).select(F.col("id").alias("cell_id"), (F.col("id") % 3).alias("slide"), F.when(F.col("id") % 7 > 0, 0.5).alias("x"))
+    held = lambda: sorted(r.cell_id for r in spark.read.parquet(sink).collect())
+    rows.where("cell_id < 40").repartition(3).write.parquet(source)
+    status = incremental.ingest(spark, source, sink, checkpoint, schema, files_at_once=1).collect()
+    assert held() == list(range(40)) and {(r.slide, r.files, r.status) for r in status} == {(0, 3, "completed"), (1, 3, "completed"), (2, 3, "completed")}
+    last = max((int(os.path.basename(f)), f) for f in glob.glob(f"{checkpoint}/commits/[0-9]*"))[1]
+    for file in (last, f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc"):
+        os.remove(file)  # as if the driver had died before the commit
+    rows.where("cell_id >= 40").repartition(2).write.mode("append").parquet(source)
+    shutil.rmtree(f"{sink}/slide=1")
+    status = incremental.ingest(spark, source, sink, checkpoint, schema, files_at_once=1).collect()
+    assert held() == list(range(60)) and {(r.slide, r.files, r.rows, r.status) for r in status} == {(k, 5, 20, "completed") for k in range(3)}
+    shutil.rmtree(f"{sink}/slide=2")
+    assert incremental.damaged_files(spark, sink, schema).select("slide").distinct().collect() == [(2,)]
+    gone = incremental.ingest(spark, source, sink, checkpoint, schema, attempts=0, check_all=True)
+    assert {(r.slide, r.status) for r in gone.collect()} == {(0, "completed"), (1, "completed"), (2, "failed")}
+    incremental.ingest(spark, source, sink, checkpoint, schema, check_all=True)
+    assert held() == list(range(60)) and incremental.damaged_files(spark, sink, schema).count() == 0
+
+
 def test_row_numbers_beside_clashing_names(spark):
     names = ["_at", "_part", "_in", "_base", "_n", "_"]
     df = spark.createDataFrame([(k, *names) for k in range(9)], "k long, " + ", ".join(f"{c} string" for c in names)).repartition(3)
