@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.functions import vectors
+from histoloom.operators.ordering import number_within
 from histoloom.operators.reduce import vector_mean, vector_sum
 
 
 def node_index(nodes: DataFrame, graph: str, row: str) -> DataFrame:
-    """nodes with node_idx: their number inside the graph, in row order."""
-    return nodes.withColumn("node_idx", F.row_number().over(Window.partitionBy(graph).orderBy(row)) - 1)
+    """nodes with node_idx: their number inside the graph, in row order; a large graph's nodes are numbered by many tasks."""
+    return number_within(nodes, graph, row, name="node_idx")
 
 
 def graph_sizes(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:

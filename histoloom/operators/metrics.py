@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histoloom.operators.ordering import number_rows
+
 #: Variance under which a gene or spot has no correlation, and standard deviation under which a sample has none.
 LEAST_VARIANCE, LEAST_STD, EPSILON = 1e-8, 1e-12, 1e-12
 
@@ -51,10 +55,26 @@ def js_divergence(scores: DataFrame, sample: str = "sample_id", clip: bool = Fal
     return rows.groupBy(sample).agg(((F.sum(_js_term(p, m)) + F.sum(_js_term(q, m))) / 2).alias("js"))
 
 
+#: Samples of a block where pairs are formed block by block, at most, and bytes of a block's vectors.
+BLOCK_SAMPLES, BLOCK_BYTES = 1024, 32 << 20
+
+
+def _in_blocks(samples: DataFrame, sample: str, size: int) -> tuple[DataFrame, int]:
+    """(sample, _block) of the distinct samples in their order, and the number of blocks."""
+    rows, n = number_rows(samples.select(sample).distinct().where(F.col(sample).isNotNull()), sample, name="_nth")
+    return rows.select(sample, F.floor(F.col("_nth") / size).cast("int").alias("_block")), -(-n // size)
+
+
 def all_pairs(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """(one, two): each unordered pair of samples once. The pairs are the result; use mean_pairwise_pearson where only their mean is asked for."""
-    ids = samples.select(sample).distinct()
-    return ids.select(F.col(sample).alias("one")).join(ids.select(F.col(sample).alias("two")), F.col("one") < F.col("two"))
+    """(one, two): each unordered pair of samples once. The pairs are the result; use mean_pairwise_pearson where only their mean is asked for.
+
+    Samples stand in blocks, and blocks meet by number, so no row is compared with all others.
+    """
+    rows, blocks = _in_blocks(samples, sample, BLOCK_SAMPLES)
+    lists = rows.groupBy("_block").agg(F.collect_list(sample).alias("_ids"))
+    ones = lists.select(F.col("_ids").alias("_ones"), F.explode(F.sequence("_block", F.lit(max(blocks, 1) - 1))).alias("_block"))
+    pairs = ones.join(lists, "_block").select("_ids", F.explode("_ones").alias("one"))
+    return pairs.select("one", F.explode("_ids").alias("two")).where("one < two")
 
 
 def mean_pairwise_pearson(values: DataFrame, value: str = "value") -> DataFrame:
@@ -71,15 +91,58 @@ def mean_pairwise_pearson(values: DataFrame, value: str = "value") -> DataFrame:
     return by_gene.crossJoin(n).select(F.try_divide(F.col("s2") - F.col("samples"), pairs.cast("double")).alias("mean_pearson"), "samples")
 
 
-def pairwise_js(values: DataFrame, value: str = "value") -> DataFrame:
-    """(one, two, js) of every pair of samples, values clipped at 0 and taken as shares; joined gene by gene, zero entries kept."""
+def _js_rows(p: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence of one row of shares from each of others, over the entries that both have (absent ones are NaN)."""
+    m = (p + others) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda x: np.where(x > 0, x * np.log((x + EPSILON) / (m + EPSILON)), 0.0 * m)  # noqa: E731  NaN stays
+        return (np.nansum(np.where(np.isnan(m), np.nan, term(p)), axis=1) + np.nansum(np.where(np.isnan(m), np.nan, term(others)), axis=1)) / 2
+
+
+def pairwise_js(values: DataFrame, value: str = "value", top: int | None = None) -> DataFrame:
+    """(one, two, js) of every pair of samples, values clipped at 0 and taken as shares, over the genes that both have.
+
+    Samples stand in blocks of dense vectors; every two blocks meet in one task, to which each vector is sent once, so no join
+    goes by gene and a task holds two blocks. top: for each sample (as `one`) its `top` nearest others (ties to the lower
+    sample) with rank; tasks then send only their own nearest on.
+    """
     whole = Window.partitionBy("sample_id")
     clipped = F.greatest(F.col(value), F.lit(0.0))
-    shares = values.select("sample_id", "gene", (clipped / (F.sum(clipped).over(whole) + EPSILON)).alias("p"))
-    a, b = shares.toDF("one", "gene", "p"), shares.toDF("two", "gene", "q")
-    p, q = F.col("p"), F.col("q")
-    m = (p + q) / 2
-    return a.join(b, (a["gene"] == b["gene"]) & (F.col("one") < F.col("two"))).groupBy("one", "two").agg(((F.sum(_js_term(p, m)) + F.sum(_js_term(q, m))) / 2).alias("js"))
+    shares = values.select("sample_id", "gene", (clipped / (F.sum(clipped).over(whole) + EPSILON)).cast("double").alias("p"))
+    genes, width = number_rows(shares.select("gene").distinct(), "gene", name="_at")
+    size = max(1, min(BLOCK_SAMPLES, BLOCK_BYTES // (8 * max(1, width))))
+    rows, blocks = _in_blocks(shares, "sample_id", size)
+    vectors = shares.join(genes, "gene").groupBy("sample_id").agg(F.collect_list(F.struct("_at", "p")).alias("_v"))
+    vectors = vectors.join(rows, "sample_id").select("sample_id", "_block", F.col("_v._at").alias("at"), F.col("_v.p").alias("p"))
+    dealt = vectors.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    dealt = dealt.select(F.least("_block", "_other").alias("_one"), F.greatest("_block", "_other").alias("_two"), "_block", "sample_id", "at", "p")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample_id", ignore_index=True)
+        dense = np.full((len(rows), width), np.nan)
+        for k, (at, p) in enumerate(zip(rows["at"], rows["p"])):
+            dense[k, at] = p
+        block, ids = rows["_block"].to_numpy(), rows["sample_id"].to_numpy()
+        ones, twos = np.nonzero(block == rows["_one"].iloc[0])[0], np.nonzero(block == rows["_two"].iloc[0])[0]
+        found = []
+        for k in ones.tolist():
+            others = twos[twos > k] if rows["_one"].iloc[0] == rows["_two"].iloc[0] else twos
+            if len(others):
+                found.append((np.full(len(others), k), others, np.concatenate([_js_rows(dense[k], dense[others[j : j + 256]]) for j in range(0, len(others), 256)])))
+        a, b, js = map(np.concatenate, zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        if top is not None:
+            a, b, js = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([js, js])
+            by = np.lexsort((b, js, a))  # samples are in order
+            a, b, js = a[by], b[by], js[by]
+            nth = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, js = a[nth < top], b[nth < top], js[nth < top]
+        return pd.DataFrame({"one": ids[a], "two": ids[b], "js": js})
+
+    kind = values.schema["sample_id"].dataType.simpleString()
+    pairs = dealt.groupBy("_one", "_two").applyInPandas(compare, f"one {kind}, two {kind}, js double")
+    if top is None:
+        return pairs
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy("js", "two"))).where(F.col("rank") <= top)
 
 
 def summary(metrics: DataFrame, *columns: str) -> DataFrame:

@@ -27,14 +27,37 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "row_idx") -> t
     return placed.join(bases, part).withColumn(name, F.col(base) + F.col(inside)).drop(part, inside, base), placed.count()
 
 
+#: Groups up to which their first row numbers are broadcast; beyond it the join shuffles, and splits a group that is too large.
+BROADCAST_GROUPS = 1_000_000
+
+
+def number_within(df: DataFrame, group: str | list[str], *order: Column | str, name: str = "row_idx") -> DataFrame:
+    """df with row numbers from 0 inside each group, in the order of the columns.
+
+    Rows are numbered over all groups, in ranges of (group, order), and lose the first number of their group; so no task
+    holds a group, and one with a third of all rows is spread over as many tasks. Null groups are groups.
+    """
+    keys = [group] if isinstance(group, str) else group
+    free = "_" * (1 + max(map(len, [*df.columns, name]), default=0))
+    numbered, _ = number_rows(df, *keys, *order, name=free)
+    firsts = numbered.groupBy(*keys).agg(F.min(free).alias(f"{free}first"))
+    firsts = stage(firsts.select(*[F.col(c).alias(f"{free}{k}") for k, c in enumerate(keys)], f"{free}first"), "first-rows")
+    if firsts.count() <= BROADCAST_GROUPS:
+        firsts = F.broadcast(firsts)
+    same = functools.reduce(Column.__and__, [numbered[c].eqNullSafe(F.col(f"{free}{k}")) for k, c in enumerate(keys)])
+    joined = numbered.join(firsts, same)
+    return joined.select(*[c for c in df.columns if c != name], (F.col(free) - F.col(f"{free}first")).alias(name))
+
+
 def k_folds(samples: DataFrame, order: Column | str, folds: int = 10) -> DataFrame:
     """samples with fold (from 0): contiguous chunks of at most `folds`, the first ones one longer."""
-    numbered, n = number_rows(samples, order, name="_row")
+    free = "_" * (1 + max(map(len, samples.columns), default=0))  # no name of theirs
+    numbered, n = number_rows(samples, order, name=free)
     k = max(1, min(folds, n))
     size, longer = divmod(n, k)
-    row, edge = F.col("_row"), longer * (size + 1)
+    row, edge = F.col(free), longer * (size + 1)
     fold = F.when(row < edge, F.floor(row / (size + 1))).otherwise(longer + F.floor((row - edge) / max(1, size)))
-    return numbered.withColumn("fold", fold.cast("int")).drop("_row")
+    return numbered.withColumn("fold", fold.cast("int")).drop(free)
 
 
 def leave_one_out(samples: DataFrame, order: Column | str) -> DataFrame:
@@ -42,13 +65,26 @@ def leave_one_out(samples: DataFrame, order: Column | str) -> DataFrame:
     return number_rows(samples, order, name="fold")[0].withColumn("fold", F.col("fold").cast("int"))
 
 
+#: Folds up to which their list is broadcast.
+BROADCAST_FOLDS = 10_000
+
+
 def fold_roles(folds: DataFrame, sample: str = "sample_id", single_is_both: bool = True) -> DataFrame:
     """(fold, sample, role): every sample in every fold, as test in its own and as train in the others; a single sample is both, if asked for.
 
-    The product of folds and samples is the result itself; the fold list is tiny.
+    The product of folds and samples is the result itself. The list of folds is broadcast up to BROADCAST_FOLDS; a longer one
+    (leave-one-out) is dealt out in blocks that every sample meets one by one.
     """
-    every = folds.select("fold").distinct()
-    rows = F.broadcast(every).crossJoin(folds.select(F.col("fold").alias("_own"), sample))
+    every = stage(folds.select("fold").distinct(), "folds")
+    own = folds.select(F.col("fold").alias("_own"), sample)
+    if (n := every.count()) <= BROADCAST_FOLDS:
+        rows = F.broadcast(every).crossJoin(own)
+    else:
+        blocks = -(-n // BROADCAST_FOLDS)
+        block = F.pmod(F.xxhash64("fold"), F.lit(blocks)).alias("_block")
+        lists = every.groupBy(block).agg(F.collect_list("fold").alias("_folds"))  # BROADCAST_FOLDS each, about
+        rows = own.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "_block")
+        rows = rows.select(F.explode("_folds").alias("fold"), "_own", sample)
     roles = rows.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
     if not single_is_both:
         return roles
@@ -72,9 +108,9 @@ def split_rows(df: DataFrame, key: str, seed: int = 42, train_share: float = 0.8
 
 def first_seen(df: DataFrame, key: list[str], row: str, name: str) -> DataFrame:
     """df with a dense id of its key in order of first appearance."""
-    firsts = df.groupBy(*key).agg(F.min(row).alias("_first"))
-    ids, _ = number_rows(firsts, "_first", name=name)
-    return df.join(ids.drop("_first"), key)
+    free = "_" * (1 + max(map(len, [*df.columns, name]), default=0))
+    ids, _ = number_rows(df.groupBy(*key).agg(F.min(row).alias(free)), free, name=name)
+    return df.join(ids.drop(free), key)
 
 
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:

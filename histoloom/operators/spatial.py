@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from histoloom.session import stage
 
 #: Points of a group up to which neighbours come from a join inside the group.
 WHOLE_GROUP = 128
-#: Buckets of a group along its longer side, at most: a power of two.
-MOST_BUCKETS = 4096
+#: Points of a leaf of a quad-tree, at most, as far as MOST_BITS halvings of the group's longer side tell them apart.
+LEAF_POINTS = 32
+MOST_BITS = 40
 
 
 def _bucket(v: Column, width: Column | float) -> Column:
@@ -25,12 +28,24 @@ def _spread(df: DataFrame, reach: int = 1) -> DataFrame:
 
 
 def assign_to_tiles(cells: DataFrame, tiles: DataFrame, width: float, height: float, group: str = "slide") -> DataFrame:
-    """cells with tile_id and bounds of every tile that holds them (half open). width, height: bucket size, about a tile's."""
-    cells = cells.withColumns({"bx": _bucket(F.col("x"), width), "by": _bucket(F.col("y"), height)})
-    covers = lambda low, high, size: F.explode(F.sequence(_bucket(F.col(low), size), F.ceil(F.col(high) / size) - 1))
-    tiles = tiles.where("x2 > x1 and y2 > y1").withColumn("bx", covers("x1", "x2", width)).withColumn("by", covers("y1", "y2", height))
+    """cells with tile_id and bounds of every tile that holds them (half open). width, height: size of the finest buckets, about a tile's.
+
+    Tiles stand at the level of their own size: buckets double in size from level to level, and a tile lies at the first one
+    whose bucket is no smaller than it, so it covers four buckets at most, however wide it is. Cells look at each level that
+    has tiles: one for tiles of one size, one more for an overview.
+    """
+    sized = tiles.where("x2 > x1 and y2 > y1")
+    times = F.greatest((F.col("x2") - F.col("x1")) / width, (F.col("y2") - F.col("y1")) / height, F.lit(1.0))
+    sized = sized.withColumn("_level", F.ceil(F.round(F.log2(times), 9)).cast("int"))  # the bucket may be smaller by rounding: one more bucket
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())  # of numbers in 64 bits there are 64 levels at most
+    scale = F.pow(F.lit(2.0), "_level")
+    covers = lambda low, high, size: F.explode(F.sequence(_bucket(F.col(low), size * scale), F.ceil(F.col(high) / (size * scale)) - 1))
+    sized = sized.withColumn("_bx", covers("x1", "x2", width)).withColumn("_by", covers("y1", "y2", height))
+    level = F.explode(F.array(*map(F.lit, levels))) if len(levels) != 1 else F.lit(levels[0])
+    probing = cells.withColumn("_level", level if levels else F.lit(0))
+    probing = probing.withColumns({"_bx": _bucket(F.col("x"), width * scale), "_by": _bucket(F.col("y"), height * scale)})
     inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    return cells.join(tiles, [group, "bx", "by"]).where(inside).drop("bx", "by")
+    return probing.join(sized, [group, "_level", "_bx", "_by"]).where(inside).drop("_level", "_bx", "_by")
 
 
 def _located(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -44,16 +59,15 @@ def nearest_within(cells: DataFrame, spots: DataFrame, radius: float, group: str
 
     Repeated rows stay; cells without two finite coordinates get nulls, such spots are nobody's.
     """
-    place = lambda x, y: F.struct(F.col(group).alias(group), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    places = _located(cells.select(group, "x", "y")).select(place("x", "y").alias("at")).distinct()
-    sought = places.select("at", F.col(f"at.{group}").alias(group), _bucket(F.col("at.x"), radius).alias("bx"), _bucket(F.col("at.y"), radius).alias("by"))
+    xy = {"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}
+    places = _located(cells.select(group, "x", "y")).select(group, *[v.alias(c) for c, v in xy.items()])
+    sought = places.distinct().withColumns({"bx": _bucket(F.col("_x"), radius), "by": _bucket(F.col("_y"), radius)})
     spots = _located(spots).select(group, "spot_idx", F.col("x").cast("double").alias("_sx"), F.col("y").cast("double").alias("_sy"), _bucket(F.col("x"), radius).alias("bx"), _bucket(F.col("y"), radius).alias("by"))
-    d2 = (F.col("at.x") - F.col("_sx")) ** 2 + (F.col("at.y") - F.col("_sy")) ** 2
+    d2 = (F.col("_x") - F.col("_sx")) ** 2 + (F.col("_y") - F.col("_sy")) ** 2
     joined = sought.join(_spread(spots), [group, "bx", "by"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius)
-    best = joined.groupBy("at").agg(F.min(F.struct("_d2", "spot_idx")).alias("_best"))
-    best = best.select(F.col(f"at.{group}").alias("_g"), F.col("at.x").alias("_x"), F.col("at.y").alias("_y"), F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
-    same = (cells[group] == best["_g"]) & (cells["x"].cast("double") == best["_x"]) & (cells["y"].cast("double") == best["_y"])
-    return cells.join(best, same, "left").drop("_g", "_x", "_y")
+    best = joined.groupBy(group, "_x", "_y").agg(F.min(F.struct("_d2", "spot_idx")).alias("_best"))
+    best = best.select(group, "_x", "_y", F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
+    return cells.withColumns(xy).join(best, [group, "_x", "_y"], "left").select(*cells.columns, "spot_idx", "d2")  # by the keys of best: it moves no more
 
 
 def radius_graph(points: DataFrame, radius: float, group: str = "slide", node: str = "cell_id") -> DataFrame:
@@ -69,52 +83,109 @@ def _ranked(pairs: DataFrame, group: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+_LEAF = ["bits", "ix", "iy"]
+
+
+def _leaves(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, x, y, ...) with the leaf of their group's quad-tree that holds them, as (bits, ix, iy): the cell (ix, iy) of 2^bits by 2^bits.
+
+    Cells are counted, first at the size that would hold LEAF_POINTS if points were even, then the overfull ones again at a
+    quarter of their side, and so on: a dense tile beside empty space gets cells of its own size.
+    """
+    extent = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x9"), F.max("y").alias("y9"))
+    side = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"), F.lit(1e-300))
+    even = 2 * F.floor(F.greatest(F.log2(F.col("n") / LEAF_POINTS), F.lit(0.0)) / 4)
+    extent = stage(extent.select(F.col(group).alias("_g"), "x0", "y0", side.alias("side"), F.least(even, F.lit(MOST_BITS)).cast("int").alias("bits")), "extents")
+    cell = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("side") * F.pow(F.lit(2.0), "bits")), F.pow(F.lit(2.0), "bits").cast("long") - 1)
+    celled = lambda df: df.withColumns({"ix": cell("x", "x0"), "iy": cell("y", "y0")})
+    waiting, done = rows.join(extent, F.col(group) == F.col("_g")).drop("_g"), []
+    while True:
+        waiting = stage(celled(waiting), "leaves")
+        over = waiting.groupBy(group, *_LEAF).agg(F.count("*").alias("n")).where((F.col("n") > LEAF_POINTS) & (F.col("bits") < MOST_BITS))
+        over = stage(over.drop("n"), "overfull")
+        if not over.take(1):
+            done.append(waiting)
+            break
+        done.append(waiting.join(over, [group, *_LEAF], "left_anti"))
+        waiting = waiting.join(over, [group, *_LEAF], "left_semi").withColumn("bits", F.col("bits") + 2)
+    return functools.reduce(DataFrame.unionByName, done).drop("x0", "y0", "side")
+
+
+def _boxes(leaves: DataFrame, group: str) -> DataFrame:
+    """(group, bits, ix, iy, n, x0, y0, x9, y9) of every leaf: its points and the box round them."""
+    return leaves.groupBy(group, *_LEAF).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x9"), F.max("y").alias("y9"))
+
+
+def _nodes(boxes: DataFrame, group: str) -> DataFrame:
+    """Leaves and the nodes above them, every second level, with `leaf`."""
+    above = boxes.where("bits > 0").withColumn("up", F.explode(F.sequence(F.lit(2), F.col("bits"), F.lit(2))))
+    above = above.withColumns({"bits": F.col("bits") - F.col("up"), "ix": F.call_function("shiftright", F.col("ix"), F.col("up")), "iy": F.call_function("shiftright", F.col("iy"), F.col("up"))})
+    above = above.groupBy(group, *_LEAF).agg(F.sum("n").alias("n"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x9", F.max), ("y9", F.max))])
+    return boxes.withColumn("leaf", F.lit(True)).unionByName(above.withColumn("leaf", F.lit(False)))
+
+
+def _gap(low: str, high: str, other_low: str, other_high: str, most: bool) -> Column:
+    """Least (or most) distance along an axis between points of two intervals."""
+    low, high, other_low, other_high = map(F.col, (low, high, other_low, other_high))
+    return F.greatest(high - other_low, other_high - low) if most else F.greatest(other_low - high, low - other_high, F.lit(0.0))
+
+
+def _reached(pairs: DataFrame, by: list[str], box: tuple[str, str, str, str], need: int) -> DataFrame:
+    """pairs of something with a box and a node: without nodes that cannot hold any of the `need` points nearest to any place in the box.
+
+    The nodes of least farthest distance that have `need` points together bound the distance; what begins beyond it goes.
+    """
+    squared = lambda most: _gap(box[0], box[2], "x0", "x9", most) ** 2 + _gap(box[1], box[3], "y0", "y9", most) ** 2
+    pairs = pairs.withColumns({"_near": squared(False), "_far": squared(True)})
+    upto = Window.partitionBy(*by).orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumn("_upto", F.sum("n").over(upto)).withColumn("_bound", F.min(F.when(F.col("_upto") >= need, F.col("_far"))).over(Window.partitionBy(*by)))
+    return pairs.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9))).drop("_near", "_far", "_upto", "_bound")
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", exclude_self: bool = True) -> DataFrame:
     """(group, src, dst, d2, rank): the k nearest points of each query in its group, ties to the lower id.
 
-    Points of groups of up to WHOLE_GROUP are compared with all of the group's queries. In larger ones points stand in buckets
-    of about k points; a query looks at its own and the eight round it, and is done once its k-th distance is within what these
-    cover for sure. The others look at buckets twice as wide, and so on, until the nine hold the whole group: after
-    log2(MOST_BUCKETS) + 1 rounds at most. Of points at one place only the k + 1 of the lowest ids are looked at.
+    Points of groups of up to WHOLE_GROUP are compared with all of the group's queries. In larger ones points and queries stand
+    in quad-trees, whose leaves have LEAF_POINTS at most wherever they are dense or sparse. Leaves of queries go down the
+    points' tree together, keeping the nodes that can hold a neighbour of any place in their box; then every query picks
+    its own among the leaves reached, and only those meet it point by point. Rounds follow the tree's depth, not distances:
+    queries far outside take no more. Of points at one place only the k + 1 of the lowest ids are looked at.
 
-    Queries and points without two finite coordinates take no part; queries outside the points' extent look from its edge.
+    Ids are unique in their group. Queries and points without two finite coordinates take no part.
     """
+    double = lambda c: F.col(c).cast("double")
     q = _located(queries.select(group, F.col(node).alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy")), "qx", "qy")
-    p = _located(points.select(group, F.col(node).alias("dst"), "x", "y"))
-    p = p.withColumn("nth", F.row_number().over(Window.partitionBy(group, "x", "y").orderBy("dst"))).where(F.col("nth") <= k + 1).drop("nth")
-    d2 = (F.col("qx") - F.col("x")) ** 2 + (F.col("qy") - F.col("y")) ** 2
+    p = _located(points.select(group, F.col(node).alias("dst"), F.col("x").alias("px"), F.col("y").alias("py")), "px", "py")
+    p = p.withColumn("_nth", F.row_number().over(Window.partitionBy(group, "px", "py").orderBy("dst"))).where(F.col("_nth") <= k + 1).drop("_nth")
+    d2 = (F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
     other = F.col("src") != F.col("dst") if exclude_self else F.lit(True)
-    extent = p.groupBy(group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x9"), F.max("y").alias("y9"))
-    side = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0")).cast("double")
-    width = F.greatest(side * F.sqrt(F.lit(float(k)) / F.col("n")), side / MOST_BUCKETS, F.lit(1e-9))
-    extent = stage(extent.select(group, "n", "x0", "y0", "x9", "y9", width.alias("width")), "extents")
-    small, large = extent.where(F.col("n") <= WHOLE_GROUP).select(group), extent.where(F.col("n") > WHOLE_GROUP)
-    found = _ranked(q.join(small, group, "left_semi").join(p, group).where(other).withColumn("d2", d2), group, k).select(group, "src", "dst", "d2", "rank")
+    out = lambda pairs: _ranked(pairs.where(other).select(group, "src", "dst", d2.alias("d2")), group, k)
+    sizes = stage(p.groupBy(group).agg((F.count("*") > WHOLE_GROUP).alias("large")), "group-sizes")
+    small, large = sizes.where("not large").select(group), sizes.where("large").select(group)
+    found = out(q.join(small, group, "left_semi").join(p, group))
     if not large.take(1):
         return found
-    inside = lambda v, low, high: F.least(F.greatest(F.col(v), F.col(low)), F.col(high))
-    place = lambda x, y: {"bx": F.floor((x - F.col("x0")) / F.col("width")), "by": F.floor((y - F.col("y0")) / F.col("width"))}
-    indexed = stage(p.join(large, group).withColumns(place(F.col("x"), F.col("y"))).select(group, "bx", "by", "dst", "x", "y"), "buckets")
-    at_edge = {"ex": inside("qx", "x0", "x9"), "ey": inside("qy", "y0", "y9")}
-    waiting = q.join(large, group).withColumns(at_edge).withColumns(place(F.col("ex"), F.col("ey")))
-    inner = (F.col("qx") == F.col("ex")) & (F.col("qy") == F.col("ey"))
-    waiting = waiting.select(group, "src", "qx", "qy", "bx", "by", "width", "n", inner.alias("inner"))
-    wider = 1
+
+    here = _leaves(p.join(large, group, "left_semi").withColumns({"x": double("px"), "y": double("py")}), group)
+    nodes = stage(_nodes(_boxes(here, group), group), "nodes")
+    there = _leaves(q.join(large, group, "left_semi").withColumns({"x": double("qx"), "y": double("qy")}), group)
+    own = [f"q{c}" for c in _LEAF]
+    there = there.withColumnsRenamed(dict(zip(_LEAF, own))).drop("x", "y")
+    box = there.groupBy(group, *own).agg(F.min("qx").cast("double").alias("qx0"), F.min("qy").cast("double").alias("qy0"), F.max("qx").cast("double").alias("qx9"), F.max("qy").cast("double").alias("qy9"))
+    need, corners = k + 1 if exclude_self else k, ("qx0", "qy0", "qx9", "qy9")
+    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(2)).alias(c)
+    children = nodes.where("bits > 0").select(group, (F.col("bits") - 2).alias("bits"), up("ix"), up("iy"), F.struct(*nodes.columns).alias("child"))
+    pairs = box.join(nodes.where("bits = 0"), group)
     while True:
-        wide = lambda df: df.withColumns({c: F.floor(F.col(c) / wider) for c in ("bx", "by")})  # noqa: B023, E731
-        near = _spread(wide(waiting)).join(wide(indexed), [group, "bx", "by"]).where(other).withColumn("d2", d2)
-        ranked = _ranked(near.select(group, "src", "dst", "d2", "width", "n", "inner"), group, k)
-        if wider >= MOST_BUCKETS:  # the nine hold all
-            return found.unionByName(ranked.select(group, "src", "dst", "d2", "rank"))
-        ranked = stage(ranked, "neighbours")
-        sure = F.first("width") * wider
-        wanted = F.least(F.lit(k), F.first("n") - (1 if exclude_self else 0))
-        enough = ranked.groupBy(group, "src").agg((F.first("inner") & (F.count("*") >= wanted) & (F.max("d2") <= sure * sure)).alias("enough"))
-        finished = stage(enough.where("enough").select(group, "src"), "finished")
-        found = found.unionByName(ranked.join(finished, [group, "src"], "left_semi").select(group, "src", "dst", "d2", "rank"))
-        waiting, wider = stage(waiting.join(finished, [group, "src"], "left_anti"), "queries"), wider * 2
-        if not waiting.take(1):
-            return found
+        pairs = stage(pairs, "node-pairs")
+        if not pairs.where("not leaf").take(1):
+            break
+        below = pairs.where("not leaf").select(group, *_LEAF, *own, *corners).join(children, [group, *_LEAF]).select(*own, *corners, "child.*")
+        pairs = _reached(pairs.where("leaf").unionByName(below), [group, *own], corners, need)
+    place = tuple(map(double, ("qx", "qy")))
+    reached = there.join(pairs.drop(*corners), [group, *own]).withColumns({"qx0": place[0], "qy0": place[1]})
+    reached = _reached(reached, [group, "src"], ("qx0", "qy0", "qx0", "qy0"), need).select(group, "src", "qx", "qy", *_LEAF)
+    return found.unionByName(out(reached.join(here.drop("x", "y"), [group, *_LEAF])))
 
 
 def knn_graph(points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", dedupe: bool = False) -> DataFrame:

@@ -219,6 +219,12 @@ def pairwise_js(spark, sf_dir):
     return _rounded(pairs.agg(F.count("*").alias("pairs"), F.avg("js").alias("mean_js"), F.min("js").alias("min_js"), F.max("js").alias("max_js")), "mean_js", "min_js", "max_js", digits=6)
 
 
+@query("a17_nearest_samples", f"WITH {E}, c AS (SELECT sample_id, gene, greatest(value, 0) AS v FROM expr), s AS (SELECT sample_id, gene, v / (sum(v) OVER (PARTITION BY sample_id) + 1e-12) AS p FROM c), j AS (SELECT a.sample_id AS one, b.sample_id AS two, a.p, b.p AS q FROM s a JOIN s b ON a.gene = b.gene AND a.sample_id <> b.sample_id), d AS (SELECT one, two, {JS_SUM} FROM j GROUP BY ALL), r AS (SELECT one, js, row_number() OVER (PARTITION BY one ORDER BY js, two) AS rank FROM d) SELECT one, rank::INTEGER AS rank, js FROM r WHERE rank <= 3")
+def nearest_samples(spark, sf_dir):
+    """The three samples of least divergence from each."""
+    return _rounded(metrics.pairwise_js(views.expression(spark, sf_dir), top=3).select("one", "rank", "js"), "js", digits=8)
+
+
 @query("a18_metric_summary", f"WITH {E}, g AS (SELECT gene, avg((pred - target) * (pred - target)) AS mse, corr(pred, target) AS pearson FROM expr GROUP BY 1), l AS (SELECT 'mse' AS name, mse AS v FROM g UNION ALL SELECT 'pearson', pearson FROM g) SELECT name, round(avg(v), 2) AS mean, round(median(v), 2) AS median, round(stddev_pop(v), 2) AS std, round(min(v), 2) AS min, round(max(v), 2) AS max FROM l GROUP BY 1")
 def metric_summary(spark, sf_dir):
     by_gene = metrics.per_group(views.expression(spark, sf_dir), "gene")

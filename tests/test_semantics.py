@@ -109,6 +109,79 @@ def test_nearest_points_with_odd_coordinates(spark, monkeypatch):
     assert got == want
 
 
+def test_dense_tiles_and_far_queries_take_few_rounds(spark, monkeypatch):
+    """Half of all points in a thousandth of the side, and queries far outside: leaves stay small, rounds follow the depth of the tree."""
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(0, 1000, (700, 2)), 500 + rng.uniform(0, 1, (700, 2))])
+    rows = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(xy)]
+    far = [("a", 5000 + k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-1e5, 1e5, (40, 2)))]
+    leaves = spatial._leaves(points(spark, rows), "slide").groupBy("bits", "ix", "iy").count().collect()
+    assert max(r["count"] for r in leaves) <= spatial.LEAF_POINTS and sum(r["count"] for r in leaves) == len(rows)
+    labels, kept = [], spatial.stage
+    monkeypatch.setattr(spatial, "stage", lambda df, label: (labels.append(label), kept(df, label))[1])
+    got = {}
+    for r in spatial.k_nearest(points(spark, far + rows[:30] + rows[-30:]), points(spark, rows), 4).collect():
+        got.setdefault(r.src, {})[r.rank] = r.dst
+    assert labels.count("node-pairs") <= 2 + max(r.bits for r in leaves) // 2
+    for _, src, x, y in far + rows[:30] + rows[-30:]:
+        best = sorted(((px - x) ** 2 + (py - y) ** 2, j) for _, j, px, py in rows if j != src)[:4]
+        assert [got[src][k] for k in range(1, 5)] == [j for _, j in best]
+
+
+def test_overview_tiles_take_a_row_a_level(spark):
+    """A tile as wide as the slide stands in a few large buckets; tiles of odd sizes and places hold the same cells as by brute force."""
+    rng = np.random.default_rng(9)
+    cells = points(spark, [("a", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-50, 5000, (200, 2)))])
+    rows = [("a", k, float(x), float(y), float(x + w), float(y + h)) for k, (x, y, w, h) in enumerate(np.c_[rng.uniform(-60, 4000, (60, 2)), rng.choice([0.0, 3.0, 10.0, 11.0, 160.0, 2000.0], (60, 2))])]
+    rows.append(("a", 60, -50.0, -50.0, 5000.0, 5000.0))
+    tiles = spark.createDataFrame(rows, "slide string, tile_id int, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.assign_to_tiles(cells, tiles, 10.0, 10.0)
+    want = {(c.cell_id, t[1]) for c in cells.collect() for t in rows if t[2] <= c.x < t[4] and t[3] <= c.y < t[5]}
+    assert sorted((r.cell_id, r.tile_id) for r in got.collect()) == sorted(want)
+    assert spatial.assign_to_tiles(cells, tiles.limit(0), 10.0, 10.0).count() == 0
+
+
+def test_numbers_inside_groups(spark):
+    """As a window would number them, without one by group; null groups, repeated orders and a caller's odd names."""
+    rows = [(g, k % 7, k, "x") for k in range(400) for g in (("hot",) * 3 + ("b", None, "c"))[k % 6 : k % 6 + 1]]
+    df = spark.createDataFrame(rows, "slide string, at int, id int, _row string").repartition(5)
+    got = ordering.number_within(df, "slide", "at", "id", name="nth")
+    assert got.columns == [*df.columns, "nth"] and "Window" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Window [sum", "")
+    of = {}
+    for r in sorted(got.collect(), key=lambda r: (r.at, r.id)):
+        assert r.nth == of.get(r.slide, 0)
+        of[r.slide] = r.nth + 1
+    assert ordering.number_within(df.limit(0), "slide", "at", name="nth").collect() == []
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Blocks of three samples: all pairs once, and divergences and nearest others as by pairs; genes that one sample lacks do not count."""
+    monkeypatch.setattr(metrics, "BLOCK_SAMPLES", 3)
+    rng = np.random.default_rng(6)
+    values = {(s, g): float(v) for s in range(10) for g, v in enumerate(rng.integers(-2, 9, 6)) if (s * g) % 5 != 3}
+    df = spark.createDataFrame([(s, f"g{g}", v) for (s, g), v in values.items()], "sample_id long, gene string, value double")
+    assert sorted(map(tuple, metrics.all_pairs(df).collect())) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+    share = {k: max(v, 0) / (sum(max(x, 0) for (s, _), x in values.items() if s == k[0]) + 1e-12) for k, v in values.items()}
+
+    def js(a, b):
+        both = [(share[a, g], share[b, g]) for g in range(6) if (a, g) in share and (b, g) in share]
+        term = lambda x, m: x * math.log((x + 1e-12) / (m + 1e-12)) if x > 0 else 0
+        return sum(term(p, (p + q) / 2) + term(q, (p + q) / 2) for p, q in both) / 2
+
+    got = metrics.pairwise_js(df).collect()
+    assert len(got) == 45 and all(r.one < r.two and abs(r.js - js(r.one, r.two)) < 1e-12 for r in got)
+    near = {(r.one, r["rank"]): r.two for r in metrics.pairwise_js(df, top=2).collect()}
+    assert near == {(a, k + 1): b for a in range(10) for k, (_, b) in enumerate(sorted((js(min(a, b), max(a, b)), b) for b in range(10) if b != a)[:2])}
+
+
+def test_leave_one_out_roles_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BROADCAST_FOLDS", 4)
+    samples = spark.createDataFrame([(f"s{k:02d}", "mine") for k in range(11)], "sample_id string, _row string")
+    roles = ordering.fold_roles(ordering.leave_one_out(samples, "sample_id")).collect()
+    assert {(r.fold, r.sample_id, r.role) for r in roles} == {(f, f"s{k:02d}", "test" if f == k else "train") for f in range(11) for k in range(11)} and len(roles) == 121
+    assert ordering.k_folds(samples, "sample_id", 3).columns == ["sample_id", "_row", "fold"]
+
+
 def test_nearest_within_keeps_repeated_rows(spark):
     cells = spark.createDataFrame([("a", 1, 0.0, 0.0, {"k": 1}), ("a", 1, 0.0, 0.0, {"k": 1}), ("a", 2, 3.0, 0.0, None), ("a", 3, None, 0.0, None), (None, 4, 0.0, 0.0, None)], "slide string, cell_id long, x double, y double, more map<string,int>")
     spots = spark.createDataFrame([("a", 5, 0.0, 1.0), ("a", 6, None, 0.0), ("a", 7, 0.0, 1.0)], "slide string, spot_idx long, x double, y double")
