@@ -11,9 +11,9 @@ no band in common with probability (1 - 0.8^5)^40 = 1.3e-7. Candidates are confi
 never spell out the pairs of a bucket:
 
 1. each set with the least one of each of its buckets; the links found join sets to components;
-2. buckets in which several components are left (equal ones once) go to tasks with the sets themselves, large ones as pairs
-   of chunks; there every set outside the largest component is compared with all others, and union-find joins what is
-   similar, so that no link between two components of a bucket is left out.
+2. buckets in which several components are left (equal ones once) go to tasks with the sets themselves, large ones in
+   chunks; every set outside the bucket's largest component is compared with all others in each chunk, and union-find
+   joins what is similar, so that no link between two components of a bucket is left out.
 
 Defined cases: texts of fewer than `words_each` words are one shingle; null and empty texts and those without words have
 none, are linked with nothing and stay; texts of equal sets are one class, whatever their number; null doc_ids take part,
@@ -43,7 +43,7 @@ BANDS, ROWS = 40, 5
 SHINGLES_AT_ONCE = 1 << 14
 #: Words that a worker keeps the hashes of.
 KEPT_WORDS = 1 << 19
-#: Sets of one bucket that a task compares with as many others.
+#: Sets of one bucket that stand in a task, and as many that ask for others.
 CHUNK_SETS = 512
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -148,21 +148,18 @@ def compared(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
-def joined(sets: list[np.ndarray], labels: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Labels of the sets after every similar pair of a left and a right one has been given one label.
+def joined(sets: list[np.ndarray], labels: np.ndarray, percent: int, asking: np.ndarray) -> np.ndarray:
+    """Labels of the sets after every asking set has got one label with all that are similar to it.
 
-    Sets outside the largest class are compared with all others at once, through the places of their shingles.
+    A set is compared with all of other labels at once, through the places of its shingles.
     """
     labels = labels.copy()
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
-    names, where, counts = np.unique(labels, return_inverse=True, return_counts=True)
-    outside = np.nonzero(where != counts.argmax())[0]
-    for k in outside[np.argsort(counts[where[outside]], kind="stable")].tolist():
+    for k in np.nonzero(asking)[0].tolist():
         others = labels != labels[k]
-        others &= right if left[k] and not right[k] else left if right[k] and not left[k] else left | right
         if not others.any():
             continue
         low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
@@ -213,24 +210,31 @@ def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> Dat
     first = stage(connected_components(links), "first-components")
 
     of_set = full.select("sid", "set_id").join(first.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    held = buckets.select("key", "sid").join(of_set, "sid")
-    print_ = F.xxhash64("set_id")
-    left = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(print_).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"))
-    left = left.where("low < high and n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same sets once; two sets have met
-    left = left.select("key", (F.floor((F.col("n") - 1) / CHUNK_SETS) + 1).cast("int").alias("chunks"))
-    dealt = held.join(left, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = stage(dealt.select("key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set_id", "root"), "unsettled")
+    held = stage(buckets.select("key", "sid").join(of_set, "sid"), "held")
+    mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "set_id"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("n"), mark(0).alias("x"), mark(1).alias("y"))
+    whole = F.struct("n", "root")
+    left = parts.groupBy("key").agg(F.max(whole).alias("main"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    left = left.where("main.n < n and n > 2")  # two sets have met
+    left = left.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main")).alias("first")).select("first.*", "n")  # buckets of the same sets once
+    chunks = lambda n: F.floor((n - 1) / CHUNK_SETS).cast("int") + 1
+    left = left.select("key", F.col("main.root").alias("main"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("main.n")).alias("rounds"))
+    # every set stands in a chunk; sets outside the main component stand in a round, too, and ask in every chunk
+    rows = held.join(left, "key").select("key", "set_id", "root", "main", "chunks", "rounds", F.pmod(F.xxhash64("set_id"), "chunks").cast("int").alias("chunk"), F.pmod(F.xxhash64(F.lit(1), "set_id"), "rounds").cast("int").alias("round"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("key", "chunk", every("rounds").alias("round"), F.lit(False).alias("asks"), "set_id", "root")
+    asking = rows.where("root != main").select("key", every("chunks").alias("chunk"), "round", F.lit(True).alias("asks"), "set_id", "root")
+    dealt = stage(asked.unionByName(asking), "unsettled")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk, (labels, _) = rows["chunk"].to_numpy(), pd.factorize(rows["root"])
-        own = [np.asarray(s).view(np.uint64) for s in rows["shingles"]]
-        after = joined(own, labels, percent, chunk == rows["one"].iloc[0], chunk == rows["two"].iloc[0])
+        labels, _ = pd.factorize(rows["root"])
+        after = joined([np.asarray(s).view(np.uint64) for s in rows["shingles"]], labels, percent, rows["asks"].to_numpy())
         ids = rows["set_id"].to_numpy()
         firsts = pd.Series(ids).groupby(after).transform("first").to_numpy()
         kept = np.nonzero(firsts != ids)[0]
         return pd.DataFrame({"a": ids[kept], "b": firsts[kept]})
 
-    again = dealt.join(full.select("set_id", "shingles"), "set_id").groupBy("key", "one", "two").applyInPandas(tidied_group(search), "a binary, b binary")
+    again = dealt.join(full.select("set_id", "shingles"), "set_id").groupBy("key", "chunk", "round").applyInPandas(tidied_group(search), "a binary, b binary")
     roots = connected_components(links.union(again)).select(F.col("node").alias("set_id"), "root")
     return known.join(roots, "set_id", "left").select("doc_id", "d1", "d2", "n", "set_id", F.coalesce("root", "set_id").alias("root"))
 
