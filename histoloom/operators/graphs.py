@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from histoloom.functions import vectors
 from histoloom.operators.ordering import number_within
 from histoloom.operators.reduce import vector_mean, vector_sum
+from histoloom.session import stage
 
 
 def node_index(nodes: DataFrame, graph: str, row: str) -> DataFrame:
@@ -58,6 +59,34 @@ def spot_arrays(cells: DataFrame, spot: list[str], row: str, *columns: str) -> D
     return rows.select(*spot, *map(column, (row, *columns)))
 
 
+def in_ranges(rows: DataFrame, ranges: DataFrame, group: str, row: str, start: str = "start", end: str = "end") -> DataFrame:
+    """rows with the columns of every range (start <= row < end) of their group that holds their number.
+
+    Ranges stand at the level of their own length: blocks of numbers double from level to level, and a range lies at the
+    first one whose block is no shorter than it, so it covers two blocks at most. Rows look at each level that has ranges.
+    """
+    sized = ranges.where(F.col(end) > F.col(start))
+    sized = sized.withColumn("_level", F.ceil(F.log2((F.col(end) - F.col(start)).cast("double"))).cast("int"))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())  # 64 at most
+    block = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("_level"))
+    last = F.call_function("shiftright", F.col(end).cast("long") - 1, F.col("_level"))
+    sized = sized.withColumn("_block", F.explode(F.sequence(block(start), last)))
+    looking = rows.withColumn("_level", F.explode(F.array(*map(F.lit, levels))) if levels else F.lit(0)).withColumn("_block", block(row))
+    inside = (F.col(row) >= F.col(start)) & (F.col(row) < F.col(end))
+    return looking.join(sized, [group, "_level", "_block"]).where(inside).drop("_level", "_block")
+
+
+def spot_arrays_by_offsets(cells: DataFrame, offsets: DataFrame, group: str, spot: str, row: str, *columns: str) -> DataFrame:
+    """(group, spot, row, columns) of every spot in offsets (group, spot, start, end): its cells' columns as arrays in row order, empty ones for a spot without cells.
+
+    Only the offsets say which cells are a spot's; cells beyond them are nobody's.
+    """
+    held = in_ranges(cells.select(group, row, *columns), offsets.select(group, spot, "start", "end"), group, row)
+    arrays = spot_arrays(held, [group, spot], row, *columns)
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(arrays.schema[c].dataType)).alias(c)
+    return offsets.select(group, spot).join(arrays, [group, spot], "left").select(group, spot, *map(empty, (row, *columns)))
+
+
 def polygons(vertices: DataFrame) -> DataFrame:
     """(cell_id, polygon) from vertex rows, in vertex order."""
     ordered = F.array_sort(F.collect_list(F.struct("vertex_idx", "x", "y")))
@@ -65,14 +94,18 @@ def polygons(vertices: DataFrame) -> DataFrame:
 
 
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, graph: str, node: str, vector: str = "features") -> DataFrame:
-    """(graph, node, features): sum of the neighbours' vectors and the node's own, each weighted by 1 / sqrt of both degrees (self loops count)."""
-    loops = nodes.select(graph, F.col(node).alias("src"), F.col(node).alias("dst"))
-    every = edges.select(graph, "src", "dst").unionByName(loops)
-    degree = every.groupBy(graph, "dst").agg(F.count("*").alias("d"))
-    of_src, of_dst = degree.toDF(graph, "src", "ds"), degree.toDF(graph, "dst", "dd")
-    weighed = every.join(of_src, [graph, "src"]).join(of_dst, [graph, "dst"]).withColumn("w", 1 / F.sqrt(F.col("ds").cast("double") * F.col("dd")))
-    sent = weighed.join(nodes.where(F.col(vector).isNotNull()).select(graph, F.col(node).alias("src"), vector), [graph, "src"])
-    return sent.groupBy(graph, F.col("dst").alias(node)).agg(vector_sum(vector, "w").alias(vector))
+    """(graph, node, features): sum of the neighbours' vectors and the node's own, each weighted by 1 / sqrt of both degrees (self loops count).
+
+    Vectors are weighted by their own degree before they are sent and the sums by the receiver's afterwards, so edges meet
+    one table once and carry nothing but their ends.
+    """
+    edges = stage(edges.select(graph, "src", "dst"), "pooled-edges")
+    loops = nodes.select(graph, F.col(node).alias("dst"))
+    degree = stage(edges.select(graph, "dst").unionByName(loops).groupBy(graph, "dst").agg((1 / F.sqrt(F.count("*").cast("double"))).alias("_w")), "degrees")
+    own = nodes.where(F.col(vector).isNotNull()).select(graph, F.col(node).alias("src"), vector).join(degree.withColumnRenamed("dst", "src"), [graph, "src"])
+    sent = edges.join(own, [graph, "src"]).select(graph, "dst", vector, "_w").unionByName(own.select(graph, F.col("src").alias("dst"), vector, "_w"))
+    sums = sent.groupBy(graph, "dst").agg(vector_sum(vector, "_w").alias("_sum")).join(degree, [graph, "dst"])
+    return sums.select(graph, F.col("dst").alias(node), F.transform("_sum", lambda x: x * F.col("_w")).alias(vector))
 
 
 def softmax_pool(scores: DataFrame, graph: str, gene: str, score: str = "score", value: str = "value") -> DataFrame:

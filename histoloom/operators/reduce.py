@@ -90,28 +90,94 @@ def explained(model: DataFrame, group: str = "slide") -> DataFrame:
     return model.select(group, "component", "ratio", F.sum("ratio").over(upto).alias("cumulative"))
 
 
-def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, rounds: int = 20) -> DataFrame:
-    """cells with `label`: Lloyd's rounds for all groups together, from k cells of each group in seeded hash order.
+#: Bytes of vectors of one group, in 64-bit numbers, from which its start is fitted inside a task.
+SAMPLE_BYTES = 32 << 20
 
-    A group of n cells has min(k, n) clusters; labels follow the start order, so a single cell has label 0. Empty clusters
-    keep their centroid. Centroids are a table joined on the group, never sent through the driver.
-    """
-    rows = stage(cells.where(F.col(vector).isNotNull()), "kmeans-cells")
-    start = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    chosen = rows.withColumn("label", F.row_number().over(start) - 1).where(F.col("label") < k)
-    centroids = stage(chosen.select(group, "label", F.transform(vector, lambda v: v.cast("double")).alias("centroid")), "centroids")
 
-    def assigned(centroids: DataFrame) -> DataFrame:
-        table = centroids.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_c"))  # k entries
-        nearest = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d2"), c["label"].alias("label"))))
-        return rows.join(table, group).withColumn("label", nearest["label"]).drop("_c")
+def _seeded(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """k places among x, each drawn by its squared distance from those before it, the best of a few draws."""
+    chosen = [int(random.integers(len(x)))]
+    nearest = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = nearest.sum()
+        drawn = random.choice(len(x), 2 + int(np.log(k)), p=nearest / total) if total > 0 else np.setdiff1d(np.arange(len(x)), chosen)[:1]
+        after = np.minimum(nearest, ((x[drawn][:, None] - x[None]) ** 2).sum(2))
+        best = int(after.sum(1).argmin())
+        chosen.append(int(drawn[best]))
+        nearest = after[best]
+    return x[chosen]
+
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each row, ties to the first, and its squared distance."""
+    d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1), 0)
+    label = d2.argmin(1)
+    return label, d2[np.arange(len(x)), label]
+
+
+def _settled(x: np.ndarray, centroids: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Centroids after Lloyd's rounds until nothing moves, and the loss. Empty clusters keep their centroid."""
     for _ in range(rounds):
-        moved = assigned(centroids).groupBy(group, "label").agg(vector_mean(vector).alias("moved"))
-        after = centroids.join(moved, [group, "label"], "left").select(group, "label", "centroid", F.coalesce("moved", "centroid").alias("after"))
-        went, seen = squared_distance(F.col("after"), F.col("centroid")) > 1e-12, Observation()
-        after = after.withColumn("went", went).observe(seen, F.max("went").alias("went"))
-        centroids = stage(after.select(group, "label", F.col("after").alias("centroid")), "centroids")
-        if not seen.get["went"]:
+        label, _ = _nearest(x, centroids)
+        count = np.bincount(label, minlength=len(centroids))
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, label, x)
+        moved = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
+        if ((moved - centroids) ** 2).sum(1).max() <= 1e-12:
             break
-    return assigned(centroids)
+        centroids = moved
+    return centroids, float(_nearest(x, centroids)[1].sum())
+
+
+def kmeans_start(rows: DataFrame, k: int, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, starts: int = 10, rounds: int = 20) -> DataFrame:
+    """(group, label, centroid, whole): the best of `starts` fits of each group's sample; whole: the sample is the whole group.
+
+    The sample are the cells of lowest seeded hash, as many as SAMPLE_BYTES hold, so a task never has more of a group. A group of
+    n cells has min(k, n) clusters.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    fits = F.lit(float(SAMPLE_BYTES)) / (8 * F.greatest(F.max(F.size(vector)), F.lit(1)))
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), fits.alias("_fits"))
+    place = F.xxhash64(F.col(key), F.lit(seed))
+    share = (F.shiftrightunsigned(place, 11) + 0.5) / float(1 << 53)
+    some = rows.join(sizes, rows[group].eqNullSafe(F.col("_g"))).where(share * F.col("_n") < F.col("_fits"))
+    some = some.select(group, (F.col("_n") <= F.col("_fits")).alias("whole"), place.alias("place"), F.col(key).alias("key"), vector)
+
+    def fit(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["place", "key"])
+        x = np.stack(cells[vector].to_numpy()).astype(np.float64)
+        random = np.random.default_rng(seed)
+        best = min((_settled(x, _seeded(x, min(k, len(x)), random), rounds) for _ in range(starts)), key=lambda fitted: fitted[1])[0]
+        return pd.DataFrame({group: [cells[group].iloc[0]] * len(best), "label": np.arange(len(best), dtype=np.int32), "centroid": list(best), "whole": bool(cells["whole"].iloc[0])})
+
+    return some.groupBy(group).applyInPandas(fit, f"{group} {kind}, label int, centroid array<double>, whole boolean")
+
+
+def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, rounds: int = 20, starts: int = 10) -> DataFrame:
+    """cells with `label`: the best of several k-means++ starts for every group, then Lloyd's rounds over all its cells.
+
+    Starts are fitted in tasks, on a sample of bounded size of each group (kmeans_start). Groups that are larger than their
+    sample go on from there with all their cells, all of them together, in a job a round; the others have settled already. A
+    single cell has label 0. Centroids are a table joined on the group, never sent through the driver.
+    """
+    rows = stage(cells.where(F.col(vector).isNotNull()), "kmeans-cells")
+    centroids = stage(kmeans_start(rows, k, group, key, vector, seed, starts, rounds), "centroids")
+
+    def assigned(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+        table = centroids.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_c"))  # k entries
+        nearest = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d2"), c["label"].alias("label"))))
+        return rows.join(table, rows[group].eqNullSafe(F.col("_g"))).withColumn("label", nearest["label"]).drop("_c", "_g")
+
+    done, moving = centroids.where("whole"), centroids.where("not whole").drop("whole")
+    open_ = moving.select(F.col(group).alias("_o")).distinct()
+    if moving.take(1):
+        large = rows.join(open_, rows[group].eqNullSafe(F.col("_o")), "left_semi")
+        for _ in range(rounds):
+            moved = assigned(large, moving).groupBy(F.col(group).alias("_g"), F.col("label").alias("_l")).agg(vector_mean(vector).alias("moved"))
+            after = moving.join(moved, moving[group].eqNullSafe(F.col("_g")) & (F.col("label") == F.col("_l")), "left").select(group, "label", "centroid", F.coalesce("moved", "centroid").alias("after"))
+            went, seen = squared_distance(F.col("after"), F.col("centroid")) > 1e-12, Observation()
+            after = after.withColumn("went", went).observe(seen, F.max("went").alias("went"))
+            moving = stage(after.select(group, "label", F.col("after").alias("centroid")), "centroids")
+            if not seen.get["went"]:
+                break
+    return assigned(rows, done.select(group, "label", "centroid").unionByName(moving.select(group, "label", "centroid")))

@@ -141,6 +141,17 @@ def spot_arrays(spark, sf_dir):
     return rows.select("tile", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cell_id", "x")])
 
 
+@query("a29_spot_arrays_by_offsets", f"WITH {views.CELLS_SQL}, r AS (SELECT cell_id, slide, cell_id % 10 AS spot, x, row_number() OVER (PARTITION BY slide ORDER BY cell_id % 10, cell_id) - 1 AS nth FROM cells), s AS (SELECT DISTINCT slide, spot FROM r UNION SELECT DISTINCT slide, 10 FROM r) SELECT s.slide, s.spot, coalesce(string_agg(cell_id::VARCHAR, ',' ORDER BY nth), '') AS cell_id, coalesce(string_agg(x::VARCHAR, ',' ORDER BY nth), '') AS x FROM s LEFT JOIN r ON s.slide = r.slide AND s.spot = r.spot GROUP BY ALL")
+def spot_arrays_by_offsets(spark, sf_dir):
+    """Cells in spot order with their place, and where each spot begins and ends; an empty spot after the last one."""
+    cells = views.cells(spark, sf_dir).withColumn("spot", F.col("cell_id") % 10)
+    placed = ordering.number_within(cells, "slide", "spot", "cell_id", name="row_idx")
+    offsets = graphs.spot_offsets(cells, "slide", "spot")
+    empty = offsets.groupBy("slide").agg(F.lit(10).cast("long").alias("spot"), F.max("end").alias("start"), F.max("end").alias("end"))
+    rows = graphs.spot_arrays_by_offsets(placed, offsets.unionByName(empty), "slide", "spot", "row_idx", "cell_id", "x")
+    return rows.select("slide", "spot", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cell_id", "x")])
+
+
 @query("a33_neighbour_mean", f"WITH {views.CELLS_SQL}, {EDGES_SQL}, e AS (SELECT slide, src, dst FROM edges UNION ALL SELECT slide, cell_id, cell_id FROM cells), d AS (SELECT slide, dst AS node, count(*) AS d FROM e GROUP BY ALL) SELECT e.slide, e.dst AS cell_id, round(sum(c.x / sqrt(a.d * b.d::DOUBLE)), 4) AS fx, round(sum(c.y / sqrt(a.d * b.d::DOUBLE)), 4) AS fy FROM e JOIN d a ON a.slide = e.slide AND a.node = e.src JOIN d b ON b.slide = e.slide AND b.node = e.dst JOIN cells c ON c.cell_id = e.src GROUP BY ALL")
 def neighbour_mean(spark, sf_dir):
     cells = views.cells(spark, sf_dir).withColumn("features", F.array(F.col("x").cast("double"), F.col("y").cast("double")))

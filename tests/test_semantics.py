@@ -312,6 +312,44 @@ def test_kmeans_settles(spark):
     assert (((data[1][:, None] - centres[None]) ** 2).sum(2).argmin(1) == own).all()
 
 
+def test_kmeans_loses_no_more_than_by_many_seedings(spark, monkeypatch):
+    """Clumps of uneven size: no more loss than the best of ten plain k-means++ runs, whether a group fits a task or goes on over all its cells."""
+    rng = np.random.default_rng(12)
+    clumps = np.concatenate([rng.normal(c, 0.3, (n, 3)) for c, n in zip(rng.uniform(-9, 9, (7, 3)), (300, 200, 60, 30, 20, 10, 4))])
+    df = spark.createDataFrame([(k, "a", x.tolist()) for k, x in enumerate(clumps)], "cell_id long, slide string, features array<double>")
+
+    def loss(labels):
+        return sum(((clumps[labels == j] - clumps[labels == j].mean(0)) ** 2).sum() for j in set(labels.tolist()))
+
+    def plain(seed):
+        random = np.random.default_rng(seed)
+        c = clumps[[random.integers(len(clumps))]]
+        while len(c) < 7:
+            d = ((clumps[:, None] - c[None]) ** 2).sum(2).min(1)
+            c = np.vstack([c, clumps[random.choice(len(clumps), p=d / d.sum())]])
+        for _ in range(50):
+            label = ((clumps[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([clumps[label == j].mean(0) if (label == j).any() else c[j] for j in range(7)])
+        return loss(label)
+
+    best = min(map(plain, range(10)))
+    for sample in (reduce.SAMPLE_BYTES, 8 * 3 * 200):
+        monkeypatch.setattr(reduce, "SAMPLE_BYTES", sample)
+        rows = sorted(reduce.kmeans(df, 7).collect(), key=lambda r: r.cell_id)
+        assert loss(np.array([r.label for r in rows])) <= best * (1 + 1e-9) if sample > 10**6 else loss(np.array([r.label for r in rows])) <= best * 1.05
+
+
+def test_cells_by_offsets(spark):
+    """Ranges of every length, side by side, with gaps and empty ones; no nested loop."""
+    ends = [0, 1, 1, 4, 4, 20, 21, 149, 150]
+    offsets = spark.createDataFrame([("a", k, s, e) for k, (s, e) in enumerate(zip(ends, ends[1:]))] + [("a", 8, 160, 170), ("b", 0, 0, 2), ("c", 0, 0, 0)], "slide string, spot long, start long, end long")
+    cells = spark.createDataFrame([(g, k, float(k)) for g, n in (("a", 165), ("b", 5)) for k in range(n)], "slide string, row_idx long, x double")
+    got = graphs.spot_arrays_by_offsets(cells, offsets, "slide", "spot", "row_idx", "x")
+    assert {(r.slide, r.spot): r.x for r in got.collect()} == {(r.slide, r.spot): [float(k) for k in range(r.start, min(r.end, 165 if r.slide == "a" else 5))] for r in offsets.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_polygons(spark):
     vertices = spark.createDataFrame([(1, 2, 4.0, 3.0), (1, 0, 0.0, 0.0), (1, 1, 4.0, 0.0)], "cell_id long, vertex_idx int, x double, y double")
     p = F.col("polygon")
