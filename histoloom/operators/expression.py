@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.functions import ids
+from histoloom.session import stage
 
 #: Spread below which a gene counts as constant.
 FLAT = 1e-6
+#: Genes up to which a given list is broadcast.
+BROADCAST_GENES = 200_000
 
 
 def replicate_mean(expr: DataFrame, case: Column) -> DataFrame:
@@ -94,7 +97,14 @@ def align_genes(expr: DataFrame, genes: DataFrame, ignore_case: bool = False) ->
     listed = genes.select("pos", F.col("symbol").alias("gene"), key(F.col("symbol")).alias("_key"))
     known = expr.select(F.col("gene").alias("_name"), key(F.col("gene")).alias("_key")).distinct().groupBy("_key").agg(F.min("_name").alias("_name"))
     listed = listed.join(known, "_key", "left").withColumn("available", F.col("_name").isNotNull())
-    grid = expr.select("sample_id").distinct().crossJoin(F.broadcast(listed))  # the gene list is given, some thousands at most
+    listed = stage(listed, "gene-list")
+    samples = expr.select("sample_id").distinct()
+    if (n := listed.count()) <= BROADCAST_GENES:
+        grid = samples.crossJoin(F.broadcast(listed))
+    else:  # in blocks of the list, which every sample meets one by one
+        blocks = -(-n // BROADCAST_GENES)
+        lists = listed.withColumn("_block", F.pmod(F.xxhash64("pos", "gene"), F.lit(blocks))).groupBy("_block").agg(F.collect_list(F.struct(*listed.columns)).alias("_genes"))
+        grid = samples.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "_block").select("sample_id", F.inline("_genes"))
     values = expr.select("sample_id", F.col("gene").alias("_name"), "value")
     return grid.join(values, ["sample_id", "_name"], "left").select("sample_id", "pos", "gene", F.coalesce("value", F.lit(0.0)).alias("value"), "available")
 

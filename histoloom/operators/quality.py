@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Percentiles of the columns' spread that the diagnostics report; the spread that counts as none.
 PERCENTILES = (0, 1, 5, 25, 50, 75, 95, 99, 100)
@@ -25,6 +32,58 @@ def feature_violations(cells: DataFrame, expected: DataFrame, vector: str = "fea
     return rows.select("slide", F.explode(problems).alias("problem"))
 
 
+#: What parquet's footer makes the least size of a file: two marks of 4 bytes and a length.
+LEAST_BYTES = 12
+
+
+def parquet_footers(files: DataFrame) -> DataFrame:
+    """files (path, length, ...) with `rows` and `columns` of their parquet footer, null where it cannot be read. Tasks read the footers, never data."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns = [], []
+            for path in batch.column("path").to_pylist():
+                try:
+                    system, place = fs.FileSystem.from_uri(path)
+                    with system.open_input_file(place) as file:
+                        footer = pq.read_metadata(file)
+                    rows.append(footer.num_rows)
+                    columns.append(footer.schema.to_arrow_schema().names)
+                except (OSError, pa.ArrowException):
+                    rows.append(None)
+                    columns.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64()), pa.array(columns, pa.list_(pa.string()))], [*batch.schema.names, "rows", "columns"])
+
+    schema = T.StructType([*files.schema.fields, T.StructField("rows", T.LongType()), T.StructField("columns", T.ArrayType(T.StringType()))])
+    return files.mapInArrow(opened, schema)
+
+
+def file_violations(files: DataFrame, expected: DataFrame, required: tuple[str, ...] = ("features",), few: int = 10) -> DataFrame:
+    """(slide, problem) by the files of a feature store alone. files: (slide, path, length); expected: (slide, expected rows or null).
+
+    'missing': no file; 'temporary': a file that a writer has left unfinished; 'empty file': no bytes; 'unreadable': no footer (cut
+    off, or no parquet); 'missing column'; 'empty': footers without rows; 'row count': another number than expected; 'few rows'
+    only warns. Only listings and footers are read; feature_violations looks at the rows of slides that pass.
+    """
+    unfinished = F.col("path").rlike(r"/_temporary/|\.tmp(\.[^/]*)?$")
+    read = parquet_footers(files.where(~unfinished & (F.col("length") >= LEAST_BYTES)).select("slide", "path", "length"))
+    rest = files.where(unfinished | (F.col("length") < LEAST_BYTES)).select("slide", "path", "length", F.lit(None).cast("long").alias("rows"), F.lit(None).cast("array<string>").alias("columns"))
+    every = read.unionByName(rest).withColumn("unfinished", unfinished)
+    lacks = functools.reduce(lambda a, b: a | b, [~F.array_contains("columns", c) for c in required], F.lit(False))
+    found = every.groupBy("slide").agg(
+        F.count_if("unfinished").alias("temporary"), F.count_if(~F.col("unfinished")).alias("files"), F.count_if(~F.col("unfinished") & (F.col("length") == 0)).alias("no_bytes"),
+        F.count_if(~F.col("unfinished") & (F.col("length") > 0) & F.col("rows").isNull()).alias("unreadable"), F.count_if(lacks).alias("lacking"), F.sum("rows").alias("rows"),
+    )
+    rows = expected.select("slide", "expected").join(found, "slide", "left")
+    n, sound = F.coalesce("rows", F.lit(0)), (F.col("files") > 0) & (F.col("no_bytes") == 0) & (F.col("unreadable") == 0)
+    problem = lambda name, condition: F.when(condition, name)
+    problems = F.array_compact(F.array(
+        problem("missing", F.coalesce("files", F.lit(0)) == 0), problem("temporary", F.col("temporary") > 0), problem("empty file", F.col("no_bytes") > 0), problem("unreadable", F.col("unreadable") > 0),
+        problem("missing column", F.col("lacking") > 0), problem("empty", sound & (n == 0)), problem("row count", sound & (n > 0) & (n != F.col("expected"))), problem("few rows", sound & (n > 0) & (n < few)),
+    ))
+    return rows.select("slide", F.explode(problems).alias("problem"))
+
+
 def dimension_stats(cells: DataFrame, vector: str = "features") -> DataFrame:
     """(dim, nan, inf, mean, std, min, max) of each component over the finite values."""
     rows = cells.select(F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

@@ -9,7 +9,7 @@ from histoloom.operators import expression, graphs, spatial
 from histoloom.plans import views
 from histoloom.plans.registry import query
 from histoloom.plans.source_queries import touch
-from histoloom.session import posix_path, shared_path, table
+from histoloom.session import posix_path, shared_path, stage, table
 from histoloom.sources import readers, writers
 
 
@@ -24,9 +24,10 @@ def build_bulk_graphs(spark: SparkSession, features: str, tiles: str, matrix: st
     edges = spatial.radius_graph(cells, radius)
     meta = graphs.graph_metadata(cells, readers.list_tiles(spark, tiles), edges)
     ready = expression.valid_slides(meta.withColumn("case", F.col("slide")), targets)
-    writers.write_graphs(out, graph_meta=ready, targets=targets)
-    known = spark.read.parquet(f"{out}/graph_meta").select("slide")
-    writers.write_graphs(out, nodes=graphs.node_index(cells.join(known, "slide", "left_semi"), "slide", "cell_id"), edges=edges.join(known, "slide", "left_semi"))
+    ready = stage(ready, "graph-meta")
+    known = ready.select("slide")
+    nodes = graphs.node_index(cells.join(known, "slide", "left_semi"), "slide", "cell_id")
+    writers.write_graphs(out, graph_meta=ready, targets=targets, nodes=nodes, edges=edges.join(known, "slide", "left_semi"))
 
 
 @query("bulk_chain_on_files", f"WITH {views.CELLS_SQL}, {views.TILES_SQL}, e AS (SELECT a.slide, count(*) AS edges FROM cells a JOIN cells b ON a.slide = b.slide WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) BETWEEN 1 AND 25000000 GROUP BY 1), c AS (SELECT slide, count(*) AS cells FROM cells GROUP BY 1), t AS (SELECT slide, count(*) AS tiles FROM tiles GROUP BY 1), x AS (SELECT l_suppkey AS slide, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1) SELECT slide, cells, tiles, coalesce(edges, 0) AS edges, cells AS nodes, total FROM c JOIN t USING (slide) LEFT JOIN e USING (slide) JOIN x USING (slide)")
@@ -38,12 +39,17 @@ def bulk_chain_on_files(spark, sf_dir) -> DataFrame:
     name = F.concat(F.lit(f"{posix_path(tiles)}/"), F.col("slide").cast("string"), F.lit("_patch_tile_"), F.col("tile_id").cast("string"), F.lit("_level0_"), bounds, F.lit(".png"))
     touch(views.tiles(spark, sf_dir).select(name.alias("path")))
     items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("G"), F.col("l_linenumber").cast("string")).alias("gene"), "l_suppkey", "l_quantity")
-    slides = sorted(r[0] for r in items.select("l_suppkey").distinct().collect())  # the matrix has a column for each
-    items.groupBy("gene").pivot("l_suppkey", slides).agg(F.round(F.sum("l_quantity"), 2)).write.option("header", True).csv(matrix)
+    names = items.agg(F.array_sort(F.collect_set("l_suppkey")).alias("slides"))  # the matrix has a column for each
+    values = items.groupBy("gene", "l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("value"))
+    values = values.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("l_suppkey", "value"))).alias("held")).crossJoin(F.broadcast(names))  # names: one row
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    header = names.select(F.concat(F.lit(","), F.array_join("slides", ",")).alias("value"))
+    lines = values.select(F.concat_ws(",", "gene", F.array_join(F.transform("slides", lambda s: text(F.col("held")[s])), ",")).alias("value"))
+    header.coalesce(1).union(lines).write.text(matrix)  # the header's file comes first
     build_bulk_graphs(spark, features, tiles, matrix, out, 5000.0)
-    count = lambda kind, *keys: spark.read.parquet(f"{out}/{kind}").groupBy(*keys)
+    count = lambda kind, *keys: writers.read_graphs(spark, out, kind).groupBy(*keys)
     nodes = count("nodes", "slide").agg(F.count("*").alias("nodes"))
     edges = count("edges", "slide").agg(F.count("*").alias("edge_rows"))
-    totals = spark.read.parquet(f"{out}/targets").groupBy(F.col("case").alias("slide")).agg(F.round(F.sum("value"), 2).alias("total"))
-    meta = spark.read.parquet(f"{out}/graph_meta").join(nodes, "slide").join(totals, "slide").join(edges, "slide", "left")
+    totals = writers.read_graphs(spark, out, "targets").groupBy(F.col("case").alias("slide")).agg(F.round(F.sum("value"), 2).alias("total"))
+    meta = writers.read_graphs(spark, out, "graph_meta").join(nodes, "slide").join(totals, "slide").join(edges, "slide", "left")
     return meta.where(F.coalesce("edge_rows", F.lit(0)) == F.col("edges")).select(F.col("slide").cast("bigint").alias("slide"), "cells", "tiles", "edges", "nodes", "total")

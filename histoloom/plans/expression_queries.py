@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from histoloom.operators import expression, graphs, metrics, ordering, quality, spatial
-from histoloom.plans import views
+from histoloom.operators import expression, graphs, metrics, ordering, partials, quality, spatial
+from histoloom.plans import source_queries, views
 from histoloom.plans.registry import query
-from histoloom.session import table
+from histoloom.session import posix_path, shared_path, table
+from histoloom.sources import readers, writers
 
 E, B, C = views.EXPR_SQL, views.BARCODES_SQL, views.CELLS_SQL
 R = lambda c, n=4: F.round(c, n)
@@ -44,6 +45,19 @@ def gene_stats(spark, sf_dir):
     return _rounded(expression.gene_stats(views.expression(spark, sf_dir)), "mean", "std")
 
 
+@query("a04_merged_gene_stats", f"WITH {E}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n, min(value) AS lo, max(value) AS hi FROM expr WHERE sample_id % 3 <> 0 GROUP BY 1) SELECT gene, n, round(m, 4) AS mean, round(s, 4) AS std, round(lo, 4) AS least, round(hi, 4) AS most FROM s")
+def merged_gene_stats(spark, sf_dir):
+    """Stored states of all samples, taken up in two goes, the second of which replaces some; merged for the samples of a split."""
+    folder = shared_path(spark, "gene-states")
+    expr = views.expression(spark, sf_dir)
+    wrong = expr.where("sample_id % 2 = 0").withColumn("value", F.lit(-1.0))
+    for rows in (wrong, expr.where("sample_id % 2 = 1"), expr.where("sample_id % 2 = 0")):
+        partials.store_stats(partials.partial_stats(rows, "sample_id", "gene"), folder, "sample_id")
+    split = expr.where("sample_id % 3 != 0").select("sample_id")
+    states = partials.stored_stats(spark, folder, split, "sample_id")
+    return _rounded(partials.described(partials.merged_stats(states, "gene"), "gene").drop("quantiles"), "mean", "std", "least", "most", digits=4)
+
+
 @query("a05_sum_to_slide", f"WITH {C} SELECT slide, cell_id % 7 AS gene, sum(x)::BIGINT AS pred FROM cells GROUP BY ALL")
 def sum_to_slide(spark, sf_dir):
     return expression.sum_to_group(views.cells(spark, sf_dir).select("slide", (F.col("cell_id") % 7).alias("gene"), F.col("x").alias("pred")))
@@ -246,6 +260,25 @@ def feature_violations(spark, sf_dir):
     return quality.feature_violations(rows.select("slide", vector.alias("features")), counts.unionByName(nobody)).where("problem != 'few rows'")
 
 
+@query("a21_file_violations", f"WITH {C}, n AS (SELECT slide, count(*) AS n FROM cells GROUP BY 1), p AS (SELECT slide, CASE slide % 8 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty file' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'row count' WHEN 4 THEN 'missing column' WHEN 5 THEN 'temporary' END AS problem FROM n) SELECT * FROM p WHERE problem IS NOT NULL")
+def file_violations(spark, sf_dir):
+    """A feature store of which files are gone, emptied, cut off, short of rows, without features or left unfinished, by slide; told by listings and footers."""
+    folder = shared_path(spark, "damaged-store")
+    cells = views.cells(spark, sf_dir).select("slide", "cell_id", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("features"))
+    kind = F.col("slide") % 8
+    writers.write_cell_features(cells.where(kind.isin(2, 3, 5, 6, 7)), folder)
+    writers.write_cell_features(cells.where(kind == 4).drop("features"), folder)
+    root = posix_path(folder)
+    named = lambda rows, name: rows.select(F.concat(F.lit(f"{root}/slide="), F.col("slide").cast("string"), F.lit(f"/{name}.parquet")).alias("path"))
+    slides = cells.select("slide").distinct()
+    damage = named(slides.where(kind == 1), "part-0").withColumn("bytes", F.lit(0)).union(named(slides.where(kind == 5), "part-0.tmp").withColumn("bytes", F.lit(9)))
+    cut = readers.list_files(spark, f"{folder}/slide=*", "*.parquet").select(F.regexp_replace("path", "^file:/*", "/").alias("path"), (F.col("length") - 9).cast("int").alias("bytes"))
+    source_queries.cut_files(damage.union(cut.where(F.regexp_extract("path", r"/slide=(\d+)/", 1).cast("int") % 8 == 2)))
+    files = readers.list_folders(slides.select("slide", F.concat(F.lit(f"file://{root}/slide="), F.col("slide").cast("string")).alias("path")))
+    counts = cells.groupBy("slide").agg((F.count("*") + F.when(kind == 3, 1).otherwise(0)).alias("expected"))
+    return quality.file_violations(files, counts).where("problem != 'few rows'")
+
+
 @query("a22_dimension_stats", "WITH v AS (SELECT unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT dim::INTEGER AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM v GROUP BY 1")
 def dimension_stats(spark, sf_dir):
     return _rounded(quality.dimension_stats(views.features(spark, sf_dir)).drop("nan", "inf"), "mean", "std", "min", "max", digits=6)

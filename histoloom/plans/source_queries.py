@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from histoloom.operators import expression, ordering, quality
@@ -35,6 +37,23 @@ def touch(paths) -> None:
     paths.mapInArrow(make, "path string").write.format("noop").mode("overwrite").save()
 
 
+def cut_files(files) -> None:
+    """Tasks cut the files at column `path` to `bytes`, or make them; on a mounted folder that all executors share."""
+
+    def cut(batches):
+        for batch in batches:
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "ab") as file:
+                    file.truncate(size)
+                    file.write(b"\0" * (size - file.tell()))
+                with contextlib.suppress(FileNotFoundError):  # the checksum beside it, on file systems that have one
+                    os.remove(f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc")
+            yield batch
+
+    files.mapInArrow(cut, "path string, bytes int").write.format("noop").mode("overwrite").save()
+
+
 def _cell_store(spark, sf_dir) -> str:
     folder = shared_path(spark, "cell-features")
     writers.write_cell_features(views.cells(spark, sf_dir), folder)
@@ -148,11 +167,12 @@ def read_manifest(spark, sf_dir):
 def csr_to_long(spark, sf_dir):
     """A small CSR matrix for each nation: supplier k has its first (k mod 4) columns filled."""
     width = (F.col("s_suppkey") % 4).cast("int")
-    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", width.alias("w"), "s_acctbal")))
-    grouped = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("matrix")).agg(rows.alias("r"))
+    upto = F.sum(width).over(Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, 0))
+    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", width.alias("w"), "s_acctbal", "upto")))
+    grouped = table(spark, sf_dir, "supplier").withColumn("upto", upto).groupBy(F.col("s_nationkey").alias("matrix")).agg(rows.alias("r"))
     filled = lambda r: F.filter(F.array(*[F.struct(F.lit(c).alias("c"), (r["s_acctbal"] + c).alias("v"), (r["w"] > c).alias("there")) for c in range(3)]), lambda z: z["there"])
     cells = F.flatten(F.transform("r", filled))
-    ends = F.aggregate("r", F.array(F.lit(0)), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + r["w"])))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("r", lambda r: r["upto"]))
     arrays = grouped.select("matrix", F.transform(cells, lambda z: z["v"]).alias("data"), F.transform(cells, lambda z: z["c"]).alias("indices"), ends.cast("array<bigint>").alias("indptr"))
     return expression.csr_to_long(arrays, "matrix").select("matrix", "row", "column", "value")
 
@@ -184,10 +204,29 @@ def write_graphs(spark, sf_dir):
     folder = shared_path(spark, "graphs")
     cells = views.cells(spark, sf_dir)
     writers.write_graphs(folder, nodes=cells, graph_meta=cells.groupBy("slide").agg(F.count("*").alias("cells")))
-    count = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    count = lambda name: writers.read_graphs(spark, folder, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
     return count("nodes").unionByName(count("graph_meta"))
 
 
+@query("s15_snapshots", f"WITH {C}, k AS (SELECT slide, count(*) AS n FROM cells GROUP BY 1) SELECT slide, 'first' AS snapshot, n AS nodes, n AS cells FROM k WHERE slide % 2 = 0 UNION ALL SELECT slide, 'last', n, n FROM k UNION ALL SELECT slide, 'after a crash', n, n FROM k")
+def graph_snapshots(spark, sf_dir):
+    """Two snapshots of nodes and metadata; then a run that dies after its first table. Each is read through its manifest."""
+    folder = shared_path(spark, "snapshots")
+    cells = views.cells(spark, sf_dir)
+    meta = cells.groupBy("slide").agg(F.count("*").alias("cells"))
+    first = writers.write_graphs(folder, nodes=cells.where("slide % 2 = 0"), graph_meta=meta.where("slide % 2 = 0"))
+    last = writers.write_graphs(folder, nodes=cells, graph_meta=meta)
+    dies = cells.select(F.raise_error(F.lit("the executor is gone")).alias("slide"))
+    with contextlib.suppress(Exception):
+        writers.write_graphs(folder, nodes=cells.limit(1), graph_meta=dies)
+
+    def held(snapshot, name):
+        nodes = writers.read_graphs(spark, folder, "nodes", snapshot).groupBy("slide").agg(F.count("*").alias("nodes"))
+        return nodes.join(writers.read_graphs(spark, folder, "graph_meta", snapshot), "slide").select("slide", F.lit(name).alias("snapshot"), "nodes", "cells")
+
+    return held(first, "first").unionByName(held(last, "last")).unionByName(held(None, "after a crash"))
+
+
 @query("s16_write_metrics", f"WITH {E} SELECT sample_id, round(sum(pred), 4) AS pred, round(sum(pred), 4) AS again FROM expr GROUP BY 1")
 def write_metrics(spark, sf_dir):
     folder = shared_path(spark, "metrics")

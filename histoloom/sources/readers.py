@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,8 @@ NUCLEI = "nuc map<string, struct<centroid: array<double>, contour: array<array<i
 CELLS = "cell_id bigint, x_centroid double, y_centroid double, cell_area double, nucleus_area double"
 BOUNDARIES = "cell_id bigint, vertex_x double, vertex_y double"
 CLUSTERS = "Barcode bigint, Cluster int"
+#: Columns of a matrix up to which their names are broadcast.
+BROADCAST_NAMES = 1_000_000
 MANIFEST = "id string, filename string, md5 string, size bigint, state string"
 
 
@@ -42,19 +48,59 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")
 
 
+def list_folders(folders: DataFrame) -> DataFrame:
+    """folders (path, ...) with each file below them as path and length, files without bytes too (Spark's own listing leaves those out).
+
+    Tasks list the folders, each its own; folders that do not exist have no files, names that begin with a dot are skipped.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, lengths = [], [], []
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                system, place = fs.FileSystem.from_uri(path)
+                for info in system.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True)):
+                    if info.is_file and not info.base_name.startswith("."):
+                        at.append(k)
+                        paths.append(path + info.path.removeprefix(place))
+                        lengths.append(info.size)
+            rest = batch.drop_columns(["path"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], [*rest.schema.names, "path", "length"])
+
+    rest = [f for f in folders.schema.fields if f.name != "path"]
+    return folders.mapInArrow(listed, T.StructType([*rest, T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]))
+
+
 def list_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, slide, tile_id, x1, y1, x2, y2) of the tile images under a folder, listed once for all slides."""
     tiles = list_files(spark, folder, "*.png").where(F.instr("path", ids.TILE_MARK) > 0)
     return tiles.withColumns({"slide": ids.slide_id(F.col("path")), "_b": ids.tile_bounds(F.col("path"))}).select("path", "length", "slide", "_b.*")
 
 
+#: A line's first field, quoted or not, and the rest behind its comma.
+_FIRST_FIELD = r'^(?:"((?:[^"\\]|\\.|"")*)"|([^,]*)),(.*)$'
+
+
 def read_expression_wide(spark: SparkSession, path: str, cut_ids: bool = True) -> DataFrame:
-    """(gene_id, sample_id, value) of a matrix with a header of barcodes and the gene in an unnamed first column."""
-    wide = spark.read.option("header", True).csv(path)
-    first, *samples = wide.columns
-    gene = ids.gene_prefix(F.col(f"`{first}`")) if cut_ids else F.col(f"`{first}`")
-    numbers = wide.select(gene.alias("gene_id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in samples])
-    return numbers.unpivot("gene_id", [F.col(f"`{c}`") for c in samples], "sample_id", "value")
+    """(gene_id, sample_id, value) of a matrix with a header of barcodes and the gene in an unnamed first column.
+
+    Lines are melted as text: a line is split into its values and these meet the header's names by position, so the plan
+    does not grow with the columns, and a task holds one line at a time, however many samples it has. The header is the
+    first line of the first file by name, and is dropped wherever it stands; only the gene may be quoted. What is no number is null.
+    """
+    first = list_files(spark, path, "*").where("length > 0").agg(F.min("path")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "gene_id string, sample_id string, value double")
+    header = spark.read.text(first).first()[0]
+    lines = spark.read.text(path).where((F.col("value") != header) & (F.col("value") != ""))
+    names = spark.createDataFrame([(header,)], "header string").select(F.posexplode(F.split("header", ",")).alias("pos", "name")).where("pos > 0")
+    names = names.select((F.col("pos") - 1).alias("pos"), F.regexp_replace("name", r'^"|"$', "").alias("sample_id"))
+    part = lambda k: F.regexp_extract("value", _FIRST_FIELD, k)
+    gene = F.when(F.startswith("value", F.lit('"')), F.regexp_replace(part(1), r'\\(.)|""', '"')).otherwise(part(2))
+    values = lines.select((ids.gene_prefix(gene) if cut_ids else gene).alias("gene_id"), F.posexplode(F.split(part(3), ",")).alias("pos", "value"))
+    number = F.regexp_replace("value", r'^"|"$', "").try_cast("double")
+    few = header.count(",") <= BROADCAST_NAMES
+    return values.join(F.broadcast(names) if few else names, "pos").select("gene_id", "sample_id", number.alias("value"))
 
 
 def _file_order() -> Column:

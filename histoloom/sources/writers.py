@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +14,72 @@ def write_cell_features(cells: DataFrame, folder: str, group: str = "slide") ->
     cells.repartition(group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(group).parquet(folder)
 
 
-def write_graphs(folder: str, **tables: DataFrame) -> None:
-    """Tables of graphs (nodes, edges, graph_meta, slide_meta) under one folder."""
+#: Folder of the snapshots' manifests, below that of the graphs.
+MANIFESTS = "_manifests"
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202  (file system, path) of Hadoop
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the complete snapshots of a set of graph tables, oldest first."""
+    files, path = _files(spark, f"{folder}/{MANIFESTS}/*.json")
+    return sorted(s.getPath().getName().removesuffix(".json") for s in files.globStatus(path) or [])
+
+
+def _manifest(spark: SparkSession, folder: str, snapshot: str) -> dict[str, dict]:
+    return json.loads(spark.read.option("wholetext", True).text(f"{folder}/{MANIFESTS}/{snapshot}.json").first()[0])
+
+
+def write_graphs(folder: str, **tables: DataFrame) -> str:
+    """Tables of graphs (nodes, edges, graph_meta, slide_meta, targets) as one new snapshot, whose name is returned.
+
+    Each table gets a folder of its own; a manifest that names them all, with their files and bytes, is renamed into place at
+    the end. Whoever reads through read_graphs sees the snapshot before or this one, never a part of it; tables not given
+    are taken over from the snapshot before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = snapshots(spark, folder)
+    named = _manifest(spark, folder, before[-1]) if before else {}
+    own = uuid.uuid4().hex
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.write.parquet(f"{folder}/data-{own}/{name}")
+        files, path = _files(spark, f"{folder}/data-{own}/{name}")
+        held = files.getContentSummary(path)
+        named[name] = {"path": f"data-{own}/{name}", "files": held.getFileCount(), "bytes": held.getLength()}
+    snapshot = f"{int(before[-1]) + 1 if before else 0:012d}"
+    files, draft = _files(spark, f"{folder}/{MANIFESTS}/.draft-{own}")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(named, sort_keys=True).encode()))
+    out.close()
+    _, place = _files(spark, f"{folder}/{MANIFESTS}/{snapshot}.json")
+    if files.exists(place) or not files.rename(draft, place):
+        raise RuntimeError(f"another writer has made snapshot {snapshot} of {folder}")
+    return snapshot
+
+
+def read_graphs(spark: SparkSession, folder: str, name: str, snapshot: str | None = None) -> DataFrame:
+    """One table of a snapshot, of the last complete one if none is named."""
+    found = snapshot or (snapshots(spark, folder) or [None])[-1]
+    if found is None:
+        raise FileNotFoundError(f"{folder} has no complete snapshot")
+    return spark.read.parquet(f"{folder}/{_manifest(spark, folder, found)[name]['path']}")
+
+
+def drop_snapshots(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Remove all but the last `keep` snapshots, and every table folder that none of these names (what killed runs left, too); how many folders went."""
+    every = snapshots(spark, folder)
+    for old in every[:-keep]:
+        files, path = _files(spark, f"{folder}/{MANIFESTS}/{old}.json")
+        files.delete(path, False)
+    used = {entry["path"].split("/")[0] for kept in every[-keep:] for entry in _manifest(spark, folder, kept).values()}
+    files, path = _files(spark, f"{folder}/data-*")
+    gone = [s.getPath() for s in files.globStatus(path) or [] if s.getPath().getName() not in used]
+    for place in gone:
+        files.delete(place, True)
+    return len(gone)
 
 
 def write_metrics(metrics: DataFrame, folder: str, formats: tuple[str, ...] = ("json", "csv")) -> None:

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from histoloom.functions import geometry, ids, vectors
-from histoloom.operators import expression, graphs, metrics, ordering, quality, reduce, spatial
-from histoloom.sources import readers
+from histoloom.operators import expression, graphs, metrics, ordering, partials, quality, reduce, spatial
+from histoloom.sources import readers, writers
 from histoloom.streaming import incremental
 
 
@@ -429,3 +429,66 @@ def test_lines_of_several_files_follow_their_names(spark, tmp_path):
     for name, lines in (("b.txt", ["E4\tB", "E5\tC"]), ("a.txt", ["E1\tA", "E2\tB", "no tab", "E3\tC"] + [f"E{k}\tX" for k in range(10, 400)])):
         (tmp_path / name).write_text("\n".join(lines))
     assert {r.symbol: r.ens_id for r in readers.read_gene_map(spark, str(tmp_path)).collect()} == {"A": "E1", "B": "E4", "C": "E5", "X": "E399"}
+
+
+def test_wide_matrices_are_read_as_text(spark, tmp_path):
+    """Thousands of columns, quoted genes, empty and odd values, a header in every file; and an empty folder."""
+    names = [f"TCGA-{k}" for k in range(3000)]
+    head = "," + ",".join(f'"{n}"' if k % 2 else n for k, n in enumerate(names))
+    rows = {"ENSG00000000003.15": range(3000), 'a "b", c': range(5, 3005), "ENSG5": ["", "NA", "1e3", *([""] * 2997)]}
+    (tmp_path / "one.csv").write_text("\n".join([head, "ENSG00000000003.15," + ",".join(map(str, rows["ENSG00000000003.15"]))]))
+    (tmp_path / "two.csv").write_text("\n".join([head, '"a ""b"", c",' + ",".join(map(str, rows['a "b", c'])), "ENSG5," + ",".join(rows["ENSG5"]), ""]))
+    got = readers.read_expression_wide(spark, str(tmp_path), cut_ids=False)
+    held = {(r.gene_id, r.sample_id): r.value for r in got.collect()}
+    number = lambda v: {"": None, "NA": None}.get(v, v if v in ("", "NA") else float(v))
+    assert held == {(g, n): number(v) for g, own in rows.items() for n, v in zip(names, own)}
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 2 * len(head)  # the header once, no column for each name
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.csv").write_text("")
+    assert readers.read_expression_wide(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_graph_snapshots(spark, tmp_path):
+    """A run that dies between tables leaves the snapshot before; tables not given are taken over; what nobody names can go."""
+    folder, rows = f"{tmp_path}/graphs", spark.range(5).select(F.col("id").alias("cell_id"))
+    with pytest.raises(FileNotFoundError):
+        writers.read_graphs(spark, folder, "nodes")
+    assert writers.write_graphs(folder, nodes=rows, edges=rows.limit(2)) == "0" * 12
+    with pytest.raises(Exception, match="gone"):
+        writers.write_graphs(folder, nodes=rows.limit(0), edges=rows.select(F.raise_error(F.lit("gone")).alias("cell_id")))
+    assert writers.read_graphs(spark, folder, "nodes").count() == 5 and writers.snapshots(spark, folder) == ["0" * 12]
+    last = writers.write_graphs(folder, nodes=rows.limit(1))
+    assert (writers.read_graphs(spark, folder, "nodes").count(), writers.read_graphs(spark, folder, "edges").count()) == (1, 2)
+    assert writers.read_graphs(spark, folder, "nodes", "0" * 12).count() == 5
+    assert writers.drop_snapshots(spark, folder) == 1 and writers.snapshots(spark, folder) == [last]  # what the dead run wrote; edges of the first one stay
+    assert (writers.read_graphs(spark, folder, "nodes").count(), writers.read_graphs(spark, folder, "edges").count()) == (1, 2)
+
+
+def test_states_merge_to_the_full_pass(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    values = {s: rng.normal(1e9, 1, 400) + s for s in range(6)}
+    values[2][:7] = np.nan
+    rows = [(s, "g" if k % 2 else "h", None if k == 50 else float(v)) for s, own in values.items() for k, v in enumerate(own)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "slide long, gene string, value double, n string")
+    folder = f"{tmp_path}/states"
+    partials.store_stats(partials.partial_stats(df.where("slide != 4"), "slide", "gene"), folder, "slide")
+    partials.store_stats(partials.partial_stats(df.where("slide = 4"), "slide", "gene"), folder, "slide")  # a slide more: only it is read
+    for wanted in (range(6), (0, 2, 4)):
+        chosen = partials.stored_stats(spark, folder, spark.createDataFrame([(s,) for s in wanted], "slide long"))
+        for r in partials.described(partials.merged_stats(chosen, "gene"), "gene", 0.1, 0.5).collect():
+            own = np.array([v for s, g, v in rows if s in wanted and g == r.gene and v is not None and not math.isnan(v)])
+            assert r.n == len(own) and r.least == own.min() and r.most == own.max()
+            assert abs(r.mean - own.mean()) < 1e-5 and abs(r.std - own.std()) < 1e-5
+            assert all(abs((own <= q).mean() - share) < 0.03 for q, share in zip(r.quantiles, (0.1, 0.5)))
+    stats = {r.gene: (r.mean, r.std) for r in partials.gene_stats(partials.stored_stats(spark, folder)).collect()}
+    assert all(abs(r.std - stats[r.gene][1]) < 1e-5 for r in expression.gene_stats(df.where("value is not null and not isnan(value)")).collect())
+    dims = partials.merged_stats(partials.partial_dimension_stats(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 2.0])], "slide string, features array<double>")), "dim").collect()
+    assert {(r.dim, r.n, r.mean, r.m2) for r in dims} == {(0, 2, 2.0, 2.0), (1, 2, 2.0, 0.0)}
+
+
+def test_long_gene_lists_meet_samples_in_blocks(spark, monkeypatch):
+    genes = spark.createDataFrame([(k, f"G{k}") for k in range(11)], "pos int, symbol string")
+    expr = spark.createDataFrame([("s", "g3", 2.0), ("t", "G5", 1.0)], "sample_id string, gene string, value double")
+    want = sorted(map(tuple, expression.align_genes(expr, genes, ignore_case=True).collect()))
+    monkeypatch.setattr(expression, "BROADCAST_GENES", 3)
+    assert sorted(map(tuple, expression.align_genes(expr, genes, ignore_case=True).collect())) == want and len(want) == 22
