@@ -38,7 +38,7 @@ from histoloom.llm.workers import tidied
 BLOCK_WORDS = 32
 PART_WORDS = 48
 LEAST_WORDS = 5
-#: Items that one pass over the documents looks for; a larger benchmark takes several passes.
+#: Parts of items that one pass over the documents looks for; a larger benchmark takes several passes.
 ITEMS_A_PASS = 4096
 #: Columns of the sketch beyond the rank, and the share of the largest singular value under which directions are cut off.
 OVERSAMPLING, LEAST_VALUE = 16, 1e-3
@@ -75,24 +75,33 @@ class Probe:
     short: dict[int, list[Item]]
 
 
+def parts_of(item_id: int, text: str | None) -> Iterator[Part]:
+    """(item_id, words, words of the answer) of each part of an item; the answer goes with the last part, a short item is one part without."""
+    words = words_of(text or "")
+    if len(words) < LEAST_WORDS:
+        if words:
+            yield item_id, words, []
+        return
+    sentences = [s for s in (words_of(x) for x in re.split(r"(?<=[.!?])\s", text)) if s]
+    answer = sentences[-1] if len(sentences[-1]) >= 3 else words[-3:]
+    parts = -(-len(words) // PART_WORDS)
+    for k in range(parts):
+        part = words[len(words) * k // parts : len(words) * (k + 1) // parts]
+        yield item_id, part, answer[-len(part) :] if k == parts - 1 else []
+
+
+Part = tuple[int, list[str], list[str]]
+
+
 def read_items(rows: list) -> tuple[list[str], list[Item]]:
     """Vocabulary, and parts and short items of benchmark rows (item_id, text)."""
+    return _coded([part for row in rows for part in parts_of(*row)])
+
+
+def _coded(parts: list[Part]) -> tuple[list[str], list[Item]]:
     vocabulary: dict[str, int] = {}
-    items = []
-    for item_id, text in rows:
-        words = words_of(text or "")
-        if not words:
-            continue
-        if len(words) < LEAST_WORDS:
-            items.append(Item(item_id, [vocabulary.setdefault(w, len(vocabulary)) for w in words], []))
-            continue
-        sentences = [s for s in (words_of(x) for x in re.split(r"(?<=[.!?])\s", text)) if s]
-        answer = sentences[-1] if len(sentences[-1]) >= 3 else words[-3:]
-        code = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        parts = -(-len(code) // PART_WORDS)
-        for k in range(parts):
-            part = code[len(code) * k // parts : len(code) * (k + 1) // parts]
-            items.append(Item(item_id, part, [vocabulary[w] for w in answer][-len(part) :] if k == parts - 1 else []))
+    code = lambda words: [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+    items = [Item(item_id, code(words), code(answer)) for item_id, words, answer in parts]
     return list(vocabulary), items
 
 
@@ -180,7 +189,9 @@ def _nystrom(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     shift = 1e-7 * np.linalg.norm(sketch) / max(np.linalg.norm(test), 1e-12)
     core = test.T @ (sketch + shift * test)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    kept = values > 1e-10 * values.max()
+    kept = values > max(1e-10 * values.max(initial=0.0), 0.0)
+    if not kept.any():  # no block holds any of the words
+        return np.zeros((len(test), 0), np.float32)
     half = (sketch + shift * test) @ (vectors[:, kept] / np.sqrt(values[kept]))
     left, singular, _ = np.linalg.svd(half, full_matrices=False)
     singular = np.sqrt(np.maximum(0, singular**2 - shift))  # G's eigenvalues are the TF-IDF matrix's singular values squared
@@ -189,23 +200,35 @@ def _nystrom(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
 
 
 def make_probe(docs: DataFrame, rows: list, rank: int, seed: int) -> Probe | None:
-    """Vocabulary, weights and latent vectors for a block of the benchmark, by one pass over docs."""
-    vocabulary, items = read_items(rows)
+    """What a pass looks for, for benchmark rows (item_id, text)."""
+    return _probe(docs, [part for row in rows for part in parts_of(*row)], rank, seed)
+
+
+def _probe(docs: DataFrame, parts: list[Part], rank: int, seed: int) -> Probe | None:
+    """Vocabulary, weights and latent vectors for a block of the benchmark, by one pass over docs; without a pass if all items are short."""
+    vocabulary, items = _coded(parts)
     if not items:
         return None
+    if all(len(item.words) < LEAST_WORDS for item in items):
+        n = len(vocabulary)
+        return Probe(pa.array(vocabulary, pa.string()), np.zeros(n, np.float32), np.zeros((n, 0), np.float32), [], np.zeros((0, 0), np.float32), [], _by_first_word(items))
     start = np.random.default_rng(seed).normal(size=(len(vocabulary), min(rank + OVERSAMPLING, len(vocabulary)))).astype(np.float32)
     held, product = corpus_sketch(docs, vocabulary, start)
     idf = np.log((held[-1] + 1) / (held[:-1] + 1)).astype(np.float32) + np.float32(0.1)
-    short: dict[int, list[Item]] = {}
-    for item in items:
-        if len(item.words) < LEAST_WORDS:
-            short.setdefault(item.words[0], []).append(item)
+    short = _by_first_word([item for item in items if len(item.words) < LEAST_WORDS])
     items = [item for item in items if len(item.words) >= LEAST_WORDS]
     basis = idf[:, None] * latent_basis(product, start.astype(np.float64), idf.astype(np.float64), items, rank)
     latent = np.stack([basis[item.words].sum(0) for item in items]) if items else np.zeros((0, basis.shape[1]), np.float32)
     return Probe(pa.array(vocabulary, pa.string()), idf, basis, items, latent, [rare_words(item, idf) for item in items], short)
 
 
+def _by_first_word(items: list[Item]) -> dict[int, list[Item]]:
+    found: dict[int, list[Item]] = {}
+    for item in items:
+        found.setdefault(item.words[0], []).append(item)
+    return found
+
+
 def common(words: list[int], text: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over `words`."""
     masks: dict[int, int] = {}
@@ -287,15 +310,16 @@ def _verbatim(probe: Probe, column: np.ndarray, owner: np.ndarray, block: np.nda
 
 
 def probes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, seed: int = 11) -> Iterator[Probe]:
-    """The benchmark in blocks of a bounded number of items, by item_id."""
+    """The benchmark in blocks of ITEMS_A_PASS parts, by item_id; a long item's parts may stand in several."""
     ordered = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator()
-    rows: list = []
+    parts: list[Part] = []
     for row in ordered:
-        rows.append(tuple(row))
-        if len(rows) == ITEMS_A_PASS:
-            yield from filter(None, [make_probe(docs, rows, rank, seed)])
-            rows = []
-    yield from filter(None, [make_probe(docs, rows, rank, seed)])
+        for part in parts_of(*row):
+            parts.append(part)
+            if len(parts) == ITEMS_A_PASS:
+                yield from filter(None, [_probe(docs, parts, rank, seed)])
+                parts = []
+    yield from filter(None, [_probe(docs, parts, rank, seed)])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, cover: float = 0.5, ratio: float = 0.6) -> DataFrame:

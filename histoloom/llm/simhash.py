@@ -10,7 +10,8 @@ over whole fingerprints finds the exact pairs, of which a spanning forest is kep
 near_duplicates links fingerprints alone. similar_texts looks for pairs of a Jaccard similarity of five-word shingle sets.
 At a similarity of 0.8 one bit in seven differs, so it takes fingerprints of 256 bits, in which unrelated texts stay apart:
 they are compared where two of their bytes are equal, in 96 trees over pairs of bytes, and linked at WIDE_BITS. Shingle sets
-then confirm the links.
+then confirm the links. A few shingles leave too much of a fingerprint to chance: texts of fewer than SHORT_SHINGLES are
+besides compared with each other wherever they share one of their rarest shingles, which misses no pair.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null doc_ids take part, and a component
 of nothing else has a null component_id; repeated rows share a fingerprint; texts of any length are read whole; an empty
@@ -27,11 +28,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.llm import rows as whole
 from histoloom.llm.components import connected_components
+from histoloom.llm.superminhash import links_in_buckets
 from histoloom.llm.workers import tidied, tidied_group
 from histoloom.session import stage
 
@@ -310,19 +312,44 @@ def _in_chunks(rows: DataFrame, group: list[str], sizes: DataFrame, by: str, col
     return dealt.select(*group, F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", *columns)
 
 
+#: Shingles under which a text's links are found by its shingles themselves: few hashes leave many fingerprint bits to chance.
+SHORT_SHINGLES = 40
+
+
+def _short_links(known: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between short texts (text_id, few: their shingles) that make the components of all similar pairs, exactly.
+
+    Of n shingles two texts have ceil(similarity * n) in common or more, so they share one of the first n - that + 1 of each in
+    any common order; the rarest come first.
+    """
+    sets = stage(known.groupBy("text_id").agg(F.first("few").alias("shingles")), "short-sets")
+    each = sets.select("text_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")  # what stands once leads nowhere
+    rarest = Window.partitionBy("text_id").orderBy("often", "shingle")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("text_id"))  # those come before all others
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    keyed = each.join(often, "shingle").withColumns({"nth": F.row_number().over(rarest) + alone}).where(F.col("nth") <= prefix)
+    keyed = stage(keyed.select(F.col("shingle").alias("key"), F.col("text_id").alias("sid")), "short-keys")
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
+    full = sets.select(F.col("text_id").alias("sid"), F.col("text_id").alias("set_id"), "shingles")
+    return links_in_buckets(stage(keyed.join(shared, "key"), "short-buckets"), full, round(100 * similarity))
+
+
 def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataFrame, list[int]]:
     """(doc_id, text_id, class) of every document, and the hashes that several texts share (see _text_id)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(shingles(t.as_py(), words_each)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("second"), pa.array(prints, pa.binary())], ["doc_id", "hash", "second", "wide"])
+            sets = (shingles(t.as_py(), words_each) for t in batch.column("text"))
+            found = [(wide_fingerprint(s).tobytes(), s if 0 < len(s) < SHORT_SHINGLES else None) for s in sets]
+            prints, few = pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("second"), prints, few], ["doc_id", "hash", "second", "wide", "few"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
-    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, hash long, second long, wide binary"), "wide-prints")
+    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, hash long, second long, wide binary, few array<long>"), "wide-prints")
     shared = [r[0] for r in known.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
-    known = known.select("doc_id", _text_id(shared).alias("text_id"), F.xxhash64("wide").alias("print"), "wide")
+    known = known.select("doc_id", _text_id(shared).alias("text_id"), F.xxhash64("wide").alias("print"), "wide", "few")
     groups = connected_components(wide_links(known)).select(F.col("node").alias("print"), "root")
     texts = known.select("text_id", "print").distinct().join(groups, "print", "left").select("text_id", F.coalesce("root", "print").alias("group"))
     crowded = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
@@ -347,6 +374,7 @@ def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataF
         return pd.DataFrame({"a": ids[linked_rows], "b": ids[labels[linked_rows]]})
 
     edges = dealt.groupBy("group", "one", "two").applyInPandas(tidied_group(confirm), "a long, b long")
+    edges = edges.union(_short_links(known.where("few is not null").select("text_id", "few"), similarity))
     classes = connected_components(edges).select(F.col("node").alias("text_id"), "root")
     return known.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
 

@@ -5,14 +5,17 @@ documents; the occurrence that ranks first (doc_id, then position) is kept and t
 follow each other form a span; spans of `min_words` words or more are removed, at offsets of the original text. Units
 under `unit_words` words carry no evidence: they neither start nor break a span.
 
-repeated_passages adds to these spans every window of `min_words` words that stood before, wherever sentences begin and end.
+repeated_passages adds to these spans every window of `min_words` words that stood before, wherever units begin and end.
 A window is looked at only where its least shingle of half as many words (a function of the window alone) occurs twice or
 more, so windows of text that stands once are not shuffled and none that repeats is lost. Windows that share one place of
 their least shingle are a run; equal runs hold the same windows, and only where different runs share a least shingle are
-single windows compared. A window that overlaps its own kept occurrence is no repeat.
+single windows compared. A window that overlaps its own kept occurrence is no repeat. Lines (or other units) that repeat as wholes
+need fewer words, `span_words`, than windows do.
 
 Defined cases: null and empty texts have no units; null doc_ids rank last and their spans carry null; repeated rows are
-occurrences like any other, so all but one lose their text; an empty table gives no rows; other columns are ignored.
+occurrences like any other, so all but one lose their text; of equal occurrences in rows of one doc_id the one that stands
+first in the table is kept; texts of any length are read whole, and a window or unit of any length has one digest; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -313,14 +316,14 @@ def _later_pieces(docs: DataFrame, unit: str, unit_words: int, min_words: int) -
     return stage(plain.unionByName(each), "later-pieces", keep=True)
 
 
-def repeated_passages(docs: DataFrame, unit: str = "line", unit_words: int = 4, min_words: int = 50) -> DataFrame:
-    """The spans of repeated_spans and every repeated window of `min_words` words, joined where they overlap or touch: doc_id, span_start, span_end, words (all in the span), kept_doc_id (holder of the first piece's kept occurrence)."""
+def repeated_passages(docs: DataFrame, unit: str = "line", unit_words: int = 4, min_words: int = 50, span_words: int = 25) -> DataFrame:
+    """The spans of repeated_spans (of `span_words` words or more) and every repeated window of `min_words` words, joined where they overlap or touch: doc_id, span_start, span_end, words (all in the span), kept_doc_id (holder of the first piece's kept occurrence)."""
     with scratch() as own:
         later = _later_pieces(docs, unit, unit_words, min_words)
     release(docs.sparkSession, own)
     bounds = [F.first("doc_id").alias("doc_id"), F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.min("word").alias("word"), F.max(F.col("word") + F.col("words")).alias("last"), F.min_by("kept_doc_id", "start").alias("kept_doc_id")]
     runs = later.where("not window").withColumn("run", F.col("position") - F.row_number().over(Window.partitionBy("row").orderBy("position")))
-    by_unit = runs.groupBy("row", "run").agg(*bounds, F.sum("words").alias("words")).where(F.col("words") >= min_words).drop("run", "words")
+    by_unit = runs.groupBy("row", "run").agg(*bounds, F.sum("words").alias("words")).where(F.col("words") >= span_words).drop("run", "words")
     by_window = _islands(later.where("window"), "start", "end").groupBy("row", "island").agg(*bounds).drop("island")
     joined = _islands(by_unit.unionByName(by_window), "span_start", "span_end").groupBy("row", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("last") - F.min("word")).cast("long").alias("words"), F.min_by("kept_doc_id", "span_start").alias("kept_doc_id")

@@ -170,31 +170,13 @@ def joined(sets: list[np.ndarray], labels: np.ndarray, percent: int, asking: np.
     return labels
 
 
-def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> DataFrame:
-    """(doc_id, d1, d2, n, set_id, root) of every document: root is one set of the component, null without words."""
-    known = stage(_sketched(docs, words_each), "superminhash")
-    sets = known.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("d1", "d2")).alias("text"), F.first("bands").alias("bands"))
-    sets = stage(sets.select("set_id", "text.*", F.xxhash64("set_id").alias("sid"), "bands"), "distinct-sets")
-    keyed = sets.select("sid", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
-    buckets = stage(keyed.join(shared, "key"), "buckets")  # those of several sets
-    wanted = stage(buckets.select("sid").distinct(), "candidates")
-    few = wanted.count() <= BROADCAST_ROWS
+def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets of enough similarity whose components are those of all such pairs that share a bucket.
 
-    sought = sets.select("sid", "set_id", "d1", "d2").join(F.broadcast(wanted) if few else wanted, "sid")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
-    found = rows.join(F.broadcast(sought) if few else sought, ["d1", "d2"]).select("sid", "set_id", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            own = shingle_sets(batch.column("text").to_pylist(), words_each, words)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("set_id"), column], ["sid", "set_id", "shingles"])
-
-    full = stage(found.mapInArrow(tidied(cut), "sid long, set_id binary, shingles array<long>").dropDuplicates(["set_id"]), "shingle-sets")
+    buckets: (key, sid, least) of sets in buckets of several, `least` being the least sid of the bucket; full: (sid, set_id,
+    shingles). Links are between set_ids.
+    """
+    kind = full.schema["set_id"].dataType.simpleString()
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +188,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> Dat
     pairs = buckets.where("sid != least").select("sid", "least").distinct()
     of_least = full.select(F.col("sid").alias("least"), F.col("set_id").alias("b"), F.col("shingles").alias("other_shingles"))
     pairs = pairs.join(full, "sid").join(of_least, "least").select(F.col("set_id").alias("a"), "b", "shingles", "other_shingles")
-    links = stage(pairs.mapInArrow(tidied(confirmed), "a binary, b binary"), "links")
+    links = stage(pairs.mapInArrow(tidied(confirmed), f"a {kind}, b {kind}"), "links")
     first = stage(connected_components(links), "first-components")
 
     of_set = full.select("sid", "set_id").join(first.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -234,8 +216,37 @@ def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> Dat
         kept = np.nonzero(firsts != ids)[0]
         return pd.DataFrame({"a": ids[kept], "b": firsts[kept]})
 
-    again = dealt.join(full.select("set_id", "shingles"), "set_id").groupBy("key", "chunk", "round").applyInPandas(tidied_group(search), "a binary, b binary")
-    roots = connected_components(links.union(again)).select(F.col("node").alias("set_id"), "root")
+    again = dealt.join(full.select("set_id", "shingles"), "set_id").groupBy("key", "chunk", "round").applyInPandas(tidied_group(search), f"a {kind}, b {kind}")
+    return links.union(again)
+
+
+def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> DataFrame:
+    """(doc_id, d1, d2, n, set_id, root) of every document: root is one set of the component, null without words."""
+    known = stage(_sketched(docs, words_each), "superminhash")
+    sets = known.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("d1", "d2")).alias("text"), F.first("bands").alias("bands"))
+    sets = stage(sets.select("set_id", "text.*", F.xxhash64("set_id").alias("sid"), "bands"), "distinct-sets")
+    keyed = sets.select("sid", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
+    buckets = stage(keyed.join(shared, "key"), "buckets")  # those of several sets
+    wanted = stage(buckets.select("sid").distinct(), "candidates")
+    few = wanted.count() <= BROADCAST_ROWS
+
+    sought = sets.select("sid", "set_id", "d1", "d2").join(F.broadcast(wanted) if few else wanted, "sid")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
+    found = rows.join(F.broadcast(sought) if few else sought, ["d1", "d2"]).select("sid", "set_id", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            own = shingle_sets(batch.column("text").to_pylist(), words_each, words)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("set_id"), column], ["sid", "set_id", "shingles"])
+
+    full = stage(found.mapInArrow(tidied(cut), "sid long, set_id binary, shingles array<long>").dropDuplicates(["set_id"]), "shingle-sets")
+
+    roots = connected_components(links_in_buckets(buckets, full, percent)).select(F.col("node").alias("set_id"), "root")
     return known.join(roots, "set_id", "left").select("doc_id", "d1", "d2", "n", "set_id", F.coalesce("root", "set_id").alias("root"))
 
 

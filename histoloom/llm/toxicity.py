@@ -40,7 +40,7 @@ BEGINNINGS, FEATURES = (5, 6, 7, 8), 1024
 KNOWN_STRETCHES = 80_000
 #: Times as many that it chooses from.
 CANDIDATES = 8
-#: Signs, runs counted once, beyond which letters mixed with digits and not set apart are keys and hashes; also what restorations are kept of.
+#: Signs of a stretch beyond which its restoration is not kept for the next time, and letters mixed with digits may be a key or a hash (see Decoder.plausible).
 LONGEST = 40
 #: Places of a stretch after which what all its readings begin with is put aside.
 SETTLED_EVERY = 64
@@ -120,6 +120,8 @@ class Decoder:
         bi = (cube.sum(0) + 20 * uni) / (cube.sum(0).sum(1, keepdims=True) + 20)
         tri = (cube + 20 * bi[None]) / (pairs[:, :, None] + 20)
         self._cost = -np.log(tri)
+        # halfway from what a letter costs in the corpus to what one costs that is drawn at random
+        self.plausible = (float((cube * self._cost).sum() / max(cube.sum(), 1)) + float(self._cost[1:27, 1:27, 1:27].mean())) / 2
         self.restore = functools.lru_cache(maxsize=20_000)(self._restore)
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
@@ -142,6 +144,10 @@ class Decoder:
         return places
 
     def _restore(self, stretch: str) -> str:
+        return self._decoded(stretch)[0]
+
+    def _decoded(self, stretch: str) -> tuple[str, float]:
+        """The restored stretch and the cost of its path."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         settled: list[str] = []
         for place, options in enumerate([*self.lattice(stretch), [(" ", 0.0)]]):
@@ -161,7 +167,8 @@ class Decoder:
                     if (x, y) not in after or found < after[x, y]:
                         after[x, y] = found
             states = after
-        return "".join(settled) + min(states.values())[1][:-1]
+        cost, text = min(states.values())
+        return "".join(settled) + text[:-1], cost
 
     def _put(self, match: re.Match) -> str:
         stretch = match[0]
@@ -169,9 +176,10 @@ class Decoder:
             return stretch
         if len(stretch) <= LONGEST:
             return self.restore(stretch)
-        if not APART.fullmatch(stretch) and _MIXED.match(stretch) and len(_RUN.sub(r"\1", stretch)) > LONGEST:
-            return stretch
-        return self._restore(stretch)
+        restored, cost = self._decoded(stretch)
+        if not APART.fullmatch(stretch) and _MIXED.match(stretch) and cost > self.plausible * len(_RUN.sub(r"\1", stretch)):
+            return stretch  # no words under the language model, however long: a key or a hash
+        return restored
 
     def joined(self, text: str) -> str:
         """The text with letters that stood apart put together."""
@@ -295,7 +303,12 @@ def train(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, s
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array(rates, pa.list_(pa.float64())), batch.column("toxic")], ["names", "rates", "toxic"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("text", "toxic").mapInArrow(tidied(extract), "names array<string>, rates array<double>, toxic int")
+    named = text.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "toxic", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
+    # a doc_id may stand on any number of rows: each of its texts teaches once, and of those sample_rows at most, in hash order
+    once = named.select("doc_id", "hash", "second").distinct().orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash", "second").limit(sample_rows)
+    once = F.broadcast(once.toDF("_d", "_h", "_s"))
+    named = named.join(once, (F.col("doc_id") == F.col("_d")) & F.col("hash").eqNullSafe(F.col("_h")) & F.col("second").eqNullSafe(F.col("_s"))).dropDuplicates(["doc_id", "hash", "second"])
+    rows = named.select("text", "toxic").mapInArrow(tidied(extract), "names array<string>, rates array<double>, toxic int")
     rows = stage(rows, "toxicity-sample")
     # The driver sees the bounded sample's features only; those of a single row in it teach nothing.
     frequent = rows.select(F.explode(F.col("names")).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "name")

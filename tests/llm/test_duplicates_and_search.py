@@ -319,3 +319,23 @@ def test_nearest_few_and_none(spark):
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], schema), F.col("id") == 0).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few)] == [(1, 2), (2, 1)]
     assert ann.nearest(spark.createDataFrame([], schema), F.col("id") == 0).count() == 0
+
+
+def test_short_texts_are_linked_exactly(spark):
+    """Texts of under SHORT_SHINGLES shingles: every pair of similarity 0.8 or more is found, in common lines and chains, too."""
+    rng = np.random.default_rng(21)
+    texts = ["", "one", "one two three four five six"]
+    for _ in range(150):
+        words = rng.choice(WORDS[:60], rng.integers(5, 40)).tolist()
+        texts.append(" ".join(words))
+        for _ in range(rng.integers(0, 4)):
+            words = words + [f"more{rng.integers(9)}"] if rng.random() < 0.6 else words[: max(5, len(words) - 1)]
+            texts.append(" ".join(words))
+    common = "this very line stands in many of them".split()
+    texts += [" ".join([*common, *rng.choice(WORDS[:5], rng.integers(0, 4)).tolist()]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r["class"] for r in simhash.similar_texts(df).collect()}
+    sets = [frozenset(simhash.shingles(t).tolist()) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a] == texts[b] or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = classes(len(texts), linked)
+    assert len(set(zip(want, (got[k] for k in range(len(texts)))))) == len(set(want)) == len(set(got.values()))

@@ -165,7 +165,7 @@ def test_op9(spark, docs):
             if m and seen.setdefault(" ".join(words), (d, m.start())) != (d, m.start()):
                 run.append((m.start(), m.end(), len(words)))
                 continue
-            if sum(n for *_, n in run) >= 50:
+            if sum(n for *_, n in run) >= 25:
                 want[d].update(range(run[0][0], run[-1][1]))
             run = []
         spans = [m.span() for m in re.finditer(r"\S+", t)]

@@ -189,6 +189,45 @@ def test_block_frequencies_and_singular_values(spark):
     assert np.allclose(np.abs((found.T @ right[:6].T).diagonal()), 1, atol=1e-3)
 
 
+def test_benchmarks_of_short_items_and_of_one_long_item(spark, monkeypatch):
+    """Short items alone, known to no document or to some; an item whose parts stand in several blocks; words that no block holds."""
+    docs = spark.createDataFrame([(1, "nothing here at all"), (2, "so one, two three!"), (3, None)], "doc_id long, text string")
+    bench = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    found = lambda items, rows=docs: {(r.doc_id, r.item_id) for r in decontamination.contaminations(rows, items).collect()}
+    assert found(bench("one two three", "x")) == {(2, 0)} and found(bench("four five")) == set()
+    assert decontamination.clean_documents(docs, bench("one two three")).count() == 2
+    assert found(bench("none of these six words known")) == set()
+    monkeypatch.setattr(decontamination, "ITEMS_A_PASS", 3)
+    rng, words = random.Random(3), vocabulary(400)
+    long = [rng.choice(words) for _ in range(10 * decontamination.PART_WORDS)]
+    rows = [(k, " ".join(rng.choices(words, k=60) + long[48 * k : 48 * k + 48] * (k % 2) + rng.choices(words, k=60))) for k in range(10)]
+    assert found(bench(" ".join(long)), spark.createDataFrame(rows, "doc_id long, text string")) == {(k, 0) for k in range(1, 10, 2)}
+
+
+def test_labels_of_a_doc_id_on_many_rows_teach_once(spark):
+    """What reaches the classifier is bounded, however many rows a labelled doc_id has."""
+    rows = [(1, f"text {k} here") for k in range(300)] + [(1, "text 0 here")] * 200 + [(2, "other words"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    seen, kept = [], toxicity.stage
+    try:
+        toxicity.stage = lambda df, label: (seen.append(kept(df, label)), seen[-1])[1]
+        toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_rows=5)
+    finally:
+        toxicity.stage = kept
+    assert seen[0].count() == 5
+
+
+def test_long_disguised_stretches_are_told_from_keys(spark):
+    rng, words = random.Random(5), ["stupid", "idiot", "clown", "garbage", "morning", "river", "window", "letter"]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=40))) for k in range(60)], "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.trigram_counts(docs))
+    hidden = "".join(rng.choices(words[:4], k=12))
+    written = hidden.replace("i", "1").replace("o", "0").replace("a", "4")
+    assert len(written) > toxicity.LONGEST and decoder.restored(f"the {written} end") == f"the {hidden} end"
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=64)) for _ in range(20)]
+    assert all(decoder.restored(key) == key for key in keys)
+
+
 def test_more_items_than_the_rank_and_short_ones_in_long_texts(spark):
     rng, words = random.Random(12), vocabulary(3000)
     mixed = words + words[:12] * 30
