@@ -200,6 +200,7 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None) ->
     dealt = dealt.select("tree", "leaf", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "home", "bits")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bits")  # so that the same few stand for a group in every leaf
         bits, chunk, home = rows["bits"].to_numpy().view(np.uint64), rows["chunk"].to_numpy(), rows["home"].to_numpy()
         labels = np.arange(len(bits))
         for a, b in {(rows["one"].iloc[0], rows["two"].iloc[0]), (rows["two"].iloc[0], rows["one"].iloc[0])}:
@@ -285,6 +286,7 @@ def wide_links(known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(home[data[:, one] | data[:, two] << 8]), batch.column("print"), batch.column("wide")], ["tree", "leaf", "print", "wide"])
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("print")  # so that the same few stand for a group in every leaf
         prints, chunk = rows["print"].to_numpy(), rows["chunk"].to_numpy()
         wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
         labels = np.arange(len(wide))
@@ -368,6 +370,7 @@ def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataF
     dealt = _in_chunks(sets, ["group"], members.where("chunks > 1").select("group", "chunks").distinct(), "text_id", ("text_id", "set"))
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("text_id")
         ids = rows["text_id"].to_numpy()
         labels = _similar([np.asarray(s, np.int64) for s in rows["set"]], rows["chunk"].to_numpy(), int(rows["one"].iloc[0]), int(rows["two"].iloc[0]), similarity)
         linked_rows = np.nonzero(labels != np.arange(len(ids)))[0]

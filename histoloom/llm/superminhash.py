@@ -209,6 +209,7 @@ def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: int) -> DataF
     dealt = stage(asked.unionByName(asking), "unsettled")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("set_id")  # so that the same few stand for a component in every bucket
         labels, _ = pd.factorize(rows["root"])
         after = joined([np.asarray(s).view(np.uint64) for s in rows["shingles"]], labels, percent, rows["asks"].to_numpy())
         ids = rows["set_id"].to_numpy()
