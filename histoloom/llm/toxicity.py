@@ -120,8 +120,9 @@ class Decoder:
         bi = (cube.sum(0) + 20 * uni) / (cube.sum(0).sum(1, keepdims=True) + 20)
         tri = (cube + 20 * bi[None]) / (pairs[:, :, None] + 20)
         self._cost = -np.log(tri)
-        # halfway from what a letter costs in the corpus to what one costs that is drawn at random
-        self.plausible = (float((cube * self._cost).sum() / max(cube.sum(), 1)) + float(self._cost[1:27, 1:27, 1:27].mean())) / 2
+        # what a letter costs in the corpus, and a quarter of the way from there to what one costs that is drawn at random
+        usual = float((cube * self._cost).sum() / max(cube.sum(), 1))
+        self.plausible = usual + (float(self._cost[1:27, 1:27, 1:27].mean()) - usual) / 4
         self.restore = functools.lru_cache(maxsize=20_000)(self._restore)
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
