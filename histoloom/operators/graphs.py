@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.functions import vectors
-from histoloom.operators.ordering import number_within
+from histoloom.operators.ordering import number_within, running_sums
 from histoloom.operators.reduce import vector_mean, vector_sum
 from histoloom.session import stage
 
@@ -47,8 +47,7 @@ def split_summary(slides: DataFrame) -> DataFrame:
 def spot_offsets(cells: DataFrame, group: str, spot: str) -> DataFrame:
     """(group, spot, start, end): where each spot's cells stand in a list ordered by spot."""
     counts = cells.groupBy(group, spot).agg(F.count("*").alias("n"))
-    end = F.sum("n").over(Window.partitionBy(group).orderBy(spot).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("end", end).select(group, spot, (F.col("end") - F.col("n")).alias("start"), "end")
+    return running_sums(counts, group, [spot], "n", name="start").select(group, spot, "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 def spot_arrays(cells: DataFrame, spot: list[str], row: str, *columns: str) -> DataFrame:

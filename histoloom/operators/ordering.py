@@ -49,6 +49,38 @@ def number_within(df: DataFrame, group: str | list[str], *order: Column | str, n
     return joined.select(*[c for c in df.columns if c != name], (F.col(free) - F.col(f"{free}first")).alias(name))
 
 
+#: Rows of a block of running sums.
+BLOCK_ROWS = 1 << 16
+
+
+def running_sums(df: DataFrame, group: str | list[str], order: list[Column | str], value: str, name: str = "before") -> DataFrame:
+    """df with the sum of a whole-numbered column over the rows before, inside each group, in the order of the columns.
+
+    Rows are numbered over all groups and summed up in blocks of BLOCK_ROWS; the blocks' own sums are a small table. What all groups
+    before a group add up to is taken off at the end, so no task holds a group. Null values count as 0.
+    """
+    keys = [group] if isinstance(group, str) else group
+    free = "_" * (1 + max(map(len, [*df.columns, name]), default=0))
+    at, block, v, upto, base = (free + x for x in ("at", "block", "v", "upto", "base"))
+    numbered, _ = number_rows(df.withColumn(v, F.coalesce(F.col(value), F.lit(0)).cast("long")), *keys, *order, name=at)
+    numbered = numbered.withColumn(block, F.floor(F.col(at) / BLOCK_ROWS))
+    of_block = numbered.groupBy(block).agg(F.sum(v).alias(v))
+    before = F.coalesce(F.sum(v).over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_block = stage(of_block.select(block, before.alias(base)), "block-sums")  # a row for each BLOCK_ROWS
+    inside = F.sum(v).over(Window.partitionBy(block).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)) - F.col(v)
+    summed = stage(numbered.withColumn(upto, inside).join(of_block, block).withColumn(upto, F.col(upto) + F.col(base)).drop(block, base, v), "running-sums")
+    firsts = summed.groupBy(*[F.col(c).alias(f"{free}{k}") for k, c in enumerate(keys)]).agg(F.min_by(upto, at).alias(base))
+    firsts = stage(firsts, "first-sums")
+    same = functools.reduce(Column.__and__, [summed[c].eqNullSafe(F.col(f"{free}{k}")) for k, c in enumerate(keys)])
+    joined = summed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_GROUPS else firsts, same)
+    return joined.select(*[c for c in df.columns if c != name], (F.col(upto) - F.col(base)).alias(name))
+
+
+def seeded(key: str, seed: int) -> Column:
+    """A key's place in a seeded order that other engines can compute, too."""
+    return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def k_folds(samples: DataFrame, order: Column | str, folds: int = 10) -> DataFrame:
     """samples with fold (from 0): contiguous chunks of at most `folds`, the first ones one longer."""
     free = "_" * (1 + max(map(len, samples.columns), default=0))  # no name of theirs
@@ -101,9 +133,10 @@ def fixed_folds(samples: DataFrame, plan: DataFrame, sample: str = "sample_id")
 
 
 def split_rows(df: DataFrame, key: str, seed: int = 42, train_share: float = 0.8) -> DataFrame:
-    """df with split: the first int(share * n) keys in seeded hash order are train, so no key stands on both sides."""
-    keys, n = number_rows(df.select(key).distinct(), F.xxhash64(F.col(key), F.lit(seed)), key, name="_row")
-    return df.join(keys.select(key, F.when(F.col("_row") < int(train_share * n), "train").otherwise("test").alias("split")), key)
+    """df with split: the first int(share * n) keys in seeded order are train, so no key stands on both sides."""
+    free = "_" * (1 + len(key))
+    keys, n = number_rows(df.select(key).distinct(), seeded(key, seed), key, name=free)
+    return df.join(keys.select(key, F.when(F.col(free) < int(train_share * n), "train").otherwise("test").alias("split")), key)
 
 
 def first_seen(df: DataFrame, key: list[str], row: str, name: str) -> DataFrame:

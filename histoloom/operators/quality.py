@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histoloom.operators.ordering import seeded
+
 #: Percentiles of the columns' spread that the diagnostics report; the spread that counts as none.
 PERCENTILES = (0, 1, 5, 25, 50, 75, 95, 99, 100)
 FLAT = 1e-8
@@ -99,8 +101,8 @@ def spread_summary(stats: DataFrame) -> DataFrame:
 
 
 def unique_ratio(cells: DataFrame, key: str, vector: str = "features", n: int = 2000, seed: int = 42, digits: int = 6) -> DataFrame:
-    """One row: distinct share of n rows, taken in seeded hash order, rounded."""
-    some = cells.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """One row: distinct share of n rows, taken in seeded order, rounded."""
+    some = cells.orderBy(seeded(key, seed), key).limit(n)
     rounded = F.transform(vector, lambda v: F.round(v.cast("double"), digits))
     return some.agg(F.try_divide(F.count_distinct(rounded), F.count("*")).alias("unique_ratio"), F.count("*").alias("rows"))
 

@@ -290,9 +290,9 @@ def spread_summary(spark, sf_dir):
     return stats.select("dims", "flat_dims", R(F.get("std_percentiles", F.lit(4)), 6).alias("median_std"), R("total_variance", 6).alias("total_variance"))
 
 
-@query("a23_unique_ratio")
+@query("a23_unique_ratio", "WITH s AS (SELECT list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS e FROM embeddings ORDER BY md5(vec_id::VARCHAR || '-42'), vec_id LIMIT 2000) SELECT count(DISTINCT e)::DOUBLE / count(*) AS unique_ratio, count(*) AS rows FROM s")
 def unique_ratio(spark, sf_dir):
-    """Share of distinct rows among 2000 in hash order."""
+    """Share of distinct rows among 2000 in seeded order."""
     return quality.unique_ratio(views.features(spark, sf_dir), "cell_id")
 
 
@@ -350,7 +350,7 @@ def fixed_folds(spark, sf_dir):
     return ordering.fixed_folds(samples, plan)
 
 
-@query("w07_split_80_20")
+@query("w07_split_80_20", f"WITH {C}, s AS (SELECT slide, row_number() OVER (ORDER BY md5(slide::VARCHAR || '-42'), slide) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT slide FROM cells)) SELECT slide, CASE WHEN nth <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM s")
 def split_80_20(spark, sf_dir):
     """Slides dealt four to one; all rows of a slide fall on one side."""
     return ordering.split_rows(views.cells(spark, sf_dir).select("slide").distinct(), "slide")

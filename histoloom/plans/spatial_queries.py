@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histoloom.functions import geometry
+from histoloom.functions import geometry, vectors
 from histoloom.operators import graphs, ordering, reduce, spatial
 from histoloom.plans import views
 from histoloom.plans.registry import query
@@ -188,6 +188,40 @@ def explained_variance(spark, sf_dir):
     return reduce.explained(reduce.fit_pca(views.features(spark, sf_dir), 50)).select("slide", "component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
 
 
+MOMENTS_SQL = f"{views.FEATURES_SQL}, v AS (SELECT slide, unnest(range(1, 65)) AS d, unnest(features)::DOUBLE AS v FROM features), t AS (SELECT slide, sum(s) AS trace FROM (SELECT slide, d, var_pop(v) AS s FROM v GROUP BY ALL) GROUP BY 1), k AS (SELECT slide, count(*) AS cells FROM features GROUP BY 1)"
+
+
+@query("a24_projected_spread", f"WITH {MOMENTS_SQL} SELECT slide, cells, round(trace, 4) AS spread, 0.0::DOUBLE AS mean FROM k JOIN t USING (slide)")
+def projected_spread(spark, sf_dir):
+    """What a projection on all components keeps: the mean squared length is the total variance, and the mean is nought."""
+    features = views.features(spark, sf_dir)
+    placed = reduce.project(features, reduce.fit_pca(features, 64))
+    square = F.aggregate("projected", F.lit(0.0), lambda s, x: s + x * x)
+    total = F.aggregate("projected", F.lit(0.0), lambda s, x: s + x)
+    sums = placed.groupBy("slide").agg(F.count("*").alias("cells"), F.round(F.avg(square), 4).alias("spread"), F.round(F.avg(total), 4).alias("mean"))
+    return sums.withColumn("mean", F.abs("mean"))
+
+
+@query("a25_total_variance", f"WITH {MOMENTS_SQL} SELECT slide, least(cells, 64)::BIGINT AS components, round(trace, 6) AS variance, 1.0::DOUBLE AS ratio FROM k JOIN t USING (slide)")
+def total_variance(spark, sf_dir):
+    """All components of a slide together have the variance of its columns."""
+    model = reduce.fit_pca(views.features(spark, sf_dir), 64)
+    return model.groupBy("slide").agg(F.count("*").alias("components"), F.round(F.sum("variance"), 6).alias("variance"), F.round(F.sum("ratio"), 6).alias("ratio"))
+
+
+@query("a26_settled_clusters", f"WITH {views.FEATURES_SQL}, k AS (SELECT slide, count(*) AS cells FROM features GROUP BY 1) SELECT slide, cells, least(cells, 7)::BIGINT AS clusters, 0::BIGINT AS strays FROM k")
+def settled_clusters(spark, sf_dir):
+    """Once settled, no cell is nearer to another cluster's mean than to its own's."""
+    labelled = reduce.kmeans(views.features(spark, sf_dir).drop("label"), 7, rounds=100)
+    means = labelled.groupBy("slide", "label").agg(reduce.vector_mean("features").alias("mean"))
+    means = means.groupBy("slide").agg(F.collect_list(F.struct("label", "mean")).alias("means"))  # seven
+    apart = F.transform("means", lambda m: F.struct(vectors.squared_distance(F.col("features").cast("array<double>"), m["mean"]).alias("d2"), m["label"].alias("label")))
+    own = F.array_min(F.transform(F.filter(apart, lambda a: a["label"] == F.col("label")), lambda a: a["d2"]))
+    least = F.array_min(F.transform(apart, lambda a: a["d2"]))
+    rows = labelled.join(means, "slide").select("slide", "label", (own > least * (1 + 1e-9)).alias("stray"))
+    return rows.groupBy("slide").agg(F.count("*").alias("cells"), F.count_distinct("label").alias("clusters"), F.count_if("stray").alias("strays"))
+
+
 @query("a26_kmeans")
 def kmeans(spark, sf_dir):
     """Seven clusters for every slide."""

@@ -154,6 +154,19 @@ def test_numbers_inside_groups(spark):
     assert ordering.number_within(df.limit(0), "slide", "at", name="nth").collect() == []
 
 
+def test_running_sums_inside_groups(spark, monkeypatch):
+    """As a window would add up, without one by group: blocks of seven rows, null values and groups, repeated orders."""
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 7)
+    rows = [((("hot",) * 3 + ("b", None, "c"))[k % 6], k % 50, k, None if k % 11 == 0 else k - 30) for k in range(200)]
+    df = spark.createDataFrame(rows, "slide string, at int, id int, n long").repartition(4)
+    got, of = ordering.running_sums(df, "slide", ["at", "id"], "n"), {}
+    assert got.columns == [*df.columns, "before"]
+    for r in sorted(got.collect(), key=lambda r: (r.at, r.id)):
+        assert r.before == of.get(r.slide, 0)
+        of[r.slide] = r.before + (r.n or 0)
+    assert ordering.running_sums(df.limit(0), "slide", ["at"], "n").collect() == []
+
+
 def test_pairs_in_blocks(spark, monkeypatch):
     """Blocks of three samples: all pairs once, and divergences and nearest others as by pairs; genes that one sample lacks do not count."""
     monkeypatch.setattr(metrics, "BLOCK_SAMPLES", 3)
