@@ -5,7 +5,8 @@ its remainder goes to the open window with the least room that still fits. When
 and a new one opened. The windows still open at the end of the partitions are merged by the same rule.
 
 Defined cases: null text is empty (one end id); null doc_ids are carried as null; repeated rows are packed as often as they
-occur; an empty table gives no rows; other columns of the input are ignored.
+occur; texts of any length are encoded whole, a text larger than a batch by itself; of windows with equal room the one
+opened first is taken; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -34,6 +34,8 @@ from histoloom.session import stage
 PARTS, SMOOTHING = 1_000_000_000, 5
 #: Different (lang, source, term) that a task adds up before it sends them on.
 KEPT_TERMS = 200_000
+#: Kept terms up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_TERMS = 500_000
 #: Bytes of a text by what they are to terms: letters and all of other characters stay, A-Z in lower case; the rest ends a term.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -103,7 +105,8 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     counts = stage(term_counts(docs), "term-counts")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     kept = stage(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
-    rows = stage(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "kept-counts")
+    few = kept.count() <= BROADCAST_TERMS
+    rows = stage(counts.select("lang", "source", "term", "n").join(F.broadcast(kept) if few else kept, ["lang", "term"]), "kept-counts")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     of_group = rows.groupBy("lang", "source").agg(F.count("*").alias("held"), F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -7,7 +7,8 @@ A store is a folder of numbered parts in ascending doc_id order. Part k has
 and a table `parts` with the number of documents and ids of each part and, from prefix sums over the parts, those before it.
 
 Defined cases: null text is empty (one end id); null doc_ids come first; rows with one doc_id follow each other in any
-order; an empty table gives a store without parts; other columns of the input are ignored.
+order; texts of any length are encoded whole, a text larger than a batch by itself; an empty table gives a store without
+parts; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -339,3 +339,21 @@ def test_short_texts_are_linked_exactly(spark):
     linked = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a] == texts[b] or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = classes(len(texts), linked)
     assert len(set(zip(want, (got[k] for k in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
+
+
+def test_clustered_vectors_need_few_leaves(spark):
+    """A sixteenth of the leaves is enough on vectors that have clusters; no vector is an entry of fewer leaves than trees."""
+    rng = np.random.default_rng(31)
+    centres = rng.normal(0, 1, (150, 16))
+    vectors = centres[rng.integers(150, size=9000)] + rng.normal(0, 0.15, (9000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, F.col("id") % 60 == 0, k=10, leaf_rows=32, visits=64).collect()  # 4 trees of 256 leaves
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = []
+    for q, ids in got.items():
+        near = vectors @ vectors[q]
+        near[q] = -np.inf
+        found.append(len(ids & set(np.argsort(-near)[:10].tolist())) / 10)
+    assert len(got) == 150 and np.mean(found) >= 0.9

@@ -126,3 +126,26 @@ def test_packing_keeps_a_digest(spark):
     row = packing.merge_leftovers(placed).first()
     expected = np.array([*Tokenizer.from_file(BYTE).encode("one two three").ids, 0], "<u4")
     assert row.crc == zlib.crc32(expected.tobytes())
+
+
+def test_texts_longer_than_a_batch(spark):
+    """One text of five megabytes: every id stands in one piece, and the token file holds what the library gives."""
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "it's", "42", "naïve.", "longer\n", "tokens"]
+    long = " ".join(rng.choices(words, k=900_000))
+    assert len(long.encode()) > 5 << 20
+    rows = [(1, "before"), (2, long), (3, "after"), (4, None)]
+    ids = {d: Tokenizer.from_file(BYTE).encode(t or "", add_special_tokens=False).ids + [0] for d, t in rows}
+    held = defaultdict(list)
+    for p in packing.pack_documents(frame(spark, rows).coalesce(1), BYTE).select("doc_id", "start", F.crc32("ids").alias("crc"), "length").collect():
+        held[p.doc_id].append((p.start, p.length, p.crc))
+    for d, own in ids.items():
+        at = 0
+        for start, length, crc in sorted(held[d]):
+            assert start == at and crc == zlib.crc32(np.asarray(own[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(own)
+    folder = shared_path(spark, "long-text")
+    token_files.write_token_files(frame(spark, rows), folder, WORD)
+    expected = {d: len(Tokenizer.from_file(WORD).encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_files.read_token_files(spark, folder).select("doc_id", "n_tokens").collect()} == expected
