@@ -290,6 +290,16 @@ def spread_summary(spark, sf_dir):
     return stats.select("dims", "flat_dims", R(F.get("std_percentiles", F.lit(4)), 6).alias("median_std"), R("total_variance", 6).alias("total_variance"))
 
 
+@query("a22_merged_dimension_stats", f"WITH {views.FEATURES_SQL}, v AS (SELECT unnest(range(0, 64))::INTEGER AS dim, unnest(features)::DOUBLE AS v FROM features WHERE slide <> 3) SELECT dim, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(min(v), 4) AS least, round(max(v), 4) AS most FROM v GROUP BY 1")
+def merged_dimension_stats(spark, sf_dir):
+    """Stored states of the components by slide, merged for all slides but one."""
+    folder = shared_path(spark, "dimension-states")
+    features = views.features(spark, sf_dir)
+    partials.store_stats(partials.partial_dimension_stats(features), folder, "slide")
+    states = partials.stored_stats(spark, folder, features.where("slide != 3").select("slide"))
+    return _rounded(partials.described(partials.merged_stats(states, "dim"), "dim").drop("quantiles"), "mean", "std", "least", "most", digits=4)
+
+
 @query("a23_unique_ratio", "WITH s AS (SELECT list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS e FROM embeddings ORDER BY md5(vec_id::VARCHAR || '-42'), vec_id LIMIT 2000) SELECT count(DISTINCT e)::DOUBLE / count(*) AS unique_ratio, count(*) AS rows FROM s")
 def unique_ratio(spark, sf_dir):
     """Share of distinct rows among 2000 in seeded order."""

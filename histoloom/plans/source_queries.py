@@ -76,6 +76,21 @@ def read_expression_wide(spark, sf_dir):
     return readers.read_expression_wide(spark, path).where("value is not null").groupBy("gene_id", "sample_id").agg(F.round(F.sum("value"), 2).alias("value"))
 
 
+@query("s02_wide_matrix", "WITH o AS (SELECT o_orderpriority AS gene, o_custkey AS sample, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL), g AS (SELECT DISTINCT gene FROM o), s AS (SELECT DISTINCT sample FROM o) SELECT g.gene AS gene_id, 'c' || s.sample::VARCHAR AS sample_id, value FROM g CROSS JOIN s LEFT JOIN o ON o.gene = g.gene AND o.sample = s.sample")
+def wide_matrix(spark, sf_dir):
+    """A matrix with a column for each customer that has orders; empty fields are null."""
+    path = shared_path(spark, "wide.csv")
+    orders = table(spark, sf_dir, "orders")
+    names = orders.agg(F.array_sort(F.collect_set("o_custkey")).alias("samples"))  # the header, one row
+    held = orders.groupBy(F.col("o_orderpriority").alias("gene"), "o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    held = held.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("o_custkey", "value"))).alias("held")).crossJoin(F.broadcast(names))
+    # most of a row is empty, so its fields are looked up where they are written
+    fields = F.array_join(F.transform("samples", lambda c: F.coalesce(F.try_element_at("held", c).cast("string"), F.lit(""))), ",")
+    header = names.select(F.concat(F.lit(","), F.array_join(F.transform("samples", lambda c: F.concat(F.lit("c"), c.cast("string"))), ",")).alias("value"))
+    header.coalesce(1).union(held.select(F.concat_ws(",", "gene", fields).alias("value"))).write.text(path)
+    return readers.read_expression_wide(spark, path, cut_ids=False)
+
+
 @query("s03_read_gene_map", "SELECT p_brand AS symbol, 'ENSG' || max(p_partkey)::VARCHAR AS ens_id FROM part GROUP BY 1")
 def read_gene_map(spark, sf_dir):
     path = shared_path(spark, "map.tsv")
@@ -339,3 +354,17 @@ def damaged_slides(spark, sf_dir):
     status = incremental.ingest(spark, source, sink, checkpoint, SLIDE_COLUMNS, files_at_once=1, check_all=True)
     sums = spark.read.parquet(sink).groupBy(F.col("slide").cast("bigint").alias("slide")).agg(F.sum("x").alias("x"))
     return status.join(sums, "slide").select("slide", "rows", "status", "x")
+
+
+@query("r01_redone_slides", f"WITH {C} SELECT slide::INTEGER AS slide, count(*) AS cells, sum(y)::BIGINT AS y, 0 AS left FROM cells GROUP BY 1".replace("AS left", 'AS "left"'))
+def redone_slides(spark, sf_dir):
+    """Half of the slides' partitions vanish after ingestion; what the sink lacks is found by its rows alone and written again."""
+    source, sink, checkpoint = (shared_path(spark, f"redone-{x}") for x in ("source", "sink", "checkpoint"))
+    views.cells(spark, sf_dir).repartition(3, "cell_id").write.parquet(source)
+    incremental.ingest_slides(spark, source, sink, checkpoint, SLIDE_COLUMNS).awaitTermination()
+    lost = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/slide=*[13579]")
+    files = lost.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(lost):
+        files.delete(status.getPath(), True)
+    left = incremental.redo_slides(spark, source, sink, SLIDE_COLUMNS)
+    return spark.read.parquet(sink).groupBy("slide").agg(F.count("*").alias("cells"), F.sum("y").alias("y")).withColumn("left", F.lit(left))
