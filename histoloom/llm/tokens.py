@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from histoloom.llm.workers import keep_for
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Text bytes that are tokenised at once; bounds a task's memory.
@@ -136,6 +138,15 @@ def encoder(path: str, kept_words: int = CACHED_WORDS) -> Encoder:
     return Encoder(path, kept_words)
 
 
+def _forget_encoders() -> bool:
+    there = encoder.cache_info().currsize > 0
+    encoder.cache_clear()
+    return there
+
+
+keep_for({"histoloom.llm.packing", "histoloom.llm.token_files"}, _forget_encoders)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", frugal: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of a bounded size with their flat ids and lengths, the end id after each text. Null text: empty. frugal: half the memory for some more time."""
     table, batch_bytes = (encoder(path, CACHED_WORDS // 3), BATCH_BYTES // 2) if frugal else (encoder(path), BATCH_BYTES)

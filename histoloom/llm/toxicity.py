@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histoloom.session import stage
-from histoloom.llm.workers import tidied
+from histoloom.llm.workers import tidied, tidy
 
 #: Labelled rows that the classifier is fitted on at most, taken in hash order.
 SAMPLE_ROWS = 20_000
@@ -320,6 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, s
     kept = F.filter(F.arrays_zip("names", "rates"), lambda z: z["names"].isin(sorted(useful)) if useful else F.lit(False))
     narrow = rows.select(kept.alias("z"), "toxic").select(F.col("z.names").alias("names"), F.col("z.rates").alias("rates"), "toxic")
     weights, intercept = _fit(narrow.toArrow())
+    tidy()  # the driver's own memory
     return Model(counts, weights, intercept)
 
 

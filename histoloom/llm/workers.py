@@ -22,12 +22,27 @@ def tidy() -> None:
         pass
 
 
+_KEPT: list[tuple[frozenset[str], Callable[[], bool]]] = []
+
+
+def keep_for(modules: set[str], forget: Callable[[], bool]) -> None:
+    """What a module keeps between tasks is for the functions of these modules; `forget` drops it, and tells whether there was any."""
+    _KEPT.append((frozenset(modules), forget))
+
+
+def begin(module: str) -> None:
+    """A task of a module's function begins: what others have kept in this worker goes."""
+    if any([forget() for modules, forget in _KEPT if module not in modules]):
+        tidy()
+
+
 def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function over batches, tidy at its end."""
 
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # its free memory can be given back
+        begin(function.__module__)
         try:
             yield from function(batches)
         finally:
@@ -44,6 +59,7 @@ def tidied_group(function: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[
 
     @functools.wraps(function)
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        begin(function.__module__)
         out = function(rows)
         if time.monotonic() - _LAST[0] > 1:
             tidy()
