@@ -59,15 +59,16 @@ def nearest_within(cells: DataFrame, spots: DataFrame, radius: float, group: str
 
     Repeated rows stay; cells without two finite coordinates get nulls, such spots are nobody's.
     """
-    xy = {"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}
+    free = "_" * (1 + max(map(len, cells.columns)))  # no column of theirs
+    xy = {f"{free}x": F.col("x").cast("double"), f"{free}y": F.col("y").cast("double")}
     places = _located(cells.select(group, "x", "y")).select(group, *[v.alias(c) for c, v in xy.items()])
-    sought = places.distinct().withColumns({"bx": _bucket(F.col("_x"), radius), "by": _bucket(F.col("_y"), radius)})
+    sought = places.distinct().withColumns({"bx": _bucket(F.col(f"{free}x"), radius), "by": _bucket(F.col(f"{free}y"), radius)})
     spots = _located(spots).select(group, "spot_idx", F.col("x").cast("double").alias("_sx"), F.col("y").cast("double").alias("_sy"), _bucket(F.col("x"), radius).alias("bx"), _bucket(F.col("y"), radius).alias("by"))
-    d2 = (F.col("_x") - F.col("_sx")) ** 2 + (F.col("_y") - F.col("_sy")) ** 2
+    d2 = (F.col(f"{free}x") - F.col("_sx")) ** 2 + (F.col(f"{free}y") - F.col("_sy")) ** 2
     joined = sought.join(_spread(spots), [group, "bx", "by"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius)
-    best = joined.groupBy(group, "_x", "_y").agg(F.min(F.struct("_d2", "spot_idx")).alias("_best"))
-    best = best.select(group, "_x", "_y", F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
-    return cells.withColumns(xy).join(best, [group, "_x", "_y"], "left").select(*cells.columns, "spot_idx", "d2")  # by the keys of best: it moves no more
+    best = joined.groupBy(group, *xy).agg(F.min(F.struct("_d2", "spot_idx")).alias("_best"))
+    best = best.select(group, *xy, F.col("_best.spot_idx").alias("spot_idx"), F.col("_best._d2").alias("d2"))
+    return cells.withColumns(xy).join(best, [group, *xy], "left").select(*cells.columns, "spot_idx", "d2")  # by the keys of best: it moves no more
 
 
 def radius_graph(points: DataFrame, radius: float, group: str = "slide", node: str = "cell_id") -> DataFrame:
@@ -101,8 +102,9 @@ def _leaves(rows: DataFrame, group: str) -> DataFrame:
     waiting, done = rows.join(extent, F.col(group) == F.col("_g")).drop("_g"), []
     while True:
         waiting = stage(celled(waiting), "leaves")
-        over = waiting.groupBy(group, *_LEAF).agg(F.count("*").alias("n")).where((F.col("n") > LEAF_POINTS) & (F.col("bits") < MOST_BITS))
-        over = stage(over.drop("n"), "overfull")
+        apart = (F.min("x") < F.max("x")) | (F.min("y") < F.max("y"))  # a heap at one place stays together
+        over = waiting.groupBy(group, *_LEAF).agg(F.count("*").alias("n"), apart.alias("apart")).where((F.col("n") > LEAF_POINTS) & (F.col("bits") < MOST_BITS) & F.col("apart"))
+        over = stage(over.drop("n", "apart"), "overfull")
         if not over.take(1):
             done.append(waiting)
             break

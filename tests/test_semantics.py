@@ -128,6 +128,41 @@ def test_dense_tiles_and_far_queries_take_few_rounds(spark, monkeypatch):
         assert [got[src][k] for k in range(1, 5)] == [j for _, j in best]
 
 
+def test_heaps_of_queries_at_one_place_end_at_once(spark, monkeypatch):
+    """A third of all queries at one place beside a neighbour: no rounds are spent on telling them apart, each gets its own row."""
+    rng = np.random.default_rng(4)
+    rows = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1000, (200, 2)))]
+    heap = [("a", 1000 + k, 500.0, 500.0) for k in range(100)] + [("a", 2000, 500.25, 500.0)]
+    labels, kept = [], spatial.stage
+    monkeypatch.setattr(spatial, "stage", lambda df, label: (labels.append(label), kept(df, label))[1])
+    got = {}
+    for r in spatial.k_nearest(points(spark, heap), points(spark, rows), 2, exclude_self=False).collect():
+        got.setdefault(r.src, {})[r.rank] = r.dst
+    assert labels.count("overfull") < 14
+    best = lambda x, y: [j for _, j in sorted(((px - x) ** 2 + (py - y) ** 2, j) for _, j, px, py in rows)[:2]]
+    assert got == {k: dict(enumerate(best(x, y), 1)) for _, k, x, y in heap}
+
+
+def test_files_of_a_store_are_told_by_listings_and_footers(spark, tmp_path):
+    """Every problem, several files a slide, several problems at once, and slides without expectations."""
+    rows = spark.range(12).select(F.col("id").alias("cell_id"), F.array(F.lit(1.0)).alias("features"))
+    for slide, parts in (("sound", 1), ("two", 2), ("short", 1), ("both", 1)):
+        rows.repartition(parts).write.parquet(f"{tmp_path}/{slide}")
+    rows.drop("features").write.parquet(f"{tmp_path}/lacking")
+    rows.limit(0).write.parquet(f"{tmp_path}/rowless")
+    os.makedirs(tmp_path / "zero")
+    (tmp_path / "zero" / "a.parquet").write_bytes(b"")
+    (tmp_path / "both" / "b.parquet").write_bytes(b"PAR1 cut off in the middle")
+    (tmp_path / "both" / "c.tmp.parquet").write_bytes(b"x")
+    names = ("sound", "two", "short", "both", "lacking", "rowless", "zero", "nowhere")
+    folders = spark.createDataFrame([(n, f"file://{tmp_path}/{n}") for n in names], "slide string, path string")
+    files = readers.list_folders(folders).where("path like '%.parquet'")
+    expected = spark.createDataFrame([(n, None if n == "two" else 13 if n == "short" else 12) for n in names], "slide string, expected long")
+    got = sorted((r.slide, r.problem) for r in quality.file_violations(files, expected, few=12).collect())
+    want = [("both", "temporary"), ("both", "unreadable"), ("lacking", "missing column"), ("nowhere", "missing"), ("rowless", "empty"), ("short", "row count"), ("zero", "empty file")]
+    assert got == sorted(want)
+
+
 def test_overview_tiles_take_a_row_a_level(spark):
     """A tile as wide as the slide stands in a few large buckets; tiles of odd sizes and places hold the same cells as by brute force."""
     rng = np.random.default_rng(9)
