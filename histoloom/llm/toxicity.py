@@ -260,10 +260,11 @@ def _fit(table: pa.Table) -> tuple[dict[str, tuple[float, float]], float]:
     if not 0 < positive < n:
         return {}, math.log((positive + 1) / (n - positive + 19))
     lists = table.column("names").combine_chunks()
-    owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.asarray(pc.list_value_length(lists)))
     coded = lists.flatten().dictionary_encode()
     code, every = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     rate_of = table.column("rates").combine_chunks().flatten().to_numpy()
+    del table, lists, coded
     with_it, toxic_with_it = np.bincount(code, minlength=len(every)), np.bincount(code, y[owner], len(every))
     useful = np.nonzero((toxic_with_it >= 3) & (toxic_with_it * n > with_it * positive))[0]
     names, a, c = [every[k] for k in useful], toxic_with_it[useful], with_it[useful].astype(float)
@@ -276,6 +277,7 @@ def _fit(table: pa.Table) -> tuple[dict[str, tuple[float, float]], float]:
     at = np.concatenate([owner[known], owner[known]])
     column = np.concatenate([place[known], place[known] + k])
     value = np.concatenate([np.ones(known.sum()), rate_of[known]])
+    del owner, code, rate_of, place, known
     w = np.append(np.zeros(2 * k), math.log(positive / (n - positive)))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for _ in range(400):
