@@ -57,6 +57,8 @@ def js_divergence(scores: DataFrame, sample: str = "sample_id", clip: bool = Fal
 
 #: Samples of a block where pairs are formed block by block, at most, and bytes of a block's vectors.
 BLOCK_SAMPLES, BLOCK_BYTES = 1024, 32 << 20
+#: Tasks that pairs of blocks are dealt out to, at most.
+MOST_TASKS = 2000
 
 
 def _in_blocks(samples: DataFrame, sample: str, size: int) -> tuple[DataFrame, int]:
@@ -68,12 +70,15 @@ def _in_blocks(samples: DataFrame, sample: str, size: int) -> tuple[DataFrame, i
 def all_pairs(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
     """(one, two): each unordered pair of samples once. The pairs are the result; use mean_pairwise_pearson where only their mean is asked for.
 
-    Samples stand in blocks, and blocks meet by number, so no row is compared with all others.
+    Samples stand in blocks, and blocks meet by number, so no row is compared with all others. Pairs of blocks are few bytes and
+    many results, so they are dealt out by a number of their own.
     """
     rows, blocks = _in_blocks(samples, sample, BLOCK_SAMPLES)
     lists = rows.groupBy("_block").agg(F.collect_list(sample).alias("_ids"))
     ones = lists.select(F.col("_ids").alias("_ones"), F.explode(F.sequence("_block", F.lit(max(blocks, 1) - 1))).alias("_block"))
-    pairs = ones.join(lists, "_block").select("_ids", F.explode("_ones").alias("one"))
+    tasks = max(1, min(MOST_TASKS, blocks * (blocks + 1) // 2))
+    dealt = ones.join(lists, "_block").repartition(tasks, F.monotonically_increasing_id())
+    pairs = dealt.select("_ids", F.explode("_ones").alias("one"))
     return pairs.select("one", F.explode("_ids").alias("two")).where("one < two")
 
 
