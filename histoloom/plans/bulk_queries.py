@@ -39,13 +39,8 @@ def bulk_chain_on_files(spark, sf_dir) -> DataFrame:
     name = F.concat(F.lit(f"{posix_path(tiles)}/"), F.col("slide").cast("string"), F.lit("_patch_tile_"), F.col("tile_id").cast("string"), F.lit("_level0_"), bounds, F.lit(".png"))
     touch(views.tiles(spark, sf_dir).select(name.alias("path")))
     items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("G"), F.col("l_linenumber").cast("string")).alias("gene"), "l_suppkey", "l_quantity")
-    names = items.agg(F.array_sort(F.collect_set("l_suppkey")).alias("slides"))  # the matrix has a column for each
     values = items.groupBy("gene", "l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("value"))
-    values = values.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("l_suppkey", "value"))).alias("held")).crossJoin(F.broadcast(names))  # names: one row
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    header = names.select(F.concat(F.lit(","), F.array_join("slides", ",")).alias("value"))
-    lines = values.select(F.concat_ws(",", "gene", F.array_join(F.transform("slides", lambda s: text(F.col("held")[s])), ",")).alias("value"))
-    header.coalesce(1).union(lines).write.text(matrix)  # the header's file comes first
+    writers.write_expression_wide(values, matrix, "gene", "l_suppkey", "value")
     build_bulk_graphs(spark, features, tiles, matrix, out, 5000.0)
     count = lambda kind, *keys: writers.read_graphs(spark, out, kind).groupBy(*keys)
     nodes = count("nodes", "slide").agg(F.count("*").alias("nodes"))

@@ -97,7 +97,9 @@ def read_expression_wide(spark: SparkSession, path: str, cut_ids: bool = True) -
     names = names.select((F.col("pos") - 1).alias("pos"), F.regexp_replace("name", r'^"|"$', "").alias("sample_id"))
     part = lambda k: F.regexp_extract("value", _FIRST_FIELD, k)
     gene = F.when(F.startswith("value", F.lit('"')), F.regexp_replace(part(1), r'\\(.)|""', '"')).otherwise(part(2))
-    values = lines.select((ids.gene_prefix(gene) if cut_ids else gene).alias("gene_id"), F.posexplode(F.split(part(3), ",")).alias("pos", "value"))
+    # the gene is read before the fields are dealt out: beside them its line would be searched again for each
+    cut = lines.select((ids.gene_prefix(gene) if cut_ids else gene).alias("gene_id"), F.split(part(3), ",").alias("fields"))
+    values = cut.select("gene_id", F.posexplode("fields").alias("pos", "value"))
     number = F.regexp_replace("value", r'^"|"$', "").try_cast("double")
     few = header.count(",") <= BROADCAST_NAMES
     return values.join(F.broadcast(names) if few else names, "pos").select("gene_id", "sample_id", number.alias("value"))

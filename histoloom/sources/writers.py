@@ -89,6 +89,31 @@ def write_metrics(metrics: DataFrame, folder: str, formats: tuple[str, ...] = ("
         (writer.option("header", True).csv if kind == "csv" else writer.json)(f"{folder}/{kind}")
 
 
+#: Neighbouring columns of a wide matrix whose fields are put together first.
+BLOCK_COLUMNS = 8192
+
+
+def _joined(fields: DataFrame, *group: str) -> DataFrame:
+    """(group, value): the text fields of a row (at, field) with commas between them, in the order of `at`; blocks of columns first."""
+    ordered = lambda at, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda f: f[text]), ",")
+    blocks = fields.groupBy(*group, F.floor(F.col("at") / BLOCK_COLUMNS).alias("block")).agg(ordered("at", "field").alias("part"))
+    return blocks.groupBy(*group).agg(ordered("block", "part").alias("value"))
+
+
+def write_expression_wide(values: DataFrame, path: str, gene: str, sample: str, value: str, prefix: str = "") -> None:
+    """A matrix as CSV with a line for each gene and a column for each sample (whole numbers, in their order, named by prefix and number); what is absent is an empty field.
+
+    Fields meet their line and column by joins, so the work is that of the matrix' fields. values: one row for each (gene, sample).
+    """
+    samples = values.select(F.col(sample).alias("at")).distinct()
+    header = _joined(samples.select("at", F.concat(F.lit(prefix), F.col("at").cast("string")).alias("field"))).select(F.concat(F.lit(","), "value").alias("value"))
+    held = values.select(F.col(gene).alias("gene"), F.col(sample).alias("at"), F.col(value).cast("string").alias("field"))
+    grid = samples.crossJoin(F.broadcast(held.select("gene").distinct()))
+    fields = grid.join(held, ["gene", "at"], "left").withColumn("field", F.coalesce("field", F.lit("")))
+    lines = _joined(fields, "gene").select(F.concat_ws(",", "gene", "value").alias("value"))
+    header.coalesce(1).union(lines).write.text(path)  # the header's file comes first
+
+
 def write_norm_stats(stats: DataFrame, path: str) -> None:
     """(gene, mean, std) as JSON lines."""
     stats.select("gene", "mean", "std").write.mode("overwrite").json(path)
