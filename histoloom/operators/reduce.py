@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,25 +116,37 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return label, d2[np.arange(len(x)), label]
 
 
-def _settled(x: np.ndarray, centroids: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Centroids after Lloyd's rounds until nothing moves, and the loss. Empty clusters keep their centroid."""
-    for _ in range(rounds):
+#: Rounds of each start where the best one then goes on until it settles.
+START_ROUNDS = 20
+
+
+def _rounds(rounds: int | None) -> Iterator[int]:
+    return itertools.count() if rounds is None else iter(range(rounds))
+
+
+def _settled(x: np.ndarray, centroids: np.ndarray, rounds: int | None) -> tuple[np.ndarray, float]:
+    """Centroids after Lloyd's rounds until nothing moves (with rounds None: until no row changes its label), and the loss. Empty clusters keep their centroid."""
+    before = None
+    for _ in _rounds(rounds):
         label, _ = _nearest(x, centroids)
+        if rounds is None and before is not None and (label == before).all():
+            break
+        before = label
         count = np.bincount(label, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, label, x)
         moved = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
-        if ((moved - centroids) ** 2).sum(1).max() <= 1e-12:
+        if rounds is not None and ((moved - centroids) ** 2).sum(1).max() <= 1e-12:
             break
         centroids = moved
     return centroids, float(_nearest(x, centroids)[1].sum())
 
 
-def kmeans_start(rows: DataFrame, k: int, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, starts: int = 10, rounds: int = 20) -> DataFrame:
+def kmeans_start(rows: DataFrame, k: int, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, starts: int = 10, rounds: int | None = 20) -> DataFrame:
     """(group, label, centroid, whole): the best of `starts` fits of each group's sample; whole: the sample is the whole group.
 
     The sample are the cells of lowest seeded hash, as many as SAMPLE_BYTES hold, so a task never has more of a group. A group of
-    n cells has min(k, n) clusters.
+    n cells has min(k, n) clusters. rounds None: the best one goes on until it has settled.
     """
     kind = rows.schema[group].dataType.simpleString()
     fits = F.lit(float(SAMPLE_BYTES)) / (8 * F.greatest(F.max(F.size(vector)), F.lit(1)))
@@ -147,18 +160,21 @@ def kmeans_start(rows: DataFrame, k: int, group: str = "slide", key: str = "cell
         cells = cells.sort_values(["place", "key"])
         x = np.stack(cells[vector].to_numpy()).astype(np.float64)
         random = np.random.default_rng(seed)
-        best = min((_settled(x, _seeded(x, min(k, len(x)), random), rounds) for _ in range(starts)), key=lambda fitted: fitted[1])[0]
+        best = min((_settled(x, _seeded(x, min(k, len(x)), random), START_ROUNDS if rounds is None else rounds) for _ in range(starts)), key=lambda fitted: fitted[1])[0]
+        if rounds is None:
+            best = _settled(x, best, None)[0]
         return pd.DataFrame({group: [cells[group].iloc[0]] * len(best), "label": np.arange(len(best), dtype=np.int32), "centroid": list(best), "whole": bool(cells["whole"].iloc[0])})
 
     return some.groupBy(group).applyInPandas(fit, f"{group} {kind}, label int, centroid array<double>, whole boolean")
 
 
-def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, rounds: int = 20, starts: int = 10) -> DataFrame:
+def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_id", vector: str = "features", seed: int = 42, rounds: int | None = 20, starts: int = 10) -> DataFrame:
     """cells with `label`: the best of several k-means++ starts for every group, then Lloyd's rounds over all its cells.
 
     Starts are fitted in tasks, on a sample of bounded size of each group (kmeans_start). Groups that are larger than their
     sample go on from there with all their cells, all of them together, in a job a round; the others have settled already. A
-    single cell has label 0. Centroids are a table joined on the group, never sent through the driver.
+    single cell has label 0. Centroids are a table joined on the group, never sent through the driver. rounds None: as many as it takes
+    until nothing moves; every round lowers the loss, so there is an end.
     """
     rows = stage(cells.where(F.col(vector).isNotNull()), "kmeans-cells")
     centroids = stage(kmeans_start(rows, k, group, key, vector, seed, starts, rounds), "centroids")
@@ -172,10 +188,11 @@ def kmeans(cells: DataFrame, k: int = 7, group: str = "slide", key: str = "cell_
     open_ = moving.select(F.col(group).alias("_o")).distinct()
     if moving.take(1):
         large = rows.join(open_, rows[group].eqNullSafe(F.col("_o")), "left_semi")
-        for _ in range(rounds):
+        least = 1e-24 if rounds is None else 1e-12
+        for _ in _rounds(rounds):
             moved = assigned(large, moving).groupBy(F.col(group).alias("_g"), F.col("label").alias("_l")).agg(vector_mean(vector).alias("moved"))
             after = moving.join(moved, moving[group].eqNullSafe(F.col("_g")) & (F.col("label") == F.col("_l")), "left").select(group, "label", "centroid", F.coalesce("moved", "centroid").alias("after"))
-            went, seen = squared_distance(F.col("after"), F.col("centroid")) > 1e-12, Observation()
+            went, seen = squared_distance(F.col("after"), F.col("centroid")) > least, Observation()
             after = after.withColumn("went", went).observe(seen, F.max("went").alias("went"))
             moving = stage(after.select(group, "label", F.col("after").alias("centroid")), "centroids")
             if not seen.get["went"]:

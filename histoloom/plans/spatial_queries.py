@@ -212,7 +212,7 @@ def total_variance(spark, sf_dir):
 @query("a26_settled_clusters", f"WITH {views.FEATURES_SQL}, k AS (SELECT slide, count(*) AS cells FROM features GROUP BY 1) SELECT slide, cells, least(cells, 7)::BIGINT AS clusters, 0::BIGINT AS strays FROM k")
 def settled_clusters(spark, sf_dir):
     """Once settled, no cell is nearer to another cluster's mean than to its own's."""
-    labelled = reduce.kmeans(views.features(spark, sf_dir).drop("label"), 7, rounds=100)
+    labelled = reduce.kmeans(views.features(spark, sf_dir).drop("label"), 7, rounds=None)
     means = labelled.groupBy("slide", "label").agg(reduce.vector_mean("features").alias("mean"))
     means = means.groupBy("slide").agg(F.collect_list(F.struct("label", "mean")).alias("means"))  # seven
     apart = F.transform("means", lambda m: F.struct(vectors.squared_distance(F.col("features").cast("array<double>"), m["mean"]).alias("d2"), m["label"].alias("label")))
