@@ -11,6 +11,8 @@ from histoloom.session import stage
 
 #: Points of a group up to which neighbours come from a join inside the group.
 WHOLE_GROUP = 128
+#: Queries that a task compares with their groups' points, about, and tasks at most.
+QUERIES_A_TASK, MOST_TASKS = 1 << 15, 4000
 #: Points of a leaf of a quad-tree, at most, as far as MOST_BITS halvings of the group's longer side tell them apart.
 LEAF_POINTS = 32
 MOST_BITS = 40
@@ -144,10 +146,21 @@ def _reached(pairs: DataFrame, by: list[str], box: tuple[str, str, str, str], ne
     return pairs.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9))).drop("_near", "_far", "_upto", "_bound")
 
 
+def _few_nearest(q: DataFrame, p: DataFrame, k: int, group: str, exclude_self: bool) -> DataFrame:
+    """k_nearest in groups of few points: each group's points are one array that its queries meet, so no pair is ever a row of its own and a task holds one query's distances."""
+    lists = p.groupBy(group).agg(F.collect_list(F.struct("dst", "px", "py")).alias("_p"))
+    place = lambda c: (F.col("qx") - c["px"]) ** 2 + (F.col("qy") - c["py"]) ** 2
+    others = F.filter("_p", lambda c: c["dst"] != F.col("src")) if exclude_self else F.col("_p")
+    near = F.slice(F.sort_array(F.transform(others, lambda c: F.struct(place(c).alias("d2"), c["dst"].alias("dst")))), 1, k)
+    tasks = min(MOST_TASKS, q.count() // QUERIES_A_TASK + 1)  # by their work, which their bytes do not tell
+    rows = q.repartition(tasks, group).join(lists, group).select(group, "src", F.posexplode_outer(near).alias("_at", "_n")).where("_n is not null")  # the outer one makes no filter that sorts again
+    return rows.select(group, "src", F.col("_n.dst").alias("dst"), F.col("_n.d2").alias("d2"), (F.col("_at") + 1).alias("rank"))
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", exclude_self: bool = True) -> DataFrame:
     """(group, src, dst, d2, rank): the k nearest points of each query in its group, ties to the lower id.
 
-    Points of groups of up to WHOLE_GROUP are compared with all of the group's queries. In larger ones points and queries stand
+    Points of groups of up to WHOLE_GROUP are compared with all of the group's queries, as one array. In larger ones points and queries stand
     in quad-trees, whose leaves have LEAF_POINTS at most wherever they are dense or sparse. Leaves of queries go down the
     points' tree together, keeping the nodes that can hold a neighbour of any place in their box; then every query picks
     its own among the leaves reached, and only those meet it point by point. Rounds follow the tree's depth, not distances:
@@ -164,7 +177,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, group: str = "slide
     out = lambda pairs: _ranked(pairs.where(other).select(group, "src", "dst", d2.alias("d2")), group, k)
     sizes = stage(p.groupBy(group).agg((F.count("*") > WHOLE_GROUP).alias("large")), "group-sizes")
     small, large = sizes.where("not large").select(group), sizes.where("large").select(group)
-    found = out(q.join(small, group, "left_semi").join(p, group))
+    found = _few_nearest(q.join(small, group, "left_semi"), p.join(small, group, "left_semi"), k, group, exclude_self)
     if not large.take(1):
         return found
 
@@ -192,7 +205,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, group: str = "slide
 
 def knn_graph(points: DataFrame, k: int, group: str = "slide", node: str = "cell_id", dedupe: bool = False) -> DataFrame:
     """(group, src, dst, d2): for each of a point's k nearest both directions, so mutual neighbours appear twice unless deduped."""
-    near = k_nearest(points, points, k, group, node).select(group, "src", "dst", "d2")
+    near = stage(k_nearest(points, points, k, group, node).select(group, "src", "dst", "d2"), "neighbours")  # read for both directions
     both = near.unionByName(near.select(group, F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))
     return both.distinct() if dedupe else both
 
