@@ -23,6 +23,8 @@ BOUNDARIES = "cell_id bigint, vertex_x double, vertex_y double"
 CLUSTERS = "Barcode bigint, Cluster int"
 #: Columns of a matrix up to which their names are broadcast.
 BROADCAST_NAMES = 1_000_000
+#: Partition column of stores and sinks that hold buckets of slides instead of a folder for each slide.
+BUCKET = "in_bucket"
 MANIFEST = "id string, filename string, md5 string, size bigint, state string"
 
 
@@ -34,7 +36,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_cell_features(spark: SparkSession, folder: str, limit: int | None = None, recursive: bool = True) -> DataFrame:
-    """Feature tables under a folder, a file for each slide, with slide and path; with a limit the first files by path."""
+    """Feature tables under a folder, a file for each slide, with slide and path; with a limit the first files by path.
+
+    In a store of buckets slides share files: slide is a column, and the first ones are those whose folders (slide=...) would be.
+    """
+    if exists(spark, f"{folder}/{BUCKET}=*"):
+        table = spark.read.parquet(folder).withColumn("path", F.col("_metadata.file_path")).drop(BUCKET)
+        if limit is None:
+            return table
+        name = F.concat(F.lit("slide="), F.col("slide").cast("string"), F.lit("/"))
+        first = table.select("slide").distinct().orderBy(name).limit(limit).select(F.col("slide").alias("_slide"))
+        return table.join(F.broadcast(first), F.col("slide").eqNullSafe(F.col("_slide")), "left_semi")
     table = spark.read.option("recursiveFileLookup", recursive).parquet(folder).withColumn("path", F.col("_metadata.file_path"))
     table = table.withColumn("slide", ids.slide_id(F.col("path")))
     if limit is None:

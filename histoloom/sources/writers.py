@@ -8,10 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histoloom.session import stage
+from histoloom.sources.readers import BUCKET, exists
 
-def write_cell_features(cells: DataFrame, folder: str, group: str = "slide") -> None:
-    """Feature tables, a partition folder for each slide; only the slides at hand are replaced."""
-    cells.repartition(group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(group).parquet(folder)
+
+def write_cell_features(cells: DataFrame, folder: str, group: str = "slide", buckets: int | None = None) -> None:
+    """Feature tables, a partition folder for each slide; only the slides at hand are replaced.
+
+    buckets: so many folders of slides instead, for many small slides; a store keeps its number. The other slides of the buckets at
+    hand are read and written again with them.
+    """
+    place = BUCKET if buckets else group
+    if buckets:
+        spark = cells.sparkSession
+        cells = cells.withColumn(BUCKET, F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int"))
+        if exists(spark, f"{folder}/{BUCKET}=*"):
+            here = cells.select(F.col(group).alias("_here")).distinct()
+            before = spark.read.parquet(folder).join(cells.select(BUCKET).distinct(), BUCKET, "left_semi")
+            cells = stage(cells.unionByName(before.join(here, F.col(group).eqNullSafe(F.col("_here")), "left_anti")), "bucket-rows")
+    rows = cells.repartition(place).sortWithinPartitions(place, group)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(place).parquet(folder)
 
 
 #: Folder of the snapshots' manifests, below that of the graphs.

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from histoloom.session import stage
-from histoloom.sources.readers import exists
+from histoloom.sources.readers import BUCKET, exists
 
 #: Name of the sink's second partition column: the source file that a row came from.
 FILE = "from_file"
@@ -34,10 +34,6 @@ def _with_file(rows: DataFrame) -> DataFrame:
     return rows.select("*", path.alias("_path"), F.concat(F.lit("f"), F.hex(F.xxhash64(path))).alias(FILE))
 
 
-#: First partition column of a sink of buckets.
-BUCKET = "in_bucket"
-
-
 def _place(group: str, buckets: int | None) -> str:
     """Name of the sink's first partition column."""
     return BUCKET if buckets else group
