@@ -6,10 +6,9 @@ edits - k on its right. Each line is therefore indexed under its segments, keyed
 probed with the few substrings that can match at each length. Character-count sketches thin out the pairs inside the join,
 and a banded bit-parallel edit distance, many pairs at once, decides.
 
-A segment that more than CROWD lines share makes no pairs. Its lines are compared with the first of them alone; where all
-are within the distance of that one they are linked, and nothing else is needed. Otherwise what stands left and right of the
-segment is split in turn, with the edits that are left for it (a side with none left has to be equal), until groups are
-small. Lines whose remaining sides are no longer than the edits left for them are linked without a look at the others.
+A segment that more than CROWD lines share makes no pairs. What stands left and right of it is split in turn, with the edits
+that are left for it (a side with none left has to be equal), until groups are small or differ in no more characters than
+there are edits. Pairs are then those of the groups, so no link is left out.
 
 Lines are compared trimmed. Lines under `min_chars` characters take no part: such lines (brackets, single words) repeat
 everywhere without being copies. The first occurrence of a class (by doc_id, then the document's hash, then line number) is
@@ -158,8 +157,8 @@ def first_hits(line: str, key: int, edits: int) -> Iterator[tuple[bool, tuple]]:
                 yield probing, ((0, len(line), edits, length, start, at, size, number),)
 
 
-#: How lines of one key are dealt with: as long as they are few; the first with each other one alone; all pairs, as no split is left.
-BY_SIZE, FIRST_ALONE, ALL = 0, 1, 2
+#: How lines of one key are dealt with: all pairs as long as they are few; all pairs, as no split is left.
+BY_SIZE, ALL = 0, 1
 
 
 def split_further(line: str, key: int, probing: bool, hit: tuple) -> Iterator[tuple[int, int, tuple]]:
@@ -177,7 +176,7 @@ def split_further(line: str, key: int, probing: bool, hit: tuple) -> Iterator[tu
                 sides.append((a, b, left_over, other))
     digest = lambda *more: xxhash.xxh64_intdigest("\x00".join([*map(str, map(len, exact)), *exact, *more])) - (1 << 63)
     if not sides:
-        yield digest(), FIRST_ALONE, ()
+        yield digest(), ALL, ()
         return
     how = ALL if any(other <= edits for _, _, edits, other in sides) else BY_SIZE
     choices = []
@@ -208,7 +207,7 @@ def _split(members: DataFrame, texts: DataFrame, edits: int, first: bool) -> Dat
 
 
 def _met(index: DataFrame, probe: DataFrame, crowds: DataFrame, allowed: Column) -> DataFrame:
-    """(a, b, crowded): pairs of indexed and probing lines of a key; for keys in crowds (key, first, open) the first indexed line with all others, and itself. crowded: the key, if it may be split further."""
+    """(a, b, crowded): pairs of indexed and probing lines of a key; for keys in crowds (key, first) no pairs, but each probing line as b with the first indexed one, and the key as crowded."""
     crowds = stage(crowds, "crowds")
     if crowds.count() <= BROADCAST_CROWDS:
         crowds = F.broadcast(crowds)
@@ -216,11 +215,11 @@ def _met(index: DataFrame, probe: DataFrame, crowds: DataFrame, allowed: Column)
     crowded = F.col("first").isNotNull()
     pairs = index.join(probe, (index["key"] == probe["key"]) & (crowded | ((F.col("a") != F.col("b")) & allowed)))
     low, high = (F.when(crowded, x).otherwise(y) for x, y in ((F.col("a"), F.least("a", "b")), (F.col("b"), F.greatest("a", "b"))))
-    return pairs.select(low.alias("a"), high.alias("b"), F.when(F.col("open"), index["key"]).alias("crowded")).distinct()
+    return pairs.select(low.alias("a"), high.alias("b"), F.when(crowded, index["key"]).alias("crowded")).distinct()
 
 
 def candidates(distinct: DataFrame, edits: int, crowd: int = CROWD) -> DataFrame:
-    """(a, b, crowded): pairs of lines that share a segment and whose sketches allow the distance, or of the first line of a crowded segment."""
+    """(a, b, crowded): pairs of lines that share a segment and whose sketches allow the distance; lines b of a crowded segment."""
     index = stage(keyed(distinct, edits, False), "line-index")
     counts = stage(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")), "line-keys")
     probe = keyed(distinct, edits, True, (_filter(counts), _filter(counts.where("n > 1"))))
@@ -230,7 +229,7 @@ def candidates(distinct: DataFrame, edits: int, crowd: int = CROWD) -> DataFrame
     differing = differing.bitwiseOR(F.shiftrightunsigned(differing, 1)).bitwiseOR(F.shiftrightunsigned(differing, 2))
     classes = F.bit_count(differing.bitwiseAND(F.lit(sum(1 << k for k in range(0, 48, 3)))))  # an edit changes the counts of two classes at most
     once = (length("tag_a") < length("tag_b")) | (F.col("a") < F.col("b")) | (length("tag_a") == longest)
-    crowds = counts.where(F.col("n") > crowd).select("key", "first", F.lit(True).alias("open"))
+    crowds = counts.where(F.col("n") > crowd).select("key", "first")
     return _met(index.toDF("key", "a", "tag_a"), probe.toDF("key", "b", "tag_b"), crowds, once & (classes <= 2 * edits))
 
 
@@ -286,9 +285,8 @@ def within(lines: list[str], others: list[str], edits: int) -> np.ndarray:
     return result
 
 
-def _checked(pairs: DataFrame, distinct: DataFrame, edits: int, label: str) -> DataFrame:
-    """pairs with `close`: whether their lines are within the distance."""
-    pairs = stage(pairs, "line-pairs")
+def _links(pairs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
+    """Those of staged pairs (a, b) whose lines are within the distance."""
     few = pairs.count() <= BROADCAST_ROWS
     sides = pairs.join(_texts(distinct, pairs.select("a"), few, "a", "line_a"), "a").join(_texts(distinct, pairs.select("b"), few, "b", "line_b"), "b")
 
@@ -296,7 +294,7 @@ def _checked(pairs: DataFrame, distinct: DataFrame, edits: int, label: str) -> D
     def close(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series(within(one.tolist(), two.tolist(), edits))
 
-    return stage(sides.select("a", "b", "crowded", close("line_a", "line_b").alias("close")), label)
+    return stage(sides.where(close("line_a", "line_b")).select("a", "b"), "line-checks")
 
 
 def _texts(distinct: DataFrame, ids: DataFrame, few: bool, name: str, line: str = "line") -> DataFrame:
@@ -306,23 +304,22 @@ def _texts(distinct: DataFrame, ids: DataFrame, few: bool, name: str, line: str
 
 
 def linked_lines(distinct: DataFrame, edits: int, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of the ids of distinct lines within the edit distance, enough of them to tell the classes: lines of a crowd may have links with its first line alone."""
-    checked = _checked(candidates(distinct, edits, crowd), distinct, edits, "line-checks")
-    links, split = checked.where("close and a != b").select("a", "b"), None
+    """(a, b) of the ids of all distinct lines within the edit distance; segments that more than `crowd` lines share are split further."""
+    met, split, links = stage(candidates(distinct, edits, crowd), "line-pairs"), None, None
     while True:
-        crowded = checked.where("crowded is not null").select(F.col("crowded").alias("key"), F.col("b").alias("id"), "close")
-        apart = crowded.groupBy("key").agg(F.min("close").alias("all_close")).where("not all_close").select("key")
-        if not apart.take(1):
+        found = _links(met.where("crowded is null").select("a", "b"), distinct, edits)
+        links = found if links is None else links.union(found)
+        crowded = met.where("crowded is not null").select(F.col("crowded").alias("key"), F.col("b").alias("id"))
+        if not crowded.take(1):
             return links.distinct()
-        apart = stage(apart, "crowds")
-        members = stage((crowded.select("key", "id") if split is None else split.select("key", "id", "probing", "hit")).join(apart, "key"), "crowd-members")
+        members = crowded if split is None else split.select("key", "id", "probing", "hit").join(crowded.select("key").distinct(), "key")
+        members = stage(members, "crowd-members")
         crowd *= 2
         split = stage(_split(members, _texts(distinct, members.select("id"), members.count() <= BROADCAST_ROWS, "id"), edits, split is None), "split-lines")
         index, probe = split.where("not probing").select("key", F.col("id").alias("a"), "how").distinct(), split.where("probing").select("key", F.col("id").alias("b")).distinct()
         counts = index.groupBy("key", "how").agg(F.count("*").alias("n"), F.min("a").alias("first"))
-        crowds = counts.where((F.col("how") == FIRST_ALONE) | ((F.col("how") == BY_SIZE) & (F.col("n") > crowd))).select("key", "first", (F.col("how") == BY_SIZE).alias("open"))
-        checked = _checked(_met(index.drop("how"), probe, crowds, F.lit(True)), distinct, edits, "line-checks")
-        links = links.union(checked.where("close and a != b").select("a", "b"))
+        crowds = counts.where((F.col("how") == BY_SIZE) & (F.col("n") > crowd)).select("key", "first")
+        met = stage(_met(index.drop("how"), probe, crowds, F.lit(True)), "line-pairs")
 
 
 def _clashing(distinct: DataFrame) -> list[int]:
@@ -337,7 +334,7 @@ def _hash() -> Column:
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, crowd: int = CROWD, short_lines: bool = False) -> DataFrame:
     """short_lines: lines of under `min_chars` characters (but for empty ones) take part, too, as copies of equal ones.
 
-    One row for each line that takes part: doc_id, doc, line_no, kept, n_links (different lines within the distance that the join looked at; in a crowd of more than `crowd` its first line may stand for the others) and its class, named by doc_id and line number of the kept line."""
+    One row for each line that takes part: doc_id, doc, line_no, kept, n_links (different lines within the distance) and its class, named by doc_id and line number of the kept line."""
     lines = lines_of(docs, 1 if short_lines else min_chars)
     distinct = stage(lines.groupBy("line").agg(F.count("*").alias("n")).select(_hash().alias("hash"), "line"), "distinct-lines")
     clashing = _clashing(distinct)
