@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.operators.ordering import number_rows
+from histoloom.session import stage
 
 #: Variance under which a gene or spot has no correlation, and standard deviation under which a sample has none.
 LEAST_VARIANCE, LEAST_STD, EPSILON = 1e-8, 1e-12, 1e-12
@@ -97,23 +99,61 @@ def mean_pairwise_pearson(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _js_rows(p: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence of one row of shares from each of others, over the entries that both have (absent ones are NaN)."""
+    """Jensen-Shannon divergence of rows of shares from others, over the entries that both have (absent ones are NaN)."""
     m = (p + others) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         term = lambda x: np.where(x > 0, x * np.log((x + EPSILON) / (m + EPSILON)), 0.0 * m)  # noqa: E731  NaN stays
         return (np.nansum(np.where(np.isnan(m), np.nan, term(p)), axis=1) + np.nansum(np.where(np.isnan(m), np.nan, term(others)), axis=1)) / 2
 
 
-def pairwise_js(values: DataFrame, value: str = "value", top: int | None = None) -> DataFrame:
-    """(one, two, js) of every pair of samples, values clipped at 0 and taken as shares, over the genes that both have.
+#: Rows of a block that meet another block at once, and a divergence under which a pair is computed term by term.
+TILE_ROWS, LEAST_JS = 64, 1e-9
+
+
+def _js_matrix(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    """_js_rows of each row of ones from each of twos; NaN where they have no entry in common.
+
+    The divergence is half the sum of both sides' x log x less that of their mean's, so a pair takes one logarithm an entry.
+    Nearly equal rows, of which that leaves rounding errors alone, are computed term by term.
+    """
+    out = np.empty((len(ones), len(twos)))
+    has_two = ~np.isnan(twos)
+    two = np.where(has_two, twos, 0.0)
+    own_two, two = two * np.log(two + EPSILON), np.ascontiguousarray(two.T)
+    for k in range(0, len(ones), TILE_ROWS):
+        has, tile = ~np.isnan(ones[k : k + TILE_ROWS]), out[k : k + TILE_ROWS]
+        one = np.where(has, ones[k : k + TILE_ROWS], 0.0)
+        tile[:] = ((one * np.log(one + EPSILON)) @ has_two.T.astype(float) + has.astype(float) @ own_two.T) / 2
+        for g in range(ones.shape[1]):
+            if whole := has[:, g].all() and has_two[:, g].all():
+                m = np.add.outer(one[:, g], two[g])
+            else:
+                rows, columns = np.nonzero(has[:, g])[0], np.nonzero(has_two[:, g])[0]
+                m = np.add.outer(one[rows, g], two[g, columns])
+            m *= 0.5
+            m *= np.log(m + EPSILON)
+            if whole:
+                tile -= m
+            else:
+                tile[np.ix_(rows, columns)] -= m
+        if not (has.all() and has_two.all()):
+            tile[has.astype(float) @ has_two.T.astype(float) == 0] = np.nan
+    a, b = np.nonzero(out < LEAST_JS)
+    for k in range(0, len(a), 4096):
+        some = a[k : k + 4096], b[k : k + 4096]
+        out[some] = _js_rows(ones[some[0]], twos[some[1]])
+    return out
+
+
+def _js_blocks(values: DataFrame, value: str, found: Callable[[np.ndarray, np.ndarray, np.ndarray, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """What `found` makes of (samples of one block, of the other, their divergences, whether it is one block), for every two blocks.
 
     Samples stand in blocks of dense vectors; every two blocks meet in one task, to which each vector is sent once, so no join
-    goes by gene and a task holds two blocks. top: for each sample (as `one`) its `top` nearest others (ties to the lower
-    sample) with rank; tasks then send only their own nearest on.
+    goes by gene and a task holds two blocks. Pairs that do not count are NaN.
     """
     whole = Window.partitionBy("sample_id")
     clipped = F.greatest(F.col(value), F.lit(0.0))
-    shares = values.select("sample_id", "gene", (clipped / (F.sum(clipped).over(whole) + EPSILON)).cast("double").alias("p"))
+    shares = stage(values.select("sample_id", "gene", (clipped / (F.sum(clipped).over(whole) + EPSILON)).cast("double").alias("p")), "shares")
     genes, width = number_rows(shares.select("gene").distinct(), "gene", name="_at")
     size = max(1, min(BLOCK_SAMPLES, BLOCK_BYTES // (8 * max(1, width))))
     rows, blocks = _in_blocks(shares, "sample_id", size)
@@ -129,27 +169,62 @@ def pairwise_js(values: DataFrame, value: str = "value", top: int | None = None)
             dense[k, at] = p
         block, ids = rows["_block"].to_numpy(), rows["sample_id"].to_numpy()
         ones, twos = np.nonzero(block == rows["_one"].iloc[0])[0], np.nonzero(block == rows["_two"].iloc[0])[0]
-        found = []
-        for k in ones.tolist():
-            others = twos[twos > k] if rows["_one"].iloc[0] == rows["_two"].iloc[0] else twos
-            if len(others):
-                found.append((np.full(len(others), k), others, np.concatenate([_js_rows(dense[k], dense[others[j : j + 256]]) for j in range(0, len(others), 256)])))
-        a, b, js = map(np.concatenate, zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        if top is not None:
-            a, b, js = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([js, js])
-            by = np.lexsort((b, js, a))  # samples are in order
-            a, b, js = a[by], b[by], js[by]
-            nth = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b, js = a[nth < top], b[nth < top], js[nth < top]
-        return pd.DataFrame({"one": ids[a], "two": ids[b], "js": js})
+        alike = rows["_one"].iloc[0] == rows["_two"].iloc[0]
+        js = _js_matrix(dense[ones], dense[twos])
+        if alike:
+            np.fill_diagonal(js, np.nan)
+        return found(ids[ones], ids[twos], js, alike)
+
+    # few bytes and much work: blocks are dealt out over tasks of their own number
+    tasks = max(1, min(MOST_TASKS, blocks * (blocks + 1) // 2))
+    return dealt.repartition(tasks, "_one", "_two").groupBy("_one", "_two").applyInPandas(compare, schema)
+
+
+def pairwise_js(values: DataFrame, value: str = "value", top: int | None = None) -> DataFrame:
+    """(one, two, js) of every pair of samples that have genes in common, values clipped at 0 and taken as shares, over the genes that both have.
+
+    top: for each sample (as `one`) its `top` nearest others (ties to the lower sample) with rank; tasks then send only their own
+    nearest on. js_summary is for those who ask for no single pair.
+    """
+
+    def every(ones: np.ndarray, twos: np.ndarray, js: np.ndarray, alike: bool) -> pd.DataFrame:
+        a, b = np.nonzero(~np.isnan(np.where(np.tri(*js.shape, dtype=bool), np.nan, js) if alike else js))  # samples are in order
+        return pd.DataFrame({"one": ones[a], "two": twos[b], "js": js[a, b]})
+
+    def nearest(ones: np.ndarray, twos: np.ndarray, js: np.ndarray) -> pd.DataFrame:
+        held = np.where(np.isnan(js), np.inf, js)
+        last = min(top, held.shape[1]) - 1
+        a, b = np.nonzero((held <= np.partition(held, last, axis=1)[:, last : last + 1]) & (held < np.inf))
+        by = np.lexsort((b, js[a, b], a))
+        a, b = a[by], b[by]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        a, b = a[nth < top], b[nth < top]
+        return pd.DataFrame({"one": ones[a], "two": twos[b], "js": js[a, b]})
+
+    def nearest_of_both(ones: np.ndarray, twos: np.ndarray, js: np.ndarray, alike: bool) -> pd.DataFrame:
+        one = nearest(ones, twos, js)
+        return one if alike else pd.concat([one, nearest(twos, ones, np.ascontiguousarray(js.T))])
 
     kind = values.schema["sample_id"].dataType.simpleString()
-    pairs = dealt.groupBy("_one", "_two").applyInPandas(compare, f"one {kind}, two {kind}, js double")
+    pairs = _js_blocks(values, value, every if top is None else nearest_of_both, f"one {kind}, two {kind}, js double")
     if top is None:
         return pairs
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy("js", "two"))).where(F.col("rank") <= top)
 
 
+def js_summary(values: DataFrame, value: str = "value") -> DataFrame:
+    """One row over all pairs of pairwise_js: pairs, mean_js, min_js, max_js. Tasks add up the pairs of their blocks, so none becomes a row."""
+
+    def added(ones: np.ndarray, twos: np.ndarray, js: np.ndarray, alike: bool) -> pd.DataFrame:
+        held = js[np.triu_indices(len(js), 1)] if alike else js
+        held = held[~np.isnan(held)]
+        return pd.DataFrame({"n": [len(held)], "sum": [held.sum()], "min": [held.min()], "max": [held.max()]} if len(held) else {"n": [], "sum": [], "min": [], "max": []})
+
+    parts = _js_blocks(values, value, added, "n long, sum double, min double, max double")
+    n = F.coalesce(F.sum("n"), F.lit(0).cast("long"))
+    return parts.agg(n.alias("pairs"), (F.sum("sum") / F.sum("n")).alias("mean_js"), F.min("min").alias("min_js"), F.max("max").alias("max_js"))
+
+
 def summary(metrics: DataFrame, *columns: str) -> DataFrame:
     """(name, mean, median, std, min, max) of metric columns; 0 where there is no value."""
     rows = metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
