@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histoloom.operators.expression import FLAT
-from histoloom.sources.readers import exists
+from histoloom.sources.readers import BUCKET, exists
+from histoloom.sources.writers import write_cell_features
 
 #: Size parameter of the quantile sketches: ranks are right to about 1 % of the rows.
 SKETCH = 256
@@ -53,14 +54,14 @@ def gene_stats(states: DataFrame) -> DataFrame:
     return rows.select("gene", "mean", F.when(F.col("std") < FLAT, 1.0).otherwise(F.col("std")).alias("std"))
 
 
-def store_stats(states: DataFrame, folder: str, part: str) -> None:
-    """States into a store, a partition folder for each part; only the parts at hand are replaced."""
-    states.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
+def store_stats(states: DataFrame, folder: str, part: str, buckets: int | None = None) -> None:
+    """States into a store, a partition folder for each part (or so many folders of parts, for many small ones); only the parts at hand are replaced."""
+    write_cell_features(states, folder, part, buckets)
 
 
 def stored_stats(spark: SparkSession, folder: str, parts: DataFrame | None = None, part: str = "slide") -> DataFrame:
-    """The stored states, or those of some parts only (partitions of others are not read)."""
+    """The stored states, or those of some parts only (partitions of others are not read, where each part has its own)."""
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
-    states = spark.read.parquet(folder)
+    states = spark.read.parquet(folder).drop(BUCKET)
     return states if parts is None else states.join(parts.select(part).distinct(), part, "left_semi")
