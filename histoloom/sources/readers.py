@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from histoloom.functions import ids
 from histoloom.operators.ordering import number_rows
+from histoloom.session import stage
 
 #: Beginnings of lines in a gene list that are notes.
 NOTES = r"^(Efficiently|Total|Detection|Samples)"
@@ -25,6 +26,8 @@ CLUSTERS = "Barcode bigint, Cluster int"
 BROADCAST_NAMES = 1_000_000
 #: Partition column of stores and sinks that hold buckets of slides instead of a folder for each slide.
 BUCKET = "in_bucket"
+#: Tasks that list the folders of a tree.
+LISTING_TASKS = 64
 MANIFEST = "id string, filename string, md5 string, size bigint, state string"
 
 
@@ -83,9 +86,30 @@ def list_folders(folders: DataFrame) -> DataFrame:
     return folders.mapInArrow(listed, T.StructType([*rest, T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]))
 
 
+def list_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files with bytes under a folder, listed by tasks: one for what stands in it, and its folders by many.
+
+    Files of other names than Spark's own listing takes (those that begin with a dot or an underscore, or stand in such folders) are left out.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, place = fs.FileSystem.from_uri(path)
+                found = [i for i in system.get_file_info(fs.FileSelector(place, allow_not_found=True)) if not i.base_name.startswith((".", "_"))]
+                for k in range(0, len(found), 10_000):
+                    some = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{i.base_name}" for i in some], pa.string()), pa.array([i.size if i.is_file else None for i in some], pa.int64())], ["path", "length"])
+
+    top = stage(spark.createDataFrame([(folder.rstrip("/"),)], "path string").mapInArrow(entries, "path string, length long"), "listing")
+    folders = top.where("length is null").select("path", (F.length("path") + 1).alias("_start"))
+    below = list_folders(folders.repartition(LISTING_TASKS, "path")).where(~F.expr("substring(path, _start)").rlike("/[._]")).drop("_start")
+    return top.where("length > 0").unionByName(below.where("length > 0"))
+
+
 def list_tiles(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, slide, tile_id, x1, y1, x2, y2) of the tile images under a folder, listed once for all slides."""
-    tiles = list_files(spark, folder, "*.png").where(F.instr("path", ids.TILE_MARK) > 0)
+    """(path, length, slide, tile_id, x1, y1, x2, y2) of the tile images under a folder, listed once for all slides, by tasks: tiles are many."""
+    tiles = list_tree(spark, folder).where(F.endswith("path", F.lit(".png")) & (F.instr("path", ids.TILE_MARK) > 0))
     return tiles.withColumns({"slide": ids.slide_id(F.col("path")), "_b": ids.tile_bounds(F.col("path"))}).select("path", "length", "slide", "_b.*")
 
 
