@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histoloom.operators import expression, graphs, spatial
 from histoloom.plans import views
 from histoloom.plans.registry import query
-from histoloom.plans.source_queries import touch
+from histoloom.plans.source_queries import STORE_BUCKETS, touch
 from histoloom.session import posix_path, shared_path, stage, table
 from histoloom.sources import readers, writers
 
@@ -18,10 +18,10 @@ def build_bulk_graphs(spark: SparkSession, features: str, tiles: str, matrix: st
 
     features: a store of write_cell_features; tiles: a folder of tile images; matrix: a CSV of genes by slides.
     """
-    cells = spark.read.parquet(features).withColumn("slide", F.col("slide").cast("string"))
+    cells = spark.read.parquet(features).drop(readers.BUCKET).withColumn("slide", F.col("slide").cast("string"))
     expr = readers.read_expression_wide(spark, matrix).where("value is not null").withColumnRenamed("sample_id", "case")
     targets = expr.groupBy("case", "gene_id").agg(F.sum("value").alias("value"))
-    edges = spatial.radius_graph(cells, radius)
+    edges = stage(spatial.radius_graph(cells, radius), "edges")
     meta = graphs.graph_metadata(cells, readers.list_tiles(spark, tiles), edges)
     ready = expression.valid_slides(meta.withColumn("case", F.col("slide")), targets)
     ready = stage(ready, "graph-meta")
@@ -34,9 +34,9 @@ def build_bulk_graphs(spark: SparkSession, features: str, tiles: str, matrix: st
 def bulk_chain_on_files(spark, sf_dir) -> DataFrame:
     """The given tables put on disk as files, the chain run on them, and what it wrote read back."""
     features, tiles, matrix, out = (shared_path(spark, f"bulk-{x}") for x in ("features", "tiles", "matrix", "graphs"))
-    writers.write_cell_features(views.cells(spark, sf_dir), features)
+    writers.write_cell_features(views.cells(spark, sf_dir), features, buckets=STORE_BUCKETS)
     bounds = F.concat_ws("-", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
-    name = F.concat(F.lit(f"{posix_path(tiles)}/"), F.col("slide").cast("string"), F.lit("_patch_tile_"), F.col("tile_id").cast("string"), F.lit("_level0_"), bounds, F.lit(".png"))
+    name = F.concat(F.lit(f"{posix_path(tiles)}/"), F.pmod("slide", F.lit(STORE_BUCKETS)).cast("string"), F.lit("/"), F.col("slide").cast("string"), F.lit("_patch_tile_"), F.col("tile_id").cast("string"), F.lit("_level0_"), bounds, F.lit(".png"))
     touch(views.tiles(spark, sf_dir).select(name.alias("path")))
     items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("G"), F.col("l_linenumber").cast("string")).alias("gene"), "l_suppkey", "l_quantity")
     values = items.groupBy("gene", "l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("value"))
