@@ -16,7 +16,7 @@ TILE_MARK = "_patch_tile_"
 
 def base_name(path: Column) -> Column:
     """What follows the last slash."""
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def slide_id(path: Column) -> Column:
@@ -35,8 +35,9 @@ def case_id(slide: Column) -> Column:
 
 
 def _numbers(name: Column, pattern: str, groups: dict[str, int]) -> Column:
-    # A miss gives '', which only a trying cast turns into null.
-    return F.struct(*[F.regexp_extract(name, pattern, k).try_cast("int").alias(c) for c, k in groups.items()])
+    # A miss gives '', which only a trying cast turns into null. Names without the pattern's mark are not searched for each group.
+    held = F.contains(name, F.lit("_level0_"))
+    return F.struct(*[F.when(held, F.regexp_extract(name, pattern, k).try_cast("int")).alias(c) for c, k in groups.items()])
 
 
 def tile_bounds(path: Column) -> Column:
