@@ -172,9 +172,9 @@ def read_sample_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA).option("mode", "PERMISSIVE").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "*")
 
 
-def read_nuclei(spark: SparkSession, path: str) -> DataFrame:
-    """(path, cell, cell_id, x, y, contour) of nuclei that have a centroid and a contour; the id is also kept as text."""
-    rows = spark.read.schema(NUCLEI).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.explode("nuc").alias("cell", "n"))
+def read_nuclei(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, cell, cell_id, x, y, contour) of nuclei that have a centroid and a contour; the id is also kept as text. lines: a file holds many slides, one in each line, instead of one."""
+    rows = spark.read.schema(NUCLEI).json(path, multiLine=not lines).select(F.col("_metadata.file_path").alias("path"), F.explode("nuc").alias("cell", "n"))
     rows = rows.where((F.size("n.centroid") > 0) & (F.size("n.contour") > 0))
     contour = F.transform("n.contour", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     return rows.select("path", "cell", ids.cell_number(F.col("cell")).alias("cell_id"), F.get("n.centroid", F.lit(0)).alias("x"), F.get("n.centroid", F.lit(1)).alias("y"), contour.alias("contour"))
