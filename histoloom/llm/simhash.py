@@ -7,11 +7,9 @@ its block (or set of blocks) at median distances from vantage points; a fingerpr
 leaves that the triangle bound at the tree's radius cannot rule out (none at radius 0). Inside a leaf, a vantage-point tree
 over whole fingerprints finds the exact pairs, of which a spanning forest is kept.
 
-near_duplicates links fingerprints alone. similar_texts looks for pairs of a Jaccard similarity of five-word shingle sets.
-At a similarity of 0.8 one bit in seven differs, so it takes fingerprints of 256 bits, in which unrelated texts stay apart:
-they are compared where two of their bytes are equal, in 96 trees over pairs of bytes, and linked at WIDE_BITS. Shingle sets
-then confirm the links. A few shingles leave too much of a fingerprint to chance: texts of fewer than SHORT_SHINGLES are
-besides compared with each other wherever they share one of their rarest shingles, which misses no pair.
+near_duplicates links fingerprints alone. similar_texts links texts by the Jaccard similarity of their five-word shingle
+sets, exactly: texts meet where they share one of their first shingles (a prefix filter, in an order that puts common
+shingles last), which misses no pair of the similarity whatever the order, and the sets themselves confirm each link.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null doc_ids take part, and a component
 of nothing else has a null component_id; repeated rows share a fingerprint; texts of any length are read whole; an empty
@@ -22,18 +20,19 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histoloom.llm import rows as whole
 from histoloom.llm.components import connected_components
-from histoloom.llm.superminhash import links_in_buckets
+from histoloom.llm.superminhash import Words, links_in_buckets, shingle_sets, sketch
 from histoloom.llm.workers import tidied, tidied_group
 from histoloom.session import stage
 
@@ -223,40 +222,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, words_each: int = 4, bl
     return hashed.join(classes, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Texts of one candidate group that a task compares with as many others; larger groups are dealt out as pairs of chunks.
+#: Texts that share a shingle and stand in one task, and as many that ask for others.
 CHUNK_TEXTS = 512
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str, words_each: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles of a text; a shorter text is one shingle, an empty one none."""
-    return np.unique(_hashes(text.encode().lower().split(), words_each, 0)).view(np.int64)
-
-
-def _similar(sets: list[np.ndarray], chunk: np.ndarray, one: int, two: int, similarity: float) -> np.ndarray:
-    """A label for each set, equal where sets of chunk one and chunk two of enough similarity connect them."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    labels = np.arange(len(sets))
-    others = chunk == two
-    for k in np.nonzero(chunk == one)[0]:
-        low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
-        more = high - low
-        shared = np.bincount(owner[np.repeat(high - np.cumsum(more), more) + np.arange(more.sum())], minlength=len(sets))
-        close = np.nonzero(others & (shared >= similarity * (sizes[k] + sizes - shared)) & (labels != labels[k]))[0]
-        if len(close):
-            labels = _joined(labels, np.full(len(close), k), close)
-    return labels
+    """Hashes of the distinct word shingles of a text; a shorter text is one shingle, an empty one none."""
+    return shingle_sets([text], words_each)[0].view(np.int64)
 
 
 #: Words of 64 bits of a wide fingerprint; differing bits up to which two are linked, in all and in the first word (0.8 of
 #: the shingles in common make 39 and 10 on average, with deviations of 6 and 3; unrelated texts 128 and 32, with 8 and 4).
 WIDE_WORDS, WIDE_BITS, FIRST_BITS = 4, 58, 20
-#: Wide fingerprints that a leaf holds on average, and the pairs of bytes that the trees stand over.
-WIDE_LEAF_ROWS = 512
+#: Pairs of bytes; two wide fingerprints are worth a comparison where they agree in one of the pairs.
 BYTE_PAIRS = [(k, (k + step) % (8 * WIDE_WORDS)) for step in (1, 5, 11) for k in range(8 * WIDE_WORDS)]
 
 
@@ -272,116 +252,95 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.where(ahead == 0, bits[0], ahead > 0), bitorder="little").view("<u8")
 
 
-def wide_links(known: DataFrame) -> DataFrame:
-    """Edges (a, b) between the numbers `print` of wide fingerprints (columns print and wide) whose components are those of all pairs found within WIDE_BITS."""
-    distinct = stage(known.select("print", "wide").distinct(), "wide-fingerprints")
-    leaves = distinct.count() // WIDE_LEAF_ROWS + 1
+#: Texts (about as many, by hash) that show which shingles are common; times there from which one is; common ones that are told apart.
+SAMPLE_TEXTS, OFTEN, COMMON = 16_384, 3, 100_000
+#: Words that a worker keeps the hashes of.
+KEPT_WORDS = 1 << 17
+#: The key of texts without words, which are alike.
+NO_WORDS = 0
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, _, _ = block_tree(16, leaves, 0)
+
+def _sets(texts: pa.Array, words_each: int, known: Words) -> list[np.ndarray]:
+    """The shingles of each text."""
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    return [s.view(np.int64) for s in shingle_sets(texts.to_pylist(), words_each, known)]
+
+
+def common_shingles(rows: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, times in the sample) of common shingles. Any others would do: they only decide which keys a text gets, never which pairs meet."""
+    share = rows.count() // SAMPLE_TEXTS + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            n = batch.num_rows
-            data = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(n, 8 * WIDE_WORDS).astype(np.int64)
-            for tree, (one, two) in enumerate(BYTE_PAIRS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(home[data[:, one] | data[:, two] << 8]), batch.column("print"), batch.column("wide")], ["tree", "leaf", "print", "wide"])
+            found = np.concatenate([*_sets(batch.column("text"), words_each, known), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["shingle"])
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("print")  # so that the same few stand for a group in every leaf
-        prints, chunk = rows["print"].to_numpy(), rows["chunk"].to_numpy()
-        wide = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        labels = np.arange(len(wide))
-        points, queries = np.nonzero(chunk == rows["one"].iloc[0])[0], np.nonzero(chunk == rows["two"].iloc[0])[0]
-        alike = rows["one"].iloc[0] == rows["two"].iloc[0]
-        for k in range(0, len(queries), 256):
-            some, others = queries[k : k + 256], points[k:] if alike else points
-            row, column = np.nonzero(np.bitwise_count(wide[some, 0][:, None] ^ wide[others, 0][None, :]) <= FIRST_BITS)
-            a, b = some[row], others[column]
-            close = (a != b) & (np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= WIDE_BITS)
-            labels = _joined(labels, a[close], b[close])
-        linked_rows = np.nonzero(labels != np.arange(len(wide)))[0]
-        return pd.DataFrame({"a": prints[linked_rows], "b": prints[labels[linked_rows]]})
-
-    routed = distinct.mapInArrow(tidied(dealt), "tree int, leaf int, print long, wide binary")
-    sizes = stage(routed.groupBy("tree", "leaf").agg((F.floor(F.count("*") / CHUNK_ROWS) + 1).cast("int").alias("chunks")).where("chunks > 1"), "large-leaves")
-    columns = "print", "wide"
-    return _in_chunks(routed, ["tree", "leaf"], sizes, "print", columns).groupBy("tree", "leaf", "one", "two").applyInPandas(tidied_group(search), "a long, b long").where("a != b").distinct()
-
-
-def _in_chunks(rows: DataFrame, group: list[str], sizes: DataFrame, by: str, columns: tuple[str, ...]) -> DataFrame:
-    """rows dealt out as pairs of chunks (one, two) of their group; sizes: groups of several chunks."""
-    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, group, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(by), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return dealt.select(*group, F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", *columns)
-
-
-#: Shingles under which a text's links are found by its shingles themselves: few hashes leave many fingerprint bits to chance.
-SHORT_SHINGLES = 40
-
-
-def _short_links(known: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between short texts (text_id, few: their shingles) that make the components of all similar pairs, exactly.
-
-    Of n shingles two texts have ceil(similarity * n) in common or more, so they share one of the first n - that + 1 of each in
-    any common order; the rarest come first.
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "second"), F.lit(share)) == 0).select("text")
+    often = some.mapInArrow(tidied(cut), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = sorted((r.shingle, r.n) for r in often.orderBy(F.desc("n"), "shingle").limit(COMMON).collect())
+    return np.array([s for s, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a text's n shingles: the rarer ones first, as far as known, then by hash; NO_WORDS of none.
+
+    Two texts have ceil(similarity * n) shingles in common or more, so the first of these, in one order for all texts, is among
+    the first of both.
     """
-    sets = stage(known.groupBy("text_id").agg(F.first("few").alias("shingles")), "short-sets")
-    each = sets.select("text_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")  # what stands once leads nowhere
-    rarest = Window.partitionBy("text_id").orderBy("often", "shingle")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("text_id"))  # those come before all others
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    keyed = each.join(often, "shingle").withColumns({"nth": F.row_number().over(rarest) + alone}).where(F.col("nth") <= prefix)
-    keyed = stage(keyed.select(F.col("shingle").alias("key"), F.col("text_id").alias("sid")), "short-keys")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
-    full = sets.select(F.col("text_id").alias("sid"), F.col("text_id").alias("set_id"), "shingles")
-    return links_in_buckets(stage(keyed.join(shared, "key"), "short-buckets"), full, round(100 * similarity))
+    if not len(found):
+        return np.array([NO_WORDS], np.int64)
+    hashes, times = common
+    often = np.zeros(len(found), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        often = np.where(hashes[at] == found, times[at], 0)
+    return found[np.lexsort((found, often))[: len(found) - math.ceil(len(found) * similarity - 1e-9) + 1]]
 
 
 def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataFrame, list[int]]:
     """(doc_id, text_id, class) of every document, and the hashes that several texts share (see _text_id)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
+    common = common_shingles(rows, words_each)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            sets = (shingles(t.as_py(), words_each) for t in batch.column("text"))
-            found = [(wide_fingerprint(s).tobytes(), s if 0 < len(s) < SHORT_SHINGLES else None) for s in sets]
-            prints, few = pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("second"), prints, few], ["doc_id", "hash", "second", "wide", "few"])
+            keys = [prefix(s, similarity, common) for s in _sets(batch.column("text"), words_each, known)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "second")), _lists(keys)], ["doc_id", "hash", "second", "keys"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
-    known = stage(rows.mapInArrow(tidied(hashed), "doc_id long, hash long, second long, wide binary, few array<long>"), "wide-prints")
+    known = stage(rows.mapInArrow(tidied(keyed), "doc_id long, hash long, second long, keys array<long>"), "prefixes")
     shared = [r[0] for r in known.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
-    known = known.select("doc_id", _text_id(shared).alias("text_id"), F.xxhash64("wide").alias("print"), "wide", "few")
-    groups = connected_components(wide_links(known)).select(F.col("node").alias("print"), "root")
-    texts = known.select("text_id", "print").distinct().join(groups, "print", "left").select("text_id", F.coalesce("root", "print").alias("group"))
-    crowded = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(texts.join(crowded, "group").select("text_id", "group", (F.floor((F.col("n") - 1) / CHUNK_TEXTS) + 1).cast("int").alias("chunks")), "candidates")
+    known = known.select("doc_id", _text_id(shared).alias("text_id"), "keys")
+    each = known.groupBy("text_id").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("text_id").alias("sid"))
+    each = stage(each, "keys")
+    several = each.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
+    buckets = stage(each.join(several, "key"), "buckets")  # those of several texts
+    members = stage(buckets.select(F.col("sid").alias("text_id")).distinct(), "candidates")
     sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            sets = [shingles(t.as_py(), words_each) for t in batch.column("text")]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("group"), column], ["text_id", "group", "set"])
-
-    found = rows.select(_text_id(shared).alias("text_id"), "text").join(sought, "text_id").select("text_id", "group", "text")
-    sets = stage(found.mapInArrow(tidied(cut), "text_id long, group long, set array<long>").dropDuplicates(["text_id"]), "shingle-sets")
-    dealt = _in_chunks(sets, ["group"], members.where("chunks > 1").select("group", "chunks").distinct(), "text_id", ("text_id", "set"))
-
-    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("text_id")
-        ids = rows["text_id"].to_numpy()
-        labels = _similar([np.asarray(s, np.int64) for s in rows["set"]], rows["chunk"].to_numpy(), int(rows["one"].iloc[0]), int(rows["two"].iloc[0]), similarity)
-        linked_rows = np.nonzero(labels != np.arange(len(ids)))[0]
-        return pd.DataFrame({"a": ids[linked_rows], "b": ids[labels[linked_rows]]})
-
-    edges = dealt.groupBy("group", "one", "two").applyInPandas(tidied_group(confirm), "a long, b long")
-    edges = edges.union(_short_links(known.where("few is not null").select("text_id", "few"), similarity))
+            own = _sets(batch.column("text"), words_each, words)
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), _lists(own), pa.array([sketch(s) for s in own], pa.binary())], ["sid", "shingles", "sketch"])
+
+    found = rows.select(_text_id(shared).alias("text_id"), "text").join(sought, "text_id").select("text_id", "text")
+    sets = found.mapInArrow(tidied(cut), "sid long, shingles array<long>, sketch binary").dropDuplicates(["sid"])
+    sets = stage(sets.select("sid", F.col("sid").alias("set_id"), F.size("shingles").alias("n"), "shingles", "sketch"), "shingle-sets")
+    edges = links_in_buckets(buckets, sets.select("sid", "set_id", "shingles"), round(100 * similarity, 6), CHUNK_TEXTS, sets.select("sid", "n", "sketch"))
     classes = connected_components(edges).select(F.col("node").alias("text_id"), "root")
     return known.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A column of lists of numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
 def _text_id(shared: list[int]) -> Column:
     """A text's hash, or where several texts share that (n * n / 2^65 of n texts) its second one."""
     return F.when(F.col("hash").isin(shared), F.col("second")).otherwise(F.col("hash")) if shared else F.col("hash")

@@ -47,6 +47,8 @@ KEPT_WORDS = 1 << 19
 CHUNK_SETS = 512
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Counts of a sketch, and sets of a bucket up to which sketches are compared pair by pair.
+BINS, PAIRED_SETS = 128, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
+class Words(dict):
     """Hashes of words, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
@@ -65,9 +67,9 @@ class _Words(dict):
         return found
 
 
-def shingle_sets(texts: list[str | None], words_each: int, known: _Words | None = None) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words_each: int, known: Words | None = None) -> list[np.ndarray]:
     """Sorted hashes of the distinct word shingles of each text."""
-    known = _Words() if known is None else known
+    known = Words() if known is None else known
     out = []
     for text in texts:
         words = (text or "").encode().lower().split()  # both touch ASCII only
@@ -126,7 +128,7 @@ def _sketched(docs: DataFrame, words_each: int) -> DataFrame:
     """(doc_id, d1, d2, n, set_id, bands): digests of the text, shingles, 128-bit digest of the set (null if empty) and its band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known = Words()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), words_each, known)
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -140,7 +142,7 @@ def _sketched(docs: DataFrame, words_each: int) -> DataFrame:
     return rows.mapInArrow(tidied(sketch), "doc_id long, d1 long, d2 long, n long, set_id binary, bands array<long>")
 
 
-def compared(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+def compared(one: np.ndarray, two: np.ndarray, percent: float) -> bool:
     """Whether two sorted sets have at least `percent` of a hundred of their union in common."""
     if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
         return False
@@ -148,7 +150,7 @@ def compared(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
-def joined(sets: list[np.ndarray], labels: np.ndarray, percent: int, asking: np.ndarray) -> np.ndarray:
+def joined(sets: list[np.ndarray], labels: np.ndarray, percent: float, asking: np.ndarray) -> np.ndarray:
     """Labels of the sets after every asking set has got one label with all that are similar to it.
 
     A set is compared with all of other labels at once, through the places of its shingles.
@@ -170,11 +172,33 @@ def joined(sets: list[np.ndarray], labels: np.ndarray, percent: int, asking: np.
     return labels
 
 
-def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of BINS parts of all hashes, in bytes."""
+    return np.minimum(np.bincount(found.view(np.uint64) >> np.uint64(57), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
+    """The pairs (sid, other) but for those whose sketches differ by more shingles than sets of the similarity can."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("one", "two"))
+            apart = np.abs(one - two).sum(1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * np.asarray(batch.column("n")) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("sid", "other")], ["sid", "other"])
+
+    of_one = sketches.select("sid", F.col("n").alias("n_one"), F.col("sketch").alias("one"))
+    of_two = sketches.select(F.col("sid").alias("other"), F.col("n").alias("n_two"), F.col("sketch").alias("two"))
+    both = pairs.join(of_one, "sid").join(of_two, "other").select("sid", "other", "one", "two", (F.col("n_one") + F.col("n_two")).alias("n"))
+    return both.mapInArrow(tidied(kept), "sid long, other long")
+
+
+def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_sets: int = CHUNK_SETS, sketches: DataFrame | None = None) -> DataFrame:
     """(a, b): links between sets of enough similarity whose components are those of all such pairs that share a bucket.
 
     buckets: (key, sid, least) of sets in buckets of several, `least` being the least sid of the bucket; full: (sid, set_id,
-    shingles). Links are between set_ids.
+    shingles). Links are between set_ids. sketches: (sid, n, sketch); pairs that these keep apart are not compared, and small
+    buckets are compared by them pair by pair.
     """
     kind = full.schema["set_id"].dataType.simpleString()
 
@@ -185,10 +209,15 @@ def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     # with two sets of one sid (64 bits of their digest) both are compared: links are between the digests themselves
-    pairs = buckets.where("sid != least").select("sid", "least").distinct()
-    of_least = full.select(F.col("sid").alias("least"), F.col("set_id").alias("b"), F.col("shingles").alias("other_shingles"))
-    pairs = pairs.join(full, "sid").join(of_least, "least").select(F.col("set_id").alias("a"), "b", "shingles", "other_shingles")
-    links = stage(pairs.mapInArrow(tidied(confirmed), f"a {kind}, b {kind}"), "links")
+    of_other = full.select(F.col("sid").alias("other"), F.col("set_id").alias("b"), F.col("shingles").alias("other_shingles"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        if sketches is not None:
+            pairs = stage(_likely(pairs, sketches, percent), "likely")
+        pairs = pairs.join(full, "sid").join(of_other, "other").select(F.col("set_id").alias("a"), "b", "shingles", "other_shingles")
+        return pairs.mapInArrow(tidied(confirmed), f"a {kind}, b {kind}")
+
+    links = stage(confirm(buckets.where("sid != least").select("sid", F.col("least").alias("other")).distinct()), "links")
     first = stage(connected_components(links), "first-components")
 
     of_set = full.select("sid", "set_id").join(first.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -199,8 +228,14 @@ def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: int) -> DataF
     left = parts.groupBy("key").agg(F.max(whole).alias("main"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     left = left.where("main.n < n and n > 2")  # two sets have met
     left = left.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main")).alias("first")).select("first.*", "n")  # buckets of the same sets once
-    chunks = lambda n: F.floor((n - 1) / CHUNK_SETS).cast("int") + 1
-    left = left.select("key", F.col("main.root").alias("main"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("main.n")).alias("rounds"))
+    chunks = lambda n: F.floor((n - 1) / chunk_sets).cast("int") + 1
+    left = left.select("key", F.col("main.root").alias("main"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("main.n")).alias("rounds"), "n")
+    if sketches is not None:
+        left = stage(left, "left")
+        rows = held.join(left.where(F.col("n") <= PAIRED_SETS).select("key"), "key").select("key", "sid", "root")
+        pairs = rows.join(rows.select("key", F.col("sid").alias("other"), F.col("root").alias("other_root")), "key").where("sid < other and root != other_root")
+        links = links.union(confirm(pairs.select("sid", "other").distinct()))
+        left = left.where(F.col("n") > PAIRED_SETS)
     # every set stands in a chunk; sets outside the main component stand in a round, too, and ask in every chunk
     rows = held.join(left, "key").select("key", "set_id", "root", "main", "chunks", "rounds", F.pmod(F.xxhash64("set_id"), "chunks").cast("int").alias("chunk"), F.pmod(F.xxhash64(F.lit(1), "set_id"), "rounds").cast("int").alias("round"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -238,7 +273,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, words_each: int = 2) -> Dat
     found = rows.join(F.broadcast(sought) if few else sought, ["d1", "d2"]).select("sid", "set_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = Words()
         for batch in batches:
             own = shingle_sets(batch.column("text").to_pylist(), words_each, words)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
