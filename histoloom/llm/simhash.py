@@ -27,12 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.llm import rows as whole
 from histoloom.llm.components import connected_components
-from histoloom.llm.superminhash import Words, links_in_buckets, shingle_sets, sketch
+from histoloom.llm.superminhash import PAIRED_SETS, Words, likely, links_in_buckets, shingle_sets, sketch
 from histoloom.llm.workers import tidied, tidied_group
 from histoloom.session import stage
 
@@ -308,29 +308,36 @@ def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataF
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            keys = [prefix(s, similarity, common) for s in _sets(batch.column("text"), words_each, known)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "second")), _lists(keys)], ["doc_id", "hash", "second", "keys"])
+            sets = _sets(batch.column("text"), words_each, known)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), _lists([prefix(s, similarity, common) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "second")), *columns], ["doc_id", "hash", "second", "n", "sketch", "keys"])
 
-    known = stage(rows.mapInArrow(tidied(keyed), "doc_id long, hash long, second long, keys array<long>"), "prefixes")
+    known = stage(rows.mapInArrow(tidied(keyed), "doc_id long, hash long, second long, n long, sketch binary, keys array<long>"), "prefixes")
     shared = [r[0] for r in known.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
-    known = known.select("doc_id", _text_id(shared).alias("text_id"), "keys")
+    known = known.select("doc_id", _text_id(shared).alias("text_id"), "n", "sketch", "keys")
     each = known.groupBy("text_id").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("text_id").alias("sid"))
-    each = stage(each, "keys")
-    several = each.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("key", "least")
-    buckets = stage(each.join(several, "key"), "buckets")  # those of several texts
-    members = stage(buckets.select(F.col("sid").alias("text_id")).distinct(), "candidates")
+    of_key = Window.partitionBy("key")
+    several = each.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key), "texts": F.count("*").over(of_key)}).where("least < most")
+    buckets = stage(several.select("key", "sid", "least", "texts"), "buckets")  # those of several texts
+    few = buckets.where(F.col("texts") <= PAIRED_SETS).select("key", "sid")
+    pairs = few.join(few.withColumnRenamed("sid", "other"), "key").where("sid < other").select("sid", "other").distinct()
+    met = buckets.select("sid").distinct()
+    sketches = known.withColumnRenamed("text_id", "sid").join(met, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = likely(pairs, stage(sketches, "sketches"), 100 * similarity)
+    crowds = buckets.where(F.col("texts") > PAIRED_SETS).select(F.col("sid").alias("text_id"))
+    members = stage(near.select(F.explode(F.array("sid", "other")).alias("text_id")).union(crowds).distinct(), "candidates")
     sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            own = _sets(batch.column("text"), words_each, words)
-            yield pa.RecordBatch.from_arrays([batch.column("text_id"), _lists(own), pa.array([sketch(s) for s in own], pa.binary())], ["sid", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), _lists(_sets(batch.column("text"), words_each, words))], ["sid", "shingles"])
 
     found = rows.select(_text_id(shared).alias("text_id"), "text").join(sought, "text_id").select("text_id", "text")
-    sets = found.mapInArrow(tidied(cut), "sid long, shingles array<long>, sketch binary").dropDuplicates(["sid"])
-    sets = stage(sets.select("sid", F.col("sid").alias("set_id"), F.size("shingles").alias("n"), "shingles", "sketch"), "shingle-sets")
-    edges = links_in_buckets(buckets, sets.select("sid", "set_id", "shingles"), round(100 * similarity, 6), CHUNK_TEXTS, sets.select("sid", "n", "sketch"))
+    sets = found.mapInArrow(tidied(cut), "sid long, shingles array<long>").dropDuplicates(["sid"])
+    sets = stage(sets.select("sid", F.col("sid").alias("set_id"), "shingles"), "shingle-sets")
+    buckets = stage(buckets.join(members.withColumnRenamed("text_id", "sid"), "sid", "left_semi").withColumn("least", F.min("sid").over(of_key)).select("key", "sid", "least"), "likely-buckets")
+    edges = links_in_buckets(buckets, sets, round(100 * similarity, 6), CHUNK_TEXTS)
     classes = connected_components(edges).select(F.col("node").alias("text_id"), "root")
     return known.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
 

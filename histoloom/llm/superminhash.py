@@ -177,7 +177,7 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount(found.view(np.uint64) >> np.uint64(57), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
     """The pairs (sid, other) but for those whose sketches differ by more shingles than sets of the similarity can."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +193,11 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
     return both.mapInArrow(tidied(kept), "sid long, other long")
 
 
-def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_sets: int = CHUNK_SETS, sketches: DataFrame | None = None) -> DataFrame:
+def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """(a, b): links between sets of enough similarity whose components are those of all such pairs that share a bucket.
 
     buckets: (key, sid, least) of sets in buckets of several, `least` being the least sid of the bucket; full: (sid, set_id,
-    shingles). Links are between set_ids. sketches: (sid, n, sketch); pairs that these keep apart are not compared, and small
-    buckets are compared by them pair by pair.
+    shingles). Links are between set_ids.
     """
     kind = full.schema["set_id"].dataType.simpleString()
 
@@ -209,15 +208,10 @@ def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     # with two sets of one sid (64 bits of their digest) both are compared: links are between the digests themselves
-    of_other = full.select(F.col("sid").alias("other"), F.col("set_id").alias("b"), F.col("shingles").alias("other_shingles"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        if sketches is not None:
-            pairs = stage(_likely(pairs, sketches, percent), "likely")
-        pairs = pairs.join(full, "sid").join(of_other, "other").select(F.col("set_id").alias("a"), "b", "shingles", "other_shingles")
-        return pairs.mapInArrow(tidied(confirmed), f"a {kind}, b {kind}")
-
-    links = stage(confirm(buckets.where("sid != least").select("sid", F.col("least").alias("other")).distinct()), "links")
+    pairs = buckets.where("sid != least").select("sid", "least").distinct()
+    of_least = full.select(F.col("sid").alias("least"), F.col("set_id").alias("b"), F.col("shingles").alias("other_shingles"))
+    pairs = pairs.join(full, "sid").join(of_least, "least").select(F.col("set_id").alias("a"), "b", "shingles", "other_shingles")
+    links = stage(pairs.mapInArrow(tidied(confirmed), f"a {kind}, b {kind}"), "links")
     first = stage(connected_components(links), "first-components")
 
     of_set = full.select("sid", "set_id").join(first.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -229,13 +223,7 @@ def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_
     left = left.where("main.n < n and n > 2")  # two sets have met
     left = left.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main")).alias("first")).select("first.*", "n")  # buckets of the same sets once
     chunks = lambda n: F.floor((n - 1) / chunk_sets).cast("int") + 1
-    left = left.select("key", F.col("main.root").alias("main"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("main.n")).alias("rounds"), "n")
-    if sketches is not None:
-        left = stage(left, "left")
-        rows = held.join(left.where(F.col("n") <= PAIRED_SETS).select("key"), "key").select("key", "sid", "root")
-        pairs = rows.join(rows.select("key", F.col("sid").alias("other"), F.col("root").alias("other_root")), "key").where("sid < other and root != other_root")
-        links = links.union(confirm(pairs.select("sid", "other").distinct()))
-        left = left.where(F.col("n") > PAIRED_SETS)
+    left = left.select("key", F.col("main.root").alias("main"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("main.n")).alias("rounds"))
     # every set stands in a chunk; sets outside the main component stand in a round, too, and ask in every chunk
     rows = held.join(left, "key").select("key", "set_id", "root", "main", "chunks", "rounds", F.pmod(F.xxhash64("set_id"), "chunks").cast("int").alias("chunk"), F.pmod(F.xxhash64(F.lit(1), "set_id"), "rounds").cast("int").alias("round"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
