@@ -47,8 +47,8 @@ KEPT_WORDS = 1 << 19
 CHUNK_SETS = 512
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Counts of a sketch, and sets of a bucket up to which sketches are compared pair by pair.
-BINS, PAIRED_SETS = 128, 64
+#: Counts of a sketch, at least and at most, and sets of a bucket up to which sketches are compared pair by pair.
+BINS, MOST_BINS, PAIRED_SETS = 128, 8192, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,23 +173,32 @@ def joined(sets: list[np.ndarray], labels: np.ndarray, percent: float, asking: n
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """How many shingles fall into each of BINS parts of all hashes, in bytes."""
-    return np.minimum(np.bincount(found.view(np.uint64) >> np.uint64(57), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many shingles fall into each part of all hashes, in bytes: BINS parts, or a power of two of about half the shingles."""
+    bits = int(np.clip(len(found).bit_length() - 1, BINS.bit_length() - 1, MOST_BINS.bit_length() - 1))
+    return np.minimum(np.bincount((found.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_apart(one: bytes, two: bytes) -> int:
+    """Shingles that two sets of these sketches differ by at least."""
+    counts = [np.frombuffer(x, np.uint8).astype(np.int32) for x in (one, two)]
+    bins = min(map(len, counts))
+    a, b = (np.minimum(x.reshape(bins, -1).sum(1), 255) for x in counts)
+    return int(np.abs(a - b).sum())
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
-    """The pairs (sid, other) but for those whose sketches differ by more shingles than sets of the similarity can."""
+    """The pairs (sid, other) but for those whose sizes or sketches differ by more shingles than sets of the similarity can."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("one", "two"))
-            apart = np.abs(one - two).sum(1, dtype=np.int64)
-            near = (100 + percent) * apart <= (100 - percent) * np.asarray(batch.column("n")) + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("sid", "other")], ["sid", "other"])
+            columns = (batch.column(c).to_pylist() for c in ("n_one", "n_two", "one", "two"))
+            near = [(100 + percent) * least_apart(one, two) <= (100 - percent) * (m + n) + 1e-6 for m, n, one, two in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("sid", "other")], ["sid", "other"])
 
     of_one = sketches.select("sid", F.col("n").alias("n_one"), F.col("sketch").alias("one"))
     of_two = sketches.select(F.col("sid").alias("other"), F.col("n").alias("n_two"), F.col("sketch").alias("two"))
-    both = pairs.join(of_one, "sid").join(of_two, "other").select("sid", "other", "one", "two", (F.col("n_one") + F.col("n_two")).alias("n"))
+    sizes = 100 * F.least("n_one", "n_two") >= percent * F.greatest("n_one", "n_two") - 1e-6
+    both = pairs.join(of_one, "sid").join(of_two, "other").where(sizes).select("sid", "other", "n_one", "n_two", "one", "two")
     return both.mapInArrow(tidied(kept), "sid long, other long")
 
 
