@@ -317,15 +317,15 @@ def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataF
     known = known.select("doc_id", _text_id(shared).alias("text_id"), "n", "sketch", "keys")
     each = known.groupBy("text_id").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("text_id").alias("sid"))
     of_key = Window.partitionBy("key")
-    several = each.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key), "texts": F.count("*").over(of_key)}).where("least < most")
-    buckets = stage(several.select("key", "sid", "least", "texts"), "buckets")  # those of several texts
-    few = buckets.where(F.col("texts") <= PAIRED_SETS).select("key", "sid")
-    pairs = few.join(few.withColumnRenamed("sid", "other"), "key").where("sid < other").select("sid", "other").distinct()
+    mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "sid")).over(of_key)
+    several = each.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key), "texts": F.count("*").over(of_key), "x": mark(0), "y": mark(1)}).where("least < most")
+    buckets = stage(several.select("key", "sid", "least", "texts", "x", "y"), "buckets")  # those of several texts
+    few = buckets.where(F.col("texts") <= PAIRED_SETS).select("x", "y", "sid").distinct()  # buckets of the same texts once
     met = buckets.select("sid").distinct()
     sketches = known.withColumnRenamed("text_id", "sid").join(met, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = likely(pairs, stage(sketches, "sketches"), 100 * similarity)
+    near = likely(few.join(stage(sketches, "sketches"), "sid"), 100 * similarity).select(F.col("sid").alias("text_id"))
     crowds = buckets.where(F.col("texts") > PAIRED_SETS).select(F.col("sid").alias("text_id"))
-    members = stage(near.select(F.explode(F.array("sid", "other")).alias("text_id")).union(crowds).distinct(), "candidates")
+    members = stage(near.union(crowds).distinct(), "candidates")
     sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,8 @@ CHUNK_SETS = 512
 BROADCAST_ROWS = 1_000_000
 #: Counts of a sketch, at least and at most, and sets of a bucket up to which sketches are compared pair by pair.
 BINS, MOST_BINS, PAIRED_SETS = 128, 8192, 64
+#: Pairs whose sketches a task compares at once.
+PAIRS_AT_ONCE = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,20 +188,52 @@ def least_apart(one: bytes, two: bytes) -> int:
     return int(np.abs(a - b).sum())
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, percent: float) -> DataFrame:
-    """The pairs (sid, other) but for those whose sizes or sketches differ by more shingles than sets of the similarity can."""
+def likely_rows(group: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: float) -> np.ndarray:
+    """Which sets (rows with the number of their group, group after group) may have the similarity with another one of their group, by sizes and sketches."""
+    near = np.zeros(len(group), bool)
+    more = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
+    one = np.repeat(np.arange(len(group)), more)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(more) - more, more)
+    close = 100 * np.minimum(sizes[one], sizes[two]) >= percent * np.maximum(sizes[one], sizes[two]) - 1e-6
+    one, two = one[close], two[close]
+    coarse = np.stack([np.minimum(np.frombuffer(s, np.uint8).reshape(BINS, -1).sum(1, dtype=np.int64), 255) for s in sketches]).astype(np.int16)
+    for k in range(0, len(one), PAIRS_AT_ONCE):
+        a, b = one[k : k + PAIRS_AT_ONCE], two[k : k + PAIRS_AT_ONCE]
+        left = (100 + percent) * np.abs(coarse[a] - coarse[b]).sum(1, dtype=np.int64) <= (100 - percent) * (sizes[a] + sizes[b]) + 1e-6
+        for i, j in zip(a[left].tolist(), b[left].tolist()):
+            if not (near[i] and near[j]) and (100 + percent) * least_apart(sketches[i], sketches[j]) <= (100 - percent) * (sizes[i] + sizes[j]) + 1e-6:
+                near[i] = near[j] = True
+    return near
+
+
+def likely(groups: DataFrame, percent: float) -> DataFrame:
+    """(sid) of the sets but for those whose sizes or sketches differ from all others of their groups by more shingles than sets of the similarity can.
+
+    groups: (x, y, sid, n, sketch), a group's name being x and y. Pairs are formed inside tasks, from a batch at a time: none is ever a row.
+    """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(rows: pa.RecordBatch, changes: np.ndarray) -> pa.RecordBatch:
+            near = likely_rows(np.cumsum(changes), rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), percent)
+            return pa.RecordBatch.from_arrays([rows.column("sid").filter(pa.array(near))], ["sid"])
+
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("n_one", "n_two", "one", "two"))
-            near = [(100 + percent) * least_apart(one, two) <= (100 - percent) * (m + n) + 1e-6 for m, n, one, two in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("sid", "other")], ["sid", "other"])
-
-    of_one = sketches.select("sid", F.col("n").alias("n_one"), F.col("sketch").alias("one"))
-    of_two = sketches.select(F.col("sid").alias("other"), F.col("n").alias("n_two"), F.col("sketch").alias("two"))
-    sizes = 100 * F.least("n_one", "n_two") >= percent * F.greatest("n_one", "n_two") - 1e-6
-    both = pairs.join(of_one, "sid").join(of_two, "other").where(sizes).select("sid", "other", "n_one", "n_two", "one", "two")
-    return both.mapInArrow(tidied(kept), "sid long, other long")
+            rows = pa.concat_batches([*held, batch])
+            if not rows.num_rows:
+                continue
+            x, y = (rows.column(c).to_numpy() for c in ("x", "y"))
+            changes = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            last = int(np.nonzero(changes)[0][-1])  # where the group begins that the next batch may go on with
+            if last:
+                yield told(rows.slice(0, last), changes[:last])
+            held = [rows.slice(last)]
+        if held:
+            yield told(held[0], np.arange(held[0].num_rows) == 0)
+
+    ordered = groups.select("x", "y", "sid", "n", "sketch").repartition("x", "y").sortWithinPartitions("x", "y")
+    return ordered.mapInArrow(tidied(kept), "sid long")
 
 
 def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_sets: int = CHUNK_SETS) -> DataFrame:
