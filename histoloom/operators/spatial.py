@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ QUERIES_A_TASK, MOST_TASKS = 1 << 15, 4000
 #: Points of a leaf of a quad-tree, at most, as far as MOST_BITS halvings of the group's longer side tell them apart.
 LEAF_POINTS = 32
 MOST_BITS = 40
+#: Buckets along a side of a block whose points are pooled together, and of its margin; points that a task takes at once, about, and pairs' components.
+BLOCK, MARGIN = 8, 2
+POINTS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 21
 
 
 def _bucket(v: Column, width: Column | float) -> Column:
@@ -50,10 +56,13 @@ def assign_to_tiles(cells: DataFrame, tiles: DataFrame, width: float, height: fl
     return probing.join(sized, [group, "_level", "_bx", "_by"]).where(inside).drop("_level", "_bx", "_by")
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))  # NaN is larger than all
+
+
 def _located(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """The rows with two finite coordinates."""
-    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))  # noqa: E731  NaN is larger than all
-    return df.where(finite(x) & finite(y))
+    return df.where(_finite(x) & _finite(y))
 
 
 def nearest_within(cells: DataFrame, spots: DataFrame, radius: float, group: str = "slide") -> DataFrame:
@@ -81,6 +90,106 @@ def radius_graph(points: DataFrame, radius: float, group: str = "slide", node: s
     return rows.join(other, [group, "bx", "by"]).withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius)).select(group, "src", "dst", "d2")
 
 
+def _hits(key: np.ndarray, x: np.ndarray, y: np.ndarray, asking: np.ndarray, radius: float, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of every pair with 0 < distance <= radius, i among the asking rows and ascending; rows lie in the order of key, a bucket's number, by which the buckets of a column follow each other."""
+    step = BLOCK + 2 * MARGIN + 2
+    sides = key[asking][:, None] + np.array([-step, 0, step])
+    low, high = np.searchsorted(key, sides - 1, "left").ravel(), np.searchsorted(key, sides + 1, "right").ravel()
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    begin = 0
+    while begin < len(asking):  # whole rows, one at least
+        end = max(begin + 1, int(np.searchsorted(upto[::3], upto[3 * begin] + at_once, "right")) - 1)
+        more = (high - low)[3 * begin : 3 * end]
+        i = np.repeat(np.repeat(asking[begin:end], 3), more)
+        j = np.repeat(high[3 * begin : 3 * end] - np.cumsum(more), more) + np.arange(more.sum())
+        d2 = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2
+        near = (d2 > 0) & (d2 <= radius * radius)
+        yield i[near], j[near]
+        begin = end
+
+
+def _pooled(rows: pa.RecordBatch, block: np.ndarray, radius: float) -> pa.RecordBatch:
+    """(graph, node, vector) of the blocks' own points, as radius_pool says."""
+    width = BLOCK + 2 * MARGIN
+    lx, ly, x, y = (rows.column(c).to_numpy() for c in ("_lx", "_ly", "_x", "_y"))
+    key = (block * (width + 2) + lx + 1) * (width + 2) + ly + 1
+    by = np.argsort(key, kind="stable")
+    key, lx, ly, x, y = key[by], lx[by], ly[by], x[by], y[by]
+    inside = lambda edge: np.nonzero((lx >= edge) & (lx < width - edge) & (ly >= edge) & (ly < width - edge))[0]
+    vectors = rows.column("_v").take(pa.array(by))
+    known = ~np.asarray(vectors.is_null())
+    held = np.stack([np.asarray(v, float) for v in vectors.drop_null().to_numpy(zero_copy_only=False)]) if known.any() else np.zeros((0, 0))
+    values = np.zeros((len(by), held.shape[1]))
+    values[known] = held
+    degree = np.ones(len(by))
+    for i, _ in _hits(key, x, y, inside(MARGIN - 1), radius, PAIRS_AT_ONCE):
+        if len(i):
+            degree[i[0] : i[-1] + 1] += np.bincount(i - i[0])
+    weight = 1 / np.sqrt(degree)
+    values *= weight[:, None]
+    own, sums, told = inside(MARGIN), values.copy(), known.copy()
+    for i, j in _hits(key, x, y, own, radius, PAIRS_AT_ONCE // max(1, values.shape[1])):
+        i, j = i[known[j]], j[known[j]]
+        if len(i):
+            first = np.nonzero(np.concatenate([[True], i[1:] != i[:-1]]))[0]
+            sums[i[first]] += np.add.reduceat(values[j], first, axis=0)
+            told[i[first]] = True
+    own = own[told[own]]
+    out = (sums[own] * weight[own, None]).ravel()
+    at = pa.array(by[own])
+    offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * values.shape[1], pa.int32())
+    return pa.RecordBatch.from_arrays([rows.column("_g").take(at), rows.column("_n").take(at), pa.ListArray.from_arrays(offsets, pa.array(out))], ["_g", "_n", "_v"])
+
+
+def radius_pool(points: DataFrame, radius: float, group: str = "slide", node: str = "cell_id", vector: str = "features") -> DataFrame:
+    """(group, node, vector): graphs.neighbour_mean over the radius graph, without its edges: no pair is a row or is kept.
+
+    Points stand in blocks of BLOCK by BLOCK buckets with a margin of MARGIN buckets round them, so a task knows the
+    degrees of all neighbours, too, and every point moves once (2.25 times with the margins). A task takes some blocks at once
+    and a bounded number of pairs; it holds a block's points, (BLOCK + 2 * MARGIN)^2 / pi times as many as a point has neighbours.
+    Points without two finite coordinates have no neighbours and keep their own vector. Ids are unique in their group.
+    """
+    rows = points.where(F.col(group).isNotNull() & F.col(node).isNotNull())
+    rows = rows.select(F.col(group).alias("_g"), F.col(node).alias("_n"), F.col("x"), F.col("y"), F.col(vector).cast("array<double>").alias("_v"))
+    placed = _located(rows).withColumns({"_cx": _bucket(F.col("x"), radius), "_cy": _bucket(F.col("y"), radius)})
+    alone = rows.where(~F.coalesce(_finite("x") & _finite("y"), F.lit(False)) & F.col("_v").isNotNull()).select("_g", "_n", "_v")
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - MARGIN) / BLOCK), F.floor((F.col(c) + MARGIN) / BLOCK)))
+    local = lambda c, block: F.col(c) - F.col(block) * BLOCK + MARGIN
+    dealt = placed.withColumn("_bx", blocks("_cx")).withColumn("_by", blocks("_cy"))
+    dealt = dealt.select("_g", "_bx", "_by", "_n", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), "_v", local("_cx", "_bx").alias("_lx"), local("_cy", "_by").alias("_ly"))
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(more: bool) -> Iterator[pa.RecordBatch]:
+            """Results of what is held, but for the last block if more may follow."""
+            rows = pa.concat_batches(held)
+            held.clear()
+            if not rows.num_rows:
+                return
+            columns = [np.asarray(rows.column("_g").dictionary_encode().indices), rows.column("_bx").to_numpy(), rows.column("_by").to_numpy()]
+            changes = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+            cut = int(np.nonzero(changes)[0][-1]) if more else rows.num_rows
+            if cut:
+                yield _pooled(rows.slice(0, cut), np.cumsum(changes[:cut]), radius)
+            if more:
+                held.append(rows.slice(cut))
+
+        enough = POINTS_AT_ONCE
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= enough:
+                yield from told(True)
+                enough = held[0].num_rows * 2 + POINTS_AT_ONCE if held else POINTS_AT_ONCE
+        if held:
+            yield from told(False)
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    ordered = dealt.repartition("_g", "_bx", "_by").sortWithinPartitions("_g", "_bx", "_by")
+    found = ordered.mapInArrow(pooled, f"_g {kind('_g')}, _n {kind('_n')}, _v array<double>").unionByName(alone)
+    return found.select(F.col("_g").alias(group), F.col("_n").alias(node), F.col("_v").alias(vector))
+
+
 def _ranked(pairs: DataFrame, group: str, k: int) -> DataFrame:
     order = Window.partitionBy(group, "src").orderBy("d2", "dst")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -155,7 +155,7 @@ def spot_arrays_by_offsets(spark, sf_dir):
 @query("a33_neighbour_mean", f"WITH {views.CELLS_SQL}, {EDGES_SQL}, e AS (SELECT slide, src, dst FROM edges UNION ALL SELECT slide, cell_id, cell_id FROM cells), d AS (SELECT slide, dst AS node, count(*) AS d FROM e GROUP BY ALL) SELECT e.slide, e.dst AS cell_id, round(sum(c.x / sqrt(a.d * b.d::DOUBLE)), 4) AS fx, round(sum(c.y / sqrt(a.d * b.d::DOUBLE)), 4) AS fy FROM e JOIN d a ON a.slide = e.slide AND a.node = e.src JOIN d b ON b.slide = e.slide AND b.node = e.dst JOIN cells c ON c.cell_id = e.src GROUP BY ALL")
 def neighbour_mean(spark, sf_dir):
     cells = views.cells(spark, sf_dir).withColumn("features", F.array(F.col("x").cast("double"), F.col("y").cast("double")))
-    mean = graphs.neighbour_mean(cells, spatial.radius_graph(cells, RADIUS), "slide", "cell_id")
+    mean = spatial.radius_pool(cells, RADIUS)
     return mean.select("slide", "cell_id", F.round(F.get("features", F.lit(0)), 4).alias("fx"), F.round(F.get("features", F.lit(1)), 4).alias("fy"))
 
 
