@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from histoloom.llm import rows as whole
 from histoloom.llm.components import connected_components
-from histoloom.llm.superminhash import PAIRED_SETS, Words, likely, links_in_buckets, shingle_sets, sketch
+from histoloom.llm.superminhash import _MIX, PAIRED_SETS, Words, _mixed, likely, links_in_buckets, shingle_sets, sketch
 from histoloom.llm.workers import tidied, tidied_group
 from histoloom.session import stage
 
@@ -224,6 +224,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, words_each: int = 4, bl
 
 #: Texts that share a shingle and stand in one task, and as many that ask for others.
 CHUNK_TEXTS = 512
+#: Chunks of PAIRED_SETS texts of a key whose sketches are compared two by two; the texts of a key of more chunks all count as likely.
+MOST_CHUNKS = 16
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -258,6 +260,8 @@ SAMPLE_TEXTS, OFTEN, COMMON = 16_384, 3, 100_000
 KEPT_WORDS = 1 << 17
 #: The key of texts without words, which are alike.
 NO_WORDS = 0
+#: Texts that a task knows to have given keys.
+KEPT_TEXTS = 1 << 18
 
 
 def _sets(texts: pa.Array, words_each: int, known: Words) -> list[np.ndarray]:
@@ -283,6 +287,16 @@ def common_shingles(rows: DataFrame, words_each: int) -> tuple[np.ndarray, np.nd
     return np.array([s for s, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
+def _ordered(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A text's shingles in one order for all texts: the rarer ones first, as far as known, then by hash."""
+    hashes, times = common
+    often = np.zeros(len(found), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        often = np.where(hashes[at] == found, times[at], 0)
+    return found[np.lexsort((found, often))]
+
+
 def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first n - ceil(similarity * n) + 1 of a text's n shingles: the rarer ones first, as far as known, then by hash; NO_WORDS of none.
 
@@ -291,12 +305,24 @@ def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.nd
     """
     if not len(found):
         return np.array([NO_WORDS], np.int64)
-    hashes, times = common
-    often = np.zeros(len(found), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        often = np.where(hashes[at] == found, times[at], 0)
-    return found[np.lexsort((found, often))[: len(found) - math.ceil(len(found) * similarity - 1e-9) + 1]]
+    return _ordered(found, common)[: len(found) - math.ceil(len(found) * similarity - 1e-9) + 1]
+
+
+def neighbours(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A key for each of a text's first shingles and the one before it (in the order of `prefix`); NO_WORDS of none.
+
+    Of two texts of the similarity, A shingles are in the first alone, B in the second alone, and o in both, with A + B < o for
+    similarities over a half. What both have begins at most A + B + 1 gaps (the first one before all shingles), and a shingle of
+    one text alone lies in one gap, so one of the first A + B + 1 is empty: its ends are neighbours in both. Its upper end is among
+    the first 2A + B + 1 shingles of the first text, which is no more than 2 (1 - similarity) n + 1.
+
+    Texts that merely share some shingles rarely have two of them side by side among all their own.
+    """
+    if similarity <= 0.5 or not len(found):
+        return prefix(found, similarity, common)
+    order = _ordered(found, common)[: int(2 * (1 - similarity) * len(found) + 1e-9) + 1].view(np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), order[:-1]])
+    return _mixed(_mixed(before + _MIX) ^ order).view(np.int64)
 
 
 def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataFrame, list[int]]:
@@ -304,42 +330,64 @@ def _classes(docs: DataFrame, similarity: float, words_each: int) -> tuple[DataF
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"))
     common = common_shingles(rows, words_each)
+    shared = [r[0] for r in rows.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
+    rows = rows.select("doc_id", _text_id(shared).alias("text_id"), "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known, seen = Words(), set()
         for batch in batches:
-            sets = _sets(batch.column("text"), words_each, known)
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), _lists([prefix(s, similarity, common) for s in sets])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "second")), *columns], ["doc_id", "hash", "second", "n", "sketch", "keys"])
-
-    known = stage(rows.mapInArrow(tidied(keyed), "doc_id long, hash long, second long, n long, sketch binary, keys array<long>"), "prefixes")
-    shared = [r[0] for r in known.groupBy("hash").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("hash").collect()]
-    known = known.select("doc_id", _text_id(shared).alias("text_id"), "n", "sketch", "keys")
-    each = known.groupBy("text_id").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("text_id").alias("sid"))
+            if len(seen) > KEPT_TEXTS:
+                seen.clear()
+            ids = batch.column("text_id").to_pylist()
+            new = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]  # copies of a text have its keys
+            some = batch.take(pa.array(new, pa.int32()))
+            keys = [neighbours(s, similarity, common) for s in _sets(some.column("text"), words_each, known)]
+            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), some.column("text_id").take(pa.array(at))], ["key", "sid"])
+
+    each = rows.select("text_id", "text").mapInArrow(tidied(keyed), "key long, sid long").repartition("key")
     of_key = Window.partitionBy("key")
+    several = each.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key)}).where("least < most").select("key", "sid", "least").distinct()
     mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "sid")).over(of_key)
-    several = each.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key), "texts": F.count("*").over(of_key), "x": mark(0), "y": mark(1)}).where("least < most")
-    buckets = stage(several.select("key", "sid", "least", "texts", "x", "y"), "buckets")  # those of several texts
-    few = buckets.where(F.col("texts") <= PAIRED_SETS).select("x", "y", "sid").distinct()  # buckets of the same texts once
-    met = buckets.select("sid").distinct()
-    sketches = known.withColumnRenamed("text_id", "sid").join(met, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = likely(few.join(stage(sketches, "sketches"), "sid"), 100 * similarity).select(F.col("sid").alias("text_id"))
-    crowds = buckets.where(F.col("texts") > PAIRED_SETS).select(F.col("sid").alias("text_id"))
-    members = stage(near.union(crowds).distinct(), "candidates")
-    sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    buckets = stage(several.withColumns({"texts": F.count("*").over(of_key), "x": mark(0), "y": mark(1)}), "buckets")  # those of several texts
+    met = stage(buckets.select("sid").distinct(), "met")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            sets = _sets(batch.column("text"), words_each, known)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), *columns], ["sid", "n", "sketch"])
+
+    sketches = _of_texts(rows, met).mapInArrow(tidied(sketched), "sid long, n long, sketch binary")
+    sketches = stage(sketches.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    chunks = F.floor((F.col("texts") - 1) / PAIRED_SETS) + 1
+    paired = buckets.where(chunks <= MOST_CHUNKS).select("x", "y", "sid", chunks.cast("int").alias("chunks")).distinct()  # buckets of the same texts once
+    chunk, two = F.pmod(F.xxhash64("sid"), "chunks").cast("int"), F.col("chunks") > 1
+    paired = paired.select("x", "y", "sid", two.alias("two"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    part = lambda a, b: F.when(F.col("two"), F.xxhash64(a, b, F.least("chunk", "other"), F.greatest("chunk", "other"))).otherwise(F.col(a)).alias(a)
+    near = likely(paired.select(part("x", "y"), part("y", "x"), "sid").distinct().join(sketches, "sid"), 100 * similarity)
+    whole = buckets.where(chunks > MOST_CHUNKS).select("x", "y", "sid")
+    near = near.union(whole).select(F.xxhash64("x", "y").alias("key"), "sid").distinct()
+    buckets = stage(near.withColumns({"least": F.min("sid").over(of_key), "most": F.max("sid").over(of_key)}).where("least < most").drop("most"), "likely-buckets")
+    members = stage(buckets.select("sid").distinct(), "candidates")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("text_id"), _lists(_sets(batch.column("text"), words_each, words))], ["sid", "shingles"])
 
-    found = rows.select(_text_id(shared).alias("text_id"), "text").join(sought, "text_id").select("text_id", "text")
-    sets = found.mapInArrow(tidied(cut), "sid long, shingles array<long>").dropDuplicates(["sid"])
+    sets = _of_texts(rows, members).mapInArrow(tidied(cut), "sid long, shingles array<long>").dropDuplicates(["sid"])
     sets = stage(sets.select("sid", F.col("sid").alias("set_id"), "shingles"), "shingle-sets")
-    buckets = stage(buckets.join(members.withColumnRenamed("text_id", "sid"), "sid", "left_semi").withColumn("least", F.min("sid").over(of_key)).select("key", "sid", "least"), "likely-buckets")
     edges = links_in_buckets(buckets, sets, round(100 * similarity, 6), CHUNK_TEXTS)
     classes = connected_components(edges).select(F.col("node").alias("text_id"), "root")
-    return known.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
+    return rows.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class")), shared
+
+
+def _of_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text_id, text) of the rows whose text_id is among the staged ids."""
+    ids = ids.toDF("text_id")
+    return rows.select("text_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "text_id", "left_semi")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

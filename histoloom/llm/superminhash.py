@@ -47,8 +47,8 @@ KEPT_WORDS = 1 << 19
 CHUNK_SETS = 512
 #: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Counts of a sketch, at least and at most, and sets of a bucket up to which sketches are compared pair by pair.
-BINS, MOST_BINS, PAIRED_SETS = 128, 8192, 64
+#: Counts of a sketch, at least and at most, and sets of a bucket whose sketches stand in one task.
+BINS, MOST_BINS, PAIRED_SETS = 128, 8192, 4096
 #: Pairs whose sketches a task compares at once.
 PAIRS_AT_ONCE = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -191,14 +191,20 @@ def least_apart(one: bytes, two: bytes) -> int:
 def likely_rows(group: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: float) -> np.ndarray:
     """Which sets (rows with the number of their group, group after group) may have the similarity with another one of their group, by sizes and sketches."""
     near = np.zeros(len(group), bool)
-    more = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
-    one = np.repeat(np.arange(len(group)), more)
-    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(more) - more, more)
-    close = 100 * np.minimum(sizes[one], sizes[two]) >= percent * np.maximum(sizes[one], sizes[two]) - 1e-6
-    one, two = one[close], two[close]
+    order = np.lexsort((sizes, group))
+    by, size = group[order].astype(np.int64), sizes[order].astype(np.int64)
+    span = int(size.max(initial=0)) + 1
+    most = np.minimum((100 * size + 1e-6) // percent, span - 1).astype(np.int64)
+    more = np.searchsorted(by * span + size, by * span + most, "right") - np.arange(len(order)) - 1  # partners that are as large or larger
+    round_of = (np.cumsum(more) - more) // PAIRS_AT_ONCE
     coarse = np.stack([np.minimum(np.frombuffer(s, np.uint8).reshape(BINS, -1).sum(1, dtype=np.int64), 255) for s in sketches]).astype(np.int16)
-    for k in range(0, len(one), PAIRS_AT_ONCE):
-        a, b = one[k : k + PAIRS_AT_ONCE], two[k : k + PAIRS_AT_ONCE]
+    for k in np.unique(round_of[more > 0]):
+        low, high = np.searchsorted(round_of, k, "left"), np.searchsorted(round_of, k, "right")
+        n = more[low:high]
+        first = np.repeat(np.arange(low, high), n)
+        a, b = order[first], order[first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)]
+        unknown = ~(near[a] & near[b])
+        a, b = a[unknown], b[unknown]
         left = (100 + percent) * np.abs(coarse[a] - coarse[b]).sum(1, dtype=np.int64) <= (100 - percent) * (sizes[a] + sizes[b]) + 1e-6
         for i, j in zip(a[left].tolist(), b[left].tolist()):
             if not (near[i] and near[j]) and (100 + percent) * least_apart(sketches[i], sketches[j]) <= (100 - percent) * (sizes[i] + sizes[j]) + 1e-6:
@@ -207,7 +213,7 @@ def likely_rows(group: np.ndarray, sizes: np.ndarray, sketches: list[bytes], per
 
 
 def likely(groups: DataFrame, percent: float) -> DataFrame:
-    """(sid) of the sets but for those whose sizes or sketches differ from all others of their groups by more shingles than sets of the similarity can.
+    """(x, y, sid) of the sets in those groups where sizes and sketches differ from another one's by no more shingles than sets of the similarity can.
 
     groups: (x, y, sid, n, sketch), a group's name being x and y. Pairs are formed inside tasks, from a batch at a time: none is ever a row.
     """
@@ -217,7 +223,7 @@ def likely(groups: DataFrame, percent: float) -> DataFrame:
 
         def told(rows: pa.RecordBatch, changes: np.ndarray) -> pa.RecordBatch:
             near = likely_rows(np.cumsum(changes), rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), percent)
-            return pa.RecordBatch.from_arrays([rows.column("sid").filter(pa.array(near))], ["sid"])
+            return rows.select(["x", "y", "sid"]).filter(pa.array(near))
 
         for batch in batches:
             rows = pa.concat_batches([*held, batch])
@@ -233,7 +239,7 @@ def likely(groups: DataFrame, percent: float) -> DataFrame:
             yield told(held[0], np.arange(held[0].num_rows) == 0)
 
     ordered = groups.select("x", "y", "sid", "n", "sketch").repartition("x", "y").sortWithinPartitions("x", "y")
-    return ordered.mapInArrow(tidied(kept), "sid long")
+    return ordered.mapInArrow(tidied(kept), "x long, y long, sid long")
 
 
 def links_in_buckets(buckets: DataFrame, full: DataFrame, percent: float, chunk_sets: int = CHUNK_SETS) -> DataFrame:
