@@ -73,14 +73,15 @@ def all_pairs(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
     """(one, two): each unordered pair of samples once. The pairs are the result; use mean_pairwise_pearson where only their mean is asked for.
 
     Samples stand in blocks, and blocks meet by number, so no row is compared with all others. Pairs of blocks are few bytes and
-    many results, so they are dealt out by a number of their own.
+    many results, so they are dealt out by a number of their own. What one row is exploded to is held in memory as rows, so the
+    blocks' samples come one by one to the second explode (a coalesce to as many tasks parts the two).
     """
     rows, blocks = _in_blocks(samples, sample, BLOCK_SAMPLES)
     lists = rows.groupBy("_block").agg(F.collect_list(sample).alias("_ids"))
     ones = lists.select(F.col("_ids").alias("_ones"), F.explode(F.sequence("_block", F.lit(max(blocks, 1) - 1))).alias("_block"))
     tasks = max(1, min(MOST_TASKS, blocks * (blocks + 1) // 2))
     dealt = ones.join(lists, "_block").repartition(tasks, F.monotonically_increasing_id())
-    pairs = dealt.select("_ids", F.explode("_ones").alias("one"))
+    pairs = dealt.select("_ids", F.explode("_ones").alias("one")).coalesce(tasks)
     return pairs.select("one", F.explode("_ids").alias("two")).where("one < two")
 
 
