@@ -12,7 +12,7 @@ sets, exactly: texts meet where they share one of their first shingles (a prefix
 shingles last), which misses no pair of the similarity whatever the order, and the sets themselves confirm each link.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; null doc_ids take part, and a component
-of nothing else has a null component_id; repeated rows share a fingerprint; texts of any length are read whole; an empty
+of nothing else has a null component_id; repeated rows share a fingerprint, and drop_similar keeps one of them; texts of any length are read whole; an empty
 table gives no rows; other columns, whatever their names, are carried by drop_similar and ignored elsewhere.
 """
 
@@ -407,7 +407,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_each: int = 5)
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
-    """The rows of docs but for those that a document of less doc_id (nulls last) stands for. Rows equal in doc_id and text are one document."""
+    """The rows of docs but for those that a document of less doc_id (nulls last) stands for. Of rows equal in doc_id (null or not) and text one stays, the same one in every run."""
     classes, shared = _classes(docs, similarity, words_each)
     classes = stage(classes, "text-classes")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
@@ -420,4 +420,10 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, words_each: int = 5)
     rows = whole.packed(docs).select(whole.ROW, F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("second"))
     rows = rows.select(whole.ROW, _text_id(shared).alias("own"))
     same = (F.col("own") == F.col("text_id")) & whole.field("doc_id").cast("long").eqNullSafe(F.col("doc_id"))
-    return whole.unpacked(rows.join(gone, same, "left_anti"), docs.schema)
+    rows = rows.join(gone, same, "left_anti")
+    again = stage(classes.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_id"), "repeated-rows")
+    if n := again.count():
+        again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+        once = rows.join(again, same, "left_semi").groupBy(whole.field("doc_id").alias("doc_id"), "own").agg(F.min_by(whole.ROW, F.xxhash64(F.to_json(whole.ROW))).alias(whole.ROW))
+        rows = rows.join(again, same, "left_anti").select(whole.ROW).union(once.select(whole.ROW))
+    return whole.unpacked(rows, docs.schema)
